@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartwright.llm import decontaminate, packing, quality, records, simhash, tokens, toxicity, vectors
+from chartwright.llm import decontaminate, html, lm, packing, quality, records, simhash, tokens, toxicity, vectors
 from chartwright.llm.common import materialize, read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,13 +23,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_severity(docs, toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
-def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+def packed_digest(docs: DataFrame) -> DataFrame:
     encoded = materialize(tokens.encode_documents(docs, VOCABULARY), "encoded")
     pieces = packing.packed_pieces(encoded, 1024)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     _, manifest = records.write_records(docs, VOCABULARY)
@@ -37,6 +40,15 @@ def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", F.expr("cast(length(ids) / 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html.extract_main_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.fit_and_score(read_table(spark, sf_dir, "documents"))
+
+
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.vector_links(read_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -60,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_records": op4_records,
+    "op5_html": op5_html,
+    "op6_lm": op6_lm,
     "op7_vectors": op7_vectors,
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,

@@ -142,3 +142,15 @@ def simhash_classes(docs: DataFrame, width: int = 4, id_col: str = "doc_id", tex
     reached = materialize(distinct.join(classes, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "classes")
     # a null-id fingerprint may still lie near others: it is left a class of its own, which drops no linked id
     return rows.join(reached, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def keep_representatives(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose id is their class's smallest; of rows that repeat such an id, one.
+
+    Rows with a null id go, unless all of a class have none; then one of them stays.
+    """
+    classes = simhash_classes(docs.select(id_col, text_col), width, id_col, text_col)
+    kept = materialize(classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("k"), "fp", "n"), "kept")
+    repeats = kept.groupBy("k").agg(F.sum("n").alias("n")).where("n > 1").limit(1).count()
+    out = docs.join(kept.select("k").distinct(), docs[id_col].cast("long").eqNullSafe(F.col("k")), "left_semi")
+    return out.dropDuplicates([id_col]) if repeats else out

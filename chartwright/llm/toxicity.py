@@ -1,7 +1,8 @@
 """Severity of toxic text by cumulative-link ordinal regression over sparse word features (operator 2).
 
 P(grade >= j) = logistic(w . x - t_j) with one weight vector for all thresholds t_1 < t_2 < ...; the expected
-severity is the sum of these over j. Features are words, valued log(1 + occurrences).
+severity is the sum of these over j. Features are words and their first letters, so that an unseen form of a
+telling stem counts as well; each is valued log(1 + occurrences).
 """
 
 from __future__ import annotations
@@ -19,16 +20,35 @@ from chartwright.llm.common import sample_by_hash
 WORD = re.compile(r"\w+")
 #: Labelled rows the model is fitted on at most, those whose id hashes lowest.
 SAMPLE_ROWS = 8000
+#: Lengths of the beginnings that are features beside the whole word.
+STEMS = (4, 5, 6, 7)
+#: Weights smaller than this are dropped after fitting.
+LEAST_WEIGHT = 0.02
 #: Documents of the sample that a word must occur in to be a feature.
-LEAST_DOCS = 5
+LEAST_DOCS = 8
+#: Log-likelihood ratio that a feature's dependence on the toxic label must reach.
+LEAST_G = 25.0
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def features(word: str) -> list[str]:
+    """A word and its beginnings, marked by a star."""
+    return [word, *[word[:n] + "*" for n in STEMS if len(word) >= n]]
+
+
+def count_features(text: str | None) -> Counter:
+    out: Counter = Counter()
+    for word, n in Counter(words_of(text)).items():
+        for f in features(word):
+            out[f] += n
+    return out
+
+
 def labelled_words(docs: DataFrame, labels: DataFrame, label_col: str, bound: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(label, n_words, words, counts) of at most `bound` labelled rows that have a document; null labels left out."""
+    """(label, words, counts), words being features, of at most `bound` labelled rows that have a document; null labels left out."""
     sample = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("label"))
     sample = sample_by_hash(sample, "k", bound)
 
@@ -36,23 +56,40 @@ def labelled_words(docs: DataFrame, labels: DataFrame, label_col: str, bound: in
         import pyarrow as pa
 
         for batch in batches:
-            found = [words_of(t.as_py()) for t in batch.column(1)]
-            counted = [Counter(w) for w in found]
+            texts = batch.column(1).to_pylist()
+            counted = [count_features(t) for t in texts]
             yield pa.record_batch(
-                [batch.column(0), pa.array(map(len, found), pa.int64()), pa.array([list(c) for c in counted], pa.list_(pa.string())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int64()))],
-                names=["label", "n_words", "words", "counts"],
+                [batch.column(0), pa.array([list(c) for c in counted], pa.list_(pa.string())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int64()))],
+                names=["label", "words", "counts"],
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "k").select("label", "text")
-    return rows.mapInArrow(run, "label int, n_words long, words array<string>, counts array<long>")
+    return rows.mapInArrow(run, "label int, words array<string>, counts array<long>")
+
+
+def telling(counted: list[tuple[list[str], list[int]]], toxic: np.ndarray, least_docs: int, least_g: float) -> list[str]:
+    """The features that enough rows have and that depend on the label by a log-likelihood ratio of least_g."""
+    own: Counter = Counter()
+    rest: Counter = Counter()
+    for (words, _), t in zip(counted, toxic, strict=True):
+        (own if t else rest).update(words)
+    names = sorted(w for w in own.keys() | rest.keys() if own[w] + rest[w] >= least_docs)
+    n, m = float((toxic > 0).sum()), float((toxic == 0).sum())
+    if not names or not n or not m:
+        return []
+    a, b = (np.array([c[w] for w in names], float) for c in (own, rest))
+    g = np.zeros(len(names))
+    for seen, rows in ((a, n), (b, m), (n - a, n), (m - b, m)):
+        share = (a + b) / (n + m) if seen is a or seen is b else 1 - (a + b) / (n + m)
+        g += 2 * seen * np.log(np.where(seen > 0, seen, 1) / np.maximum(rows * share, 1e-300))
+    return [w for w, x in zip(names, g, strict=True) if x >= least_g]
 
 
 class SparseRows:
-    """Bag-of-words rows with the words that enough of them have."""
+    """Bag-of-words rows over a list of features."""
 
-    def __init__(self, counted: list[tuple[list[str], list[int]]], least_docs: int):
-        df = Counter(w for words, _ in counted for w in words)
-        self.vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in df.items() if n >= least_docs))}
+    def __init__(self, counted: list[tuple[list[str], list[int]]], vocabulary: list[str]):
+        self.vocabulary = {w: i for i, w in enumerate(vocabulary)}
         rows, cols, vals = [], [], []
         for r, (words, counts) in enumerate(counted):
             for w, n in zip(words, counts, strict=True):
@@ -73,73 +110,119 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
+def minimise(loss, p: np.ndarray, steps: int, memory: int = 10) -> np.ndarray:
+    """Limited-memory BFGS with step halving; loss(p) gives the value and its gradient."""
+    value, g = loss(p)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        d, back = g.copy(), []
+        for s, y in reversed(pairs):
+            a = (s @ d) / (s @ y)
+            back.append(a)
+            d -= a * y
+        if pairs:
+            s, y = pairs[-1]
+            d *= (s @ y) / (y @ y)
+        for (s, y), a in zip(pairs, reversed(back), strict=True):
+            d += s * (a - (y @ d) / (s @ y))
+        size = 1.0 if pairs else 1.0 / max(1.0, float(np.abs(g).sum()))
+        while size > 1e-10:
+            new_value, new_g = loss(p - size * d)
+            if new_value <= value - 1e-4 * size * (g @ d):
+                break
+            size /= 2
+        else:
+            break
+        if (d @ (g - new_g)) > 1e-14:
+            pairs = [*pairs, (-size * d, new_g - g)][-memory:]
+        done = value - new_value < 1e-9
+        p, value, g = p - size * d, new_value, new_g
+        if done:
+            break
+    return p
+
+
 class OrdinalModel:
     """Word weights and ordered thresholds."""
 
     def __init__(self, weights: dict[str, float], thresholds: list[float]):
-        self.weights, self.thresholds = weights, thresholds
+        self.weights, self.thresholds, self._seen = weights, thresholds, {}
+
+    def __getstate__(self):
+        return {"weights": self.weights, "thresholds": self.thresholds, "_seen": {}}
+
+    def _known(self, word: str) -> tuple[str, ...]:
+        """The features of a word that have a weight; remembered for a bounded number of words."""
+        out = self._seen.get(word)
+        if out is None:
+            if len(self._seen) > 300_000:
+                self._seen.clear()
+            out = self._seen[word] = tuple(f for f in features(word) if f in self.weights)
+        return out
 
     @classmethod
-    def fit(cls, data: SparseRows, grades: np.ndarray, penalty: float = 1e-4, steps: int = 250, rate: float = 0.1) -> OrdinalModel:
-        """Maximum penalised likelihood by Adam on the full batch; gaps between thresholds stay positive."""
+    def fit(cls, data: SparseRows, grades: np.ndarray, penalty: float = 1e-5, steps: int = 120) -> OrdinalModel:
+        """Maximum penalised likelihood by limited-memory BFGS; gaps between thresholds stay positive."""
         levels = int(grades.max(initial=0))
-        x = np.log1p(data.counts)
         if levels == 0:  # nothing graded above zero: never toxic
             return cls({}, [math.inf])
-        w, t = np.zeros(len(data.vocabulary)), np.concatenate(([2.0], np.zeros(levels - 1)))
-        moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
-        each = np.arange(data.n)
-        for step in range(1, steps + 1):
-            cut = np.cumsum(np.concatenate((t[:1], np.exp(t[1:]))))
+        x, m, each = np.log1p(data.counts), len(data.vocabulary), np.arange(data.n)
+
+        def cuts(t):
+            return np.cumsum(np.concatenate((t[:1], np.exp(t[1:]))))
+
+        def loss(p):
+            w, t = p[:m], p[m:]
             z = data.dot(w, x)
-            above = np.concatenate((np.ones((data.n, 1)), _sigmoid(z[:, None] - cut), np.zeros((data.n, 1))), axis=1)
+            above = np.concatenate((np.ones((data.n, 1)), _sigmoid(z[:, None] - cuts(t)), np.zeros((data.n, 1))), axis=1)
             here = np.maximum(above[each, grades] - above[each, grades + 1], 1e-12)
             slope = above * (1 - above)
-            g_z = -(slope[each, grades] - slope[each, grades + 1]) / here / data.n
+            high, low = slope[each, grades] / here / data.n, slope[each, grades + 1] / here / data.n
             g_cut = np.zeros(levels + 2)
-            np.add.at(g_cut, grades, slope[each, grades] / here / data.n)
-            np.add.at(g_cut, grades + 1, -slope[each, grades + 1] / here / data.n)
-            g_cut = np.cumsum(g_cut[1:-1][::-1])[::-1]
-            g_t = g_cut * np.concatenate(([1.0], np.exp(t[1:])))
-            for p, g, m, v in ((w, data.back(g_z, x) + penalty * w, *moments[:2]), (t, g_t, *moments[2:])):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        cut = np.cumsum(np.concatenate((t[:1], np.exp(t[1:]))))
-        return cls({k: float(w[i]) for k, i in data.vocabulary.items() if abs(w[i]) > 1e-6}, cut.tolist())
+            np.add.at(g_cut, grades, high)
+            np.add.at(g_cut, grades + 1, -low)
+            g_t = np.cumsum(g_cut[1:-1][::-1])[::-1] * np.concatenate(([1.0], np.exp(t[1:])))
+            return -np.log(here).mean() + penalty / 2 * (w @ w), np.concatenate((data.back(low - high, x) + penalty * w, g_t))
+
+        p = minimise(loss, np.concatenate((np.zeros(m), [2.0], np.zeros(levels - 1))), steps)
+        return cls({k: float(p[i]) for k, i in data.vocabulary.items() if abs(p[i]) >= LEAST_WEIGHT}, cuts(p[m:]).tolist())
 
     def at_least(self, text: str | None) -> list[float]:
         """[P(grade >= 1), P(grade >= 2), ...] of one text."""
-        seen = Counter(filter(self.weights.__contains__, words_of(text)))
-        z = math.fsum(self.weights[k] * math.log1p(n) for k, n in seen.items())
+        seen: dict[str, int] = {}
+        for word in words_of(text):
+            for f in self._known(word):
+                seen[f] = seen.get(f, 0) + 1
+        z = math.fsum([self.weights[k] * math.log1p(n) for k, n in seen.items()])
         return [0.5 * (1 + math.tanh(0.5 * max(-1400.0, z - t))) for t in self.thresholds]
 
 
-def severity_grades(data: SparseRows, toxic: np.ndarray, n_words: np.ndarray, levels: int = 3, least_odds: float = 20.0, least_docs: int = 20) -> np.ndarray:
-    """Grades 0..levels for 0/1 labels: 0 if not toxic, else by how densely a text uses the telling words.
+def severity_grades(data: SparseRows, toxic: np.ndarray, levels: int = 3, least_odds: float = 20.0, least_docs: int = 20) -> np.ndarray:
+    """Grades 0..levels for 0/1 labels: 0 if not toxic, else by how much a text uses the telling features.
 
-    Telling words occur in least_docs toxic rows and least_odds times as often as in the others; the toxic
-    rows are cut into `levels` groups of like size by telling words per word.
+    Telling features occur in least_docs toxic rows and least_odds times as often as in the others; the toxic
+    rows are cut into `levels` groups of like size by the sum of their values.
     """
     toxic, m = toxic.astype(bool), len(data.vocabulary)
     own, rest = (np.bincount(data.cols[pick[data.rows]], minlength=m) for pick in (toxic, ~toxic))
     odds = (own + 0.5) / (toxic.sum() + 1) / ((rest + 0.5) / ((~toxic).sum() + 1))
-    telling = ((odds >= least_odds) & (own >= min(least_docs, max(1, toxic.sum() // 10)))).astype(float)
-    density = data.dot(telling, data.counts) / np.maximum(n_words, 1)
+    strong = ((odds >= least_odds) & (own >= min(least_docs, max(1, toxic.sum() // 10)))).astype(float)
+    amount = data.dot(strong, np.log1p(data.counts))
     grades = np.zeros(data.n, np.int64)
     if toxic.any():
-        cuts = np.quantile(density[toxic], [i / levels for i in range(1, levels)])
-        grades[toxic] = 1 + np.searchsorted(cuts, density[toxic], side="left")
+        cuts = np.quantile(amount[toxic], [i / levels for i in range(1, levels)])
+        grades[toxic] = 1 + np.searchsorted(cuts, amount[toxic], side="left")
     return grades
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> OrdinalModel:
     """The model of a bounded sample of (doc_id, toxic 0/1) labels; without a toxic label nothing is toxic."""
     rows = labelled_words(docs, labels, "toxic", bound).collect()  # bound rows at most
-    rows.sort(key=lambda r: (r["label"], r["n_words"], r["words"]))
-    data = SparseRows([(r["words"], r["counts"]) for r in rows], LEAST_DOCS)
-    toxic, n_words = np.array([r["label"] for r in rows], np.int64), np.array([r["n_words"] for r in rows], np.int64)
-    return OrdinalModel.fit(data, severity_grades(data, toxic, n_words))
+    rows.sort(key=lambda r: (r["label"], r["words"], r["counts"]))
+    counted = [(r["words"], r["counts"]) for r in rows]
+    toxic = np.array([r["label"] for r in rows], np.int64)
+    data = SparseRows(counted, telling(counted, toxic, LEAST_DOCS, LEAST_G))
+    return OrdinalModel.fit(data, severity_grades(data, toxic))
 
 
 def severity(df: DataFrame, model: OrdinalModel, text_col: str = "text"):

@@ -1,10 +1,350 @@
-"""All registered chart queries with their SQL counterparts."""
+"""All registered chart queries over the derived tables, with their DuckDB counterparts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chartwright.functions import exprs as X
+from chartwright.operators import audit, backtest, factors, shortlist, signals
+from chartwright.sources import derived as D
+
+START, END, LEAST_DAYS, TOP = "2000-06-01", "2001-06-01", 10, 3
+NOW = "2000-06-01"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def sql(*parts: str) -> str:
+    *ctes, last = parts
+    return "WITH " + ",\n".join(ctes) + ("\n" if last.lstrip().startswith("SELECT") else ",\n") + last
+
+
+def cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market, store and the first of each month of 2000, from the regions."""
+    months = F.explode(F.sequence(F.lit("2000-01-01").cast("date"), F.lit("2000-12-01").cast("date"), F.expr("interval 1 month"))).alias("t0")
+    return D.table(spark, sf_dir, "region").select(F.col("r_name").alias("market"), months).select("market", F.explode(F.array(F.lit("apple"), F.lit("googleplay"))).alias("store"), "t0")
+
+
+COHORTS_SQL = """cohorts AS (SELECT r_name AS market, store, CAST(t0 AS DATE) AS t0 FROM region, (VALUES ('apple'), ('googleplay')) s(store),
+  generate_series(DATE '2000-01-01', DATE '2000-12-01', INTERVAL 1 MONTH) g(t0))"""
+DURABLE_SQL = f"""durable AS (SELECT app_id, store, market, COUNT(DISTINCT day) AS tenure_days, MIN(rank) AS best_rank,
+  CAST(SUM(CASE WHEN day >= DATE '{END}' - 30 THEN 1 ELSE 0 END) AS BIGINT) AS recent_rows
+  FROM charts WHERE day BETWEEN DATE '{START}' AND DATE '{END}' AND rank <= 100 GROUP BY 1, 2, 3 HAVING COUNT(DISTINCT day) >= {LEAST_DAYS})"""
+ROLLED_SQL = """rolled AS (SELECT app_id, store, list_sort(list(market)) AS markets, MAX(tenure_days) AS tenure_max, CAST(SUM(tenure_days) AS BIGINT) AS tenure_total,
+  MIN(best_rank) AS best_rank, MAX(recent_rows) AS recent_rows FROM durable GROUP BY 1, 2)"""
+STAGED_SQL = """pubs AS (SELECT publisher_id, COUNT(*) AS publisher_apps FROM inv WHERE publisher_id IS NOT NULL GROUP BY 1),
+staged AS (SELECT r.*, m.dna_class, m.has_subscription, i.publisher_id, COALESCE(p.publisher_apps, 1) AS publisher_apps,
+  CASE WHEN m.dna_class IN ('ECONOMY', 'PROMO', 'SMALL') THEN 'AUTO' WHEN m.dna_class IN ('MEDIUM', 'STANDARD') THEN 'REVIEW' ELSE 'NOT' END AS tier,
+  CASE WHEN len(markets) < 2 THEN 'spread' WHEN m.dna_class IS NULL THEN 'no_meta' WHEN i.publisher_id IS NULL THEN 'no_pub'
+       WHEN m.dna_class NOT IN ('ECONOMY', 'PROMO', 'SMALL', 'MEDIUM', 'STANDARD') THEN 'not_clonable' END AS drop_reason
+  FROM rolled r LEFT JOIN meta m USING (app_id) LEFT JOIN inv i USING (app_id) LEFT JOIN pubs p USING (publisher_id)),
+scored AS (SELECT *, ROUND(0.3 * LEAST(1.0, tenure_max / 365.0) + 0.2 * LEAST(1.0, len(markets) / 5.0) + 0.2 * LEAST(1.0, recent_rows / 30.0)
+  + 0.15 * GREATEST(0.0, 1 - best_rank / 100.0) + 0.15 * GREATEST(0.0, 1 - GREATEST(0, publisher_apps - 1) / 5.0), 6) AS score FROM staged WHERE drop_reason IS NULL)"""
+SHORT = (D.CHARTS_SQL, DURABLE_SQL, ROLLED_SQL, D.INVARIANTS_SQL, D.METADATA_SQL, STAGED_SQL)
+
+
+def _durable(spark, sf_dir):
+    return shortlist.durability(D.charts(spark, sf_dir), START, END, 30, LEAST_DAYS)
+
+
+def _staged(spark, sf_dir):
+    return shortlist.stages(shortlist.rollup(_durable(spark, sf_dir)), D.metadata(spark, sf_dir), D.invariants(spark, sf_dir), 2)
+
+
+@query(sql(*SHORT, """SELECT ROW_NUMBER() OVER (ORDER BY score DESC, app_id, store) AS position, app_id, store, array_to_string(markets, '|') AS markets, tenure_max, tier, score
+  FROM scored ORDER BY score DESC, app_id, store LIMIT 100"""))
+def shortlist_top(spark, sf_dir):
+    out = shortlist.top(shortlist.scored(_staged(spark, sf_dir), 5), 100)
+    return out.select("position", "app_id", "store", F.array_join("markets", "|").alias("markets"), "tenure_max", "tier", "score")
+
+
+QUERIES["shortlist"] = QUERIES.pop("shortlist_top")
+ORACLE_SQL["shortlist"] = ORACLE_SQL.pop("shortlist_top")
+
+
+@query(sql(D.CHARTS_SQL, "SELECT market, store, day, app_id, rank, revenue FROM charts"))
+def charts(spark, sf_dir):
+    return D.charts(spark, sf_dir).select("market", "store", "day", "app_id", "rank", "revenue")
+
+
+@query(sql(D.CHARTS_SQL, DURABLE_SQL, "SELECT * FROM durable"))
+def a1_durability(spark, sf_dir):
+    return _durable(spark, sf_dir)
+
+
+@query(sql(D.CHARTS_SQL, DURABLE_SQL, ROLLED_SQL, "SELECT * REPLACE (array_to_string(markets, '|') AS markets) FROM rolled"))
+def a2_rollup(spark, sf_dir):
+    return shortlist.rollup(_durable(spark, sf_dir)).withColumn("markets", F.array_join("markets", "|"))
+
+
+@query(sql(*SHORT, "SELECT COALESCE(drop_reason, 'kept') AS stage, COUNT(*) AS n FROM staged GROUP BY 1"))
+def a30_funnel(spark, sf_dir):
+    return shortlist.funnel(_staged(spark, sf_dir))
+
+
+@query(sql(*SHORT, """checked AS (SELECT app_id, store, unnest([{'n': 'markets', 's': CASE WHEN len(markets) >= 3 THEN 'PASS' ELSE 'WARN' END},
+  {'n': 'tenure', 's': CASE WHEN tenure_max >= 15 THEN 'PASS' ELSE 'FAIL' END},
+  {'n': 'blocked', 's': CASE WHEN list_contains(markets, 'AFRICA') THEN 'WARN' ELSE 'PASS' END},
+  {'n': 'subscription', 's': CASE WHEN has_subscription THEN 'PASS' ELSE 'WARN' END},
+  {'n': 'class', 's': CASE WHEN tier = 'REVIEW' THEN 'INFO' ELSE 'PASS' END}]) AS c FROM scored)
+  SELECT app_id, store, MAX(CASE WHEN c.n = 'markets' THEN c.s END) AS markets_status, MAX(CASE WHEN c.n = 'tenure' THEN c.s END) AS tenure_status,
+  MAX(CASE WHEN c.n = 'subscription' THEN c.s END) AS subscription_status,
+  CASE WHEN bool_or(c.s = 'FAIL') THEN 'FAIL' WHEN bool_or(c.s = 'WARN') THEN 'WARN' ELSE 'PASS' END AS overall FROM checked GROUP BY 1, 2"""))
+def a29_risk(spark, sf_dir):
+    rows = shortlist.evaluate_shortlist(shortlist.scored(_staged(spark, sf_dir), 5))
+    one = lambda n: F.filter("checks", lambda c: c["name"] == n)[0]["status"].alias(f"{n}_status")
+    return rows.select("app_id", "store", one("markets"), one("tenure"), one("subscription"), "overall")
+
+
+@query(sql(D.CHARTS_SQL, "SELECT market, store, MIN(day) AS first_day, MAX(day) AS last_day, COUNT(DISTINCT day) AS days, COUNT(*) AS n_rows FROM charts GROUP BY 1, 2"))
+def a4_coverage(spark, sf_dir):
+    return audit.chart_coverage(D.charts(spark, sf_dir))
+
+
+@query(sql(D.CHARTS_SQL, """v AS (SELECT r_name AS market, COUNT(DISTINCT day) AS days FROM region LEFT JOIN charts ON r_name = market GROUP BY 1)
+  SELECT market, days, CASE WHEN days >= 300 THEN 'PASS' WHEN days >= 200 THEN 'WARN' ELSE 'FAIL' END AS status FROM v"""))
+def a5_verdicts(spark, sf_dir):
+    return audit.coverage_verdicts(D.charts(spark, sf_dir), D.table(spark, sf_dir, "region").select(F.col("r_name").alias("market")))
+
+
+@query(sql(D.CHARTS_SQL, D.INVARIANTS_SQL, D.SIGNALS_SQL, """d AS (SELECT r_name, COUNT(DISTINCT day) AS n FROM region LEFT JOIN charts ON r_name = market GROUP BY 1),
+  i AS (SELECT COUNT(*) AS n, LEAST(COUNT(publisher_id), COUNT(release_day)) / COUNT(*) AS share FROM inv)
+  SELECT 'chart_coverage' AS check_name, CASE WHEN MIN(n) >= 300 THEN 'PASS' WHEN MIN(n) >= 200 THEN 'WARN' ELSE 'FAIL' END AS status, CAST(MIN(n) AS VARCHAR) AS detail FROM d
+  UNION ALL SELECT 'rank_range', CASE WHEN MAX(rank) > 100 OR MAX(rank) IS NULL THEN 'WARN' ELSE 'PASS' END, CAST(MAX(rank) AS VARCHAR) FROM charts
+  UNION ALL SELECT 'recent_data', CASE WHEN DATE '2002-01-01' - MAX(day) <= 30 THEN 'PASS' WHEN DATE '2002-01-01' - MAX(day) <= 90 THEN 'WARN' ELSE 'FAIL' END, CAST(DATE '2002-01-01' - MAX(day) AS VARCHAR) FROM charts
+  UNION ALL SELECT 'signal_inventory', 'PASS', CAST(COUNT(DISTINCT signal_name) AS VARCHAR) FROM signals
+  UNION ALL SELECT 'invariant_coverage', CASE WHEN n < 50 THEN 'FAIL' WHEN n < 90 OR share < 0.7 THEN 'WARN' ELSE 'PASS' END, CAST(n AS VARCHAR) FROM i"""))
+def a10_audit(spark, sf_dir):
+    markets = D.table(spark, sf_dir, "region").select(F.col("r_name").alias("market"))
+    return audit.audit(D.charts(spark, sf_dir), D.invariants(spark, sf_dir), D.signals(spark, sf_dir), markets, "2002-01-01")
+
+
+@query(sql(D.SIGNALS_SQL, "SELECT signal_name, COUNT(*) AS n_rows, COUNT(value) AS n_values FROM signals GROUP BY 1"))
+def a9_inventory(spark, sf_dir):
+    return audit.signal_inventory(D.signals(spark, sf_dir))
+
+
+@query(sql(D.METADATA_SQL, "SELECT app_id, dna_class, has_subscription, lang FROM meta"))
+def s6_metadata(spark, sf_dir):
+    return D.metadata(spark, sf_dir).select("app_id", "dna_class", "has_subscription", "lang")
+
+
+@query(sql(D.INVARIANTS_SQL, "SELECT * FROM inv"))
+def s8_invariants(spark, sf_dir):
+    return D.invariants(spark, sf_dir)
+
+
+@query(sql(D.INVARIANTS_SQL, "SELECT publisher_id, COUNT(*) AS publisher_apps FROM inv WHERE publisher_id IS NOT NULL GROUP BY 1"))
+def a3_publishers(spark, sf_dir):
+    return shortlist.publisher_sizes(D.invariants(spark, sf_dir))
+
+
+IMPROVE = """CASE WHEN d >= 50 THEN 8 + LEAST(d - 50, 50) / 50.0 * 2 WHEN d >= 20 THEN 5 + (d - 20) / 29.0 * 2 WHEN d >= 0 THEN 2 + d / 19.0 * 2
+  ELSE GREATEST(0.0, 1 - LEAST(-d, 50) / 50.0) END"""
+
+
+@query(sql(D.CHARTS_SQL, f"""best AS (SELECT app_id, day, MIN(rank) AS rank FROM charts WHERE day BETWEEN DATE '{NOW}' - 30 AND DATE '{NOW}' AND rank <= 200 GROUP BY 1, 2),
+  n AS (SELECT *, COUNT(*) OVER (PARTITION BY app_id) AS n, rank - LAG(rank) OVER w AS b, LEAD(rank) OVER w - rank AS a FROM best WINDOW w AS (PARTITION BY app_id ORDER BY day)),
+  s AS (SELECT * FROM n WHERE n >= 5 AND NOT COALESCE(abs(b) > 2 AND abs(a) > 2 AND sign(b) <> sign(a), false)),
+  g AS (SELECT app_id, COUNT(*) AS points, arg_min(rank, day) AS first_rank, arg_max(rank, day) AS last_rank FROM s GROUP BY 1 HAVING COUNT(*) >= 5)
+  SELECT app_id, points, first_rank, last_rank, ROUND(CAST({IMPROVE.replace('d ', '(first_rank - last_rank) ').replace('-d', '-(first_rank - last_rank)')} AS DOUBLE), 6) AS velocity FROM g"""))
+def w2_velocity(spark, sf_dir):
+    return signals.velocity_v1(D.charts(spark, sf_dir), NOW, least=5, threshold=2)
+
+
+@query(sql(D.CHARTS_SQL, f"""v AS (SELECT app_id, CASE WHEN COUNT(*) >= 3 THEN stddev_pop(rank) END AS sd FROM charts WHERE day BETWEEN DATE '{NOW}' - 90 AND DATE '{NOW}' GROUP BY 1)
+  SELECT app_id, ROUND(sd, 6) AS rank_sd, CASE WHEN sd IS NOT NULL THEN ROUND(LEAST(GREATEST(1 - sd / 50, 0), 1), 6) END AS retention,
+  CASE WHEN sd IS NOT NULL THEN ROUND(LEAST(GREATEST(sd / 50 * 10, 0), 10), 6) END AS instability FROM v"""))
+def a13_volatility(spark, sf_dir):
+    return signals.volatility(D.charts(spark, sf_dir), NOW)
+
+
+TREND_SQL = """tr AS (SELECT app_id, COUNT(*) AS n_reviews, regr_slope(rating, x) AS s, var_pop(x) AS v FROM (
+  SELECT app_id, rating, CAST(CAST(ts AS DATE) - DATE '2024-01-31' AS DOUBLE) AS x FROM reviews WHERE ts <= TIMESTAMP '2024-01-31' AND ts >= DATE '2024-01-31' - 90) GROUP BY 1),
+trend AS (SELECT app_id, n_reviews, CASE WHEN n_reviews < 3 THEN NULL WHEN v = 0 THEN 0.0 ELSE s * 90 END AS sl FROM tr)"""
+
+
+@query(sql(D.REVIEWS_SQL, TREND_SQL, "SELECT app_id, n_reviews, ROUND(sl, 4) AS slope, CASE WHEN sl IS NOT NULL THEN ROUND(LEAST(10.0, GREATEST(0.0, -sl) * 10), 4) END AS trend FROM trend"))
+def a14_rating_trend(spark, sf_dir):
+    out = signals.rating_trend(D.reviews(spark, sf_dir), "2024-01-31")
+    return out.withColumn("trend", F.when(F.col("slope").isNotNull(), F.col("trend")))
+
+
+@query(sql(D.SIGNALS_SQL, """latest AS (SELECT app_id, signal_name, arg_max(value, (day, event_id)) AS value, MAX(day) AS seen_day FROM signals WHERE value IS NOT NULL AND day <= DATE '2024-01-20' GROUP BY 1, 2)
+  SELECT app_id, DATE '2024-01-20' AS t0, signal_name, value, seen_day FROM latest"""))
+def j7_as_of_skip(spark, sf_dir):
+    s = D.signals(spark, sf_dir)
+    return backtest.as_of(s.select("app_id", F.lit("2024-01-20").cast("date").alias("t0")), s, "skip")
+
+
+@query(sql(D.SIGNALS_SQL, """r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY app_id, signal_name ORDER BY day DESC, event_id DESC) AS k FROM signals WHERE day <= DATE '2024-01-20')
+  SELECT app_id, DATE '2024-01-20' AS t0, signal_name, value, day AS seen_day FROM r WHERE k = 1"""))
+def j7_as_of_keep(spark, sf_dir):
+    s = D.signals(spark, sf_dir)
+    return backtest.as_of(s.select("app_id", F.lit("2024-01-20").cast("date").alias("t0")), s, "keep")
+
+
+@query(sql(D.SIGNALS_SQL, "SELECT app_id, DATE '2024-01-20' AS t0, COUNT(*) AS n_after FROM signals WHERE day > DATE '2024-01-20' GROUP BY 1"))
+def j10_leaks(spark, sf_dir):
+    s = D.signals(spark, sf_dir)
+    return backtest.leaks(s.select("app_id", F.lit("2024-01-20").cast("date").alias("t0")), s)
+
+
+@query(sql(D.SIGNALS_SQL, """v AS (SELECT app_id, signal_name, arg_max(value, (day, event_id)) AS value FROM signals WHERE value IS NOT NULL AND day <= DATE '2024-01-20' GROUP BY 1, 2),
+  k AS (SELECT app_id, value, ROW_NUMBER() OVER (PARTITION BY app_id ORDER BY value DESC, signal_name) AS k, COUNT(*) OVER (PARTITION BY app_id) AS n FROM v)
+  SELECT app_id, CASE WHEN MAX(n) >= 3 THEN ROUND(SUM(CASE WHEN k <= 3 THEN value END) / 3, 6) END AS score, MAX(n) >= 3 AS eligible FROM k GROUP BY 1"""))
+def a26_composite(spark, sf_dir):
+    s = D.signals(spark, sf_dir)
+    wide = backtest.as_of(s.select("app_id", F.lit("2024-01-20").cast("date").alias("t0")), s, "skip").groupBy("app_id").pivot("signal_name", ["click", "error", "purchase", "signup", "view"]).agg(F.first("value"))
+    score = X.top3_mean([F.col(c) for c in ("click", "error", "purchase", "signup", "view")])
+    return wide.select("app_id", F.round(score, 6).alias("score"), score.isNotNull().alias("eligible"))
+
+
+@query(sql(D.CHARTS_SQL, COHORTS_SQL, f"""pairs AS (SELECT DISTINCT c.market, c.store, c.t0, app_id FROM cohorts c JOIN charts USING (market, store) WHERE day BETWEEN c.t0 - 6 AND c.t0),
+  e AS (SELECT market, store, MAX(day) AS last_day FROM charts GROUP BY 1, 2)
+  SELECT p.app_id, p.market, p.store, p.t0, CAST(COALESCE(MAX(CASE WHEN h.day = p.t0 + 90 THEN 1 END), 0) AS INTEGER) AS winner_exact, CAST(COALESCE(MAX(CASE WHEN h.day IS NOT NULL THEN 1 END), 0) AS INTEGER) AS winner_window
+  FROM pairs p JOIN e USING (market, store) LEFT JOIN charts h ON h.market = p.market AND h.store = p.store AND h.app_id = p.app_id AND h.rank <= {TOP} AND h.day BETWEEN p.t0 + 84 AND p.t0 + 90
+  WHERE last_day >= p.t0 + 90 GROUP BY 1, 2, 3, 4"""))
+def a31_labels(spark, sf_dir):
+    c = D.charts(spark, sf_dir)
+    pairs = F.broadcast(cohorts(spark, sf_dir)).join(c.select("market", "store", "day", "app_id"), ["market", "store"]).where(F.col("day").between(F.date_sub("t0", 6), F.col("t0"))).select("app_id", "market", "store", "t0").distinct()
+    return backtest.winner_labels(pairs, c, 90, TOP)
+
+
+@query(sql(D.CHARTS_SQL, COHORTS_SQL, """m AS (SELECT DISTINCT market, t0 FROM cohorts),
+  p AS (SELECT m.market, m.t0, app_id, MIN(day) AS first, MAX(CASE WHEN day BETWEEN m.t0 - 7 AND m.t0 AND rank <= 100 THEN 1 ELSE 0 END) AS recent FROM m JOIN charts USING (market) GROUP BY 1, 2, 3)
+  SELECT market, t0, app_id FROM p WHERE first >= t0 - 1850 AND recent = 1"""))
+def t8_fresh_pool(spark, sf_dir):
+    return backtest.candidate_pool(D.charts(spark, sf_dir), cohorts(spark, sf_dir).select("market", "t0").distinct(), "fresh", 1850)
+
+
+@query(sql(D.CHARTS_SQL, COHORTS_SQL, "SELECT DISTINCT c.market, c.t0, app_id FROM cohorts c JOIN charts USING (market) WHERE day <= c.t0 AND rank <= 200"))
+def t8_survival_pool(spark, sf_dir):
+    return backtest.candidate_pool(D.charts(spark, sf_dir), cohorts(spark, sf_dir).select("market", "t0").distinct(), "survival")
+
+
+CELLS_SQL = f"""y AS (SELECT c.market, c.store, c.t0, app_id, day, rank FROM cohorts c JOIN charts USING (market, store) WHERE day BETWEEN c.t0 - 365 AND c.t0),
+cells AS (SELECT market, store, t0, app_id, arg_min(rank, (CAST(t0 - day AS INTEGER), rank)) FILTER (day >= t0 - 6) AS f0, COUNT(DISTINCT day) FILTER (rank <= {TOP}) AS f1,
+  CASE WHEN COUNT(*) FILTER (day >= t0 - 90) >= 2 AND stddev_pop(rank) FILTER (day >= t0 - 90) > 0 THEN ROUND(1 / stddev_pop(rank) FILTER (day >= t0 - 90), 6) END AS f2, MIN(rank) AS best
+  FROM y GROUP BY 1, 2, 3, 4 HAVING COUNT(*) FILTER (day >= t0 - 6) > 0),
+b5 AS (SELECT t0, app_id, COUNT(DISTINCT (market, store)) AS f5 FROM (SELECT DISTINCT t0 FROM cohorts) c JOIN charts ON day BETWEEN t0 - 6 AND t0 AND rank <= {TOP} GROUP BY 1, 2),
+t7 AS (SELECT t0, store, app_id, publisher_id, COUNT(DISTINCT (market, day)) AS tenure FROM (SELECT DISTINCT t0 FROM cohorts) c JOIN charts ON day BETWEEN t0 - 365 AND t0 AND rank <= {TOP} JOIN inv USING (app_id) GROUP BY 1, 2, 3, 4),
+f7 AS (SELECT a.t0, a.store, a.app_id, ROUND(AVG(b.tenure), 6) AS f7 FROM t7 a LEFT JOIN t7 b ON a.t0 = b.t0 AND a.store = b.store AND a.publisher_id = b.publisher_id AND a.app_id <> b.app_id GROUP BY 1, 2, 3),
+wk AS (SELECT DISTINCT c.market, c.t0, charts.store, app_id FROM (SELECT DISTINCT market, t0 FROM cells) c JOIN charts ON charts.market = c.market AND day BETWEEN t0 - 6 AND t0 AND rank <= {TOP})"""
+
+
+@query(sql(D.CHARTS_SQL, COHORTS_SQL, D.INVARIANTS_SQL, CELLS_SQL, """SELECT c.market, c.store, c.t0, c.app_id, f0, f1, f2, ROUND(f0 / best, 6) AS f4, f5, f7,
+  CAST(CASE WHEN c.t0 >= release_day THEN LEAST(365, c.t0 - release_day) END AS BIGINT) AS f11,
+  CASE WHEN EXISTS (SELECT 1 FROM wk w WHERE w.market = c.market AND w.t0 = c.t0 AND w.store <> c.store)
+       THEN CAST(EXISTS (SELECT 1 FROM wk w WHERE w.market = c.market AND w.t0 = c.t0 AND w.store <> c.store AND w.app_id = c.app_id) AS BIGINT) END AS f14
+  FROM cells c LEFT JOIN b5 USING (t0, app_id) LEFT JOIN f7 ON f7.t0 = c.t0 AND f7.store = c.store AND f7.app_id = c.app_id LEFT JOIN inv ON inv.app_id = c.app_id"""))
+def m11_factors(spark, sf_dir):
+    out = factors.factor_table(D.charts(spark, sf_dir), D.invariants(spark, sf_dir), cohorts(spark, sf_dir), TOP)
+    return out.withColumns({"f11": F.col("f11").cast("long"), "f14": F.col("f14").cast("long")})
+
+
+def _long(spark, sf_dir):
+    return factors.to_long(factors.cell_factors(D.charts(spark, sf_dir), cohorts(spark, sf_dir), TOP), ("f0", "f1", "f2", "f4"))
+
+
+LONG_SQL = """long AS (SELECT market, store, t0, app_id, unnest(['f0', 'f1', 'f2', 'f4']) AS signal_name, unnest([CAST(f0 AS DOUBLE), CAST(f1 AS DOUBLE), f2, ROUND(f0 / best, 6)]) AS value FROM cells)"""
+
+
+@query(sql(D.CHARTS_SQL, COHORTS_SQL, D.INVARIANTS_SQL, CELLS_SQL, LONG_SQL, "SELECT signal_name, COUNT(*) AS n_rows, COUNT(value) AS n_values, ROUND(COUNT(value) / COUNT(*), 6) AS share FROM long GROUP BY 1"))
+def a25_factor_coverage(spark, sf_dir):
+    return factors.coverage(_long(spark, sf_dir))
+
+
+@query(sql(D.CHARTS_SQL, COHORTS_SQL, D.INVARIANTS_SQL, CELLS_SQL, LONG_SQL, """q AS (SELECT *, LEAST(GREATEST(value, quantile_cont(value, 0.01) OVER w), quantile_cont(value, 0.99) OVER w) AS cut FROM long WINDOW w AS (PARTITION BY market, store, t0, signal_name)),
+  s AS (SELECT *, CASE WHEN value IS NOT NULL THEN cut END AS v FROM q),
+  z AS (SELECT *, COUNT(v) OVER w AS n, AVG(v) OVER w AS mean, stddev_samp(v) OVER w AS sd FROM s WINDOW w AS (PARTITION BY market, store, t0, signal_name))
+  SELECT market, store, t0, app_id, signal_name, value, ROUND(CASE WHEN n < 2 THEN v WHEN COALESCE(sd, 0) < 1e-12 THEN 0.0 ELSE (v - mean) / sd END, 5) AS z FROM z"""))
+def m2_standardized(spark, sf_dir):
+    out = factors.standardized(_long(spark, sf_dir), factors.CELL)
+    return out.withColumn("z", F.round("z", 5))
+
+
+@query(sql(D.CHARTS_SQL, COHORTS_SQL, """r AS (SELECT c.market, c.store, c.t0, app_id, rank, ROW_NUMBER() OVER (PARTITION BY c.market, c.store, c.t0, app_id ORDER BY day DESC, rank) AS k FROM cohorts c JOIN charts USING (market, store) WHERE day BETWEEN c.t0 - 6 AND c.t0),
+  p AS (SELECT market, store, t0, app_id, ROW_NUMBER() OVER (PARTITION BY market, store, t0 ORDER BY rank, app_id) AS pos FROM r WHERE k = 1),
+  w AS (SELECT p.*, EXISTS (SELECT 1 FROM charts h WHERE h.market = p.market AND h.store = p.store AND h.app_id = p.app_id AND h.rank <= 3 AND h.day BETWEEN p.t0 + 84 AND p.t0 + 90) AS won FROM p)
+  SELECT market, store, t0, 'f0' AS ranker, k, ROUND(COUNT(*) FILTER (pos <= k AND won) / k, 6) AS precision FROM w, (VALUES (5), (10)) ks(k) GROUP BY 1, 2, 3, 5"""))
+def a17_precision(spark, sf_dir):
+    c = D.charts(spark, sf_dir)
+    cells = factors.cell_factors(c, cohorts(spark, sf_dir))
+    values = cells.select(*factors.CELL, "app_id", F.lit("f0").alias("signal_name"), (-F.col("f0")).alias("value"))
+    winners = backtest.winner_labels(cells.select(*factors.CELL, "app_id"), c, 90, TOP).withColumnRenamed("winner_window", "is_winner")
+    return backtest.precision_at_k(backtest.rankings(values, factors.CELL).where("ranker <> 'random'"), winners, factors.CELL, (5, 10))
+
+
+@query()
+def m3_residuals(spark, sf_dir):
+    c = factors.cell_factors(D.charts(spark, sf_dir), cohorts(spark, sf_dir), TOP)
+    return factors.residualized(c, factors.CELL, ("f0", "f1", "f2", "f4"))
+
+
+@query()
+def m6_bootstrap(spark, sf_dir):
+    c = D.charts(spark, sf_dir)
+    cells = factors.cell_factors(c, cohorts(spark, sf_dir), TOP)
+    labels = backtest.winner_labels(cells.select(*factors.CELL, "app_id"), c, 90, TOP)
+    long = factors.to_long(cells, ("f0", "f1", "f2", "f4")).join(labels, [*factors.CELL, "app_id"])
+    best = factors.top_decile(long, factors.CELL, "winner_window", factors.directions(long, "winner_window"), least=3)
+    base = best.where("signal_name = 'f0'").select(*factors.CELL, F.col("precision").alias("base"))
+    lifts = best.where("signal_name <> 'f0'").join(base, factors.CELL).select("signal_name", F.concat_ws("/", *factors.CELL).alias("cohort"), (F.col("precision") - F.col("base")).alias("lift"))
+    return factors.verdicts(factors.cluster_bootstrap(lifts))
+
+
+@query("""WITH c AS (SELECT conv_id, role, text, ROW_NUMBER() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS k FROM conversations WHERE role IN ('user', 'assistant')),
+  s AS (SELECT conv_id, role, (length(text) % 101) / 10.0 AS score FROM c WHERE k = 1),
+  j AS (SELECT COALESCE(u.conv_id, a.conv_id) AS conv_id, u.score AS text_score, a.score AS vision_score FROM (SELECT * FROM s WHERE role = 'user') u FULL JOIN (SELECT * FROM s WHERE role = 'assistant') a ON u.conv_id = a.conv_id)
+  SELECT conv_id, CAST(text_score AS DOUBLE) AS text_score, CAST(vision_score AS DOUBLE) AS vision_score, ROUND(CAST(abs(text_score - vision_score) AS DOUBLE), 6) AS divergence FROM j""")
+def j4_judges(spark, sf_dir):
+    turns = D.table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant")).groupBy("conv_id", "role").agg(F.max_by("text", "turn").alias("text"))
+    score = (F.pmod(F.length("text"), F.lit(101)) / 10).cast("double")
+    text, vision = (turns.where(F.col("role") == r).select("conv_id", score.alias(n)) for r, n in (("user", "text_score"), ("assistant", "vision_score")))
+    return text.join(vision, "conv_id", "full_outer").select("conv_id", "text_score", "vision_score", F.round(F.abs(F.col("text_score") - F.col("vision_score")), 6).alias("divergence"))
+
+
+@query("SELECT page_id, idx AS pos, link FROM (SELECT page_id, unnest(range(1, 1 + len(l))) AS idx, unnest(l) AS link FROM (SELECT page_id, regexp_extract_all(html, 'href=\"/([^\"]+)\"', 1) AS l FROM pages))")
+def s13_page_links(spark, sf_dir):
+    links = D.table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), F.lit(1))).alias("i", "link"))
+    return links.select("page_id", (F.col("i") + 1).cast("long").alias("pos"), "link")
+
+
+@query("SELECT doc_id, sha256(concat_ws('|', lang, source, text)) AS digest, length(text) AS n FROM documents")
+def x13_digests(spark, sf_dir):
+    return D.table(spark, sf_dir, "documents").select("doc_id", X.content_digest(F.col("lang"), F.col("source"), F.col("text")).alias("digest"), F.length("text").cast("long").alias("n"))
+
+
+def _language_sql() -> str:
+    hits = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(s) for s in words)}))) AS n_{k}" for k, words in X.STOP_WORDS.items())
+    best = " ".join(f"WHEN n_{k} >= 2 AND " + " AND ".join(f"n_{k} > n_{o}" for o in X.STOP_WORDS if o != k) + f" THEN '{k}'" for k in X.STOP_WORDS)
+    return f"""WITH t AS (SELECT doc_id, lang, text, regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{M}}''’]+') AS w FROM documents),
+  c AS (SELECT doc_id, lang, trim(text) = '' AS blank, {hits} FROM t), d AS (SELECT doc_id, lang, blank, CASE {best} END AS found FROM c)
+  SELECT doc_id, found, CASE WHEN blank OR found IS NULL THEN 5.0::DOUBLE WHEN found = lang THEN 0.0::DOUBLE ELSE 10.0::DOUBLE END AS gap FROM d"""
+
+
+@query(_language_sql())
+def x10_localization(spark, sf_dir):
+    return D.table(spark, sf_dir, "documents").select("doc_id", X.detected_language(F.col("text")).alias("found"), X.localization_gap(F.col("text"), F.col("lang")).alias("gap"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_retailprice AS price, p_size AS size FROM part)
+  SELECT p_partkey, ROUND(CASE WHEN price * size <= 0 THEN 0.0 ELSE LEAST(10.0, GREATEST(0.0, (log10(price * size + 1) - 2) / 6 * 10)) END, 6) AS revenue,
+  ROUND(CAST(CASE WHEN size / 3.0 < 5 THEN size / 15.0 WHEN size / 3.0 < 10 THEN 2 + (size / 3.0 - 5) / 5 * 2 WHEN size / 3.0 <= 15 THEN 5 + (size / 3.0 - 10) / 5 * 2 ELSE 8 + LEAST(size / 3.0 - 15, 10) / 10 * 2 END AS DOUBLE), 6) AS economics FROM p""")
+def x3_economics(spark, sf_dir):
+    size = F.col("p_size").cast("double")
+    return D.table(spark, sf_dir, "part").select("p_partkey", F.round(X.revenue_proxy(F.col("p_retailprice"), F.col("p_size"), F.lit(1.0)), 6).alias("revenue"), F.round(X.ratio_score(size / 3), 6).alias("economics"))

@@ -20,7 +20,7 @@ _WS = r"[\x09-\x0d \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}
 UNEVEN = rf"^{_WS}|{_WS}$|{_WS}{_WS}|[\x1c-\x1f]"
 MARKS = frozenset(".,;:!?|")
 #: Words kept by one Python worker, about 200 bytes each.
-MEMORY = 1_200_000
+MEMORY = 800_000
 #: Bytes of text encoded at a time; a longer text is encoded alone.
 SLICE = 12 << 20
 _OPEN: dict[str, Encoder] = {}

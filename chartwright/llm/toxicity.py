@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartwright.llm.common import sample_by_hash
+from chartwright.llm.common import discard, materialize, sample_by_hash
 
 WORD = re.compile(r"\w+")
 #: Labelled rows the model is fitted on at most, those whose id hashes lowest.
@@ -67,22 +67,38 @@ def labelled_words(docs: DataFrame, labels: DataFrame, label_col: str, bound: in
     return rows.mapInArrow(run, "label int, words array<string>, counts array<long>")
 
 
-def telling(counted: list[tuple[list[str], list[int]]], toxic: np.ndarray, least_docs: int, least_g: float) -> list[str]:
-    """The features that enough rows have and that depend on the label by a log-likelihood ratio of least_g."""
-    own: Counter = Counter()
-    rest: Counter = Counter()
-    for (words, _), t in zip(counted, toxic, strict=True):
-        (own if t else rest).update(words)
-    names = sorted(w for w in own.keys() | rest.keys() if own[w] + rest[w] >= least_docs)
-    n, m = float((toxic > 0).sum()), float((toxic == 0).sum())
-    if not names or not n or not m:
+def telling(known: DataFrame, least_docs: int, least_g: float) -> list[str]:
+    """The features of labelled_words() rows that enough rows have and that depend on the label by a
+    log-likelihood ratio of least_g; counted by Spark, only these reach the driver."""
+    sums = known.agg(F.count_if(F.col("label") > 0).alias("n"), F.count_if(F.col("label") == 0).alias("m")).first()
+    n, m = float(sums["n"]), float(sums["m"])
+    if not n or not m:
         return []
-    a, b = (np.array([c[w] for w in names], float) for c in (own, rest))
-    g = np.zeros(len(names))
-    for seen, rows in ((a, n), (b, m), (n - a, n), (m - b, m)):
-        share = (a + b) / (n + m) if seen is a or seen is b else 1 - (a + b) / (n + m)
-        g += 2 * seen * np.log(np.where(seen > 0, seen, 1) / np.maximum(rows * share, 1e-300))
-    return [w for w, x in zip(names, g, strict=True) if x >= least_g]
+    seen = known.select("label", F.explode("words").alias("w")).groupBy("w").agg(F.count_if(F.col("label") > 0).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    share = (a + b) / (n + m)
+
+    def part(count, rows, rate):
+        return F.when(count > 0, 2 * count * F.log(count / (rows * rate))).otherwise(0.0)
+
+    g = part(a, n, share) + part(b, m, share) + part(n - a, n, 1 - share) + part(m - b, m, 1 - share)
+    return sorted(r["w"] for r in seen.where((a + b >= least_docs) & (g >= least_g)).select("w").collect())
+
+
+def only_words(known: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """labelled_words() rows with the features of a vocabulary only."""
+    shared = known.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            kept = [[(w, n) for w, n in zip(ws.as_py(), ns.as_py(), strict=True) if w in shared.value] for ws, ns in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.record_batch(
+                [batch.column(0), pa.array([[w for w, _ in k] for k in kept], pa.list_(pa.string())), pa.array([[n for _, n in k] for k in kept], pa.list_(pa.int64()))], names=["label", "words", "counts"]
+            )
+
+    return known.select("label", "words", "counts").mapInArrow(run, "label int, words array<string>, counts array<long>")
 
 
 class SparseRows:
@@ -217,11 +233,13 @@ def severity_grades(data: SparseRows, toxic: np.ndarray, levels: int = 3, least_
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> OrdinalModel:
     """The model of a bounded sample of (doc_id, toxic 0/1) labels; without a toxic label nothing is toxic."""
-    rows = labelled_words(docs, labels, "toxic", bound).collect()  # bound rows at most
+    known = materialize(labelled_words(docs, labels, "toxic", bound), "labelled")
+    vocabulary = telling(known, LEAST_DOCS, LEAST_G)
+    rows = only_words(known, vocabulary).collect()  # bound rows at most, each with its telling features
+    discard(known)
     rows.sort(key=lambda r: (r["label"], r["words"], r["counts"]))
-    counted = [(r["words"], r["counts"]) for r in rows]
+    data = SparseRows([(r["words"], r["counts"]) for r in rows], vocabulary)
     toxic = np.array([r["label"] for r in rows], np.int64)
-    data = SparseRows(counted, telling(counted, toxic, LEAST_DOCS, LEAST_G))
     return OrdinalModel.fit(data, severity_grades(data, toxic))
 
 

@@ -149,21 +149,20 @@ class Resampler:
         self.cut = best_cut(np.array([r["w"] for r in rows], float), np.array([r["label"] == 1 for r in rows], bool))
         discard(known)
 
-    def keys(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
-        """(log weight, the weight with its noise)."""
-        w = log_weight(docs, self.ratios, text_col)
-        return w, w + gumbel(F.col(id_col))
-
-    def threshold(self, docs: DataFrame, k: int | None = None) -> float:
-        """The Gumbel top-k's smallest key. k: by default as many as weigh at least self.cut, the estimated
-        number of target-like documents. Rows that tie with the k-th key are all kept."""
-        w, _ = self.keys(docs)
-        scored = materialize(docs.select("doc_id", w.alias("w")).select("w", (F.col("w") + gumbel(F.col("doc_id"))).alias("key")), "weights")
+    def weighed(self, docs: DataFrame, columns: list[str], text_col: str = "text") -> tuple[DataFrame, str]:
+        """The named columns and the log weight of every row, written out so that a text is scored once; the
+        weight's column is named so that it clashes with none."""
+        name = "log_weight"
+        while name.lower() in {c.lower() for c in docs.columns}:
+            name += "_"
+        return materialize(docs.select(*[F.col(f"`{c}`") for c in columns], log_weight(docs, self.ratios, text_col).alias(name)), "weighed"), name
+
+    def threshold(self, rows: DataFrame, weight: str, k: int | None = None, id_col: str = "doc_id") -> float:
+        """The Gumbel top-k's smallest key over weighed() rows. k: by default as many as weigh at least self.cut,
+        the estimated number of target-like documents. Rows that tie with the k-th key are all kept."""
         if k is None:
-            k = scored.where(F.col("w") >= float(self.cut)).count()
-        out = kth_largest(scored, "key", k)
-        discard(scored)
-        return out
+            k = rows.where(F.col(weight) >= float(self.cut)).count()
+        return kth_largest(rows.select((F.col(weight) + gumbel(F.col(id_col))).alias("key")), "key", k)
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
@@ -173,15 +172,15 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFr
     all weigh the same and, k unset, all are kept. Rows that repeat an id and a text are drawn alike.
     """
     model = Resampler(docs, labels)
-    least = model.threshold(docs, k)
-    w, _ = model.keys(docs)
-    rows = docs.select("doc_id", w.alias("log_weight")).withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id")))
+    rows, weight = model.weighed(docs, ["doc_id"])
+    least = model.threshold(rows, weight, k)
+    rows = rows.select("doc_id", F.col(weight).alias("log_weight"), (F.col(weight) + gumbel(F.col("doc_id"))).alias("key"))
     return rows.where(F.col("key") >= float(least)).withColumn("kept", F.lit(True))
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """The drawn rows with all their columns; cases as in resample()."""
     model = Resampler(docs, labels)
-    least = model.threshold(docs, k)
-    _, key = model.keys(docs)
-    return docs.where(key >= float(least))
+    rows, weight = model.weighed(docs, docs.columns)
+    least = model.threshold(rows, weight, k)
+    return rows.where(F.col(weight) + gumbel(F.col("doc_id")) >= float(least)).drop(weight)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from chartwright.functions import exprs as X
 from chartwright.operators import backtest, factors, shortlist, signals
 from chartwright.plans import registry
+from chartwright.plans import reports as _reports  # noqa: F401  registers its queries
 from chartwright.sources import files, sinks
 from chartwright.streaming import ingest
 

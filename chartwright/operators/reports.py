@@ -121,3 +121,24 @@ def audit_report(checks: DataFrame) -> DataFrame:
     line = F.concat_ws(" | ", "check_name", "status", F.coalesce("detail", F.lit("")))
     out = checks.agg(F.max(severity).alias("s"), F.count("*").alias("n_checks"), F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("report"))
     return out.select(F.when(F.col("s") == 2, "FAIL").when(F.col("s") == 1, "WARN").when(F.col("s") == 0, "PASS").alias("overall"), "n_checks", "report")
+
+
+def language_quality(evals: DataFrame, passing: float = 8.0) -> DataFrame:
+    """evals (phrases, translations, back_translations, scores: arrays by place) with mean_score, accuracy, passes.
+
+    Arrays of unequal length, empty or null ones give nulls and don't pass.
+    """
+    n = F.size("scores")
+    whole = (n > 0) & (F.size("phrases") == n) & (F.size("translations") == n) & (F.size("back_translations") == n)
+    mean = F.when(whole, F.aggregate("scores", F.lit(0.0), lambda a, x: a + x.cast("double")) / n)
+    return evals.withColumn("mean_score", mean).withColumns({"accuracy": F.col("mean_score") / 10, "passes": F.coalesce(F.col("mean_score") >= passing, F.lit(False))})
+
+
+def drift(actual: DataFrame, baseline: DataFrame, keys: list[str], tolerance: float = 1.0) -> DataFrame:
+    """(*keys, score, base, status): score and pass flag against the baseline's; a case without baseline passes."""
+    if tolerance <= 0:
+        raise ValueError(f"tolerance must be above 0: {tolerance}")
+    both = actual.select(*keys, "score", "passes").join(baseline.select(*keys, F.col("score").alias("base"), F.col("passes").alias("base_passes"), F.lit(True).alias("there")), keys, "left")
+    same = (F.abs(F.col("score") - F.col("base")) <= tolerance) & F.col("passes").eqNullSafe(F.col("base_passes"))
+    status = F.when(F.col("there").isNull(), "PASS").when(F.coalesce(same, F.lit(False)), "PASS").otherwise("FAIL")
+    return both.select(*keys, "score", "base", status.alias("status"))

@@ -24,10 +24,8 @@ SAMPLE_ROWS = 8000
 STEMS = (4, 5, 6, 7)
 #: Weights smaller than this are dropped after fitting.
 LEAST_WEIGHT = 0.02
-#: Documents of the sample that a word must occur in to be a feature.
-LEAST_DOCS = 8
-#: Log-likelihood ratio that a feature's dependence on the toxic label must reach.
-LEAST_G = 25.0
+#: Share of the chosen features that may depend on the toxic label by chance alone.
+FALSE_RATE = 0.05
 
 
 def words_of(text: str | None) -> list[str]:
@@ -67,22 +65,49 @@ def labelled_words(docs: DataFrame, labels: DataFrame, label_col: str, bound: in
     return rows.mapInArrow(run, "label int, words array<string>, counts array<long>")
 
 
-def telling(known: DataFrame, least_docs: int, least_g: float) -> list[str]:
-    """The features of labelled_words() rows that enough rows have and that depend on the label by a
-    log-likelihood ratio of least_g; counted by Spark, only these reach the driver."""
+def dependence(a, b, n: float, m: float) -> np.ndarray:
+    """Log-likelihood ratios of features that a of n toxic and b of m other rows have."""
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    share = (a + b) / (n + m)
+
+    def part(count, expected):
+        return np.where(count > 0, 2 * count * np.log(np.maximum(count, 1) / np.maximum(expected, 1e-300)), 0.0)
+
+    return part(a, n * share) + part(b, m * share) + part(n - a, n * (1 - share)) + part(m - b, m * (1 - share))
+
+
+def least_dependence(a, b, features, n: float, m: float, rate: float = FALSE_RATE) -> float:
+    """The ratio from which on at most `rate` of the features are expected to get there by chance.
+
+    features counts those that a toxic and b other rows have. Only the ones in enough rows to get there at all
+    can do so by chance, so neither small nor large tables need a bound on rows. Infinite if no ratio will do.
+    """
+    a, b, features = np.asarray(a, float), np.asarray(b, float), np.asarray(features, float)
+    g, own = dependence(a, b, n, m), np.minimum(a + b, n)
+    best = dependence(own, a + b - own, n, m)
+    order, rank = np.argsort(-g, kind="stable"), np.argsort(best, kind="stable")
+    level, reached = g[order], np.cumsum(features[order])[np.searchsorted(-g[order], -g[order], side="right") - 1]
+    able = np.concatenate((np.cumsum(features[rank][::-1])[::-1], [0.0]))[np.searchsorted(best[rank], level - 1e-9)]
+    chance = np.array([math.erfc(math.sqrt(max(x, 0.0) / 2)) for x in level])
+    good = np.flatnonzero(chance * able <= rate * reached)
+    return float(level[good[-1]]) if len(good) else math.inf
+
+
+def telling(known: DataFrame, rate: float = FALSE_RATE) -> list[str]:
+    """The features of labelled_words() rows that depend on the label, `rate` of them by chance at most; counted
+    by Spark, only these and how many features share each pair of counts reach the driver."""
     sums = known.agg(F.count_if(F.col("label") > 0).alias("n"), F.count_if(F.col("label") == 0).alias("m")).first()
     n, m = float(sums["n"]), float(sums["m"])
     if not n or not m:
         return []
-    seen = known.select("label", F.explode("words").alias("w")).groupBy("w").agg(F.count_if(F.col("label") > 0).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
-    a, b = F.col("a"), F.col("b")
-    share = (a + b) / (n + m)
-
-    def part(count, rows, rate):
-        return F.when(count > 0, 2 * count * F.log(count / (rows * rate))).otherwise(0.0)
-
-    g = part(a, n, share) + part(b, m, share) + part(n - a, n, 1 - share) + part(m - b, m, 1 - share)
-    return sorted(r["w"] for r in seen.where((a + b >= least_docs) & (g >= least_g)).select("w").collect())
+    seen = materialize(known.select("label", F.explode("words").alias("w")).groupBy("w").agg(F.count_if(F.col("label") > 0).alias("a"), F.count_if(F.col("label") == 0).alias("b")), "seen")
+    pairs = seen.groupBy("a", "b").agg(F.count("*").alias("features")).toPandas().sort_values(["a", "b"])
+    a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+    enough = dependence(a, b, n, m) >= least_dependence(a, b, pairs["features"].to_numpy(), n, m, rate) - 1e-9
+    chosen = seen.sparkSession.createDataFrame([(int(x), int(y)) for x, y in zip(a[enough], b[enough], strict=True)], "a long, b long")
+    out = sorted(r["w"] for r in seen.join(F.broadcast(chosen), ["a", "b"]).select("w").collect())
+    discard(seen)
+    return out
 
 
 def only_words(known: DataFrame, vocabulary: list[str]) -> DataFrame:
@@ -177,7 +202,7 @@ class OrdinalModel:
         return out
 
     @classmethod
-    def fit(cls, data: SparseRows, grades: np.ndarray, penalty: float = 1e-5, steps: int = 120) -> OrdinalModel:
+    def fit(cls, data: SparseRows, grades: np.ndarray, penalty: float = 1e-4, steps: int = 120) -> OrdinalModel:
         """Maximum penalised likelihood by limited-memory BFGS; gaps between thresholds stay positive."""
         levels = int(grades.max(initial=0))
         if levels == 0:  # nothing graded above zero: never toxic
@@ -234,7 +259,7 @@ def severity_grades(data: SparseRows, toxic: np.ndarray, levels: int = 3, least_
 def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> OrdinalModel:
     """The model of a bounded sample of (doc_id, toxic 0/1) labels; without a toxic label nothing is toxic."""
     known = materialize(labelled_words(docs, labels, "toxic", bound), "labelled")
-    vocabulary = telling(known, LEAST_DOCS, LEAST_G)
+    vocabulary = telling(known)
     rows = only_words(known, vocabulary).collect()  # bound rows at most, each with its telling features
     discard(known)
     rows.sort(key=lambda r: (r["label"], r["words"], r["counts"]))

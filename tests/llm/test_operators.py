@@ -249,6 +249,29 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.fit_toxicity(docs, labels.limit(0)).at_least("idiot") == [0.0]
 
 
+@pytest.mark.parametrize(("sf", "least"), [("sf0.001", 0.2), ("sf0.01", 0.6)])
+def test_toxicity_on_held_out_rows_of_small_tables(spark, sf, least):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    caught, toxic, false, clean = 0, 0, 0, 0
+    for fold in range(4):
+        model = toxicity.fit_toxicity(docs, labels.where(f"doc_id % 4 <> {fold}"))
+        held = docs.join(labels.where(f"doc_id % 4 = {fold} and toxic is not null").withColumnRenamed("toxic", "label"), "doc_id").select("label", "text").collect()
+        hits = [(r["label"], model.at_least(r["text"])[0] >= 0.5) for r in held]
+        caught, toxic = caught + sum(h for y, h in hits if y), toxic + sum(y for y, _ in hits)
+        false, clean = false + sum(h for y, h in hits if not y), clean + sum(not y for y, _ in hits)
+    print(f"{sf}: {caught} of {toxic} caught, {false} of {clean} false")
+    assert caught >= least * toxic and false <= 0.02 * clean
+
+
+def test_telling_features_by_chance():
+    rng = np.random.default_rng(2)
+    a, b = rng.binomial(10, 0.2, 3000), rng.binomial(90, 0.2, 3000)  # as frequent in both: none tells
+    assert (toxicity.dependence(a, b, 10, 90) >= toxicity.least_dependence(a, b, np.ones(3000), 10, 90)).sum() <= 1
+    a, b, many = [5, *a], [0, *b], np.ones(3001)
+    assert toxicity.dependence(5, 0, 10, 90) >= toxicity.least_dependence(a, b, many, 10, 90)
+    assert toxicity.least_dependence([1], [1], [40], 10, 90) == float("inf")
+
+
 def test_gumbel_top_k(spark):
     docs, labels = documents(spark), spark.read.parquet(f"{DATA}/labels.parquet")
     model = quality.Resampler(docs, labels)

@@ -130,27 +130,53 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
 
 
+def _classes(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, fp, component, component_id) for every row; component = smallest fingerprint reachable over links."""
+    rows = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    linked = connected_components(near_links(distinct.select("fp", F.col("fp").alias("rep")))).withColumnRenamed("component", "root")
+    reached = materialize(distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("component")), "reached")
+    smallest = reached.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = materialize(reached.join(smallest, "component").select("fp", "component", "component_id"), "classes")
+    return rows.join(classes, "fp", "left").select("doc_id", "fp", "component", "component_id")
+
+
 def simhash_classes(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id = smallest doc_id reachable over links.
 
-    Rows of equal fingerprints are one node from the start. Null ids keep their row: they join a class but
-    are never its smallest id, and a class of null ids alone has a null component_id. Empty input: no rows.
+    Fingerprints are the nodes, so that rows without an id or with a repeated one link like any other. Null ids
+    are never the smallest, and a class of null ids alone has a null component_id. Empty input: no rows.
     """
-    rows = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "distinct")
-    classes = connected_components(near_links(distinct))
-    reached = materialize(distinct.join(classes, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "classes")
-    # a null-id fingerprint may still lie near others: it is left a class of its own, which drops no linked id
-    return rows.join(reached, "fp", "left").select("doc_id", "fp", "component_id")
+    return _classes(docs, width, id_col, text_col).select("doc_id", "fp", "component_id")
 
 
 def keep_representatives(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose id is their class's smallest; of rows that repeat such an id, one.
+    """One row, with all its columns, of each class: one whose id is the class's smallest.
 
-    Rows with a null id go, unless all of a class have none; then one of them stays.
+    Rows with a null id go, unless all of a class have none; then one of them stays. Where an id stands for
+    several rows or for none, the row is found by its fingerprint too.
     """
-    classes = simhash_classes(docs.select(id_col, text_col), width, id_col, text_col)
-    kept = materialize(classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("k"), "fp", "n"), "kept")
-    repeats = kept.groupBy("k").agg(F.sum("n").alias("n")).where("n > 1").limit(1).count()
-    out = docs.join(kept.select("k").distinct(), docs[id_col].cast("long").eqNullSafe(F.col("k")), "left_semi")
-    return out.dropDuplicates([id_col]) if repeats else out
+    import pandas as pd
+
+    classes = materialize(_classes(docs.select(id_col, text_col), width, id_col, text_col), "rows")
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("doc_id").alias("k"), F.min("fp").alias("f"))
+    kept = materialize(kept.select("k", "f"), "kept")
+    repeats = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("k"))
+    repeats = materialize(repeats, "repeats")
+    key = docs[id_col].cast("long")
+    clear = kept.where("k is not null").join(repeats, "k", "left_anti")
+    out = docs.join(clear.select("k"), key == F.col("k"), "left_semi")
+    unclear = kept.where("k is null").union(kept.join(repeats, "k", "left_semi"))
+    if not unclear.limit(1).count():
+        return out
+
+    def run(batches):
+        for texts in batches:
+            yield pd.Series([np.uint64(fingerprint(t or b"", width)).astype(np.int64) for t in texts], dtype="int64")
+
+    run.__annotations__ = {}
+    own = F.pandas_udf(run, "long", F.PandasUDFType.SCALAR_ITER)(F.col(text_col).cast("string").cast("binary"))
+    several = docs.where(key.isNull()).union(docs.join(repeats, key == F.col("k"), "left_semi"))
+    several = several.withColumns({"__key": F.col(id_col).cast("long"), "__fp": own})
+    found = several.join(unclear, F.col("__fp").eqNullSafe(F.col("f")) & F.col("__key").eqNullSafe(F.col("k")), "left_semi")
+    return out.union(found.dropDuplicates(["__key", "__fp"]).drop("__key", "__fp"))

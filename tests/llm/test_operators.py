@@ -152,6 +152,17 @@ def test_simhash_against_all_pairs(spark):
     assert simhash.simhash_classes(docs.limit(0)).count() == 0
 
 
+def test_representatives_of_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    a, b, c, d, e, f = (" ".join(rng.choice(list("abcdefgh"), 60)) for _ in range(6))
+    rows = [(None, a), (None, a), (None, b), (7, c), (None, c), (7, d), (5, e), (6, e), (6, f), (None, f), (3, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, n, 0) for n, (i, t) in enumerate(rows)], DOCS)
+    kept = simhash.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (None, b), (7, c), (7, d), (5, e), (6, f), (3, None)], key=str)
+
+
 def test_multi_index_loses_no_link():
     rng = np.random.default_rng(4)
     for _ in range(300):

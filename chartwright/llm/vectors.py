@@ -58,31 +58,35 @@ def _matrix(column) -> np.ndarray:
 
 
 def _compare(vec: np.ndarray, rep: np.ndarray, weight: np.ndarray, home: np.ndarray, threshold: float):
-    """Links of the home rows among all rows of a cell: (home reps, linked weight, links a, links b)."""
+    """Links of a block of home rows with a block of a cell's rows: (home reps, linked weight, links a, links b)."""
     order = np.argsort(~home, kind="stable")
     vec, rep, weight, n = vec[order], rep[order], weight[order], int(home.sum())
     parent, found = np.arange(len(rep)), np.zeros(n, np.int64)
-    step = max(1, BLOCK // len(rep))
+    rough, rest = vec.astype(np.float32), max(1, len(rep) - n)
+    step = max(1, BLOCK // rest)
     for at in range(0, n, step):
-        i, j = np.nonzero(vec[at : at + step][:n - at] @ vec.T >= threshold)
-        i = i + at
-        other = i != j
-        i, j = i[other], j[other]
-        found += np.bincount(i, weights=weight[j], minlength=n).astype(np.int64)[:n]
-        parent = union_roots(parent, i, j)
+        i, j = np.nonzero(rough[at : at + step][:n - at] @ rough[n:].T >= threshold - 1e-4)  # far above what float32 is off
+        i, j = i + at, j + n
+        for a in range(0, len(i), 1 << 14):
+            x, y = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
+            near = (np.einsum("ij,ij->i", vec[x], vec[y]) >= threshold) & (rep[x] != rep[y])
+            x, y = x[near], y[near]
+            found += np.bincount(x, weights=weight[y], minlength=n).astype(np.int64)[:n]
+            parent = union_roots(parent, x, y)
     linked = np.flatnonzero(parent != np.arange(len(rep)))
     return rep[:n], found, rep[linked], rep[parent[linked]]
 
 
-def vector_links(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 1000, max_cells: int = 1024, sample_rows: int = 8192, spread: float | None = 3.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def vector_links(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 1000, max_cells: int = 1024, sample_rows: int = 8192, spread: float | None = 3.0, block_rows: int = 4000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) for every row; links are pairs of cosine >= threshold, none below.
 
     Equal vectors are one weighted node from the start. Centroids are fitted on at most sample_rows distinct
     vectors; every vector has a home cell and is a guest in each further cell whose boundary is within
     `spread` standard deviations of what a linked neighbour can lie off, in the data's effective dimension
     (None: within the furthest it can lie, which loses no link but copies more). A row's links are counted
-    in its home cell, against all homes and guests there. Cells whose homes pass 4 x cell_rows are dealt out
-    in blocks of home rows, each with all of the cell. Vectors of different lengths never link.
+    in its home cell, against all homes and guests there. A cell is dealt out in pairs of a block of about
+    block_rows homes and one of about 4 x block_rows of all its rows, so that what a task holds is bounded.
+    Vectors of different lengths never link.
     Rows that can't link have n_links 0 and are their own component. An id must not stand for two rows;
     null ids are returned with a null component.
     """
@@ -130,11 +134,16 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 10
 
     n = partitions(spark)
     placed = materialize(nodes.select("vec", "rep", "weight").mapInArrow(place, "cell long, home boolean, rep long, weight long, vec array<double>"), "placed")
-    blocks = placed.groupBy("cell").agg(F.ceil(F.count_if("home") / (4 * cell_rows)).cast("int").alias("blocks"))  # max_cells rows and a few
-    dealt = placed.join(F.broadcast(blocks), "cell").where("blocks > 0")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = dealt.select("cell", "rep", "weight", "vec", own.alias("own"), "home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    dealt = dealt.select("cell", "block", (F.col("home") & (F.col("own") == F.col("block"))).alias("home"), "rep", "weight", "vec")
+    blocks = placed.groupBy("cell").agg(F.ceil(F.count_if("home") / block_rows).cast("int").alias("homes"), F.ceil(F.count("*") / (4 * block_rows)).cast("int").alias("alls"))  # max_cells rows and a few
+    dealt = placed.join(F.broadcast(blocks), "cell").where("homes > 0")
+    h, g = F.pmod(F.xxhash64("rep"), F.col("homes")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("alls")).cast("int")
+    one, other = F.sequence(F.lit(0), F.col("homes") - 1), F.sequence(F.lit(0), F.col("alls") - 1)
+    pairs = F.concat(
+        F.transform(one, lambda x: F.struct(F.lit(False).alias("home"), x.alias("h"), g.alias("g"))),
+        F.when(F.col("home"), F.transform(other, lambda x: F.struct(F.lit(True).alias("home"), h.alias("h"), x.alias("g")))).otherwise(F.array().cast("array<struct<home:boolean,h:int,g:int>>")),
+    )
+    dealt = dealt.select("cell", "rep", "weight", "vec", F.explode(pairs).alias("at"))
+    dealt = dealt.select("cell", (F.col("at.h").cast("long") * (1 << 31) + F.col("at.g")).alias("block"), F.col("at.home").alias("home"), "rep", "weight", "vec")
 
     def compare(batches):
         """(a, b, linked): linked weight of a home row (b null), or a link (linked null)."""

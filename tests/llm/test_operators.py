@@ -1,5 +1,6 @@
 """Training-data operators against brute force on small tables, and on nulls, empties, ties, repeats and extra columns."""
 
+import uuid
 import zlib
 from collections import Counter
 
@@ -203,6 +204,26 @@ def test_vectors_against_all_pairs(spark):
     assert vectors.vector_links(df.where("vec_id = 1000")).count() == 1
 
 
+def test_dense_cell_is_dealt_on_both_sides(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.standard_normal((200, 8)), np.ones(8) + 0.2 * rng.standard_normal((200, 8))])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9) & ~np.eye(400, dtype=bool)
+    root = classes_of(range(400), list(zip(*np.nonzero(near))))
+    real = vectors._compare
+
+    def noted(vec, rep, *rest):
+        (tmp_path / f"{len(rep)}-{uuid.uuid4().hex}").touch()
+        return real(vec, rep, *rest)
+
+    monkeypatch.setattr(vectors, "_compare", noted)  # goes to the workers with the function that calls it
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r["id"]: r for r in vectors.vector_links(df, spread=None, block_rows=20).collect()}
+    held = [int(x.name.split("-")[0]) for x in tmp_path.iterdir()]
+    assert len(held) >= 100 and max(held) < 200
+    assert [got[i]["n_links"] for i in range(400)] == near.sum(1).tolist() and all(got[i]["component_id"] == root[i] for i in root)
+
+
 def plain_distance(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):

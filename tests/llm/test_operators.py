@@ -224,6 +224,24 @@ def test_dense_cell_is_dealt_on_both_sides(spark, tmp_path, monkeypatch):
     assert [got[i]["n_links"] for i in range(400)] == near.sum(1).tolist() and all(got[i]["component_id"] == root[i] for i in root)
 
 
+@pytest.mark.parametrize("cell_rows", [None, 1000])
+def test_pairs_across_a_cell_boundary(spark, tmp_path, cell_rows):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((1500, 64)) / 8
+    v[:, 0] += np.where(np.arange(1500) % 2, 0.3, -0.3)
+    pairs = rng.standard_normal((60, 64)) / 8
+    pairs[:, 0] = 0
+    pairs *= np.sqrt(1 - 0.22**2) / np.linalg.norm(pairs, axis=1, keepdims=True)
+    v = np.concatenate([v, pairs + 0.22 * np.eye(64)[0], pairs - 0.22 * np.eye(64)[0]])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.op7_vectors(spark, str(tmp_path)) if cell_rows is None else vectors.vector_links(df, cell_rows=cell_rows, spread=None).withColumnRenamed("id", "vec_id")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    links = {r["vec_id"]: r["n_links"] for r in got.collect()}
+    assert near.sum() >= 120 and [links[i] for i in range(len(u))] == near.sum(1).tolist()
+
+
 def plain_distance(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):

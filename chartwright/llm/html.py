@@ -27,26 +27,36 @@ SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 # Elements and names that aren't article text.
 APART = frozenset("head title nav footer aside form button select textarea input script style noscript template iframe svg canvas object menu dialog xmp noembed noframes audio video map datalist".split())
 APART_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar form toolbar".split())
-APART_WORDS = re.compile(
-    r"""(?:^|[-_\s])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adbox|adsense|banner|sponsor|sponsored|promo|promotion|promoted|
-    nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|pagination|pager|sidebar|side|aside|rail|widget|widgets|
-    footer|foot|site-header|masthead|topbar|toolbar|header|comment|comments|commentlist|disqus|replies|reply|respond|responses|discussion|
-    cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|
-    share|sharing|social|related|recommended|recommendations|more-stories|outbrain|taboola|copyright|legal|disclaimer|skip|hidden|search|form)(?:$|[-_\s])""",
-    re.I | re.X,
+# Matched in a name's parts between hyphens only if all of its other parts are such words or plain ones of layout.
+APART_WORDS = frozenset(
+    """ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar
+    breadcrumb breadcrumbs pagination pager sidebar side aside rail widget widgets footer foot site-header masthead topbar toolbar header comment comments
+    commentlist disqus replies reply respond responses discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter
+    subscribe subscription signup login share sharing social related recommended recommendations more-stories outbrain taboola copyright legal disclaimer
+    skip hidden search form""".split()
 )
+PLAIN_WORDS = frozenset("area bar block box cell container content feed group inner item items left list main outer page panel post posts right section site slot top bottom unit wrap wrapper".split())
+# Only these are left out for their names; headings and inline elements name a topic, not a part of the page.
+CONTAINERS = frozenset("div section ul ol dl table td header details figure p fieldset center".split())
 #: Share of the best path's score that makes a path content.
 SHARE = 0.25
 
 
 class _Node:
-    __slots__ = ("apart", "label", "path", "tag")
+    __slots__ = ("apart", "label", "named", "path", "tag")
 
-    def __init__(self, tag: str, label: str, path: tuple[str, ...], apart: bool):
-        self.tag, self.label, self.path, self.apart = tag, label, path, apart
+    def __init__(self, tag: str, label: str, path: tuple[str, ...], apart: bool, named: int | None):
+        self.tag, self.label, self.path, self.apart, self.named = tag, label, path, apart, named
 
 
-def _opened(tag: str, attributes: str, above: _Node | None) -> _Node:
+def _names_apart(name: str) -> bool:
+    """Whether a whole class or id stands for something else than the article, as sidebar-left, but not has-sidebar."""
+    name = name.lower()
+    parts = [x for x in re.split("[-_]+", name) if x]
+    return name in APART_WORDS or (any(x in APART_WORDS for x in parts) and all(x in APART_WORDS or x in PLAIN_WORDS for x in parts))
+
+
+def _opened(tag: str, attributes: str, above: _Node | None, at: int, spared: frozenset[int]) -> _Node:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
     names = f"{found.get('class', '')} {found.get('id', '')}".strip()
     in_article = above is not None and any(x.startswith(("article", "main")) for x in above.path)
@@ -57,14 +67,34 @@ def _opened(tag: str, attributes: str, above: _Node | None) -> _Node:
         or found.get("role", "").lower() in APART_ROLES
         or ("hidden" in found and tag != "input")
         or found.get("aria-hidden", "").lower() == "true"
-        or (bool(names) and tag not in ("html", "body", "article", "main") and any(APART_WORDS.search(x) for x in names.split()))
     )
+    named = above.named if above is not None else None
+    if named is None and names and tag in CONTAINERS and at not in spared and any(_names_apart(x) for x in names.split()):
+        named = at
     label = f"{tag}.{names}" if names else tag
-    return _Node(tag, label, (*(above.path if above else ()), label), apart)
+    return _Node(tag, label, (*(above.path if above else ()), label), apart, named)
 
 
 def text_blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
-    """[(tag path of the block, its text)] in page order, without the parts that are marked as no article text."""
+    """[(tag path of the block, its text)] in page order, without the parts that are marked as no article text.
+
+    An element that is left out for its name alone comes back if more text lies below it than in all the rest,
+    unless the rest has an article of its own.
+    """
+    spared: frozenset[int] = frozenset()
+    while True:
+        blocks, named = _blocks(page, spared)
+        most = max(named, key=named.get, default=None)
+        if most is None or 2 * named[most] <= sum(named.values()) + sum(len(t) for _, t in blocks):
+            return blocks
+        if any(x.split(".")[0] in ("article", "main") for p, _ in blocks for x in p):
+            return blocks
+        spared |= {most}
+
+
+def _blocks(page: str, spared: frozenset[int]) -> tuple[list[tuple[tuple[str, ...], str]], dict[int, int]]:
+    """text_blocks() with these elements spared, by where they start, and the text length below each other named one."""
+    left_out: dict[int, int] = {}
     stack: list[_Node] = []
     blocks: list[tuple[tuple[str, ...], str]] = []
     pending: list[str] = []
@@ -78,7 +108,9 @@ def text_blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
 
     def add(text: str):
         nonlocal place
-        if text and not (stack and stack[-1].apart):
+        if text and stack and not stack[-1].apart and stack[-1].named is not None:
+            left_out[stack[-1].named] = left_out.get(stack[-1].named, 0) + len(text.strip())
+        elif text and not (stack and stack[-1].apart):
             if not pending:
                 block = [x for x in stack if x.tag not in INLINE]
                 place = block[-1].path if block else ()
@@ -110,7 +142,7 @@ def text_blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
                 del stack[depth:]
         if tag in VOID:
             continue
-        node = _opened(tag, attributes, stack[-1] if stack else None)
+        node = _opened(tag, attributes, stack[-1] if stack else None, m.start(), spared)
         if attributes.rstrip().endswith("/") and tag in ("svg", "path", "use"):
             continue
         if tag in RAW:
@@ -123,7 +155,7 @@ def text_blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
     rest = page[at:]
     add(rest if "<" not in rest else re.sub(r"<[a-zA-Z/][^>]*\Z", "", rest))
     flush()
-    return blocks
+    return blocks, left_out
 
 
 def _smooth(values: list[float]) -> list[float]:

@@ -355,6 +355,21 @@ def test_main_text():
     assert html.main_text("<p>plain <i>in</i>line &#233;") == "plain inline é"
 
 
+def test_names_of_topics_and_layout_stay():
+    text = "One, two. Three, four, five."
+    for page in (
+        f"<body><article><h2 id='search'>About search</h2><p>{text}</p></article></body>",
+        f"<body><article><section id='form-and-function'><h2 id='legal-basis'>About search</h2><p>{text}</p></section></article></body>",
+        f"<body><article><header class='article-header'><h1>About search</h1></header><p>{text}</p></article></body>",
+        f"<body><div class='content no-sidebar'><div><h1>About search</h1><p>{text}</p></div><div class='sidebar-left'>Links</div></div></body>",
+        f"<body><div class='widget'><div><h1>About search</h1><p>{text}</p></div></div><div class='ad'>Buy</div></body>",
+    ):
+        assert html.main_text(page).endswith(text) and "Buy" not in html.main_text(page) and "Links" not in html.main_text(page)
+        assert html.main_text(page).startswith("About search") or "<article" not in page
+    long = "Nice, really. " * 40
+    assert html.main_text(f"<body><article><p>{text}</p><div class='comments-list'>{long}</div></article></body>") == text
+
+
 def test_language_model(spark):
     docs = documents(spark)
     rows = {r["doc_id"]: lm.text_words((r["text"] or "").encode()) for r in docs.collect()}

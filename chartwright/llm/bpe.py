@@ -55,11 +55,18 @@ class _Words(dict):
 
 
 class Encoder:
-    """Texts to unsigned 32-bit ids. Special-token strings in a text are ordinary text."""
+    """Texts to unsigned 32-bit ids, those of the library's encode(text, add_special_tokens=False).
+
+    A text that holds the string of an added token goes to that encode as a whole, as the library cuts such
+    strings out before anything else.
+    """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.words = _Words(path)
+        self.words, self.tokenizer = _Words(path), Tokenizer.from_file(path)
+        self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
 
     @staticmethod
     def open(path: str) -> Encoder:
@@ -96,14 +103,22 @@ class Encoder:
         n = len(texts)
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         uneven = pc.match_substring_regex(texts, UNEVEN)
+        special = pa.repeat(pa.scalar(False), n)
+        for content in self.added:
+            special = pc.or_(special, pc.match_substring(texts, content))
+        uneven = pc.or_(uneven, special)
         pieces = pc.split_pattern(pc.if_else(uneven, "", texts), " ")
         ends = pieces.offsets.to_numpy()
         coded = pieces.flatten().dictionary_encode()
         place, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         table = [self.encode(x, " ") if x else b"" for x in names]
         first = place[ends[:-1]]
+        whole = special.to_pylist()
         for i, odd in enumerate(uneven.to_pylist()):  # a text's first piece has no blank before it
-            table.append(self.encode(texts[i].as_py() if odd else names[first[i]]))
+            if whole[i]:
+                table.append(np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                table.append(self.encode(texts[i].as_py() if odd else names[first[i]]))
         table.append(b"" if end_id is None else int(end_id).to_bytes(4, "little"))
         width = np.fromiter(map(len, table), np.int64, len(table)) // 4
         begin, flat = np.cumsum(width) - width, np.frombuffer(b"".join(table), "<u4")

@@ -15,10 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartwright.llm.common import materialize
-
-#: Rows ranked in one window group at most, on average.
-GROUP_ROWS = 20_000
+from chartwright.llm.common import discard, materialize, new_path, partitions
+from chartwright.llm.tokens import Ranker, encode_documents
 
 
 def fullest_multiset(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -119,71 +117,114 @@ class Layout:
         raise AssertionError("past the end of the line")
 
 
-def pack(lengths: DataFrame, capacity: int = 1024, key: str = "row_id", length_col: str = "n_tokens") -> DataFrame:
-    """(key, start, length, sequence_id, offset): the pieces of every row with at least one token.
-
-    Each token lies in one piece, and offsets in a sequence are gapless from 0. Sequences hold exactly
-    `capacity` tokens except at most log2(capacity) last ones, whose sizes are powers of two. Keys must be
-    unique; rows with a null or zero length have no piece. Empty input: no rows. Other columns are ignored.
+def _plan(ranked: DataFrame, capacity: int) -> tuple[Layout, str]:
+    """(layout of all remains, folder with one small file for each task of the ranked() table).
 
-    Ranks within a length class come from two sums, one over (class, group) counts and one inside a group
-    of about GROUP_ROWS rows, so one length that a third of all rows have is ranked in many tasks.
+    A task's file says how many remains of each length class and how many whole windows lie in the tasks
+    before it: capacity numbers at most. Classes are summed over tasks, one window group a class.
     """
-    spark = lengths.sparkSession
-    rows = lengths.select(F.col(key).alias("k"), F.col(length_col).cast("long").alias("n")).where("n > 0")
-    total = rows.count()
-    groups = max(1, -(-total // GROUP_ROWS))
-    rows = rows.select("k", "n", F.floor(F.col("n") / capacity).cast("long").alias("full"), (F.col("n") % capacity).alias("rest"), F.pmod(F.xxhash64("k"), F.lit(groups)).alias("g"))
-    sizes = materialize(rows.groupBy("rest", "g").agg(F.count("*").alias("c"), F.sum("full").alias("f")), "sizes")
+    spark = ranked.sparkSession
+    rows = ranked.where("n_tokens > 0").select("task", (F.col("n_tokens") % capacity).alias("rest"), F.floor(F.col("n_tokens") / capacity).cast("long").alias("full"))
+    sizes = materialize(rows.groupBy("task", "rest").agg(F.count("*").alias("c"), F.sum("full").alias("f")), "sizes")
     counts = {r["rest"]: r["c"] for r in sizes.where("rest > 0").groupBy("rest").agg(F.sum("c").alias("c")).collect()}  # capacity - 1 rows at most
-    layout = Layout(counts, capacity)
-    by_class = Window.partitionBy("rest").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("rest", "g", F.coalesce(F.sum("c").over(by_class), F.lit(0)).alias("rank0"), F.coalesce(F.sum("f").over(by_class), F.lit(0)).alias("full0"))
-    classes = sizes.groupBy("rest").agg(F.sum("f").alias("f"))
-    classes = classes.select("rest", F.coalesce(F.sum("f").over(Window.orderBy("rest").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("class0"))
-    before = before.join(F.broadcast(classes), "rest").select("rest", "g", "rank0", (F.col("full0") + F.col("class0")).alias("full0"))
-    inner = Window.partitionBy("rest", "g").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        rows.withColumns({"r": F.count("*").over(inner), "f": F.coalesce(F.sum("full").over(inner), F.lit(0))})
-        .join(before, ["rest", "g"])
-        .select("k", "full", "rest", (F.col("r") + F.col("rank0")).alias("rank"), (F.col("f") + F.col("full0")).alias("full_before"))
-    )
-    plan = spark.sparkContext.broadcast(layout)
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    by_class = earlier.partitionBy("rest").orderBy("task")
+    ranks = sizes.select("task", "rest", F.coalesce(F.sum("c").over(by_class), F.lit(0)).alias("rank0"))
+    ranks = ranks.groupBy("task").agg(F.collect_list(F.struct("rest", "rank0")).alias("rests"))
+    fulls = sizes.groupBy("task").agg(F.sum("f").alias("f"))  # one row a task
+    fulls = fulls.select("task", F.coalesce(F.sum("f").over(earlier.orderBy("task")), F.lit(0)).alias("full0"))
+    path = new_path(spark, "ranks")
+    fulls.join(ranks, "task").repartition(partitions(spark), "task").write.partitionBy("task").parquet(path)
+    discard(sizes)
+    return Layout(counts, capacity), path
+
+
+def place(ranked: DataFrame, capacity: int, keep: str, ids: bool = False) -> DataFrame:
+    """(keep, start, length[, ids], n_tokens, sequence_id, offset): the pieces of every row, where the row lies.
+
+    ranked: a materialized table with task, n_tokens, rank and full_before as tokens.encode_documents() makes
+    them. No row moves: a row's rank among all remains of its length is its rank in its task plus the task's
+    own base, which is read from the shared folder, a small file a task.
+    """
+    layout, path = _plan(ranked, capacity)
+    plan = ranked.sparkSession.sparkContext.broadcast(layout)
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
 
-        layout = plan.value
+        layout, now = plan.value, None
+        store, root = fs.FileSystem.from_uri(path)
         for batch in batches:
-            k, full, rest, rank, before = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            own = np.repeat(np.arange(len(k)), full)
+            task, n, rank, before = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
+            full, rest = n // capacity, n % capacity
+            rank, before = rank.copy(), before.copy()
+            starts = np.flatnonzero(np.diff(task, prepend=task[:1] - 1))
+            for at, to in zip(starts, [*starts[1:], len(task)], strict=True):
+                if now is None or now[0] != task[at]:
+                    row = pq.ParquetDataset(f"{root}/task={task[at]}", filesystem=store).read(columns=["full0", "rests"]).to_pylist()[0]
+                    base = np.zeros(capacity, np.int64)
+                    for r in row["rests"]:
+                        base[r["rest"]] = r["rank0"]
+                    now = (task[at], row["full0"], base)
+                before[at:to] += now[1]
+                rank[at:to] += now[2][rest[at:to]]
+            own = np.repeat(np.arange(len(n)), full)
             nth = np.arange(len(own)) - np.repeat(np.cumsum(full) - full, full)
-            pieces: Iterable = [(i, int(full[i]) * capacity + s, n, q, o) for i in np.flatnonzero(rest) for s, n, q, o in layout.place(int(rest[i]), int(rank[i]))]
+            pieces: Iterable = [(i, *p) for i in np.flatnonzero(rest) for p in layout.place(int(rest[i]), int(rank[i]))]
             cut = np.array(list(pieces), np.int64).reshape(-1, 5)
             at = np.concatenate([own, cut[:, 0]])
-            yield pa.record_batch(
-                [
-                    pa.array(k[at]),
-                    pa.array(np.concatenate([nth * capacity, cut[:, 1]])),
-                    pa.array(np.concatenate([np.full(len(own), capacity), cut[:, 2]])),
-                    pa.array(np.concatenate([layout.sequences + before[own] + nth, cut[:, 3]])),
-                    pa.array(np.concatenate([np.zeros(len(own), np.int64), cut[:, 4]])),
-                ],
-                names=[key, "start", "length", "sequence_id", "offset"],
-            )
+            start = np.concatenate([nth * capacity, full[cut[:, 0]] * capacity + cut[:, 1]])
+            length = np.concatenate([np.full(len(own), capacity), cut[:, 2]])
+            columns = {keep: batch.column(0).take(pa.array(at)), "start": pa.array(start), "length": pa.array(length)}
+            if ids:
+                data = batch.column(5).cast(pa.large_binary())
+                flat = np.frombuffer(data.buffers()[2] or b"", np.uint8)
+                begin = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data)][at] + start * 4
+                columns["ids"] = pa.array([flat[a : a + 4 * k].tobytes() for a, k in zip(begin.tolist(), length.tolist(), strict=True)], pa.binary())
+            columns["doc_tokens"] = pa.array(n[at])
+            columns["sequence_id"] = pa.array(np.concatenate([layout.sequences + before[own] + nth, cut[:, 3]]))
+            columns["offset"] = pa.array(np.concatenate([np.zeros(len(own), np.int64), cut[:, 4]]))
+            yield pa.record_batch(list(columns.values()), names=list(columns))
+
+    columns = [F.col(keep).cast("long").alias(keep), "task", F.col("n_tokens").cast("long"), "rank", "full_before", *(["ids"] if ids else [])]
+    schema = f"`{keep}` long, start long, length long, {'ids binary, ' if ids else ''}doc_tokens long, sequence_id long, offset long"
+    return ranked.where("n_tokens > 0").select(*columns).mapInArrow(run, schema)
+
+
+def pack(lengths: DataFrame, capacity: int = 1024, key: str = "row_id", length_col: str = "n_tokens") -> DataFrame:
+    """(key, start, length, sequence_id, offset): the pieces of every row with at least one token.
+
+    Each token lies in one piece, and offsets in a sequence are gapless from 0. Sequences hold exactly
+    `capacity` tokens except at most log2(capacity) last ones, whose sizes are powers of two. Rows with a null
+    or zero length have no piece; null and repeated keys stay as they are. Empty input: no rows. Other columns
+    are ignored.
+
+    Rows are ranked within their length class in the tasks that hold them, so one length that a third of all
+    rows have is ranked in many tasks.
+    """
+    rows = lengths.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("n_tokens"))
+
+    def rank(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, ranker = TaskContext.get().partitionId(), Ranker(capacity)
+        for batch in batches:
+            ranks, before = ranker(batch.column(1).to_numpy())
+            yield pa.record_batch([batch.column(0), pa.array(np.full(len(ranks), task)), batch.column(1), pa.array(ranks), pa.array(before)], names=["k", "task", "n_tokens", "rank", "full_before"])
 
-    return ranked.mapInArrow(run, f"{key} long, start long, length long, sequence_id long, offset long")
+    ranked = materialize(rows.mapInArrow(rank, "k long, task long, n_tokens long, rank long, full_before long"), "ranked")
+    pieces = place(ranked, capacity, "k")
+    return pieces.select(F.col("k").alias(key), "start", "length", "sequence_id", "offset")
 
 
-def packed_pieces(encoded: DataFrame, capacity: int = 1024) -> DataFrame:
-    """The pieces of a materialized encode_documents() table with their ids, as little-endian 32-bit binary.
+def packed_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): every text's pieces with their ids.
 
-    (doc_id, start, length, ids, doc_tokens, sequence_id, offset). The table is joined to its pieces by row_id.
+    ids are little-endian 32-bit. Texts are encoded once, and ids are cut where the encoder left them. A null
+    text is empty and holds its end only; null and repeated ids stay as they are. Empty input: no rows.
     """
-    pieces = pack(encoded, capacity).groupBy("row_id").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("p"))
-    cut = "transform(p, x -> struct(x.start, x.length, x.sequence_id, x.offset, substring(ids, cast(x.start * 4 + 1 as int), cast(x.length * 4 as int)) as ids))"
-    return (
-        encoded.join(pieces, "row_id")
-        .select("doc_id", "n_tokens", F.explode(F.expr(cut)).alias("p"))
-        .select("doc_id", "p.start", "p.length", "p.ids", F.col("n_tokens").alias("doc_tokens"), "p.sequence_id", "p.offset")
-    )
+    encoded = materialize(encode_documents(docs, vocabulary, end_id, capacity, id_col, text_col), "encoded")
+    return place(encoded, capacity, "doc_id", ids=True)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartwright.llm import decontaminate, html, lm, packing, quality, records, simhash, tokens, toxicity, vectors
-from chartwright.llm.common import materialize, read_table
+from chartwright.llm.common import read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,8 +24,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_digest(docs: DataFrame) -> DataFrame:
-    encoded = materialize(tokens.encode_documents(docs, VOCABULARY), "encoded")
-    pieces = packing.packed_pieces(encoded, 1024)
+    """The pieces of packed_pieces() with their ids' checksum; cases as there."""
+    pieces = packing.packed_pieces(docs, VOCABULARY, 1024)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

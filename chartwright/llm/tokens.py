@@ -12,11 +12,31 @@ from chartwright.llm.common import materialize
 SPAN = 1024
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_id, doc_id, n_tokens, ids) for every row; ids are little-endian unsigned 32-bit, end_id last.
-
-    Null text counts as empty, a null id stays null, repeated rows are encoded one by one. row_id tells the
-    rows apart and holds the task that made it, so materialize() the result before using row_id twice.
+class Ranker:
+    """Numbers a task's sequences of n tokens for packing into windows of `capacity`, batch after batch."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.seen, self.full = capacity, np.zeros(capacity, np.int64), 0
+
+    def __call__(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank among the task's sequences with the same n mod capacity, whole windows in those before it)."""
+        rest, full = n % self.capacity, n // self.capacity
+        order = np.argsort(rest, kind="stable")
+        ranked = rest[order]
+        rank = np.empty(len(n), np.int64)
+        rank[order] = np.arange(len(n)) - np.searchsorted(ranked, ranked) + self.seen[ranked]
+        before = self.full + np.cumsum(full) - full
+        self.seen += np.bincount(rest, minlength=self.capacity)
+        self.full += int(full.sum())
+        return rank, before
+
+
+def encode_documents(docs: DataFrame, vocabulary: str, end_id: int | None = 0, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(task, doc_id, n_tokens, rank, full_before, ids) for every row; ids are little-endian unsigned 32-bit, end_id last.
+
+    task, rank and full_before number the rows within the task that encoded them, as packing.place() needs
+    them for windows of `capacity`; materialize() the result before using them. Null text counts as empty, a
+    null id stays null, repeated rows are encoded one by one. Empty input: no rows. Other columns are ignored.
     """
 
     def run(batches):
@@ -25,21 +45,20 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int | None = 0, i
 
         from chartwright.llm.bpe import Encoder
 
-        encoder, row = Encoder.open(vocabulary), TaskContext.get().partitionId() << 36
+        encoder, task, ranker = Encoder.open(vocabulary), TaskContext.get().partitionId(), Ranker(capacity)
         for batch in batches:
-            n = batch.num_rows
-            for at in range(0, n, 4000):
+            for at in range(0, batch.num_rows, 4000):
                 part = batch.slice(at, 4000)
                 ids, bounds = encoder.encode_batch(part.column(1), end_id)
                 data = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(bounds * 4), pa.py_buffer(ids)])
+                rank, before = ranker(np.diff(bounds))
                 yield pa.record_batch(
-                    [pa.array(np.arange(row, row + part.num_rows)), part.column(0), pa.array(np.diff(bounds)), data.cast(pa.binary())],
-                    names=["row_id", "doc_id", "n_tokens", "ids"],
+                    [pa.array(np.full(part.num_rows, task)), part.column(0), pa.array(np.diff(bounds)), pa.array(rank), pa.array(before), data.cast(pa.binary())],
+                    names=["task", "doc_id", "n_tokens", "rank", "full_before", "ids"],
                 )
-                row += part.num_rows
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "row_id long, doc_id long, n_tokens long, ids binary")
+    return rows.mapInArrow(run, "task long, doc_id long, n_tokens long, rank long, full_before long, ids binary")
 
 
 def encoded_lengths(docs: DataFrame, vocabulary: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

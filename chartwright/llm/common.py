@@ -76,3 +76,19 @@ def sample_by_hash(df: DataFrame, key: str, bound: int) -> DataFrame:
     if n > 4 * bound:
         df = df.where(h < int(-(1 << 63) + (1 << 64) * 2 * bound // n))
     return df.orderBy(h, F.col(key)).limit(bound)
+
+
+def join_by_size(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, share: float = 0.001) -> DataFrame:
+    """`rows` left-joined to `table` (distinct keys, `count` rows of each in `rows`) on `key`, without `count`.
+
+    Keys that more than `share` of all `total` rows have, 1 / share of them at most, are joined by broadcast,
+    so no task gathers the rows of one; the others are shuffled. Null keys join nothing and stay where they are.
+    """
+    heavy, light = table.where(F.col(count) > total * share).drop(count), table.where(F.col(count) <= total * share).drop(count)
+    added = [c for c in light.columns if c != key]
+    hot = F.broadcast(heavy.withColumn("hot_", F.lit(True)))
+    marked = rows.where(F.col(key).isNotNull()).join(hot, key, "left")
+    done = marked.where("hot_").drop("hot_").select(*rows.columns, *added)
+    rest = marked.where("hot_ is null").select(*rows.columns).join(light, key, "left").select(*rows.columns, *added)
+    none = rows.where(F.col(key).isNull()).select(*rows.columns, *[F.lit(None).cast(light.schema[c].dataType).alias(c) for c in added])
+    return done.unionByName(rest).unionByName(none)

@@ -1,9 +1,9 @@
 """Importance resampling by hashed n-gram models and Gumbel top-k (operator 10).
 
-Two bag-of-n-grams models over hashed buckets, of target documents and of all documents; a document's
-importance weight is their ratio, and the sample is the k documents of largest log weight plus Gumbel noise.
-Log ratios are averaged over a document's n-grams and multiplied by a fixed number of n-grams: summed as they
-are, a bucket's estimation error would grow with length and outweigh everything else in long documents.
+Two bag-of-n-grams models over hashed buckets, of target documents and of all documents. A document's log
+importance weight is the log of the ratio of its probabilities under both, the sum of its n-grams' log ratios.
+The sample is the k documents of largest log weight plus standard Gumbel noise, which draws k documents one
+after another without replacement, each with a probability in proportion to its weight.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from chartwright.llm.common import discard, materialize, sample_by_hash
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 10_000
-#: n-grams that every document's mean log ratio is scaled to.
-SCALE = 100.0
 #: Labelled rows used at most, those whose id hashes lowest.
 SAMPLE_ROWS = 20_000
 _MEMORY = 500_000
@@ -78,41 +76,26 @@ def log_weight(df: DataFrame, ratios: np.ndarray, text_col: str = "text") -> Col
 
     shared = df.sparkSession.sparkContext.broadcast(ratios)
 
-    def one(text):
-        found = ngram_buckets(text)
-        return SCALE * float(shared.value[found].mean()) if len(found) else 0.0
-
     def run(batches):
         for texts in batches:
-            yield pd.Series([one(t) for t in texts], dtype=float)
+            yield pd.Series([float(shared.value[ngram_buckets(t)].sum()) for t in texts], dtype=float)
 
     run.__annotations__ = {}
     return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(F.col(text_col).cast("string"))
 
 
-def gumbel(key: Column, seed: int = 42) -> Column:
-    """Standard Gumbel noise that a row's key decides."""
+def gumbel(key: Column, seed: int | Column = 42) -> Column:
+    """Standard Gumbel noise that a row's key and the seed decide."""
     u = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return -F.log(-F.log(u))
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label) of at most `bound` rows labelled with a quality."""
+    """(text, label) of at most `bound` ids labelled with a quality; the least text and label of a repeated id."""
     sample = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("k"), F.col("quality").cast("int").alias("label"))
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(F.broadcast(sample_by_hash(sample, "k", bound)), "k").select("text", "label")
-
-
-def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
-    """The weight that parts good from other labelled rows best, in the middle of the gap there; -inf if none are other."""
-    if good.all() or not good.any():
-        return -np.inf
-    order = np.argsort(scores, kind="stable")
-    s, g = scores[order], good[order]
-    rate = np.cumsum(~g) / (~g).sum() - np.cumsum(g) / g.sum()  # if everything up to here is rejected
-    rate[:-1][s[:-1] == s[1:]] = -np.inf
-    at = int(rate.argmax())
-    return float((s[at] + s[at + 1]) / 2) if at + 1 < len(s) else np.inf
+    known = rows.join(F.broadcast(sample_by_hash(sample, "k", bound)), "k").groupBy("k").agg(F.min(F.struct("text", "label")).alias("x"))
+    return known.select("x.text", "x.label")
 
 
 def kth_largest(keys: DataFrame, col: str, k: int) -> float:
@@ -138,49 +121,56 @@ def kth_largest(keys: DataFrame, col: str, k: int) -> float:
 
 
 class Resampler:
-    """Log ratios of the two models, and the weight that parts target from other labelled documents."""
+    """Log ratios of the two models, and the share of target documents among the labelled ones."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS):
         """Raw counts are over all documents, target counts over a bounded sample of those labelled good."""
         known = materialize(labelled_texts(docs, labels, bound), "labelled")
         target = bucket_counts(known.where("label = 1"))
         self.ratios = log_ratios(target, bucket_counts(docs)) if target.sum() else np.zeros(BUCKETS)
-        rows = known.select("label", log_weight(known, self.ratios).alias("w")).collect()  # bound rows at most
-        self.cut = best_cut(np.array([r["w"] for r in rows], float), np.array([r["label"] == 1 for r in rows], bool))
+        self.good, self.labelled = known.agg(F.count_if(F.col("label") == 1), F.count("*")).first()
         discard(known)
 
-    def weighed(self, docs: DataFrame, columns: list[str], text_col: str = "text") -> tuple[DataFrame, str]:
-        """The named columns and the log weight of every row, written out so that a text is scored once; the
-        weight's column is named so that it clashes with none."""
-        name = "log_weight"
-        while name.lower() in {c.lower() for c in docs.columns}:
-            name += "_"
-        return materialize(docs.select(*[F.col(f"`{c}`") for c in columns], log_weight(docs, self.ratios, text_col).alias(name)), "weighed"), name
+    def target_rows(self, n: int) -> int:
+        """k by default: how many of n documents are target-like by the labelled ones' share, and two standard
+        errors of that share more; all of them if no target document is labelled."""
+        if not self.good:
+            return n
+        share = self.good / self.labelled
+        return min(n, int(np.ceil(n * (share + 2 * np.sqrt(share * (1 - share) / self.labelled)))))
 
-    def threshold(self, rows: DataFrame, weight: str, k: int | None = None, id_col: str = "doc_id") -> float:
-        """The Gumbel top-k's smallest key over weighed() rows. k: by default as many as weigh at least self.cut,
-        the estimated number of target-like documents. Rows that tie with the k-th key are all kept."""
-        if k is None:
-            k = rows.where(F.col(weight) >= float(self.cut)).count()
-        return kth_largest(rows.select((F.col(weight) + gumbel(F.col(id_col))).alias("key")), "key", k)
+    def weight_and_noise(self, docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
+        """(log weight, noise) of a row; its id and its text decide the noise."""
+        return log_weight(docs, self.ratios, text_col), gumbel(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")), seed)
 
+    def least_key(self, keys: DataFrame, k: int | None = None) -> float:
+        """The k-th largest of a column `key`. Rows that tie with it are all kept."""
+        return kth_largest(keys, "key", self.target_rows(keys.count()) if k is None else k)
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
     """(doc_id, log_weight, key, kept): the rows drawn by Gumbel top-k; kept is true.
 
-    Null and empty texts have weight 0; a null id draws noise of its own. Without labelled target documents
-    all weigh the same and, k unset, all are kept. Rows that repeat an id and a text are drawn alike.
+    k is the size of the sample, Resampler.target_rows() by default. Null and empty texts have weight 1 (log 0).
+    Without labelled target documents all weigh the same and, k unset, all are kept. Rows that repeat an id and
+    a text are drawn alike; null ids draw by their text. Empty input: no rows. Other columns are ignored.
     """
     model = Resampler(docs, labels)
-    rows, weight = model.weighed(docs, ["doc_id"])
-    least = model.threshold(rows, weight, k)
-    rows = rows.select("doc_id", F.col(weight).alias("log_weight"), (F.col(weight) + gumbel(F.col("doc_id"))).alias("key"))
-    return rows.where(F.col("key") >= float(least)).withColumn("kept", F.lit(True))
+    weight, noise = model.weight_and_noise(docs, seed)
+    rows = materialize(docs.select("doc_id", weight.alias("log_weight"), (weight + noise).alias("key")), "weighed")
+    return rows.where(F.col("key") >= float(model.least_key(rows, k))).withColumn("kept", F.lit(True))
+
 
+def keep_sampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
+    """The drawn rows with all their columns; cases as in resample().
 
-def keep_sampled(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
-    """The drawn rows with all their columns; cases as in resample()."""
+    Only the keys are written out, 8 bytes a row; a row's key is then computed again where the row lies, from
+    the same text, so that no text is copied.
+    """
     model = Resampler(docs, labels)
-    rows, weight = model.weighed(docs, docs.columns)
-    least = model.threshold(rows, weight, k)
-    return rows.where(F.col(weight) + gumbel(F.col("doc_id")) >= float(least)).drop(weight)
+    weight, noise = model.weight_and_noise(docs, seed)
+    key = weight + noise
+    keys = materialize(docs.select(key.alias("key")), "keys")
+    least = float(model.least_key(keys, k))
+    discard(keys)
+    return docs.where(key >= least)

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartwright.llm.common import materialize, partitions
+from chartwright.llm.common import discard, free_name, join_by_size, materialize, partitions
 from chartwright.llm.graph import connected_components
 
 #: (bit of the lowest place, width, radius of the ball). Radii follow from the threshold: three segments, 4 bits.
@@ -133,19 +133,22 @@ def near_links(distinct: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, fp, component, component_id) for every row; component = smallest fingerprint reachable over links."""
     rows = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     linked = connected_components(near_links(distinct.select("fp", F.col("fp").alias("rep")))).withColumnRenamed("component", "root")
-    reached = materialize(distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("component")), "reached")
+    reached = materialize(distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("component")), "reached")
+    discard(distinct)
     smallest = reached.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = materialize(reached.join(smallest, "component").select("fp", "component", "component_id"), "classes")
-    return rows.join(classes, "fp", "left").select("doc_id", "fp", "component", "component_id")
+    classes = materialize(reached.join(smallest, "component").select("fp", "n", "component", "component_id"), "classes")
+    discard(reached)
+    return join_by_size(rows, classes, "fp", "n", rows.count()).select("doc_id", "fp", "component", "component_id")
 
 
 def simhash_classes(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id = smallest doc_id reachable over links.
 
     Fingerprints are the nodes, so that rows without an id or with a repeated one link like any other. Null ids
-    are never the smallest, and a class of null ids alone has a null component_id. Empty input: no rows.
+    are never the smallest, and a class of null ids alone has a null component_id. Null and empty texts have
+    fingerprint zero. Empty input: no rows. Other columns are ignored.
     """
     return _classes(docs, width, id_col, text_col).select("doc_id", "fp", "component_id")
 
@@ -154,19 +157,21 @@ def keep_representatives(docs: DataFrame, width: int = 4, id_col: str = "doc_id"
     """One row, with all its columns, of each class: one whose id is the class's smallest.
 
     Rows with a null id go, unless all of a class have none; then one of them stays. Where an id stands for
-    several rows or for none, the row is found by its fingerprint too.
+    several rows or for none, the row is found by its fingerprint too. Empty input: no rows.
     """
     import pandas as pd
 
     classes = materialize(_classes(docs.select(id_col, text_col), width, id_col, text_col), "rows")
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("doc_id").alias("k"), F.min("fp").alias("f"))
-    kept = materialize(kept.select("k", "f"), "kept")
-    repeats = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("k"))
+    key_name, fp_name, want_key, want_fp = (free_name(docs, x) for x in ("own_key", "own_fp", "kept_key", "kept_fp"))
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("doc_id").alias(want_key), F.min("fp").alias(want_fp))
+    kept = materialize(kept.select(want_key, want_fp), "kept")
+    repeats = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(want_key))
     repeats = materialize(repeats, "repeats")
+    discard(classes)
     key = docs[id_col].cast("long")
-    clear = kept.where("k is not null").join(repeats, "k", "left_anti")
-    out = docs.join(clear.select("k"), key == F.col("k"), "left_semi")
-    unclear = kept.where("k is null").union(kept.join(repeats, "k", "left_semi"))
+    clear = kept.where(F.col(want_key).isNotNull()).join(repeats, want_key, "left_anti")
+    out = docs.join(clear.select(want_key), key == F.col(want_key), "left_semi")
+    unclear = kept.where(F.col(want_key).isNull()).union(kept.join(repeats, want_key, "left_semi"))
     if not unclear.limit(1).count():
         return out
 
@@ -176,7 +181,7 @@ def keep_representatives(docs: DataFrame, width: int = 4, id_col: str = "doc_id"
 
     run.__annotations__ = {}
     own = F.pandas_udf(run, "long", F.PandasUDFType.SCALAR_ITER)(F.col(text_col).cast("string").cast("binary"))
-    several = docs.where(key.isNull()).union(docs.join(repeats, key == F.col("k"), "left_semi"))
-    several = several.withColumns({"__key": F.col(id_col).cast("long"), "__fp": own})
-    found = several.join(unclear, F.col("__fp").eqNullSafe(F.col("f")) & F.col("__key").eqNullSafe(F.col("k")), "left_semi")
-    return out.union(found.dropDuplicates(["__key", "__fp"]).drop("__key", "__fp"))
+    several = docs.where(key.isNull()).union(docs.join(repeats, key == F.col(want_key), "left_semi"))
+    several = several.withColumns({key_name: F.col(id_col).cast("long"), fp_name: own})
+    found = several.join(unclear, F.col(fp_name).eqNullSafe(F.col(want_fp)) & F.col(key_name).eqNullSafe(F.col(want_key)), "left_semi")
+    return out.union(found.dropDuplicates([key_name, fp_name]).drop(key_name, fp_name))

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chartwright.llm import bpe, decontaminate, graph, html, lm, packing, quality, queries, records, simhash, tokens, toxicity, vectors
@@ -158,12 +159,24 @@ def test_representatives_of_null_and_repeated_ids(spark):
     a, b, c, d, e, f = (" ".join(rng.choice(list("abcdefgh"), 60)) for _ in range(6))
     rows = [(None, a), (None, a), (None, b), (7, c), (None, c), (7, d), (5, e), (6, e), (6, f), (None, f), (3, None), (None, "")]
     docs = spark.createDataFrame([(i, t, n, 0) for n, (i, t) in enumerate(rows)], DOCS)
+    docs = docs.withColumns({x: F.lit(0) for x in ("k", "f", "n", "own_key", "Kept_FP", "component")})
     kept = simhash.keep_representatives(docs)
     assert kept.columns == docs.columns
     got = [(r["doc_id"], r["text"]) for r in kept.collect()]
     assert sorted(got, key=str) == sorted([(None, a), (None, b), (7, c), (7, d), (5, e), (6, f), (3, None)], key=str)
 
 
+def test_rows_without_ids_link(spark):
+    fps = {1: 0x0, None: 0xF, 2: 0xFF, 3: 0xFF << 40}  # 1 and 2 meet over the row without an id
+    rows = spark.createDataFrame([(i, f) for i, f in fps.items()], "doc_id long, fp long")
+    before, simhash.fingerprints = simhash.fingerprints, lambda *_: rows
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_classes(rows.withColumn("text", F.lit(""))).collect()}
+    finally:
+        simhash.fingerprints = before
+    assert got == {1: 1, None: 1, 2: 1, 3: 3}
+
+
 def test_multi_index_loses_no_link():
     rng = np.random.default_rng(4)
     for _ in range(300):
@@ -204,6 +217,16 @@ def test_vectors_against_all_pairs(spark):
     assert vectors.vector_links(df.where("vec_id = 1000")).count() == 1
 
 
+def test_vectors_without_ids_or_with_repeated_ones(spark):
+    a, b, c, d = [1.0, 0.0, 0.0], [0.95, 0.312, 0.0], [0.8, 0.6, 0.0], [0.0, 0.0, 1.0]
+    rows = [(9, a), (None, b), (4, c), (7, d), (7, d), (None, d), (None, [0.0, -1.0, 0.0]), (None, None)]  # a-b and b-c link, a-c doesn't
+    df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id long, embedding array<double>, rep int, n_links string")
+    got = sorted(map(tuple, vectors.vector_links(df, spread=None, cell_rows=2).collect()), key=str)
+    want = [(9, 1, 4, False), (None, 2, 4, False), (4, 1, 4, True), (7, 2, 7, True), (7, 2, 7, True), (None, 2, 7, False), (None, 0, None, False), (None, 0, None, False)]
+    assert got == sorted(want, key=str)
+    assert vectors.vector_links(df.limit(0)).count() == 0
+
+
 def test_dense_cell_is_dealt_on_both_sides(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(8)
     v = np.concatenate([rng.standard_normal((200, 8)), np.ones(8) + 0.2 * rng.standard_normal((200, 8))])
@@ -331,14 +354,34 @@ def test_gumbel_top_k(spark):
         raw += np.bincount(quality.ngram_buckets(t), minlength=quality.BUCKETS)
     good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
     target = sum(np.bincount(quality.ngram_buckets(rows[i]), minlength=quality.BUCKETS) for i in good)
-    assert np.allclose(model.ratios, quality.log_ratios(target, raw))
-    for k in (1, 50, 200):
-        assert quality.resample(docs, labels, k).count() == k
-    keys = {r["doc_id"]: r["key"] for r in quality.resample(docs, labels, 200).collect()}
-    best = {i for i, _ in sorted(keys.items(), key=lambda x: -x[1])[:50]}
-    assert {r["doc_id"] for r in quality.resample(docs, labels, 50).collect()} == best
+    ratios = np.log((target + 0.5) / (target + 0.5).sum()) - np.log((raw + 0.5) / (raw + 0.5).sum())
+    assert np.allclose(model.ratios, ratios)
+    weights = {i: float(np.bincount(quality.ngram_buckets(t), minlength=quality.BUCKETS) @ ratios) for i, t in rows.items()}
+    drawn = {r["doc_id"]: r for r in quality.resample(docs, labels, len(rows)).collect()}
+    assert all(drawn[i]["log_weight"] == pytest.approx(w, abs=1e-6) for i, w in weights.items())
+    ranked = sorted(drawn, key=lambda i: -drawn[i]["key"])
+    for k in (1, 50, 150):
+        assert {r["doc_id"] for r in quality.resample(docs, labels, k).collect()} == set(ranked[:k])
+    known = labels.where("quality is not null").count()
+    share = len(good) / known
+    k = int(np.ceil(len(rows) * (share + 2 * np.sqrt(share * (1 - share) / known))))
+    assert {r["doc_id"] for r in quality.keep_sampled(docs, labels).collect()} == set(ranked[:k])
     kept = quality.keep_sampled(docs, labels.limit(0))
     assert kept.columns == docs.columns and kept.count() == docs.count()
+    odd = spark.createDataFrame([(None, None, 0, 0), (None, "a b", 0, 0), (1, "", 0, 0), (1, "", 0, 0), (2, "a b " * 50_000, 0, 0)], DOCS)
+    assert quality.resample(odd, labels).count() == 5 and len({r["key"] for r in quality.resample(odd, labels).collect()}) == 4
+    assert quality.resample(odd.limit(0), labels).count() == quality.keep_sampled(odd.limit(0), labels.limit(0)).count() == 0
+
+
+def test_draws_follow_the_weights(spark):
+    weights, seeds = np.array([0.0, 1.0, -1.0, 0.5, -3.0]), 4000
+    df = spark.createDataFrame([(i, float(w)) for i, w in enumerate(weights)], "i long, w double").crossJoin(spark.range(seeds).withColumnRenamed("id", "s"))
+    keys = df.withColumn("key", F.col("w") + quality.gumbel(F.col("i"), F.col("s"))).toPandas().pivot(index="s", columns="i", values="key").to_numpy()
+    first, second = np.argsort(-keys, axis=1)[:, :2].T
+    p = np.exp(weights) / np.exp(weights).sum()
+    pairs = np.array([[p[a] * p[b] / (1 - p[a]) if a != b else 0.0 for b in range(5)] for a in range(5)])  # drawn one after another
+    got = np.bincount(first * 5 + second, minlength=25).reshape(5, 5) / seeds
+    assert np.abs(got - pairs).max() < 0.025 and np.abs(got.sum(1) - p).max() < 0.025
 
 
 def test_kth_largest_with_ties(spark):

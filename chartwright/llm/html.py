@@ -1,9 +1,11 @@
 """Main text of web pages by tag-path ratios (operator 5).
 
-Text blocks are grouped by the path of tags above them. A path's ratios are its text length and its
-punctuation per block; both are smoothed over the page's order of blocks and multiplied, so that long, written
-prose stands out from lists of links and labels. Paths above a share of the best one are content; what else
-stands in the same container belongs to the article too, apart from what is marked as something else.
+Text blocks are grouped by the path of tags above them. A path's ratios are its text length outside links and
+its punctuation per block; both are smoothed over the page's order of blocks and multiplied, so that long,
+written prose stands out from lists of links and labels. Tags and names only weigh a path's ratio: less below
+nav, footer or an element named as an advert, more below article or main. Paths above a share of the best one
+are content. They decide the element that holds the article, and headings and short lines there belong to it
+as well, unless their path is weighed down.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chartwright.llm.common import free_name
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؟]")
@@ -24,9 +28,15 @@ RAW = frozenset("script style textarea title xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-# Elements and names that aren't article text.
-APART = frozenset("head title nav footer aside form button select textarea input script style noscript template iframe svg canvas object menu dialog xmp noembed noframes audio video map datalist".split())
-APART_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar form toolbar".split())
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
+# Never text that a reader of the article sees.
+UNSEEN = frozenset("head title form button select textarea input script style noscript template iframe svg canvas object dialog xmp noembed noframes audio video map datalist".split())
+IN_HEAD = frozenset("head title meta link base script style noscript template".split())
+# Parts of a page that aren't the article.
+APART = frozenset("nav footer aside menu".split())
+APART_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
+# Reader comments read like an article; only their names tell them.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond responses discussion".split())
 # Matched in a name's parts between hyphens only if all of its other parts are such words or plain ones of layout.
 APART_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar
@@ -40,81 +50,94 @@ PLAIN_WORDS = frozenset("area bar block box cell container content feed group in
 CONTAINERS = frozenset("div section ul ol dl table td header details figure p fieldset center".split())
 #: Share of the best path's score that makes a path content.
 SHARE = 0.25
+#: Weights of the ratios below an element of APART, below one named as something else, and below article or main.
+TAG_WEIGHT, NAME_WEIGHT, ARTICLE_WEIGHT = 0.02, 0.05, 4.0
+#: Share of the content paths' text that the element with the article holds.
+HELD = 0.95
+
+Path = tuple[str, ...]
 
 
 class _Node:
-    __slots__ = ("apart", "label", "named", "path", "tag")
+    __slots__ = ("comment", "path", "tag", "unseen", "weight")
+
+    def __init__(self, tag: str, path: Path, unseen: bool, comment: bool, weight: float):
+        self.tag, self.path, self.unseen, self.comment, self.weight = tag, path, unseen, comment, weight
+
+
+class Block:
+    """A run of text in one block element: its tag path, its text, characters of it in links, and the path's weight."""
+
+    __slots__ = ("comment", "linked", "path", "text", "weight")
 
-    def __init__(self, tag: str, label: str, path: tuple[str, ...], apart: bool, named: int | None):
-        self.tag, self.label, self.path, self.apart, self.named = tag, label, path, apart, named
+    def __init__(self, path: Path, text: str, linked: int, weight: float, comment: bool):
+        self.path, self.text, self.linked, self.weight, self.comment = path, text, linked, weight, comment
 
 
-def _names_apart(name: str) -> bool:
-    """Whether a whole class or id stands for something else than the article, as sidebar-left, but not has-sidebar."""
+def _is_article(label: str) -> bool:
+    return label.split(".")[0] in ("article", "main")
+
+
+def _about(name: str, words: frozenset[str]) -> bool:
+    """Whether a whole class or id is made of these words and plain ones of layout, as sidebar-left, but not has-sidebar."""
     name = name.lower()
     parts = [x for x in re.split("[-_]+", name) if x]
-    return name in APART_WORDS or (any(x in APART_WORDS for x in parts) and all(x in APART_WORDS or x in PLAIN_WORDS for x in parts))
+    return name in words or (any(x in words for x in parts) and all(x in APART_WORDS or x in PLAIN_WORDS for x in parts))
 
 
-def _opened(tag: str, attributes: str, above: _Node | None, at: int, spared: frozenset[int]) -> _Node:
+def _opened(tag: str, attributes: str, above: _Node | None) -> _Node:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
-    names = f"{found.get('class', '')} {found.get('id', '')}".strip()
-    in_article = above is not None and any(x.startswith(("article", "main")) for x in above.path)
-    apart = (
-        (above is not None and above.apart)
-        or tag in APART
-        or (tag == "header" and not in_article)
-        or found.get("role", "").lower() in APART_ROLES
-        or ("hidden" in found and tag != "input")
-        or found.get("aria-hidden", "").lower() == "true"
-    )
-    named = above.named if above is not None else None
-    if named is None and names and tag in CONTAINERS and at not in spared and any(_names_apart(x) for x in names.split()):
-        named = at
-    label = f"{tag}.{names}" if names else tag
-    return _Node(tag, label, (*(above.path if above else ()), label), apart, named)
-
-
-def text_blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
-    """[(tag path of the block, its text)] in page order, without the parts that are marked as no article text.
-
-    An element that is left out for its name alone comes back if more text lies below it than in all the rest,
-    unless the rest has an article of its own.
-    """
-    spared: frozenset[int] = frozenset()
-    while True:
-        blocks, named = _blocks(page, spared)
-        most = max(named, key=named.get, default=None)
-        if most is None or 2 * named[most] <= sum(named.values()) + sum(len(t) for _, t in blocks):
-            return blocks
-        if any(x.split(".")[0] in ("article", "main") for p, _ in blocks for x in p):
-            return blocks
-        spared |= {most}
-
-
-def _blocks(page: str, spared: frozenset[int]) -> tuple[list[tuple[tuple[str, ...], str]], dict[int, int]]:
-    """text_blocks() with these elements spared, by where they start, and the text length below each other named one."""
-    left_out: dict[int, int] = {}
+    names = f"{found.get('class', '')} {found.get('id', '')}".split()
+    path = above.path if above else ()
+    unseen = (above is not None and above.unseen) or tag in UNSEEN or ("hidden" in found and tag != "input") or found.get("aria-hidden", "").lower() == "true"
+    comment, weight = above is not None and above.comment, above.weight if above else 1.0
+    in_article = any(_is_article(x) for x in path)
+    if tag in ("article", "main") and not in_article and weight == 1.0:
+        weight = ARTICLE_WEIGHT
+    if tag in APART or (tag == "header" and not in_article) or found.get("role", "").lower() in APART_ROLES:
+        weight = min(weight, TAG_WEIGHT)
+    elif tag in CONTAINERS and any(_about(x, APART_WORDS) for x in names):
+        weight = min(weight, NAME_WEIGHT)
+        comment = comment or any(_about(x, COMMENT_WORDS) for x in names)
+    return _Node(tag, (*path, f"{tag}.{' '.join(names)}" if names else tag), unseen, comment, weight)
+
+
+def text_blocks(page: str) -> list[Block]:
+    """The page's blocks of text in page order, without what is never seen."""
     stack: list[_Node] = []
-    blocks: list[tuple[tuple[str, ...], str]] = []
+    blocks: list[Block] = []
     pending: list[str] = []
-    place: tuple[str, ...] = ()
+    holder: _Node | None = None
+    linked = 0
 
     def flush():
+        nonlocal linked
         text = " ".join(html.unescape("".join(pending)).split())
         if text:
-            blocks.append((place, text))
+            blocks.append(Block(holder.path, text, linked, holder.weight, holder.comment) if holder else Block((), text, linked, 1.0, False))
         pending.clear()
+        linked = 0
+
+    def leave_head():
+        if any(x.tag == "head" for x in stack):
+            flush()
+            while stack.pop().tag != "head":
+                pass
 
     def add(text: str):
-        nonlocal place
-        if text and stack and not stack[-1].apart and stack[-1].named is not None:
-            left_out[stack[-1].named] = left_out.get(stack[-1].named, 0) + len(text.strip())
-        elif text and not (stack and stack[-1].apart):
-            if not pending:
-                block = [x for x in stack if x.tag not in INLINE]
-                place = block[-1].path if block else ()
-            pending.append(text)
+        nonlocal holder, linked
+        if not text:
+            return
+        if stack and stack[-1].tag == "head" and not text.isspace():
+            leave_head()  # its closing tag may be left out
+        if stack and stack[-1].unseen:
+            return
+        if not pending:
+            block = [x for x in stack if x.tag not in INLINE]
+            holder = block[-1] if block else None
+        pending.append(text)
+        if any(x.tag == "a" for x in stack):
+            linked += len(text.strip())
 
     at = 0
     while m := TOKEN.search(page, at):
@@ -133,6 +156,8 @@ def _blocks(page: str, spared: frozenset[int]) -> tuple[list[tuple[tuple[str, ..
             continue
         if tag not in INLINE:
             flush()
+        if tag not in IN_HEAD:
+            leave_head()
         if tag in CLOSES_P and any(x.tag == "p" for x in stack):
             while stack.pop().tag != "p":
                 pass
@@ -142,12 +167,12 @@ def _blocks(page: str, spared: frozenset[int]) -> tuple[list[tuple[tuple[str, ..
                 del stack[depth:]
         if tag in VOID:
             continue
-        node = _opened(tag, attributes, stack[-1] if stack else None, m.start(), spared)
+        node = _opened(tag, attributes, stack[-1] if stack else None)
         if attributes.rstrip().endswith("/") and tag in ("svg", "path", "use"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if not node.apart:
+            if not node.unseen:
                 add(page[at : end.start() if end else len(page)])
             at = end.end() if end else len(page)
             continue
@@ -155,62 +180,88 @@ def _blocks(page: str, spared: frozenset[int]) -> tuple[list[tuple[tuple[str, ..
     rest = page[at:]
     add(rest if "<" not in rest else re.sub(r"<[a-zA-Z/][^>]*\Z", "", rest))
     flush()
-    return blocks, left_out
+    return blocks
 
 
 def _smooth(values: list[float]) -> list[float]:
+    """Each value's geometric mean with the Gaussian average around it, so that prose lends a label next to it little."""
     kernel = [math.exp(-0.5 * (d / 1.0) ** 2) for d in (-2, -1, 0, 1, 2)]
     out = []
     for i in range(len(values)):
         near = [(k, values[i + d]) for k, d in zip(kernel, (-2, -1, 0, 1, 2), strict=True) if 0 <= i + d < len(values)]
-        out.append(sum(k * v for k, v in near) / sum(k for k, _ in near))
+        out.append(math.sqrt(values[i] * sum(k * v for k, v in near) / sum(k for k, _ in near)))
     return out
 
 
-def path_scores(blocks: list[tuple[tuple[str, ...], str]]) -> dict[tuple[str, ...], float]:
-    """Fused ratio of each tag path: smoothed text length per block x (1 + smoothed punctuation per block)."""
-    total: dict[tuple[str, ...], list[int]] = {}
-    for path, text in blocks:
-        t = total.setdefault(path, [0, 0, 0])
-        t[0] += len(text)
-        t[1] += len(PUNCTUATION.findall(text))
+def path_scores(blocks: list[Block]) -> dict[Path, float]:
+    """Fused ratio of each tag path: smoothed unlinked length per block x (1 + smoothed punctuation per block), weighed."""
+    total: dict[Path, list[float]] = {}
+    for b in blocks:
+        t = total.setdefault(b.path, [0.0, 0.0, 0.0, b.weight])
+        own = max(0, len(b.text) - b.linked)
+        t[0] += own
+        t[1] += len(PUNCTUATION.findall(b.text)) * own / len(b.text)
         t[2] += 1
-    size = _smooth([total[p][0] / total[p][2] for p, _ in blocks])
-    marks = _smooth([total[p][1] / total[p][2] for p, _ in blocks])
+    size = _smooth([total[b.path][0] / total[b.path][2] for b in blocks])
+    marks = _smooth([total[b.path][1] / total[b.path][2] for b in blocks])
     out = dict.fromkeys(total, 0.0)
-    for (path, _), s, m in zip(blocks, size, marks, strict=True):
-        out[path] += s * (1 + m) / total[path][2]
-    return {p: v * math.log1p(total[p][0]) for p, v in out.items()}
+    for b, s, m in zip(blocks, size, marks, strict=True):
+        out[b.path] += s * (1 + m) / total[b.path][2]
+    return {p: v * math.log1p(total[p][0]) * total[p][3] for p, v in out.items()}
+
+
+def content_paths(scores: dict[Path, float]) -> set[Path]:
+    """The paths that score at least SHARE of the best."""
+    least = SHARE * max(scores.values())
+    return {p for p, v in scores.items() if v >= least}
+
+
+def container(blocks: list[Block], chosen: set[Path]) -> Path:
+    """The deepest element that holds HELD of the content paths' text, or the first article or main on the way there."""
+    content = [b for b in blocks if b.path in chosen]
+    need, here = HELD * sum(len(b.text) for b in content), ()
+    while not (here and _is_article(here[-1])):
+        below: dict[str, int] = {}
+        for b in content:
+            if len(b.path) > len(here) and b.path[: len(here)] == here:
+                below[b.path[len(here)]] = below.get(b.path[len(here)], 0) + len(b.text)
+        most = max(below, key=below.get, default="")
+        if not below or below[most] < need or (*here, most) in chosen:
+            break
+        here = (*here, most)
+    return here
 
 
 def main_text(page: str | None) -> str:
     """The article's text: blocks joined by one space, in page order; empty if there is none."""
     blocks = text_blocks(page or "")
-    if not blocks:
+    if any(not b.comment for b in blocks):
+        blocks = [b for b in blocks if not b.comment]
+    if not any(b.weight > TAG_WEIGHT for b in blocks):  # nothing but menus and footers
         return ""
     scores = path_scores(blocks)
-    most = max(scores.values())
-    chosen = {p for p, v in scores.items() if v >= SHARE * most}
-    best = max(chosen, key=lambda p: (scores[p], p))
-    marked = [i for i, x in enumerate(best) if x.split(".")[0] in ("article", "main")]
-    if marked:
-        container = best[: marked[0] + 1]
-    else:
-        container = best[:-1] or best
-        for p in chosen:
-            same = 0
-            while same < min(len(p), len(container)) and p[same] == container[same]:
-                same += 1
-            container = container[:same]
-    if len(container) <= 2 and not marked:  # nothing narrower than the page's body: only the chosen paths
-        return " ".join(t for p, t in blocks if p in chosen)
-    return " ".join(t for p, t in blocks if p[: len(container)] == container)
-
-
-def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """The rows with all their columns and a last one, text: the main text of the whole html.
-
-    Null and empty html give an empty text; repeated rows are treated alike; a column named text is replaced.
+    chosen = content_paths(scores)
+    here = container(blocks, chosen)
+    deep = len(here)
+    # an element that's no narrower than the body holds other things too: only what lies beside or with content
+    wide = deep <= 2 and not (here and _is_article(here[-1]))
+    with_content = {p[: deep + 1] for p in chosen}
+    out, title = [], None
+    for b in blocks:
+        if b.path[:deep] == here:
+            beside = not wide or (len(b.path) == deep + 1 and b.path[-1].split(".")[0] in PROSE) or b.path[: deep + 1] in with_content
+            if b.path in chosen or (b.weight >= 1 and beside and 2 * b.linked <= len(b.text)):
+                out.append(b.text)
+        elif not out and b.weight >= 1 and b.path and b.path[-1].split(".")[0] == "h1":
+            title = b.text  # a headline outside the element with the text
+    return " ".join(out if title is None else [title, *out])
+
+
+def extract_main_text(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
+    """The rows with all their columns and a last one, out_col: the main text of the whole html.
+
+    Null and empty html give an empty text; repeated rows are treated alike. Where pages have a column of that
+    name, the new one gets underscores behind it. Empty input: no rows.
     """
     import pandas as pd
 
@@ -219,4 +270,5 @@ def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
             yield pd.Series([main_text(p) for p in pages], dtype=object)
 
     run.__annotations__ = {}
-    return pages.withColumn("text", F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(F.col(html_col).cast("string")))
+    text = F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(F.col(html_col).cast("string"))
+    return pages.withColumn(free_name(pages, out_col), text)

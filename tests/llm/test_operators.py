@@ -413,6 +413,58 @@ def test_names_of_topics_and_layout_stay():
     assert html.main_text(f"<body><article><p>{text}</p><div class='comments-list'>{long}</div></article></body>") == text
 
 
+def labelled_pages():
+    """(html, article text) of pages in layouts with and without article or main; prose and labels are drawn."""
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefghilmnorstu"), rng.integers(2, 9))) for _ in range(400)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    prose = lambda: " ".join(f"{say(int(rng.integers(4, 9)))}, {say(int(rng.integers(3, 9)))}." for _ in range(int(rng.integers(1, 6)))).capitalize()
+    links = lambda n, cls: f"<div class='{cls}'>" + "".join(f"<a href='/{i}'>{say(2)}</a> " for i in range(n)) + "</div>"
+    out = []
+    for i in range(120):
+        title, parts = say(5), [prose() for _ in range(int(rng.integers(3, 12)))]
+        parts[1] = say(1)  # a very short paragraph
+        body = "".join(f"<p>{x}</p>" if j != 2 else f"<h2>{x}</h2>" for j, x in enumerate(parts))
+        before = f"<div class='c{i % 5}'>{say(3)}</div>" + links(8, f"m{i % 7}") + "<header>Site</header>" + f"<nav>{links(5, 'x')}</nav>"
+        after = links(6, "r1") + f"<div class='sidebar'>{links(4, 'y')}<p>{say(6)}</p></div><div class='cookie-notice'>{say(9)}.</div><footer>{say(12)}. {say(7)}.</footer>"
+        ad, talk = f"<div class='ad-box'>{say(7)}.</div>", f"<section class='comments'><p>{prose()}</p><p>{prose()}</p></section><form>{say(3)}</form>"
+        inner = {
+            0: f"<article><h1>{title}</h1>{body}{ad}{talk}</article>",
+            1: f"<main><header><h1>{title}</h1></header><div>{body}</div>{talk}</main>",
+            2: f"<div class='post'><h1>{title}</h1><div class='txt'>{body}{ad}</div></div>{talk}",
+            3: f"<h1>{title}</h1>{body}{ad}{talk}",
+            4: f"<table><tr><td>{links(9, 'z')}</td><td class='w'><h1>{title}</h1>{body}</td></tr></table>",
+        }[i % 5]
+        head = "<head><title>t</title><script>var a='</p>';</script>" + ("" if i % 3 == 0 else "</head>")  # its end may be left out
+        out.append((f"<!DOCTYPE html><html>{head}<body>{before}{inner}{after}</body></html>", " ".join([title, *parts])))
+    return out
+
+
+def test_main_text_of_labelled_pages(spark, monkeypatch):
+    pages, right, got, want, same = labelled_pages(), 0, 0, 0, 0
+    for page, text in pages:
+        found, own = Counter(html.main_text(page).split()), Counter(text.split())
+        right, got, want = right + (found & own).total(), got + found.total(), want + own.total()
+        same += html.main_text(page) == text
+    print(f"precision {right / got:.4f}, recall {right / want:.4f}, {same} of {len(pages)} exact")
+    assert right / got > 0.98 and right / want > 0.98 and same >= 0.9 * len(pages)
+    real = [html.main_text(page) for page, _ in pages]
+    with monkeypatch.context() as m:
+        m.setattr(html, "path_scores", lambda blocks: {b.path: 1.0 for b in blocks})
+        assert sum(html.main_text(page) != text for (page, _), text in zip(pages, real, strict=True)) > 0.8 * len(pages)  # the ratios decide
+    odd = spark.createDataFrame([(1, None, "own"), (1, "", "own"), (1, "", "own"), (2, "<p>" + "one, two. " * 200_000, None)], "page_id long, html string, Text string")
+    rows = html.extract_main_text(odd).collect()
+    assert [r["text_"] for r in rows[:3]] == [""] * 3 and len(rows[3]["text_"]) == 200_000 * 10 - 1 and [r["Text"] for r in rows] == ["own"] * 3 + [None]
+    assert html.extract_main_text(odd.limit(0)).count() == 0
+
+
+def test_open_head_and_slugs():
+    text = "One, two. Three, four, five."
+    assert html.main_text(f"<html><head><title>x</title><body><p>{text}</p>") == text
+    assert html.main_text(f"<html><head><meta charset=u><title>x</title><p>{text}</p>") == text
+    assert html.main_text(f"<article><h2>a</h2><section class='side-effects'><p>{text}</p></section><div class='search-history'><p>{text}</p></div></article>") == f"a {text} {text}"
+
+
 def test_language_model(spark):
     docs = documents(spark)
     rows = {r["doc_id"]: lm.text_words((r["text"] or "").encode()) for r in docs.collect()}

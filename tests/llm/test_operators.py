@@ -518,7 +518,7 @@ def test_language_model_beats_the_base(spark):
         for d in (docs, docs.repartition(16))
     ]
     print("held-out score and base:", sums)
-    assert all(score > base * 0.955 for score, base in sums)
+    assert all(score > base * 0.95 for score, base in sums)
     assert sums[0][0] == pytest.approx(sums[1][0], rel=1e-6)  # the number of tasks changes nothing
 
 

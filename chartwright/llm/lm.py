@@ -50,7 +50,8 @@ def text_words(texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, object
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, side="right")))
-        part = pc.fill_null(texts.slice(at, to - at).cast(pa.large_string()), "")
+        part = texts.take(pa.array(np.arange(at, to)))  # a copy: ascii_lower reads a slice's bytes from the wrong place
+        part = pc.fill_null(part.cast(pa.large_string()), "")
         pieces = pc.ascii_split_whitespace(pc.ascii_lower(part))
         flat, sizes = pieces.flatten(), np.diff(pieces.offsets.to_numpy())
         some = pc.greater(pc.binary_length(flat), 0)

@@ -469,6 +469,16 @@ def plain_words(text):
     return (text or "").encode().lower().split()
 
 
+def test_words_of_slices(monkeypatch):
+    monkeypatch.setattr(lm, "SLICE", 40)
+    texts = ["A b\x0b c ", None, "", "é\u2006x Ÿ", "one " * 30, " É\u00a0b\x0c\x1cZ", "x"] * 3
+    got = [[] for _ in texts]
+    for at, _, text, place, words in lm.text_words(pa.array(texts, pa.string())):
+        for t, w in zip(text, place, strict=True):
+            got[at + t].append(words[int(w)].as_py().encode())
+    assert got == [plain_words(t) for t in texts]
+
+
 def plain_log10(model, ids, words, counts, rare_norm):
     """log10 probability of a text by full softmaxes over all classes and all units of a class, one token at a time."""
     p, total, before = model.params, 0.0, [1] * model.context

@@ -7,17 +7,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chartwright.functions import fixed
+
 DAY_MS = 86_400_000
-# Class sets of the clonability tiers, script ranges and stop words of the language test.
-AUTO_CLASSES = ("ECONOMY", "PROMO", "SMALL")
-REVIEW_CLASSES = ("MEDIUM", "STANDARD")
-SCRIPTS = (("ja", r"[\x{3040}-\x{30FF}]"), ("ko", r"[\x{AC00}-\x{D7AF}]"), ("ru", r"[\x{0400}-\x{04FF}]"), ("el", r"[\x{0370}-\x{03FF}]"), ("ar", r"[\x{0600}-\x{06FF}]"), ("he", r"[\x{0590}-\x{05FF}]"), ("zh", r"[\x{4E00}-\x{9FFF}]"))
-STOP_WORDS = {
-    "en": ("the", "and", "for", "with", "of", "to", "that"),
-    "de": ("der", "die", "das", "und", "nicht", "mit", "auf"),
-    "fr": ("le", "la", "les", "des", "et", "est", "pour"),
-    "es": ("el", "los", "las", "que", "del", "con", "por"),
-}
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -41,17 +33,27 @@ def improvement_score(d: Column) -> Column:
 
 
 def ratio_score(r: Column) -> Column:
-    """Lifetime value over cost to 0..10; the gaps between bands are meant."""
-    return F.when(r < 5, r / 5).when(r < 10, 2 + (r - 5) / 5 * 2).when(r <= 15, 5 + (r - 10) / 5 * 2).otherwise(8 + F.least(r - 15, F.lit(10.0)) / 10 * 2)
+    """Lifetime value over cost to 0..10, null for null; the gaps between bands are meant."""
+    return F.when(r < 5, r / 5).when(r < 10, 2 + (r - 5) / 5 * 2).when(r <= 15, 5 + (r - 10) / 5 * 2).when(r > 15, 8 + F.least(r - 15, F.lit(10.0)) / 10 * 2)
 
 
 def revenue_proxy(rating: Column, count: Column, weight: Column) -> Column:
-    x = F.coalesce(rating, F.lit(0.0)) * F.coalesce(count, F.lit(0)) * F.coalesce(weight, F.lit(0.0))
-    return F.when(x <= 0, 0.0).otherwise(clamp((F.log10(x + 1) - 2) / 6 * 10, 0, 10))
+    """Rating x count x market weight to 0..10 on a log scale from 2 to 8; 0 if one is missing, not finite or not positive."""
+    x = finite(finite(rating.cast("double")) * finite(count.cast("double")) * finite(weight.cast("double")))
+    return F.when(x > 0, clamp((F.log10(x + 1) - 2) / 6 * 10, 0, 10)).otherwise(0.0)
+
+
+def lookup(table: dict, key: Column) -> Column:
+    """A value of a small fixed table by a key in lower case; null for any other key."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.lower(key))
 
 
-def clonability_tier(dna_class: Column) -> Column:
-    return F.when(dna_class.isin(*AUTO_CLASSES), "AUTO").when(dna_class.isin(*REVIEW_CLASSES), "REVIEW").otherwise("NOT")
+def market_weight(market: Column, preset: str = "subscription") -> Column:
+    return F.coalesce(lookup(fixed.MARKET_WEIGHTS[preset], market), F.lit(fixed.OTHER_WEIGHT[preset]))
+
+
+def clonability_tier(dna_class: Column, auto: tuple[str, ...] = fixed.AUTO_CLASSES, review: tuple[str, ...] = fixed.REVIEW_CLASSES) -> Column:
+    return F.when(dna_class.isin(*auto), "AUTO").when(dna_class.isin(*review), "REVIEW").otherwise("NOT")
 
 
 def shortlist_parts(tenure: Column, markets: Column, total_markets: int, recent: Column, rank: Column, apps: Column) -> dict[str, Column]:
@@ -71,29 +73,52 @@ def top3_mean(signals: list[Column]) -> Column:
 
 
 def paywall_score(text: Column, has_iap: Column) -> Column:
+    """3 with purchases in the app, 2 more each for a subscription, a trial, a lifetime price, 1 for two tiers named."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    word = lambda w: F.when(t.rlike(rf"(^|[^a-z0-9_])({w})([^a-z0-9_]|$)"), 1).otherwise(0)
-    tiers = F.size(F.array_distinct(F.regexp_extract_all(t, F.lit("(?:^|[^a-z0-9_])(basic|premium|pro|plus|gold|vip)(?=[^a-z0-9_]|$)"), F.lit(1))))
-    return F.when(~has_iap, 0).otherwise(clamp(3 + 2 * word("subscription|subscribe") + 2 * word("trial") + 2 * word("lifetime") + F.when(tiers >= 2, 1).otherwise(0), 0, 10))
+    said = [F.when(t.rlike(p), 2).otherwise(0) for p in (fixed.SUBSCRIPTION, fixed.TRIAL, fixed.LIFETIME)]
+    tiers = F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(fixed.TIER), F.lit(1))))
+    total = sum(said, F.lit(3)) + F.when(tiers >= 2, 1).otherwise(0)
+    return F.when(has_iap, clamp(total, 0, 10)).otherwise(0.0)
+
+
+def _once(value: Column, use) -> Column:
+    """use(value) with `value` computed once, however often it's used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def composed(text: Column) -> Column:
+    """Lower case, the letters of the stop words composed."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"\p{M}"), reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), fixed.COMPOSED.items(), low)).otherwise(low)
 
 
 def detected_language(text: Column) -> Column:
     """By script, else by stop words: two hits and a strict winner, or null."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{M}'’]+")
+    listed = {k: v.split() for k, v in fixed.STOP_WORDS.items()}
+    all_words = sorted({w for words in listed.values() for w in words})
+    hits = F.filter(F.split(composed(text), r"[^\p{L}\p{M}'’]+"), lambda w: w.isin(*all_words))
 
-    def hits(listed: tuple[str, ...]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*listed)))
+    def winner(counts: Column) -> Column:
+        best = F.sort_array(counts, asc=False)
+        return _once(best, lambda b: F.when((b[0]["n"] >= 2) & (b[0]["n"] > b[1]["n"]), b[0]["lang"]))
 
-    counts = F.array(*[F.struct(hits(s).alias("n"), F.lit(k).alias("lang")) for k, s in sorted(STOP_WORDS.items())])
-    best = F.sort_array(counts, asc=False)
-    by_words = F.when((best[0]["n"] >= 2) & (best[0]["n"] > best[1]["n"]), best[0]["lang"])
-    by_script = reduce(lambda acc, s: F.when(text.rlike(s[1]), s[0]).otherwise(acc), reversed(SCRIPTS), by_words)
+    def one_of(words: list[str]):
+        return lambda w: w.isin(*words)
+
+    by_words = winner(_once(hits, lambda h: F.array(*[F.struct(F.size(F.filter(h, one_of(v))).alias("n"), F.lit(k).alias("lang")) for k, v in listed.items()])))
+    by_script = reduce(lambda acc, s: F.when(text.rlike(s[1]), s[0]).otherwise(acc), reversed(fixed.SCRIPTS), by_words)
     return F.when(F.length(F.trim(text)) > 0, by_script)
 
 
-def localization_gap(text: Column, expected: Column) -> Column:
-    found = detected_language(text)
-    return F.when(F.coalesce(F.length(F.trim(text)), F.lit(0)) == 0, 5.0).when(expected.isNull() | found.isNull(), 5.0).when(found == expected, 0.0).otherwise(10.0)
+def expected_language(market: Column) -> Column:
+    return lookup(fixed.MARKET_LANGUAGE, market)
+
+
+def localization_gap(text: Column, expected: Column, found: Column | None = None) -> Column:
+    """0 if the text is in the expected language, 10 if in another, 5 if there's no telling; found: its language, if known."""
+    found = detected_language(text) if found is None else found
+    blank = F.coalesce(F.length(F.trim(text)), F.lit(0)) == 0
+    return _once(found, lambda f: F.when(blank | expected.isNull() | f.isNull(), 5.0).when(f == expected, 0.0).otherwise(10.0))
 
 
 def epoch_ms(text: Column) -> Column:
@@ -107,10 +132,40 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def fixed(x: Column, places: int) -> Column:
+def fixed_text(x: Column, places: int) -> Column:
     return F.format_string(f"%.{places}f", x.cast("double"))
 
 
+def judge_text_digest(model: Column, description: Column, name: Column, developer: Column, category: Column, market: Column) -> Column:
+    """What a text judge sees of an app, as a digest: 1500 characters of its description and its names."""
+    return F.sha2(F.concat_ws("|", model, F.substring(F.coalesce(description, F.lit("")), 1, 1500), name, developer, category, market), 256)
+
+
+def judge_image_digest(model: Column, urls: Column) -> Column:
+    return F.sha2(F.concat(model, F.lit("|"), F.array_join(F.transform(urls, lambda u: F.concat(u, F.lit("\n"))), "")), 256)
+
+
+def judge_key(version: Column, kind: Column, model: Column, app_id: Column, market: Column, digest: Column) -> Column:
+    return F.concat(F.lit("judge:"), F.substring(F.sha2(F.concat_ws("|", version, kind, model, app_id, market, digest), 256), 1, 32))
+
+
+def composite_key(kind: str, *segments: Column) -> Column:
+    """kind and percent-encoded segments between colons; a blank is %20 and !'()*~ stay."""
+    one = [reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")), F.url_encode(s.cast("string"))) for s in segments]
+    return F.concat_ws(":", F.lit(kind), *one)
+
+
+def participation(*signals: Column) -> list[Column]:
+    """1 for each signal that is there and finite, else 0."""
+    return [F.when(finite(s.cast("double")).isNotNull(), 1).otherwise(0) for s in signals]
+
+
+def between_headings(text: Column, heading: str) -> Column:
+    """The text under a bold heading up to the next bold one, trimmed; null without both."""
+    found = F.regexp_extract(text, rf"(?s)\*\*{heading}\*\*\n(.*?)\n\n\*\*", 1)
+    return F.when(F.length(found) > 0, F.trim(found))
+
+
 def content_digest(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
 

@@ -44,36 +44,58 @@ def freeze(candidates: DataFrame, charts: DataFrame) -> DataFrame:
 
 
 def candidate_pool(charts: DataFrame, cohorts: DataFrame, mode: str, fresh_days: int = 90, deepest: int = 100) -> DataFrame:
-    """(market, t0, app_id) for every cohort at once. mode: survival, entrants, fresh or any."""
-    pairs = F.broadcast(cohorts.select("market", "t0")).join(charts.select("market", "day", "app_id", "rank"), "market")
+    """(market, t0, app_id) for every cohort at once. mode: survival, entrants, fresh or any.
+
+    What an app's whole past decides is taken from its first day in the market, so history isn't multiplied by dates.
+    """
+    asked, rows = cohorts.select("market", "t0").distinct(), charts.select("market", "day", "app_id", "rank")
     t0, day = F.col("t0"), F.col("day")
-    if mode == "any":
-        return pairs.where(day <= t0).select("market", "t0", "app_id").distinct()
-    if mode == "survival":
-        return pairs.where((day <= t0) & (F.col("rank") <= 2 * deepest)).select("market", "t0", "app_id").distinct()
+    if mode in ("any", "survival"):
+        first = (rows if mode == "any" else rows.where(F.col("rank") <= 2 * deepest)).groupBy("market", "app_id").agg(F.min("day").alias("day"))
+        return asked.join(first, "market").where(day <= t0).select("market", "t0", "app_id")
     if mode == "entrants":
-        return pairs.where(F.abs(F.datediff(day, t0)) <= 7).where(F.col("rank").between(deepest + 1, 2 * deepest)).select("market", "t0", "app_id").distinct()
+        return _around(rows.where(F.col("rank").between(deepest + 1, 2 * deepest)), asked, 7, 7).select("market", "t0", "app_id").distinct()
     if mode == "fresh":
-        recent = day.between(F.date_sub(t0, 7), t0) & (F.col("rank") <= deepest)
-        out = pairs.groupBy("market", "t0", "app_id").agg(F.min("day").alias("first"), F.max(F.when(recent, 1).otherwise(0)).alias("recent"))
-        return out.where((F.col("first") >= F.date_sub(t0, fresh_days)) & (F.col("recent") == 1)).select("market", "t0", "app_id")
+        recent = _around(rows.where(F.col("rank") <= deepest), asked, 7, 0).select("market", "t0", "app_id").distinct()
+        first = rows.groupBy("market", "app_id").agg(F.min("day").alias("day"))
+        return recent.join(first, ["market", "app_id"]).where(day >= F.date_sub(t0, fresh_days)).select("market", "t0", "app_id")
     raise ValueError(mode)
 
 
+def _around(rows: DataFrame, asked: DataFrame, before: int, after: int) -> DataFrame:
+    """Rows of each asked (market, t0) from `before` days before t0 to `after` days after it: an equal join on the day."""
+    days = asked.withColumn("day", F.explode(F.sequence(F.date_sub("t0", before), F.date_add("t0", after))))
+    return rows.join(days, ["market", "day"])
+
+
 def winner_labels(pairs: DataFrame, charts: DataFrame, horizon: int = 90, deepest: int = 100) -> DataFrame:
     """pairs (app_id, market, store, t0) with winner_exact and winner_window at t0 + horizon.
 
-    Cells whose charts end before that day are left out.
+    Cells whose charts end before that day are left out. Only the seven days asked for are joined.
     """
+    key = ["market", "store", "app_id"]
     ends = charts.groupBy("market", "store").agg(F.max("day").alias("last_day"))
     asked = pairs.withColumn("tm", F.date_add("t0", horizon)).join(ends, ["market", "store"]).where(F.col("last_day") >= F.col("tm"))
-    rows = charts.where(F.col("rank") <= deepest).select("market", "store", "app_id", "day")
-    hits = asked.join(rows, ["market", "store", "app_id"]).where(F.col("day").between(F.date_sub("tm", 6), F.col("tm")))
-    hits = hits.groupBy("market", "store", "app_id", "t0").agg(F.max(F.when(F.col("day") == F.col("tm"), 1).otherwise(0)).alias("e"), F.lit(1).alias("w"))
-    out = asked.join(hits, ["market", "store", "app_id", "t0"], "left")
+    week = asked.select(*key, "t0", "tm", F.explode(F.sequence(F.date_sub("tm", 6), F.col("tm"))).alias("day"))
+    hits = week.join(charts.where(F.col("rank") <= deepest).select(*key, "day"), [*key, "day"])
+    hits = hits.groupBy(*key, "t0").agg(F.max(F.when(F.col("day") == F.col("tm"), 1).otherwise(0)).alias("e"), F.lit(1).alias("w"))
+    out = asked.join(hits, [*key, "t0"], "left")
     return out.select("app_id", "market", "store", "t0", F.coalesce("e", F.lit(0)).alias("winner_exact"), F.coalesce("w", F.lit(0)).alias("winner_window"))
 
 
+def simple_winner_scores(pairs: DataFrame, charts: DataFrame, days: int = 7, deepest: int = 100) -> DataFrame:
+    """pairs (app_id, t0, t_measure) with score and tier: 10 and winner if charted within deepest at most `days` off
+    t_measure, else 0 and loser; null if there's no chart row by t_measure. t_measure before t0 is an error."""
+    if pairs.where("t_measure < t0").limit(1).count():
+        raise ValueError("t_measure lies before t0")
+    first = charts.groupBy("app_id").agg(F.min("day").alias("first_day"))
+    near = pairs.select("app_id", "t0", "t_measure", F.explode(F.sequence(F.date_sub("t_measure", days), F.date_add("t_measure", days))).alias("day"))
+    hits = near.join(charts.where(F.col("rank") <= deepest).select("app_id", "day"), ["app_id", "day"]).groupBy("app_id", "t0", "t_measure").agg(F.lit(True).alias("hit"))
+    out = pairs.join(first, "app_id", "left").join(hits, ["app_id", "t0", "t_measure"], "left")
+    seen, won = F.col("first_day") <= F.col("t_measure"), F.col("hit").isNotNull()
+    return out.select("app_id", "t0", "t_measure", F.when(seen, F.when(won, 10.0).otherwise(0.0)).alias("score"), F.when(seen, F.when(won, "winner").otherwise("loser")).alias("tier"))
+
+
 def winner_scores(pairs: DataFrame, charts: DataFrame, signals: DataFrame, count_signal: str, revenue_signal: str) -> DataFrame:
     """(app_id, t, score, tier): months charted, review growth, revenue and retention, weighted; future rows don't count.
 
@@ -107,13 +129,39 @@ def winner_scores(pairs: DataFrame, charts: DataFrame, signals: DataFrame, count
 
 
 def rankings(values: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:
-    """(*keys, ranker, app_id, pos): each named value ranks the apps that have it; `random` by a hash."""
+    """(*keys, ranker, app_id, pos): each named value ranks the apps that have it; `random` ranks all by a digest of seed,
+    keys and app."""
     w = Window.partitionBy(*keys, "ranker").orderBy(F.desc("value"), "app_id")
-    drawn = values.select(*keys, "app_id").distinct().select(*keys, "app_id", F.lit("random").alias("ranker"), (F.pmod(F.xxhash64("app_id", *keys, F.lit(seed)), F.lit(1 << 40))).cast("double").alias("value"))
+    drawn_value = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("app_id").cast("string"))), 1, 12), 16, 10).cast("double")
+    drawn = values.select(*keys, "app_id").distinct().select(*keys, "app_id", F.lit("random").alias("ranker"), drawn_value.alias("value"))
     named = values.select(*keys, "app_id", F.col("signal_name").alias("ranker"), F.col("value").cast("double").alias("value"))
     return named.where("value is not null and not isnan(value)").unionByName(drawn).withColumn("pos", F.row_number().over(w).cast("long")).drop("value")
 
 
+def select_signals(signals: DataFrame, names: dict[str, str], excluded: tuple[str, ...] = (), versions: dict[str, str] | None = None) -> DataFrame:
+    """Signal rows by their public names, without the excluded ones, without nulls, each at its version where one is set."""
+    public = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in names.items() for x in p]), F.col("signal_name")), F.lit(""))
+    rows = signals.where("value is not null").withColumn("signal_name", public).where((F.col("signal_name") != "") & ~F.col("signal_name").isin(*excluded))
+    if not versions:
+        return rows
+    wanted = F.try_element_at(F.create_map(*[F.lit(x) for p in versions.items() for x in p]), F.col("signal_name"))
+    return rows.where(wanted.isNull() | (F.col("version") == wanted))
+
+
+def cohort_counters(values: DataFrame, tiers: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
+    """(*keys, candidates, eligible, winners): candidates, those with `least` signals or more, and winners among them.
+
+    values (*keys, app_id, signal_name, value) has a row for each candidate, with a null value if it has no signal.
+    """
+    apps = values.groupBy(*keys, "app_id").agg(F.count("value").alias("n"))
+    out = apps.join(tiers.select(*keys, "app_id", "tier"), [*keys, "app_id"], "left")
+    return out.groupBy(*keys).agg(F.count("*").alias("candidates"), F.count_if(F.col("n") >= least).alias("eligible"), F.count_if(F.col("tier") == "winner").alias("winners"))
+
+
+def top_k(ranked: DataFrame, k: int) -> DataFrame:
+    return ranked.where(F.col("pos") <= k)
+
+
 def precision_at_k(ranked: DataFrame, winners: DataFrame, keys: list[str], ks: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """(*keys, ranker, k, precision): winners among the first k, over k."""
     won = ranked.join(winners.select(*keys, "app_id", "is_winner"), [*keys, "app_id"], "left")

@@ -9,60 +9,69 @@ FACTORS = ("f0", "f1", "f2", "f4", "f5", "f7", "f11", "f14")
 CELL = ["market", "store", "t0"]
 
 
-def cell_factors(charts: DataFrame, cohorts: DataFrame, top_n: int = 100) -> DataFrame:
-    """(market, store, t0, app_id, f0, f1, f2, f4) for apps charted in the week that ends at t0.
+def _serving(charts: DataFrame, t0s: DataFrame, days: int = 365) -> DataFrame:
+    """Each chart row with every t0 that lies at most `days` after it: an equal join on the months it can serve."""
+    dates = t0s.select("t0").distinct().withColumn("month", F.trunc("t0", "month"))
+    months = F.sequence(F.trunc("day", "month"), F.trunc(F.date_add("day", days), "month"), F.expr("interval 1 month"))
+    rows = charts.select("market", "store", "day", "app_id", "rank", F.explode(months).alias("month"))
+    return rows.join(dates, "month").where(F.col("day").between(F.date_sub("t0", days), F.col("t0"))).drop("month")
 
-    f0 rank last seen in the week; f1 days within top_n in a year; f2 steadiness, 1 / population deviation of
-    rank in 90 days; f4 current rank over best rank of the year.
-    """
-    rows = F.broadcast(cohorts.select(*CELL)).join(charts.select("market", "store", "day", "app_id", "rank"), ["market", "store"])
-    rows = rows.where(F.col("day").between(F.date_sub("t0", 365), F.col("t0")))
+
+def _per_cell(charts: DataFrame, t0s: DataFrame, top_n: int) -> DataFrame:
+    """One row for each (t0, market, store, app) seen in the year before t0, of all charts."""
     week, quarter = F.col("day") >= F.date_sub("t0", 6), F.col("day") >= F.date_sub("t0", 90)
-    sd = F.stddev_pop(F.when(quarter, F.col("rank")))
-    out = rows.groupBy(*CELL, "app_id").agg(
+    sd, high = F.stddev_pop(F.when(quarter, F.col("rank"))), F.col("rank") <= top_n
+    return _serving(charts, t0s).groupBy("t0", "app_id", "market", "store").agg(
         F.max_by(F.when(week, F.col("rank")), F.when(week, F.struct("day", -F.col("rank")))).alias("f0"),
-        F.countDistinct(F.when(F.col("rank") <= top_n, F.col("day"))).alias("f1"),
+        F.countDistinct(F.when(high, F.col("day"))).alias("f1"),
         F.when((F.count_if(quarter) >= 2) & (sd > 0), 1 / sd).alias("f2"),
         F.min("rank").alias("best"),
+        F.max(F.when(week & high, 1).otherwise(0)).alias("high_week"),
     )
-    return out.where("f0 is not null").select(*CELL, "app_id", F.col("f0").cast("long"), F.col("f1").cast("long"), F.round("f2", 6).alias("f2"), F.round(F.col("f0") / F.col("best"), 6).alias("f4"))
-
-
-def breadth(charts: DataFrame, t0s: DataFrame, top_n: int = 100) -> DataFrame:
-    """(t0, app_id, f5): distinct (market, store) in the week that ends at t0."""
-    rows = F.broadcast(t0s.select("t0").distinct()).join(charts, F.col("day").between(F.date_sub("t0", 6), F.col("t0")) & (F.col("rank") <= top_n))
-    return rows.groupBy("t0", "app_id").agg(F.countDistinct("market", "store").alias("f5"))
 
 
-def publisher_tenure(charts: DataFrame, invariants: DataFrame, t0s: DataFrame, top_n: int = 100) -> DataFrame:
-    """(t0, store, app_id, f7): mean tenure of the publisher's other apps over markets in a year, same store."""
-    rows = F.broadcast(t0s.select("t0").distinct()).join(charts, F.col("day").between(F.date_sub("t0", 365), F.col("t0")) & (F.col("rank") <= top_n))
-    app = rows.groupBy("t0", "store", "app_id").agg(F.countDistinct("market", "day").alias("tenure")).join(invariants.select("app_id", "publisher_id"), "app_id")
-    pub = app.where("publisher_id is not null").groupBy("t0", "store", "publisher_id").agg(F.sum("tenure").alias("s"), F.count("*").alias("n"))
-    out = app.join(pub, ["t0", "store", "publisher_id"], "left")
-    return out.select("t0", "store", "app_id", F.round((F.col("s") - F.col("tenure")) / F.nullif(F.col("n") - 1, F.lit(0)), 6).alias("f7"))
+def cell_factors(charts: DataFrame, cohorts: DataFrame, top_n: int = 100) -> DataFrame:
+    """(market, store, t0, app_id, f0, f1, f2, f4) for apps charted in the week that ends at t0.
 
+    f0 rank last seen in the week; f1 days within top_n in a year; f2 steadiness, 1 / population deviation of
+    rank in 90 days; f4 current rank over best rank of the year.
+    """
+    out = _per_cell(charts, cohorts, top_n).join(cohorts.select(*CELL).distinct(), CELL, "left_semi").where("f0 is not null")
+    return out.select(*CELL, "app_id", F.col("f0").cast("long"), F.col("f1").cast("long"), F.round("f2", 6).alias("f2"), F.round(F.col("f0") / F.col("best"), 6).alias("f4"))
 
-def counterpart(cells: DataFrame, charts: DataFrame, top_n: int = 100) -> DataFrame:
-    """(market, store, t0, app_id, f14): 1 if charted in the other store that week, null if that store has no data then."""
-    other = F.when(F.col("store") == "apple", "googleplay").otherwise("apple")
-    week = F.broadcast(cells.select("market", "t0").distinct()).join(charts.where(F.col("rank") <= top_n), "market").where(F.col("day").between(F.date_sub("t0", 6), F.col("t0")))
-    there = week.select("market", "t0", other.alias("store"), "app_id").distinct().withColumn("hit", F.lit(1))
-    any_ = there.select(*CELL).distinct().withColumn("any", F.lit(1))
-    out = cells.select(*CELL, "app_id").join(there, [*CELL, "app_id"], "left").join(any_, CELL, "left")
-    return out.select(*CELL, "app_id", F.when(F.col("any") == 1, F.coalesce("hit", F.lit(0))).alias("f14"))
 
+def factor_table(charts: DataFrame, invariants: DataFrame, cohorts: DataFrame, top_n: int = 100) -> DataFrame:
+    """All eight factors, one row for each cell of the cohorts and app charted there in the week that ends at t0.
 
-def age(cells: DataFrame, invariants: DataFrame) -> DataFrame:
+    f0, f1, f2, f4 as in cell_factors(). f5: charts (market, store) within top_n that week. f7: mean tenure (days within
+    top_n in a year, over markets) of the publisher's other apps in the same store, null if it has none. f11: age in
+    days, 365 at most. f14: whether the app is within top_n in the other store that week, null if that store has no
+    such row then. The charts are read and grouped once; all else are windows over their cells.
+    """
+    w_app = Window.partitionBy("t0", "app_id")
+    w_market, w_store = Window.partitionBy("t0", "app_id", "market"), Window.partitionBy("t0", "app_id", "store")
+    other = lambda w: F.when(F.col("store") == "apple", F.max(F.when(F.col("store") != "apple", F.col("high_week"))).over(w)).otherwise(F.max(F.when(F.col("store") == "apple", F.col("high_week"))).over(w))
+    rows = _per_cell(charts, cohorts, top_n).withColumns({
+        "f5": F.sum("high_week").over(w_app),
+        "both": F.coalesce(other(w_market), F.lit(0)),
+        "tenure": F.sum("f1").over(w_store),
+        "nth": F.row_number().over(w_store.orderBy("market")),
+    })
+    inv = invariants.select("app_id", "store", "publisher_id", "release_day")
+    pub = F.coalesce(F.col("publisher_id").cast("string"), F.concat(F.lit("?"), F.col("app_id").cast("string")))  # no publisher: a group of its own
+    w_pub = Window.partitionBy("t0", "store", "pub")
+    counted = (F.col("nth") == 1) & (F.col("tenure") > 0)
+    rows = rows.join(inv, ["app_id", "store"], "left").withColumn("pub", pub).withColumns({"s": F.sum(F.when(counted, F.col("tenure"))).over(w_pub), "k": F.count_if(counted).over(w_pub)})
+    mine = F.col("tenure") > 0
+    f7 = (F.col("s") - F.col("tenure")) / F.nullif(F.col("k") - 1, F.lit(0))
+    any_other = other(Window.partitionBy("t0", "market"))
     days = F.datediff("t0", "release_day")
-    return cells.select(*CELL, "app_id").join(invariants.select("app_id", "release_day"), "app_id", "left").select(*CELL, "app_id", F.when(days >= 0, F.least(F.lit(365), days)).alias("f11"))
-
-
-def factor_table(charts: DataFrame, invariants: DataFrame, cohorts: DataFrame, top_n: int = 100) -> DataFrame:
-    """All eight factors, one row for each cell and app."""
-    cells = cell_factors(charts, cohorts, top_n)
-    out = cells.join(breadth(charts, cohorts, top_n), ["t0", "app_id"], "left").join(publisher_tenure(charts, invariants, cohorts, top_n), ["t0", "store", "app_id"], "left")
-    return out.join(age(cells, invariants), [*CELL, "app_id"]).join(counterpart(cells, charts, top_n), [*CELL, "app_id"]).select(*CELL, "app_id", *FACTORS)
+    rows = rows.withColumn("any", F.coalesce(any_other, F.lit(0))).join(cohorts.select(*CELL).distinct(), CELL, "left_semi").where("f0 is not null")
+    return rows.select(
+        *CELL, "app_id", F.col("f0").cast("long"), F.col("f1").cast("long"), F.round("f2", 6).alias("f2"), F.round(F.col("f0") / F.col("best"), 6).alias("f4"),
+        F.nullif(F.col("f5"), F.lit(0)).cast("long").alias("f5"), F.round(F.when(mine & F.col("publisher_id").isNotNull(), f7), 6).alias("f7"),
+        F.when(days >= 0, F.least(F.lit(365), days)).cast("long").alias("f11"), F.when(F.col("any") == 1, F.col("both")).cast("long").alias("f14"),
+    )
 
 
 def to_long(wide: DataFrame, names: tuple[str, ...] = FACTORS) -> DataFrame:
@@ -115,9 +124,9 @@ def residualized(wide: DataFrame, keys: list[str], order: tuple[str, ...] = FACT
 
 
 def directions(long: DataFrame, label: str, least: int = 30) -> DataFrame:
-    """(signal_name, ascending): whether low values go with winning, over all rows."""
-    out = long.where("value is not null").groupBy("signal_name").agg(F.count("*").alias("n"), F.corr("value", F.col(label).cast("double")).alias("c"))
-    return out.select("signal_name", F.coalesce((F.col("n") >= least) & (F.col("c") < 0) & ~F.isnan("c"), F.lit(False)).alias("ascending"))
+    """(signal_name, ascending): whether low values go with winning, over all rows; a correlation has the sign of the covariance."""
+    out = long.where("value is not null").groupBy("signal_name").agg(F.count("*").alias("n"), F.round(F.covar_pop("value", F.col(label).cast("double")), 9).alias("c"))
+    return out.select("signal_name", F.coalesce((F.col("n") >= least) & (F.col("c") < 0), F.lit(False)).alias("ascending"))
 
 
 def top_decile(long: DataFrame, keys: list[str], label: str, ascending: DataFrame, least: int = 10) -> DataFrame:
@@ -132,12 +141,14 @@ def top_decile(long: DataFrame, keys: list[str], label: str, ascending: DataFram
 def cluster_bootstrap(lifts: DataFrame, reps: int = 200, seed: int = 42) -> DataFrame:
     """(signal_name, n, median, low, high, p): medians of resampled cohort lifts; under three cohorts nulls.
 
-    lifts (signal_name, cohort, lift). Draw d of repetition r takes the cohort at a hash of (r, d, seed), so runs agree.
+    lifts (signal_name, cohort, lift). Draw d of repetition r takes the cohort at a multiplicative hash of (r, d, seed),
+    in integers that any engine computes alike.
     """
     w = Window.partitionBy("signal_name")
     indexed = lifts.withColumns({"i": F.row_number().over(w.orderBy("cohort")) - 1, "n": F.count("*").over(w)})
     draws = indexed.select("signal_name", "n", F.col("i").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    draws = draws.withColumn("i", F.pmod(F.xxhash64("rep", "d", F.lit(seed)), F.col("n")).cast("int"))
+    mixed = (F.col("rep").cast("long") * 1000003 + F.col("d").cast("long") * 7919 + seed * 104729) * 2654435761 % 4294967296
+    draws = draws.withColumn("i", (F.floor(mixed / 256) % F.col("n")).cast("int"))
     medians = draws.join(indexed.select("signal_name", "i", "lift"), ["signal_name", "i"]).groupBy("signal_name", "rep").agg(F.median("lift").alias("m"))
     boot = medians.groupBy("signal_name").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg(F.when(F.col("m") <= 0, 1.0).otherwise(0.0)).alias("below"), F.avg(F.when(F.col("m") >= 0, 1.0).otherwise(0.0)).alias("above"))
     real = lifts.groupBy("signal_name").agg(F.count("*").alias("n"), F.median("lift").alias("median"))
@@ -146,5 +157,72 @@ def cluster_bootstrap(lifts: DataFrame, reps: int = 200, seed: int = 42) -> Data
     return real.join(boot, "signal_name", "left").select("signal_name", "n", *[F.when(enough, v).alias(k) for k, v in (("median", F.col("median")), ("low", F.col("q")[0]), ("high", F.col("q")[1]), ("p", p))])
 
 
+def cohort_lifts(best: DataFrame, keys: list[str], base: str = "f0") -> DataFrame:
+    """(signal_name, cohort, n, precision, base, lift) of top_decile() rows: each factor's precision less the base's."""
+    of_base = best.where(F.col("signal_name") == base).select(*keys, F.col("precision").alias("base"))
+    rows = best.where(F.col("signal_name") != base).join(of_base, keys)
+    return rows.select("signal_name", *keys, F.concat_ws("/", *keys).alias("cohort"), "n", "precision", "base", (F.col("precision") - F.col("base")).alias("lift"))
+
+
+def with_cohort_columns(rows: DataFrame, first_tier: tuple[str, ...]) -> DataFrame:
+    """Rows (market, store, t0, ...) with tier (sea or tier1), t0_iso and cohort_key."""
+    tier = F.when(F.col("market").isin(*first_tier), "sea").otherwise("tier1")
+    return rows.withColumns({"tier": tier, "t0_iso": F.date_format("t0", "yyyy-MM-dd"), "cohort_key": F.concat_ws("/", "market", "store", F.date_format("t0", "yyyy-MM-dd"))})
+
+
+def label_long(labels: DataFrame, keys: list[str], names: tuple[str, ...] = ("winner_exact", "winner_window")) -> DataFrame:
+    """(*keys, label, is_winner): one row for each kind of label, so that one run covers the main and the other one."""
+    return labels.unpivot(keys, list(names), "label", "is_winner")
+
+
+def low_coverage(covered: DataFrame, least: float = 0.5) -> list[str]:
+    """Factors whose share of values is under `least`; one row a factor reaches the driver."""
+    return sorted(r["signal_name"] for r in covered.where(F.col("share") < least).collect())
+
+
+def study_verdict(alive: DataFrame, composite_lift: float | None, least_composite: float = 0.05) -> str:
+    """K1 if any factor is alive, else K2 if the composite lifts enough, else K3."""
+    if alive.where("alive").limit(1).count():
+        return "K1"
+    return "K2" if composite_lift is not None and composite_lift >= least_composite else "K3"
+
+
+def forward_chaining(rows: DataFrame, features: list[str], label: str, least_train: int = 30, least_test: int = 10, c: float = 1.0) -> DataFrame:
+    """(t0, n_train, n_test, prec_composite, prec_f0, lift) of each date after the first: a logistic model of all earlier
+    dates ranks that date's apps, and its top tenth is held against that of f0.
+
+    rows (market, store, t0, app_id, *features, label). Missing values take the training median; markets and stores are
+    indicators, the first left out; the penalty is 1 / (2 c) of the squared weights, the constant's included. Dates with
+    too few rows or one class are left out. Dates are a few dozen, one fit each; write `rows` out before, they are read
+    several times.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = rows.where(F.col(label).isNotNull())
+    dates = [r["t0"] for r in rows.select("t0").distinct().orderBy("t0").collect()]
+    extra = [(k, v) for k in ("market", "store") for v in sorted(r[0] for r in rows.select(k).distinct().collect())[1:]]
+    folds = []
+    for t0 in dates[1:]:
+        train, test = rows.where(F.col("t0") < F.lit(t0)), rows.where(F.col("t0") == F.lit(t0))
+        known = train.agg(F.count("*").alias("n"), F.min(label).alias("low"), F.max(label).alias("high"), *[F.median(f).alias(f) for f in features]).first()
+        n_test = test.count()
+        if known["n"] < least_train or n_test < least_test or known["low"] == known["high"]:
+            continue
+        filled = [F.coalesce(F.col(f).cast("double"), F.lit(known[f] if known[f] is not None else 0.0)) for f in features]
+        vector = array_to_vector(F.array(F.lit(1.0), *filled, *[(F.col(k) == v).cast("double") for k, v in extra])).alias("x")
+        fit = LogisticRegression(featuresCol="x", labelCol="y", fitIntercept=False, standardization=False, regParam=1 / (c * known["n"]), maxIter=200, tol=1e-9)
+        model = fit.fit(train.select(vector, F.col(label).cast("double").alias("y")))
+        scored = model.transform(test.select("market", "store", "app_id", F.col(label).cast("double").alias("y"), "f0", vector)).withColumn("p", vector_to_array("probability")[1])
+        w = Window.partitionBy("market", "store")
+        placed = scored.withColumns({"n": F.count("*").over(w), "by_p": F.row_number().over(w.orderBy(F.desc("p"), "app_id")), "by_f0": F.row_number().over(w.orderBy("f0", "app_id"))}).where(F.col("n") >= least_test)
+        cut = F.greatest(F.lit(1), F.ceil(0.1 * F.col("n")))
+        each = placed.groupBy("market", "store").agg(F.avg(F.when(F.col("by_p") <= cut, F.col("y"))).alias("p"), F.avg(F.when(F.col("by_f0") <= cut, F.col("y"))).alias("f"))
+        got = each.agg(F.avg("p").alias("p"), F.avg("f").alias("f")).first()
+        if got["p"] is not None:
+            folds.append((t0, known["n"], n_test, got["p"], got["f"], got["p"] - got["f"]))
+    return rows.sparkSession.createDataFrame(folds, "t0 date, n_train long, n_test long, prec_composite double, prec_f0 double, lift double")
+
+
 def verdicts(boot: DataFrame, least_lift: float = 0.03, level: float = 0.05 / 8) -> DataFrame:
     return boot.withColumn("alive", F.coalesce((F.col("median") >= least_lift) & (F.col("p") < level), F.lit(False)))

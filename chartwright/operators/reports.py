@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from chartwright.functions.exprs import fill_template, finite
 
-# Bands of cited estimates and their scores, price in dollars of a million tokens by model.
+# Bands of cited estimates and their scores; dollars of a million tokens in and out of a model with no price.
 BANDS = {"low": 2.0, "mid": 5.0, "high": 8.0}
-PRICES = {"user": 3.0, "assistant": 15.0}
-DEFAULT_PRICE = 5.0
+DEFAULT_PRICE = (3.0, 15.0)
 DOSSIER = "# {{app_id}} on {{store}}\nMarkets: {{markets}}\nClass: {{dna_class}} ({{tier}})\nSubscription: {{has_subscription}}\nScore: {{score}}\n{{unknown}}"
 
 
@@ -43,25 +42,39 @@ def cited_scores(claims: DataFrame) -> DataFrame:
 
 
 def judge_violations(results: DataFrame) -> DataFrame:
-    """results (kind, score, confidence, reasoning, market) with the names of the rules each row breaks; none: valid."""
+    """results with the names of the rules each row breaks; none: valid.
+
+    Columns: kind (text or vision), app_id, store, market, score, reasoning, confidence, model_version, flags (four
+    booleans for text, three for vision), and for vision freshness and screenshots_analyzed.
+    """
+    vision, long = F.col("kind") == "vision", lambda c, low, high: F.length(c).between(low, high)
     rules = {
         "kind": F.col("kind").isin("text", "vision"),
-        "score": F.col("score").between(0, 10),
-        "confidence": F.col("confidence").between(0, 1),
-        "reasoning": F.length("reasoning").between(1, 600),
+        "app_id": F.length("app_id") >= 1,
+        "store": F.col("store").isin("apple", "google"),
         "market": F.length("market") == 2,
+        "score": finite(F.col("score")).between(0, 10),
+        "reasoning": long("reasoning", 1, 600),
+        "confidence": finite(F.col("confidence")).between(0, 1),
+        "model_version": F.length("model_version") >= 1,
+        "flags": (F.size("flags") == F.when(vision, 3).otherwise(4)) & ~F.exists("flags", lambda f: f.isNull()),
+        "freshness": ~vision | F.col("freshness").isin("fresh", "stale", "unknown"),
+        "screenshots_analyzed": ~vision | (F.col("screenshots_analyzed") >= 1),
     }
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))
     return results.withColumn("violations", broken)
 
 
-def usage(calls: DataFrame, cap: float) -> DataFrame:
-    """(model, calls, tokens, cost, share): calls (model, tokens) by model at its price, unknown models at the
-    default; share is the cost over the cap."""
-    price = F.coalesce(*[F.when(F.col("model") == k, v) for k, v in PRICES.items()], F.lit(DEFAULT_PRICE))
-    cost = F.col("tokens") * price / 1e6
-    out = calls.groupBy("model").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens")).withColumn("cost", F.round(cost, 6))
-    return out.withColumn("share", F.round(F.col("cost") / cap, 6))
+def usage(calls: DataFrame, cap: float, prices: dict[str, tuple[float, float]], default: tuple[float, float] = DEFAULT_PRICE) -> DataFrame:
+    """(model, calls, tokens_in, tokens_out, cost, share) of calls (model, tokens_in, tokens_out); prices are dollars of a
+    million tokens in and out by model, `default` for others; share is the cost over the cap."""
+
+    def price(place: int) -> Column:
+        return F.coalesce(*[F.when(F.col("model") == k, v[place]) for k, v in prices.items()], F.lit(default[place]))
+
+    out = calls.groupBy("model").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+    cost = (F.col("tokens_in") * price(0) + F.col("tokens_out") * price(1)) / 1e6
+    return out.withColumn("cost", F.round(cost, 6)).withColumn("share", F.round(F.col("cost") / cap, 6))
 
 
 def baseline_stats(values: DataFrame, grid: DataFrame, keys: list[str], value: str = "value", below: float = 5.0) -> DataFrame:
@@ -142,3 +155,79 @@ def drift(actual: DataFrame, baseline: DataFrame, keys: list[str], tolerance: fl
     same = (F.abs(F.col("score") - F.col("base")) <= tolerance) & F.col("passes").eqNullSafe(F.col("base_passes"))
     status = F.when(F.col("there").isNull(), "PASS").when(F.coalesce(same, F.lit(False)), "PASS").otherwise("FAIL")
     return both.select(*keys, "score", "base", status.alias("status"))
+
+
+def compare_judges(results: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(pairs, counts) of results (*keys, kind, score, *order): the last text and vision score of a key, their divergence,
+    and how many keys have only one of them."""
+    last = results.groupBy(*keys).agg(
+        F.max_by(F.when(F.col("kind") == "text", F.col("score")), F.when(F.col("kind") == "text", F.struct(*order))).alias("text_score"),
+        F.max_by(F.when(F.col("kind") == "vision", F.col("score")), F.when(F.col("kind") == "vision", F.struct(*order))).alias("vision_score"),
+    )
+    text, vision = F.col("text_score").isNotNull(), F.col("vision_score").isNotNull()
+    pairs = last.where(text & vision).withColumn("divergence", F.round(F.abs(F.col("text_score") - F.col("vision_score")), 6))
+    counts = last.agg(F.count_if(text & vision).alias("pairs"), F.count_if(text & ~vision).alias("only_text"), F.count_if(~text & vision).alias("only_vision"))
+    return pairs, counts
+
+
+def divergence_lines(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(position, line): a table row for each pair, the furthest apart first, ties by key."""
+    order = [F.desc("divergence"), *keys]
+    cells = [F.col(k).cast("string") for k in keys] + [F.format_string("%.1f", c) for c in ("text_score", "vision_score", "divergence")]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    return pairs.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"), line.alias("line"))
+
+
+def baseline_lines(stats: DataFrame, keys: list[str], tier: Column) -> DataFrame:
+    """(line): baseline_stats() as tab-separated text, three places, with a tier."""
+    number = lambda c: F.coalesce(F.format_string("%.3f", c), F.lit(""))
+    return stats.select(F.concat_ws("\t", *[F.col(k).cast("string") for k in keys], F.col("n").cast("string"), number(F.col("mean")), number(F.col("share_below")), tier).alias("line"))
+
+
+def predicted_line(cpi_low: Column, cpi_high: Column, ltv_low: Column, ltv_high: Column, budget: Column, months: Column) -> Column:
+    """What an opportunity is predicted to cost and bring, what is missing left out."""
+    money = lambda c: F.format_string("$%s", c.cast("string"))
+    span = lambda name, low, high: F.when(low.isNotNull() & high.isNotNull(), F.concat(F.lit(f"{name}: "), money(low), F.lit("-"), money(high))).when(low.isNotNull(), F.concat(F.lit(f"{name}: "), money(low), F.lit("+")))
+    parts = (
+        span("CPI", cpi_low, cpi_high),
+        span("LTV", ltv_low, ltv_high),
+        F.when(budget.isNotNull(), F.concat(F.lit("Capital to validate: "), money(budget))),
+        F.when(months.isNotNull(), F.concat(F.lit("Horizon: "), months.cast("string"), F.lit(" months"))),
+    )
+    joined = F.concat_ws(" | ", *parts)
+    return F.when(joined == "", "(no predictions)").otherwise(joined)
+
+
+def plan_line(steps: Column, metric: Column, direction: Column, threshold: Column) -> Column:
+    numbered = F.transform(steps, lambda s, i: F.concat(F.lit("Step "), (i + 1).cast("string"), F.lit(": "), s))
+    return F.concat_ws(" | ", F.array_join(numbered, " | "), F.concat_ws(" ", F.lit("Kill criterion:"), metric, direction, threshold.cast("string")))
+
+
+def briefs(opportunities: DataFrame, signals: list[str]) -> DataFrame:
+    """Opportunities (source_app_id, source_market, target_market, thesis, *signals, predicted, tags, plan, url, claim) with
+    `brief`: sections under bold headings, missing signals left out."""
+    lines = F.concat_ws("\n", *[F.when(F.col(s).isNotNull(), F.concat(F.lit(f"  - {s}: "), F.format_string("%.1f", s), F.lit("/10"))) for s in signals])
+    section = lambda name, body: F.concat(F.lit(f"**{name}**\n"), body, F.lit("\n"))
+    tags = F.when(F.size("tags") > 0, F.array_join("tags", ", ")).otherwise("(none derived)")
+    head = F.concat(F.lit("**Source:** "), F.col("source_app_id").cast("string"), F.lit(" in "), F.col("source_market"), F.lit("\n**Target:** "), F.col("target_market"), F.lit("\n"))
+    parts = (
+        head,
+        section("Thesis", F.col("thesis")),
+        section("Signals", F.when(lines == "", "  (none computed)").otherwise(lines)),
+        section("Predicted economics", F.concat(F.lit("  "), F.col("predicted"))),
+        F.concat(F.lit("**Tags:** "), tags, F.lit("\n")),
+        section("Validation plan", F.concat(F.lit("  "), F.col("plan"))),
+        section("Evidence", F.concat(F.lit("  "), F.col("url"), F.lit(" - "), F.col("claim"))),
+    )
+    return opportunities.withColumn("brief", F.concat_ws("\n", *parts))
+
+
+def demo_digest(candidates: DataFrame, n: int, revenue_per_rating: float = 50.0) -> DataFrame:
+    """The first n ranked candidates as shown to a reader: revenue from ratings, rounded scores, the judge's reasoning or
+    a sentence from the scores. Columns: position, name, store, market, category, ratings_count, gap, paywall, revenue,
+    composite, reasoning."""
+    said = F.format_string("Composite %.1f/10 from heuristic scoring (loc gap %.1f, paywall %.1f, revenue %.1f).", "composite", "gap", "paywall", "revenue")
+    return candidates.where(F.col("position") <= n).select(
+        "position", "name", "store", F.upper("market").alias("market"), "category", F.round(F.coalesce("ratings_count", F.lit(0)) * revenue_per_rating).cast("long").alias("estimated_revenue"),
+        F.round("gap", 1).alias("gap"), F.round("paywall", 1).alias("paywall"), F.round("composite", 2).alias("composite"), F.coalesce("reasoning", said).alias("reasoning"),
+    )

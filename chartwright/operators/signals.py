@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chartwright.functions.exprs import clamp, improvement_score, ratio_score
+from chartwright.functions import fixed
+from chartwright.functions.exprs import clamp, finite, improvement_score, ratio_score
 
 
 def smoothed(series: DataFrame, key: list[str], t: str, value: str, threshold: int = 80) -> DataFrame:
@@ -61,15 +64,51 @@ def vulnerability(staleness: DataFrame, trend: DataFrame) -> DataFrame:
     return both.select("app_id", F.round(0.6 * clamp(F.col("stale_days") / 365 * 10, 0, 10) + 0.4 * F.col("trend"), 4).alias("vulnerability"))
 
 
-def unit_economics(requests: DataFrame, seed: DataFrame, family: DataFrame) -> DataFrame:
-    """Lifetime value over cost of (market, category): direct, else the family's siblings in order; flagged.
-
-    requests (market, category); seed (market, category, cpi_low, cpi_high, ltv_low, ltv_high); family (category, sibling, priority).
-    """
-    options = requests.select("market", "category").distinct().select("market", "category", F.col("category").alias("sibling"), F.lit(0).alias("priority"))
-    chain = requests.select("market", "category").distinct().join(F.broadcast(family), "category").select("market", "category", "sibling", "priority")
-    named = seed.withColumnRenamed("category", "sibling")
-    found = options.unionByName(chain).join(F.broadcast(named), ["market", "sibling"])
-    best = found.groupBy("market", "category").agg(F.min_by(F.struct("cpi_low", "cpi_high", "ltv_low", "ltv_high", "priority"), "priority").alias("b"))
-    ratio = (F.col("b.ltv_low") + F.col("b.ltv_high")) / (F.col("b.cpi_low") + F.col("b.cpi_high"))
-    return requests.join(best, ["market", "category"], "left").select(*[requests[c] for c in requests.columns], F.round(ratio, 6).alias("ratio"), F.round(ratio_score(ratio), 6).alias("economics"), (F.col("b.priority") > 0).alias("is_fallback"))
+def chart_vulnerability(charts: DataFrame, now: str, days: int = 90, version: str = "chart-stability") -> DataFrame:
+    """(app_id, vulnerability, version): the chart-only form, rank deviation over 50 to 0..10; null under three rows."""
+    return volatility(charts, now, days).select("app_id", F.col("instability").alias("vulnerability"), F.lit(version).alias("version"))
+
+
+def economics_seed(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(fixed.ECONOMICS_SEED), "market string, category string, cpi_low double, cpi_high double, ltv_low double, ltv_high double")
+
+
+def category_family(spark: SparkSession) -> DataFrame:
+    """(category, sibling, priority): whose estimate stands in for a category's, in order."""
+    rows = [(c, s, i + 1) for c, siblings in fixed.CATEGORY_FAMILY.items() for i, s in enumerate(siblings)]
+    return spark.createDataFrame(rows, "category string, sibling string, priority int")
+
+
+def unit_economics(requests: DataFrame, seed: DataFrame | None = None, family: DataFrame | None = None) -> DataFrame:
+    """Requests (market, category, ...) with the ratio of value over cost, its score `economics`, the ranges it comes
+    from, and is_fallback: the category's own estimate, else the family's first one that the market has. Null if none."""
+    spark = requests.sparkSession
+    seed = economics_seed(spark) if seed is None else seed
+    family = category_family(spark) if family is None else family
+    asked = requests.select(F.lower("market").alias("m"), F.lower("category").alias("c")).distinct()
+    chain = asked.select("m", "c", F.col("c").alias("sibling"), F.lit(0).alias("priority"))
+    chain = chain.unionByName(asked.join(family, F.col("c") == F.col("category")).select("m", "c", "sibling", "priority"))
+    ranges = ("cpi_low", "cpi_high", "ltv_low", "ltv_high")
+    found = chain.join(seed.select(F.lower("market").alias("m"), F.lower("category").alias("sibling"), *ranges), ["m", "sibling"])
+    best = found.groupBy("m", "c").agg(F.min_by(F.struct(*ranges, "priority"), "priority").alias("b"))
+    cost, value = finite(F.col("b.cpi_low") + F.col("b.cpi_high")), finite(F.col("b.ltv_low") + F.col("b.ltv_high"))
+    ratio = F.when(cost > 0, value / cost)
+    out = requests.join(best, (F.lower(requests["market"]) == F.col("m")) & (F.lower(requests["category"]) == F.col("c")), "left")
+    return out.select(
+        *[requests[c] for c in requests.columns], F.round(ratio, 6).alias("ratio"), F.round(F.when(ratio <= 0, 0.0).otherwise(ratio_score(ratio)), 6).alias("economics"),
+        *[F.col(f"b.{r}").alias(r) for r in ranges], (F.col("b.priority") > 0).alias("is_fallback"),
+    )
+
+
+def signal_grid(charts: DataFrame, pool: DataFrame, t0s: list[str], days: int = 30, deepest: int = 200, least: int = 7, threshold: int = 80) -> DataFrame:
+    """(app_id, t0, signal_name, value) of every candidate of the pool (market, t0, app_id): velocity and the chart-only
+    vulnerability at t0; a value that can't be computed is a row with null."""
+    asked = pool.select("app_id", "t0").distinct()
+    parts = []
+    for t0 in t0s:  # decision dates: a few dozen
+        here = asked.where(F.col("t0") == F.lit(t0).cast("date"))
+        speed = velocity_v1(charts, t0, days, deepest, least, threshold).select("app_id", F.lit("velocity").alias("signal_name"), F.col("velocity").alias("value"))
+        weak = chart_vulnerability(charts, t0).select("app_id", F.lit("incumbent_vulnerability").alias("signal_name"), F.col("vulnerability").alias("value"))
+        names = here.select("app_id", "t0", F.explode(F.array(F.lit("velocity"), F.lit("incumbent_vulnerability"))).alias("signal_name"))
+        parts.append(names.join(speed.unionByName(weak), ["app_id", "signal_name"], "left").select("app_id", "t0", "signal_name", "value"))
+    return reduce(DataFrame.unionByName, parts)

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartwright.functions import exprs as X
+from chartwright.functions import fixed
 from chartwright.operators import audit, backtest, factors, shortlist, signals
 from chartwright.sources import derived as D
+from chartwright.sources import scratch
 
 START, END, LEAST_DAYS, TOP = "2000-06-01", "2001-06-01", 10, 3
 NOW = "2000-06-01"
@@ -45,12 +47,14 @@ DURABLE_SQL = f"""durable AS (SELECT app_id, store, market, COUNT(DISTINCT day)
   FROM charts WHERE day BETWEEN DATE '{START}' AND DATE '{END}' AND rank <= 100 GROUP BY 1, 2, 3 HAVING COUNT(DISTINCT day) >= {LEAST_DAYS})"""
 ROLLED_SQL = """rolled AS (SELECT app_id, store, list_sort(list(market)) AS markets, MAX(tenure_days) AS tenure_max, CAST(SUM(tenure_days) AS BIGINT) AS tenure_total,
   MIN(best_rank) AS best_rank, MAX(recent_rows) AS recent_rows FROM durable GROUP BY 1, 2)"""
-STAGED_SQL = """pubs AS (SELECT publisher_id, COUNT(*) AS publisher_apps FROM inv WHERE publisher_id IS NOT NULL GROUP BY 1),
-staged AS (SELECT r.*, m.dna_class, m.has_subscription, i.publisher_id, COALESCE(p.publisher_apps, 1) AS publisher_apps,
-  CASE WHEN m.dna_class IN ('ECONOMY', 'PROMO', 'SMALL') THEN 'AUTO' WHEN m.dna_class IN ('MEDIUM', 'STANDARD') THEN 'REVIEW' ELSE 'NOT' END AS tier,
-  CASE WHEN len(markets) < 2 THEN 'spread' WHEN m.dna_class IS NULL THEN 'no_meta' WHEN i.publisher_id IS NULL THEN 'no_pub'
-       WHEN m.dna_class NOT IN ('ECONOMY', 'PROMO', 'SMALL', 'MEDIUM', 'STANDARD') THEN 'not_clonable' END AS drop_reason
-  FROM rolled r LEFT JOIN meta m USING (app_id) LEFT JOIN inv i USING (app_id) LEFT JOIN pubs p USING (publisher_id)),
+AUTO_SQL, REVIEW_SQL = (", ".join(f"'{c}'" for c in classes) for classes in (fixed.AUTO_CLASSES, fixed.REVIEW_CLASSES))
+STAGED_SQL = f"""pubs AS (SELECT publisher_id, store, COUNT(*) AS publisher_apps FROM inv WHERE publisher_id IS NOT NULL GROUP BY 1, 2),
+staged AS (SELECT r.*, m.dna_class, m.has_subscription, m.description, i.publisher_id, COALESCE(p.publisher_apps, 1) AS publisher_apps,
+  CASE WHEN m.dna_class IN ({AUTO_SQL}) THEN 'AUTO' WHEN m.dna_class IN ({REVIEW_SQL}) THEN 'REVIEW' ELSE 'NOT' END AS tier,
+  CASE WHEN len(markets) < 2 THEN 'spread' WHEN m.app_id IS NULL THEN 'no_meta' WHEN i.publisher_id IS NULL THEN 'no_pub'
+       WHEN m.dna_class IS NULL OR m.dna_class NOT IN ({AUTO_SQL}, {REVIEW_SQL}) THEN 'not_clonable' END AS drop_reason
+  FROM rolled r LEFT JOIN meta m ON m.app_id = r.app_id AND m.store = r.store LEFT JOIN inv i ON i.app_id = r.app_id AND i.store = r.store
+  LEFT JOIN pubs p ON p.publisher_id = i.publisher_id AND p.store = r.store),
 scored AS (SELECT *, ROUND(0.3 * LEAST(1.0, tenure_max / 365.0) + 0.2 * LEAST(1.0, len(markets) / 5.0) + 0.2 * LEAST(1.0, recent_rows / 30.0)
   + 0.15 * GREATEST(0.0, 1 - best_rank / 100.0) + 0.15 * GREATEST(0.0, 1 - GREATEST(0, publisher_apps - 1) / 5.0), 6) AS score FROM staged WHERE drop_reason IS NULL)"""
 SHORT = (D.CHARTS_SQL, DURABLE_SQL, ROLLED_SQL, D.INVARIANTS_SQL, D.METADATA_SQL, STAGED_SQL)
@@ -95,18 +99,31 @@ def a30_funnel(spark, sf_dir):
     return shortlist.funnel(_staged(spark, sf_dir))
 
 
-@query(sql(*SHORT, """checked AS (SELECT app_id, store, unnest([{'n': 'markets', 's': CASE WHEN len(markets) >= 3 THEN 'PASS' ELSE 'WARN' END},
-  {'n': 'tenure', 's': CASE WHEN tenure_max >= 15 THEN 'PASS' ELSE 'FAIL' END},
-  {'n': 'blocked', 's': CASE WHEN list_contains(markets, 'AFRICA') THEN 'WARN' ELSE 'PASS' END},
-  {'n': 'subscription', 's': CASE WHEN has_subscription THEN 'PASS' ELSE 'WARN' END},
-  {'n': 'class', 's': CASE WHEN tier = 'REVIEW' THEN 'INFO' ELSE 'PASS' END}]) AS c FROM scored)
-  SELECT app_id, store, MAX(CASE WHEN c.n = 'markets' THEN c.s END) AS markets_status, MAX(CASE WHEN c.n = 'tenure' THEN c.s END) AS tenure_status,
-  MAX(CASE WHEN c.n = 'subscription' THEN c.s END) AS subscription_status,
-  CASE WHEN bool_or(c.s = 'FAIL') THEN 'FAIL' WHEN bool_or(c.s = 'WARN') THEN 'WARN' ELSE 'PASS' END AS overall FROM checked GROUP BY 1, 2"""))
+RISK = shortlist.RiskThresholds(least_markets=3, least_tenure=15, needs_subscription=True, supported_markets=("Asia", "EUROPE", "america"), clonable_classes=("Puzzle", "Idle", "Education", "Casino"))
+CHECKED_SQL = """c AS (SELECT *, len(markets) AS n, list_filter(list_transform(markets, lambda m: lower(m)), lambda m: m NOT IN ('asia', 'europe', 'america')) AS outside FROM scored),
+checked AS (SELECT *, CASE WHEN n >= 3 THEN 'PASS' ELSE 'FAIL' END AS s1, CASE WHEN tenure_max >= 15 THEN 'PASS' ELSE 'FAIL' END AS s2, CASE WHEN has_subscription THEN 'PASS' ELSE 'FAIL' END AS s3,
+  CASE WHEN len(outside) = 0 THEN 'PASS' WHEN len(outside) = n THEN 'FAIL' ELSE 'WARN' END AS s4, CASE WHEN dna_class IN ('Puzzle', 'Idle', 'Education', 'Casino') THEN 'PASS' ELSE 'FAIL' END AS s5 FROM c),
+risk AS (SELECT *, CASE WHEN 'FAIL' IN (s1, s2, s3, s4, s5) THEN 'FAIL' WHEN 'WARN' IN (s1, s2, s3, s4, s5) THEN 'WARN' ELSE 'PASS' END AS overall FROM checked)"""
+
+
+def checked_shortlist(spark, sf_dir):
+    return shortlist.evaluate_shortlist(shortlist.scored(_staged(spark, sf_dir), 5), RISK)
+
+
+@query(sql(*SHORT, CHECKED_SQL, """ SELECT app_id, store, s1 AS markets_spread, s2 AS tenure, s3 AS subscription_iap, s4 AS supported_markets, s5 AS clonable_dna, overall,
+  concat_ws('; ', n || ' markets ' || CASE WHEN n >= 3 THEN '>=' ELSE '<' END || ' 3 required', tenure_max || 'd ' || CASE WHEN tenure_max >= 15 THEN '>=' ELSE '<' END || ' 15d',
+    CASE WHEN has_subscription THEN 'subscription IAP present' ELSE 'subscription IAP required but absent' END,
+    CASE WHEN len(outside) = 0 THEN 'all ' || n || ' markets in supported set' WHEN len(outside) = n THEN 'none of ' || n || ' markets in supported set (outside: ' || array_to_string(outside, ', ') || ')'
+      ELSE (n - len(outside)) || '/' || n || ' markets in supported set (outside: ' || array_to_string(outside, ', ') || ')' END,
+    dna_class || CASE WHEN s5 = 'PASS' THEN ' in clonable set' ELSE ' not in clonable set' END) AS details FROM risk"""))
 def a29_risk(spark, sf_dir):
-    rows = shortlist.evaluate_shortlist(shortlist.scored(_staged(spark, sf_dir), 5))
-    one = lambda n: F.filter("checks", lambda c: c["name"] == n)[0]["status"].alias(f"{n}_status")
-    return rows.select("app_id", "store", one("markets"), one("tenure"), one("subscription"), "overall")
+    rows = checked_shortlist(spark, sf_dir)
+    return rows.select("app_id", "store", *[shortlist.check_status(n).alias(n) for n in shortlist.RISK_CHECKS], "overall", F.array_join(F.transform("checks", lambda c: c["details"]), "; ").alias("details"))
+
+
+@query(sql(*SHORT, CHECKED_SQL, " SELECT COUNT(*) AS total, COUNT(*) FILTER (overall = 'PASS') AS pass, COUNT(*) FILTER (overall = 'WARN') AS warn, COUNT(*) FILTER (overall = 'FAIL') AS fail FROM risk"))
+def a29_summary(spark, sf_dir):
+    return shortlist.risk_summary(checked_shortlist(spark, sf_dir))
 
 
 @query(sql(D.CHARTS_SQL, "SELECT market, store, MIN(day) AS first_day, MAX(day) AS last_day, COUNT(DISTINCT day) AS days, COUNT(*) AS n_rows FROM charts GROUP BY 1, 2"))
@@ -126,10 +143,10 @@ def a5_verdicts(spark, sf_dir):
   UNION ALL SELECT 'rank_range', CASE WHEN MAX(rank) > 100 OR MAX(rank) IS NULL THEN 'WARN' ELSE 'PASS' END, CAST(MAX(rank) AS VARCHAR) FROM charts
   UNION ALL SELECT 'recent_data', CASE WHEN DATE '2002-01-01' - MAX(day) <= 30 THEN 'PASS' WHEN DATE '2002-01-01' - MAX(day) <= 90 THEN 'WARN' ELSE 'FAIL' END, CAST(DATE '2002-01-01' - MAX(day) AS VARCHAR) FROM charts
   UNION ALL SELECT 'signal_inventory', 'PASS', CAST(COUNT(DISTINCT signal_name) AS VARCHAR) FROM signals
-  UNION ALL SELECT 'invariant_coverage', CASE WHEN n < 50 THEN 'FAIL' WHEN n < 90 OR share < 0.7 THEN 'WARN' ELSE 'PASS' END, CAST(n AS VARCHAR) FROM i"""))
+  UNION ALL SELECT 'invariant_coverage', CASE WHEN n < 150 THEN 'FAIL' WHEN n < 180 OR share < 0.7 THEN 'WARN' ELSE 'PASS' END, CAST(n AS VARCHAR) FROM i"""))
 def a10_audit(spark, sf_dir):
     markets = D.table(spark, sf_dir, "region").select(F.col("r_name").alias("market"))
-    return audit.audit(D.charts(spark, sf_dir), D.invariants(spark, sf_dir), D.signals(spark, sf_dir), markets, "2002-01-01")
+    return audit.audit(D.charts(spark, sf_dir), D.invariants(spark, sf_dir), D.signals(spark, sf_dir), markets, "2002-01-01", least_apps=150, warn_apps=180)
 
 
 @query(sql(D.SIGNALS_SQL, "SELECT signal_name, COUNT(*) AS n_rows, COUNT(value) AS n_values FROM signals GROUP BY 1"))
@@ -137,17 +154,7 @@ def a9_inventory(spark, sf_dir):
     return audit.signal_inventory(D.signals(spark, sf_dir))
 
 
-@query(sql(D.METADATA_SQL, "SELECT app_id, dna_class, has_subscription, lang FROM meta"))
-def s6_metadata(spark, sf_dir):
-    return D.metadata(spark, sf_dir).select("app_id", "dna_class", "has_subscription", "lang")
-
-
-@query(sql(D.INVARIANTS_SQL, "SELECT * FROM inv"))
-def s8_invariants(spark, sf_dir):
-    return D.invariants(spark, sf_dir)
-
-
-@query(sql(D.INVARIANTS_SQL, "SELECT publisher_id, COUNT(*) AS publisher_apps FROM inv WHERE publisher_id IS NOT NULL GROUP BY 1"))
+@query(sql(D.INVARIANTS_SQL, "SELECT publisher_id, store, COUNT(*) AS publisher_apps FROM inv WHERE publisher_id IS NOT NULL GROUP BY 1, 2"))
 def a3_publishers(spark, sf_dir):
     return shortlist.publisher_sizes(D.invariants(spark, sf_dir))
 
@@ -213,14 +220,18 @@ def a26_composite(spark, sf_dir):
     return wide.select("app_id", F.round(score, 6).alias("score"), score.isNotNull().alias("eligible"))
 
 
-@query(sql(D.CHARTS_SQL, COHORTS_SQL, f"""pairs AS (SELECT DISTINCT c.market, c.store, c.t0, app_id FROM cohorts c JOIN charts USING (market, store) WHERE day BETWEEN c.t0 - 6 AND c.t0),
-  e AS (SELECT market, store, MAX(day) AS last_day FROM charts GROUP BY 1, 2)
-  SELECT p.app_id, p.market, p.store, p.t0, CAST(COALESCE(MAX(CASE WHEN h.day = p.t0 + 90 THEN 1 END), 0) AS INTEGER) AS winner_exact, CAST(COALESCE(MAX(CASE WHEN h.day IS NOT NULL THEN 1 END), 0) AS INTEGER) AS winner_window
+LABELS_SQL = f"""pairs AS (SELECT DISTINCT c.market, c.store, c.t0, app_id FROM cohorts c JOIN charts USING (market, store) WHERE day BETWEEN c.t0 - 6 AND c.t0),
+e AS (SELECT market, store, MAX(day) AS last_day FROM charts GROUP BY 1, 2),
+labels AS (SELECT p.app_id, p.market, p.store, p.t0, CAST(COALESCE(MAX(CASE WHEN h.day = p.t0 + 90 THEN 1 END), 0) AS INTEGER) AS winner_exact, CAST(COALESCE(MAX(CASE WHEN h.day IS NOT NULL THEN 1 END), 0) AS INTEGER) AS winner_window
   FROM pairs p JOIN e USING (market, store) LEFT JOIN charts h ON h.market = p.market AND h.store = p.store AND h.app_id = p.app_id AND h.rank <= {TOP} AND h.day BETWEEN p.t0 + 84 AND p.t0 + 90
-  WHERE last_day >= p.t0 + 90 GROUP BY 1, 2, 3, 4"""))
+  WHERE last_day >= p.t0 + 90 GROUP BY 1, 2, 3, 4)"""
+
+
+@query(sql(D.CHARTS_SQL, COHORTS_SQL, LABELS_SQL, "SELECT * FROM labels"))
 def a31_labels(spark, sf_dir):
     c = D.charts(spark, sf_dir)
-    pairs = F.broadcast(cohorts(spark, sf_dir)).join(c.select("market", "store", "day", "app_id"), ["market", "store"]).where(F.col("day").between(F.date_sub("t0", 6), F.col("t0"))).select("app_id", "market", "store", "t0").distinct()
+    week = cohorts(spark, sf_dir).withColumn("day", F.explode(F.sequence(F.date_sub("t0", 6), F.col("t0"))))
+    pairs = c.select("market", "store", "day", "app_id").join(week, ["market", "store", "day"]).select("app_id", "market", "store", "t0").distinct()
     return backtest.winner_labels(pairs, c, 90, TOP)
 
 
@@ -236,39 +247,57 @@ def t8_survival_pool(spark, sf_dir):
     return backtest.candidate_pool(D.charts(spark, sf_dir), cohorts(spark, sf_dir).select("market", "t0").distinct(), "survival")
 
 
+@query(sql(D.CHARTS_SQL, COHORTS_SQL, "SELECT DISTINCT c.market, c.t0, app_id FROM cohorts c JOIN charts USING (market) WHERE day BETWEEN c.t0 - 7 AND c.t0 + 7 AND rank BETWEEN 3 AND 4"))
+def t8_entrants_pool(spark, sf_dir):
+    return backtest.candidate_pool(D.charts(spark, sf_dir), cohorts(spark, sf_dir), "entrants", deepest=2)
+
+
+@query(sql(D.CHARTS_SQL, COHORTS_SQL, "SELECT DISTINCT c.market, c.t0, app_id FROM cohorts c JOIN charts USING (market) WHERE day <= c.t0"))
+def t8_any_pool(spark, sf_dir):
+    return backtest.candidate_pool(D.charts(spark, sf_dir), cohorts(spark, sf_dir), "any")
+
+
 CELLS_SQL = f"""y AS (SELECT c.market, c.store, c.t0, app_id, day, rank FROM cohorts c JOIN charts USING (market, store) WHERE day BETWEEN c.t0 - 365 AND c.t0),
 cells AS (SELECT market, store, t0, app_id, arg_min(rank, (CAST(t0 - day AS INTEGER), rank)) FILTER (day >= t0 - 6) AS f0, COUNT(DISTINCT day) FILTER (rank <= {TOP}) AS f1,
   CASE WHEN COUNT(*) FILTER (day >= t0 - 90) >= 2 AND stddev_pop(rank) FILTER (day >= t0 - 90) > 0 THEN ROUND(1 / stddev_pop(rank) FILTER (day >= t0 - 90), 6) END AS f2, MIN(rank) AS best
   FROM y GROUP BY 1, 2, 3, 4 HAVING COUNT(*) FILTER (day >= t0 - 6) > 0),
 b5 AS (SELECT t0, app_id, COUNT(DISTINCT (market, store)) AS f5 FROM (SELECT DISTINCT t0 FROM cohorts) c JOIN charts ON day BETWEEN t0 - 6 AND t0 AND rank <= {TOP} GROUP BY 1, 2),
-t7 AS (SELECT t0, store, app_id, publisher_id, COUNT(DISTINCT (market, day)) AS tenure FROM (SELECT DISTINCT t0 FROM cohorts) c JOIN charts ON day BETWEEN t0 - 365 AND t0 AND rank <= {TOP} JOIN inv USING (app_id) GROUP BY 1, 2, 3, 4),
+t7 AS (SELECT t0, store, app_id, publisher_id, COUNT(DISTINCT (market, day)) AS tenure FROM (SELECT DISTINCT t0 FROM cohorts) c JOIN charts ON day BETWEEN t0 - 365 AND t0 AND rank <= {TOP} JOIN inv USING (app_id, store) GROUP BY 1, 2, 3, 4),
 f7 AS (SELECT a.t0, a.store, a.app_id, ROUND(AVG(b.tenure), 6) AS f7 FROM t7 a LEFT JOIN t7 b ON a.t0 = b.t0 AND a.store = b.store AND a.publisher_id = b.publisher_id AND a.app_id <> b.app_id GROUP BY 1, 2, 3),
 wk AS (SELECT DISTINCT c.market, c.t0, charts.store, app_id FROM (SELECT DISTINCT market, t0 FROM cells) c JOIN charts ON charts.market = c.market AND day BETWEEN t0 - 6 AND t0 AND rank <= {TOP})"""
 
 
-@query(sql(D.CHARTS_SQL, COHORTS_SQL, D.INVARIANTS_SQL, CELLS_SQL, """SELECT c.market, c.store, c.t0, c.app_id, f0, f1, f2, ROUND(f0 / best, 6) AS f4, f5, f7,
+WIDE_SQL = """wide AS (SELECT c.market, c.store, c.t0, c.app_id, f0, f1, f2, ROUND(f0 / best, 6) AS f4, f5, f7,
   CAST(CASE WHEN c.t0 >= release_day THEN LEAST(365, c.t0 - release_day) END AS BIGINT) AS f11,
   CASE WHEN EXISTS (SELECT 1 FROM wk w WHERE w.market = c.market AND w.t0 = c.t0 AND w.store <> c.store)
        THEN CAST(EXISTS (SELECT 1 FROM wk w WHERE w.market = c.market AND w.t0 = c.t0 AND w.store <> c.store AND w.app_id = c.app_id) AS BIGINT) END AS f14
-  FROM cells c LEFT JOIN b5 USING (t0, app_id) LEFT JOIN f7 ON f7.t0 = c.t0 AND f7.store = c.store AND f7.app_id = c.app_id LEFT JOIN inv ON inv.app_id = c.app_id"""))
+  FROM cells c LEFT JOIN b5 USING (t0, app_id) LEFT JOIN f7 ON f7.t0 = c.t0 AND f7.store = c.store AND f7.app_id = c.app_id LEFT JOIN inv ON inv.app_id = c.app_id AND inv.store = c.store)"""
+FACTOR_SQL = (D.CHARTS_SQL, COHORTS_SQL, D.INVARIANTS_SQL, CELLS_SQL, WIDE_SQL)
+
+
+@query(sql(*FACTOR_SQL, "SELECT * FROM wide"))
 def m11_factors(spark, sf_dir):
-    out = factors.factor_table(D.charts(spark, sf_dir), D.invariants(spark, sf_dir), cohorts(spark, sf_dir), TOP)
-    return out.withColumns({"f11": F.col("f11").cast("long"), "f14": F.col("f14").cast("long")})
+    return factors.factor_table(D.charts(spark, sf_dir), D.invariants(spark, sf_dir), cohorts(spark, sf_dir), TOP)
 
 
 def _long(spark, sf_dir):
-    return factors.to_long(factors.cell_factors(D.charts(spark, sf_dir), cohorts(spark, sf_dir), TOP), ("f0", "f1", "f2", "f4"))
+    return factors.to_long(m11_factors(spark, sf_dir))
 
 
-LONG_SQL = """long AS (SELECT market, store, t0, app_id, unnest(['f0', 'f1', 'f2', 'f4']) AS signal_name, unnest([CAST(f0 AS DOUBLE), CAST(f1 AS DOUBLE), f2, ROUND(f0 / best, 6)]) AS value FROM cells)"""
+LONG_SQL = f"""long AS (SELECT market, store, t0, app_id, unnest({list(factors.FACTORS)}) AS signal_name, unnest([{", ".join(f"CAST({f} AS DOUBLE)" for f in factors.FACTORS)}]) AS value FROM wide)"""
 
 
-@query(sql(D.CHARTS_SQL, COHORTS_SQL, D.INVARIANTS_SQL, CELLS_SQL, LONG_SQL, "SELECT signal_name, COUNT(*) AS n_rows, COUNT(value) AS n_values, ROUND(COUNT(value) / COUNT(*), 6) AS share FROM long GROUP BY 1"))
+@query(sql(*FACTOR_SQL, LONG_SQL, "SELECT signal_name, COUNT(*) AS n_rows, COUNT(value) AS n_values, ROUND(COUNT(value) / COUNT(*), 6) AS share FROM long GROUP BY 1"))
 def a25_factor_coverage(spark, sf_dir):
     return factors.coverage(_long(spark, sf_dir))
 
 
-@query(sql(D.CHARTS_SQL, COHORTS_SQL, D.INVARIANTS_SQL, CELLS_SQL, LONG_SQL, """q AS (SELECT *, LEAST(GREATEST(value, quantile_cont(value, 0.01) OVER w), quantile_cont(value, 0.99) OVER w) AS cut FROM long WINDOW w AS (PARTITION BY market, store, t0, signal_name)),
+@query(sql(*FACTOR_SQL, "SELECT market, store, t0, app_id, CAST(f0 AS DOUBLE) AS f0, CAST(f5 AS DOUBLE) AS f5, f7 FROM wide"))
+def m0_wide(spark, sf_dir):
+    return factors.to_wide(_long(spark, sf_dir), ("f0", "f5", "f7"))
+
+
+@query(sql(*FACTOR_SQL, LONG_SQL, """q AS (SELECT *, LEAST(GREATEST(value, quantile_cont(value, 0.01) OVER w), quantile_cont(value, 0.99) OVER w) AS cut FROM long WINDOW w AS (PARTITION BY market, store, t0, signal_name)),
   s AS (SELECT *, CASE WHEN value IS NOT NULL THEN cut END AS v FROM q),
   z AS (SELECT *, COUNT(v) OVER w AS n, AVG(v) OVER w AS mean, stddev_samp(v) OVER w AS sd FROM s WINDOW w AS (PARTITION BY market, store, t0, signal_name))
   SELECT market, store, t0, app_id, signal_name, value, ROUND(CASE WHEN n < 2 THEN v WHEN COALESCE(sd, 0) < 1e-12 THEN 0.0 ELSE (v - mean) / sd END, 5) AS z FROM z"""))
@@ -277,74 +306,143 @@ def m2_standardized(spark, sf_dir):
     return out.withColumn("z", F.round("z", 5))
 
 
-@query(sql(D.CHARTS_SQL, COHORTS_SQL, """r AS (SELECT c.market, c.store, c.t0, app_id, rank, ROW_NUMBER() OVER (PARTITION BY c.market, c.store, c.t0, app_id ORDER BY day DESC, rank) AS k FROM cohorts c JOIN charts USING (market, store) WHERE day BETWEEN c.t0 - 6 AND c.t0),
-  p AS (SELECT market, store, t0, app_id, ROW_NUMBER() OVER (PARTITION BY market, store, t0 ORDER BY rank, app_id) AS pos FROM r WHERE k = 1),
-  w AS (SELECT p.*, EXISTS (SELECT 1 FROM charts h WHERE h.market = p.market AND h.store = p.store AND h.app_id = p.app_id AND h.rank <= 3 AND h.day BETWEEN p.t0 + 84 AND p.t0 + 90) AS won FROM p)
-  SELECT market, store, t0, 'f0' AS ranker, k, ROUND(COUNT(*) FILTER (pos <= k AND won) / k, 6) AS precision FROM w, (VALUES (5), (10)) ks(k) GROUP BY 1, 2, 3, 5"""))
-def a17_precision(spark, sf_dir):
+RANKED_SQL = """vals AS (SELECT market, store, t0, app_id, unnest(['f0', 'f1', 'random']) AS ranker, unnest([-CAST(f0 AS DOUBLE), CAST(f1 AS DOUBLE),
+    CAST(CAST('0x' || substr(md5(concat_ws('|', '0', market, store, CAST(t0 AS VARCHAR), CAST(app_id AS VARCHAR))), 1, 12) AS BIGINT) AS DOUBLE)]) AS value FROM cells),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY market, store, t0, ranker ORDER BY value DESC, app_id) AS pos FROM vals)"""
+
+
+def _ranked(spark, sf_dir):
     c = D.charts(spark, sf_dir)
-    cells = factors.cell_factors(c, cohorts(spark, sf_dir))
-    values = cells.select(*factors.CELL, "app_id", F.lit("f0").alias("signal_name"), (-F.col("f0")).alias("value"))
+    cells = factors.cell_factors(c, cohorts(spark, sf_dir), TOP)
+    values = cells.select(*factors.CELL, "app_id", (-F.col("f0")).cast("double").alias("f0"), F.col("f1").cast("double").alias("f1")).unpivot([*factors.CELL, "app_id"], ["f0", "f1"], "signal_name", "value")
+    return c, cells, backtest.rankings(values, factors.CELL)
+
+
+@query(sql(D.CHARTS_SQL, COHORTS_SQL, D.INVARIANTS_SQL, CELLS_SQL, RANKED_SQL, "SELECT market, store, t0, ranker, app_id, pos FROM ranked WHERE pos <= 5"))
+def t3_top_k(spark, sf_dir):
+    return backtest.top_k(_ranked(spark, sf_dir)[2], 5)
+
+
+@query(sql(D.CHARTS_SQL, COHORTS_SQL, D.INVARIANTS_SQL, CELLS_SQL, RANKED_SQL, """w AS (SELECT ranked.*, EXISTS (SELECT 1 FROM charts h WHERE h.market = ranked.market AND h.store = ranked.store AND h.app_id = ranked.app_id AND h.rank <= 3 AND h.day BETWEEN ranked.t0 + 84 AND ranked.t0 + 90) AS won FROM ranked)
+  SELECT market, store, t0, ranker, k, ROUND(COUNT(*) FILTER (pos <= k AND won) / k, 6) AS precision FROM w, (VALUES (5), (10)) ks(k) GROUP BY 1, 2, 3, 4, 5"""))
+def a17_precision(spark, sf_dir):
+    c, cells, ranked = _ranked(spark, sf_dir)
     winners = backtest.winner_labels(cells.select(*factors.CELL, "app_id"), c, 90, TOP).withColumnRenamed("winner_window", "is_winner")
-    return backtest.precision_at_k(backtest.rankings(values, factors.CELL).where("ranker <> 'random'"), winners, factors.CELL, (5, 10))
+    return backtest.precision_at_k(ranked, winners, factors.CELL, (5, 10))
 
 
-@query()
-def m3_residuals(spark, sf_dir):
-    c = factors.cell_factors(D.charts(spark, sf_dir), cohorts(spark, sf_dir), TOP)
-    return factors.residualized(c, factors.CELL, ("f0", "f1", "f2", "f4"))
+@query(f"""WITH p AS ({ORACLE_SQL['a17_precision']}), w AS (SELECT market, store, t0, k, MAX(CASE WHEN ranker = 'f1' THEN precision END) AS a, MAX(CASE WHEN ranker = 'f0' THEN precision END) AS b FROM p GROUP BY 1, 2, 3, 4)
+  SELECT market, store, t0, k, ROUND(CAST(CASE WHEN b > 0 THEN a / b WHEN a > 0 THEN 999.0 ELSE 0.0 END AS DOUBLE), 6) AS lift FROM w""")
+def a18_lift(spark, sf_dir):
+    wide = a17_precision(spark, sf_dir).groupBy(*factors.CELL, "k").pivot("ranker", ["f0", "f1"]).agg(F.first("precision"))
+    return wide.select(*factors.CELL, "k", F.round(backtest.lift(F.col("f1"), F.col("f0")), 6).alias("lift"))
 
 
-@query()
-def m6_bootstrap(spark, sf_dir):
+@query(sql(D.CHARTS_SQL, COHORTS_SQL, D.INVARIANTS_SQL, CELLS_SQL, """r AS (SELECT *, COUNT(*) OVER w AS n, regr_slope(f1, f0) OVER w AS b, AVG(f1) OVER w AS my, AVG(f0) OVER w AS mx FROM cells WINDOW w AS (PARTITION BY market, store, t0))
+  SELECT market, store, t0, app_id, CAST(f0 AS DOUBLE) AS f0, ROUND(CASE WHEN n < 3 THEN f1 ELSE f1 - my - COALESCE(CASE WHEN isnan(b) THEN 0 ELSE b END, 0) * (f0 - mx) END, 5) AS f1 FROM r"""))
+def m3_two_factors(spark, sf_dir):
+    cells = factors.cell_factors(D.charts(spark, sf_dir), cohorts(spark, sf_dir), TOP)
+    return factors.residualized(cells, factors.CELL, ("f0", "f1")).withColumn("f1", F.round("f1", 5))
+
+
+def _study(spark, sf_dir):
+    """Factors of all cells with both labels, written out: several jobs read them."""
     c = D.charts(spark, sf_dir)
-    cells = factors.cell_factors(c, cohorts(spark, sf_dir), TOP)
-    labels = backtest.winner_labels(cells.select(*factors.CELL, "app_id"), c, 90, TOP)
-    long = factors.to_long(cells, ("f0", "f1", "f2", "f4")).join(labels, [*factors.CELL, "app_id"])
-    best = factors.top_decile(long, factors.CELL, "winner_window", factors.directions(long, "winner_window"), least=3)
-    base = best.where("signal_name = 'f0'").select(*factors.CELL, F.col("precision").alias("base"))
-    lifts = best.where("signal_name <> 'f0'").join(base, factors.CELL).select("signal_name", F.concat_ws("/", *factors.CELL).alias("cohort"), (F.col("precision") - F.col("base")).alias("lift"))
-    return factors.verdicts(factors.cluster_bootstrap(lifts))
+    wide = m11_factors(spark, sf_dir)
+    labels = backtest.winner_labels(wide.select(*factors.CELL, "app_id"), c, 90, TOP)
+    return scratch.stored(wide.join(labels, [*factors.CELL, "app_id"]), "study")
+
+
+KEYS = [*factors.CELL, "app_id"]
+SEA_REGIONS = ("AFRICA", "ASIA")
+LABELLED_SQL = LABELS_SQL + f""",
+ll AS (SELECT l.*, label, CASE label WHEN 'winner_exact' THEN winner_exact ELSE winner_window END AS is_winner FROM long l JOIN labels USING (market, store, t0, app_id), (VALUES ('winner_exact'), ('winner_window')) v(label) WHERE value IS NOT NULL),
+dir AS (SELECT signal_name, label, COALESCE(COUNT(*) >= 30 AND ROUND(covar_pop(value, is_winner), 9) < 0, false) AS up FROM ll GROUP BY 1, 2),
+pl AS (SELECT ll.*, COUNT(*) OVER (PARTITION BY market, store, t0, label, signal_name) AS n, ROW_NUMBER() OVER (PARTITION BY market, store, t0, label, signal_name ORDER BY CASE WHEN up OR signal_name = 'f0' THEN value ELSE -value END, app_id) AS pos
+  FROM ll JOIN dir USING (signal_name, label)),
+pr AS (SELECT market, store, t0, label, signal_name, MAX(n) AS n, ROUND(AVG(is_winner), 6) AS precision FROM pl WHERE n >= 3 AND pos <= GREATEST(1, ceil(0.1 * n)) GROUP BY 1, 2, 3, 4, 5),
+lifts AS (SELECT a.market, a.store, a.t0, a.label, a.signal_name, a.n, a.precision, b.precision AS base, ROUND(a.precision - b.precision, 6) AS lift FROM pr a JOIN pr b ON a.market = b.market AND a.store = b.store AND a.t0 = b.t0 AND a.label = b.label AND b.signal_name = 'f0' WHERE a.signal_name <> 'f0')"""
+
+
+def lifts_of(long, labels, least=10):
+    """Lifts over f0 for each cohort, factor and kind of label; f0 always ranks its low values first."""
+    rows = long.join(factors.label_long(labels, KEYS), KEYS).withColumn("signal_name", F.concat_ws(":", "label", "signal_name"))
+    up = factors.directions(rows, "is_winner").withColumn("ascending", F.col("ascending") | F.col("signal_name").endswith(":f0"))
+    best = factors.top_decile(rows, factors.CELL, "is_winner", up, least)
+    best = best.select(*factors.CELL, F.substring_index("signal_name", ":", 1).alias("label"), F.substring_index("signal_name", ":", -1).alias("signal_name"), "n", "precision")
+    return factors.cohort_lifts(best, [*factors.CELL, "label"])
+
+
+@query(sql(*FACTOR_SQL, LONG_SQL, LABELLED_SQL, " SELECT * FROM lifts"))
+def m5_lifts(spark, sf_dir):
+    rows = _study(spark, sf_dir)
+    return lifts_of(factors.to_long(rows), rows.select(*KEYS, "winner_exact", "winner_window"), least=3).drop("cohort").withColumn("lift", F.round("lift", 6))
+
+
+@query(sql(*FACTOR_SQL, LONG_SQL, LABELLED_SQL, f"""i AS (SELECT label || ':' || signal_name AS signal_name, lift, ROW_NUMBER() OVER w - 1 AS i, COUNT(*) OVER (PARTITION BY label, signal_name) AS n FROM lifts WHERE market IN {SEA_REGIONS}
+    WINDOW w AS (PARTITION BY label, signal_name ORDER BY concat_ws('/', market, store, CAST(t0 AS VARCHAR), label))),
+  d AS (SELECT signal_name, n, rep, (((CAST(rep AS BIGINT) * 1000003 + i * 7919 + 42 * 104729) * 2654435761 % 4294967296) // 256) % n AS i FROM i, range(0, 100) r(rep)),
+  m AS (SELECT d.signal_name, rep, median(i.lift) AS m FROM d JOIN i ON i.signal_name = d.signal_name AND i.i = d.i GROUP BY 1, 2),
+  q AS (SELECT signal_name, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, AVG(CASE WHEN m <= 0 THEN 1.0 ELSE 0.0 END) AS below, AVG(CASE WHEN m >= 0 THEN 1.0 ELSE 0.0 END) AS above FROM m GROUP BY 1),
+  s AS (SELECT signal_name, COUNT(*) AS n, median(lift) AS med FROM i GROUP BY 1),
+  o AS (SELECT signal_name, n, CASE WHEN n >= 3 THEN ROUND(med, 6) END AS median, CASE WHEN n >= 3 THEN ROUND(low, 6) END AS low, CASE WHEN n >= 3 THEN ROUND(high, 6) END AS high,
+    CASE WHEN n >= 3 THEN ROUND(CASE WHEN med = 0 THEN 1.0 ELSE LEAST(1.0, 2 * CASE WHEN med > 0 THEN below ELSE above END) END, 6) END AS p FROM s JOIN q USING (signal_name))
+  SELECT signal_name, n, CAST(median AS DOUBLE) AS median, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, CAST(p AS DOUBLE) AS p, COALESCE(median >= 0.03 AND p < 0.05 / 8, false) AS alive FROM o"""))
+def m6_bootstrap(spark, sf_dir):
+    rows = _study(spark, sf_dir)
+    lifts = lifts_of(factors.to_long(rows), rows.select(*KEYS, "winner_exact", "winner_window"), least=3).where(F.col("market").isin(*SEA_REGIONS))
+    boot = factors.cluster_bootstrap(lifts.select(F.concat_ws(":", "label", "signal_name").alias("signal_name"), "cohort", F.round("lift", 6).alias("lift")), reps=100)
+    return factors.verdicts(boot.select("signal_name", "n", *[F.round(c, 6).alias(c) for c in ("median", "low", "high", "p")]))
 
 
-@query("""WITH c AS (SELECT conv_id, role, text, ROW_NUMBER() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS k FROM conversations WHERE role IN ('user', 'assistant')),
-  s AS (SELECT conv_id, role, (length(text) % 101) / 10.0 AS score FROM c WHERE k = 1),
-  j AS (SELECT COALESCE(u.conv_id, a.conv_id) AS conv_id, u.score AS text_score, a.score AS vision_score FROM (SELECT * FROM s WHERE role = 'user') u FULL JOIN (SELECT * FROM s WHERE role = 'assistant') a ON u.conv_id = a.conv_id)
-  SELECT conv_id, CAST(text_score AS DOUBLE) AS text_score, CAST(vision_score AS DOUBLE) AS vision_score, ROUND(CAST(abs(text_score - vision_score) AS DOUBLE), 6) AS divergence FROM j""")
-def j4_judges(spark, sf_dir):
-    turns = D.table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant")).groupBy("conv_id", "role").agg(F.max_by("text", "turn").alias("text"))
-    score = (F.pmod(F.length("text"), F.lit(101)) / 10).cast("double")
-    text, vision = (turns.where(F.col("role") == r).select("conv_id", score.alias(n)) for r, n in (("user", "text_score"), ("assistant", "vision_score")))
-    return text.join(vision, "conv_id", "full_outer").select("conv_id", "text_score", "vision_score", F.round(F.abs(F.col("text_score") - F.col("vision_score")), 6).alias("divergence"))
+def processed(rows):
+    """Standardized and residualized factors of _study() rows, by cell, long."""
+    z = factors.standardized(factors.to_long(rows), factors.CELL).drop("value").withColumnRenamed("z", "value")
+    return factors.to_long(factors.residualized(factors.to_wide(z), factors.CELL))
 
 
-@query("SELECT page_id, idx AS pos, link FROM (SELECT page_id, unnest(range(1, 1 + len(l))) AS idx, unnest(l) AS link FROM (SELECT page_id, regexp_extract_all(html, 'href=\"/([^\"]+)\"', 1) AS l FROM pages))")
-def s13_page_links(spark, sf_dir):
-    links = D.table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), F.lit(1))).alias("i", "link"))
-    return links.select("page_id", (F.col("i") + 1).cast("long").alias("pos"), "link")
+@query()
+def m9_study(spark, sf_dir):
+    """The whole univariate study: each factor's lift over f0 after standardizing and residualizing, for both labels over the
+    first tier's cohorts, with the code of the verdict on the exact label. No SQL: a test holds it against plain numpy."""
+    rows = _study(spark, sf_dir)
+    lifts = scratch.stored(lifts_of(processed(rows), rows.select(*KEYS, "winner_exact", "winner_window"), least=3), "lifts")
+    boot = factors.cluster_bootstrap(lifts.where(F.col("market").isin(*SEA_REGIONS)).select(F.concat_ws(":", "label", "signal_name").alias("signal_name"), "cohort", "lift"))
+    out = scratch.stored(factors.verdicts(boot), "verdicts")
+    code = factors.study_verdict(out.where("signal_name like 'winner_exact:%'"), None)
+    return out.withColumn("verdict", F.lit(code))
 
 
-@query("SELECT doc_id, sha256(concat_ws('|', lang, source, text)) AS digest, length(text) AS n FROM documents")
-def x13_digests(spark, sf_dir):
-    return D.table(spark, sf_dir, "documents").select("doc_id", X.content_digest(F.col("lang"), F.col("source"), F.col("text")).alias("digest"), F.length("text").cast("long").alias("n"))
+@query()
+def m7_composite(spark, sf_dir):
+    """Forward-chaining folds of the composite over the first tier, without the factors that too few rows have. No SQL: a
+    test holds the folds against a plain logistic fit."""
+    rows = _study(spark, sf_dir)
+    left_out = factors.low_coverage(factors.coverage(factors.to_long(rows)))
+    wide = factors.to_wide(processed(rows)).join(rows.select(*KEYS, "winner_window"), KEYS)
+    wide = scratch.stored(wide.where(F.col("market").isin(*SEA_REGIONS)), "composite")
+    return factors.forward_chaining(wide, [f for f in factors.FACTORS if f == "f0" or f not in left_out], "winner_window")
 
 
 def _language_sql() -> str:
-    hits = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(s) for s in words)}))) AS n_{k}" for k, words in X.STOP_WORDS.items())
-    best = " ".join(f"WHEN n_{k} >= 2 AND " + " AND ".join(f"n_{k} > n_{o}" for o in X.STOP_WORDS if o != k) + f" THEN '{k}'" for k in X.STOP_WORDS)
-    return f"""WITH t AS (SELECT doc_id, lang, text, regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{M}}''’]+') AS w FROM documents),
+    words = {k: v.split() for k, v in fixed.STOP_WORDS.items()}
+    hits = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(s) for s in v)}))) AS n_{k}" for k, v in words.items())
+    best = " ".join(f"WHEN n_{k} >= 2 AND " + " AND ".join(f"n_{k} > n_{o}" for o in words if o != k) + f" THEN '{k}'" for k in words)
+    return f"""WITH t AS (SELECT doc_id, lang, text, regexp_split_to_array(nfc_normalize(lower(text)), '[^\\p{{L}}\\p{{M}}''’]+') AS w FROM documents),
   c AS (SELECT doc_id, lang, trim(text) = '' AS blank, {hits} FROM t), d AS (SELECT doc_id, lang, blank, CASE {best} END AS found FROM c)
   SELECT doc_id, found, CASE WHEN blank OR found IS NULL THEN 5.0::DOUBLE WHEN found = lang THEN 0.0::DOUBLE ELSE 10.0::DOUBLE END AS gap FROM d"""
 
 
 @query(_language_sql())
 def x10_localization(spark, sf_dir):
-    return D.table(spark, sf_dir, "documents").select("doc_id", X.detected_language(F.col("text")).alias("found"), X.localization_gap(F.col("text"), F.col("lang")).alias("gap"))
+    found = D.table(spark, sf_dir, "documents").select("doc_id", "lang", "text", X.detected_language(F.col("text")).alias("found"))
+    return found.select("doc_id", "found", X.localization_gap(F.col("text"), F.col("lang"), F.col("found")).alias("gap"))
 
 
 @query("""WITH p AS (SELECT p_partkey, p_retailprice AS price, p_size AS size FROM part)
-  SELECT p_partkey, ROUND(CASE WHEN price * size <= 0 THEN 0.0 ELSE LEAST(10.0, GREATEST(0.0, (log10(price * size + 1) - 2) / 6 * 10)) END, 6) AS revenue,
+  SELECT p_partkey, ROUND(CASE WHEN p_partkey % 5 = 0 OR price * size <= 0 THEN 0.0 ELSE LEAST(10.0, GREATEST(0.0, (log10(price * size + 1) - 2) / 6 * 10)) END, 6) AS revenue,
   ROUND(CAST(CASE WHEN size / 3.0 < 5 THEN size / 15.0 WHEN size / 3.0 < 10 THEN 2 + (size / 3.0 - 5) / 5 * 2 WHEN size / 3.0 <= 15 THEN 5 + (size / 3.0 - 10) / 5 * 2 ELSE 8 + LEAST(size / 3.0 - 15, 10) / 10 * 2 END AS DOUBLE), 6) AS economics FROM p""")
 def x3_economics(spark, sf_dir):
     size = F.col("p_size").cast("double")
-    return D.table(spark, sf_dir, "part").select("p_partkey", F.round(X.revenue_proxy(F.col("p_retailprice"), F.col("p_size"), F.lit(1.0)), 6).alias("revenue"), F.round(X.ratio_score(size / 3), 6).alias("economics"))
+    rating = F.when(F.col("p_partkey") % 5 == 0, float("nan")).otherwise(F.col("p_retailprice"))
+    return D.table(spark, sf_dir, "part").select("p_partkey", F.round(X.revenue_proxy(rating, F.col("p_size"), F.lit(1.0)), 6).alias("revenue"), F.round(X.ratio_score(size / 3), 6).alias("economics"))

@@ -41,8 +41,8 @@ def a16_winner_scores(spark, sf_dir):
 
 
 def _gaps(spark, sf_dir):
-    docs = D.table(spark, sf_dir, "documents")
-    return docs.select("source", "lang", X.localization_gap(F.col("text"), F.col("lang")).alias("value"))
+    found = D.table(spark, sf_dir, "documents").select("source", "lang", "text", X.detected_language(F.col("text")).alias("found"))
+    return found.select("source", "lang", X.localization_gap(F.col("text"), F.col("lang"), F.col("found")).alias("value"))
 
 
 @query(f"""WITH g AS ({ORACLE_SQL['x10_localization']}), v AS (SELECT source, lang, gap FROM g JOIN (SELECT doc_id, source, lang FROM documents) USING (doc_id)),
@@ -119,23 +119,30 @@ def p10_citations(spark, sf_dir):
     return reports.cited_scores(D.table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("quote"), band.alias("band"))).select("page_id", "url", "value")
 
 
-@query("""SELECT conv_id, turn, concat_ws('|', CASE WHEN role NOT IN ('user', 'assistant') OR role IS NULL THEN 'kind' END, CASE WHEN length(text) % 13 > 10 THEN 'score' END, CASE WHEN (length(text) % 11) / 10.0 > 0.9 THEN 'confidence' END,
-  CASE WHEN NOT COALESCE(length(text) BETWEEN 1 AND 600, false) THEN 'reasoning' END) AS violations FROM conversations""")
+@query("""WITH c AS (SELECT *, length(text) AS n, CASE role WHEN 'user' THEN 'text' WHEN 'assistant' THEN 'vision' ELSE role END AS kind FROM conversations)
+  SELECT conv_id, turn, concat_ws('|', CASE WHEN kind NOT IN ('text', 'vision') THEN 'kind' END, CASE WHEN n % 7 = 0 THEN 'store' END, CASE WHEN n % 17 = 0 OR n % 13 > 10 THEN 'score' END,
+  CASE WHEN NOT COALESCE(n BETWEEN 1 AND 600, false) THEN 'reasoning' END, CASE WHEN n % 11 > 9 THEN 'confidence' END, CASE WHEN n % 19 = 0 THEN 'model_version' END, CASE WHEN n % 5 = 0 THEN 'flags' END,
+  CASE WHEN kind = 'vision' AND n % 3 = 0 THEN 'freshness' END, CASE WHEN kind = 'vision' AND n % 4 = 0 THEN 'screenshots_analyzed' END) AS violations FROM c""")
 def p11_judge_violations(spark, sf_dir):
-    n = F.length("text")
-    kind = F.when(F.col("role") == "user", "text").when(F.col("role") == "assistant", "vision").otherwise(F.col("role"))
+    n, vision = F.length("text"), F.col("role") == "assistant"
+    flag = F.when(n % 5 != 0, F.lit(True))
     rows = D.table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", kind.alias("kind"), (n % 13).cast("double").alias("score"), F.when(n % 11 > 9, 1.5).otherwise(0.5).alias("confidence"), F.col("text").alias("reasoning"), F.lit("us").alias("market")
-    )
+        "conv_id", "turn", F.when(F.col("role") == "user", "text").when(vision, "vision").otherwise(F.col("role")).alias("kind"), F.col("conv_id").cast("string").alias("app_id"),
+        F.when(n % 7 == 0, "other").otherwise("apple").alias("store"), F.lit("us").alias("market"), F.when(n % 17 == 0, float("nan")).otherwise((n % 13).cast("double")).alias("score"), F.col("text").alias("reasoning"),
+        F.when(n % 11 > 9, 1.5).otherwise(0.5).alias("confidence"), F.when(n % 19 == 0, "").otherwise("v1").alias("model_version"),
+        F.when(vision, F.array(F.lit(True), flag, F.lit(False))).otherwise(F.array(F.lit(True), flag, F.lit(False), F.lit(True))).alias("flags"),
+        F.when(n % 3 == 0, "old").otherwise("fresh").alias("freshness"), (n % 4).alias("screenshots_analyzed"),
+    )
     return reports.judge_violations(rows).select("conv_id", "turn", F.array_join("violations", "|").alias("violations"))
 
 
-@query("""WITH u AS (SELECT role AS model, COUNT(*) AS calls, CAST(SUM((length(text) + 3) // 4) AS BIGINT) AS tokens FROM conversations GROUP BY 1),
-  c AS (SELECT *, ROUND(tokens * CASE model WHEN 'user' THEN 3.0::DOUBLE WHEN 'assistant' THEN 15.0::DOUBLE ELSE 5.0::DOUBLE END / 1000000, 6) AS cost FROM u)
-  SELECT model, calls, tokens, cost, ROUND(cost / 2.0, 6) AS share FROM c""")
+@query("""WITH u AS (SELECT role AS model, COUNT(*) AS calls, CAST(SUM((length(text) + 3) // 4) AS BIGINT) AS tokens_in, CAST(SUM(length(text) // 10) AS BIGINT) AS tokens_out FROM conversations GROUP BY 1),
+  c AS (SELECT *, ROUND((tokens_in * CASE model WHEN 'assistant' THEN 15.0::DOUBLE ELSE 3.0::DOUBLE END + tokens_out * CASE model WHEN 'assistant' THEN 75.0::DOUBLE ELSE 15.0::DOUBLE END) / 1000000, 6) AS cost FROM u)
+  SELECT model, calls, tokens_in, tokens_out, cost, ROUND(cost / 2.0, 6) AS share FROM c""")
 def a32_usage(spark, sf_dir):
-    turns = D.table(spark, sf_dir, "conversations").select(F.col("role").alias("model"), F.floor((F.length("text") + 3) / 4).cast("long").alias("tokens"))
-    return reports.usage(turns, 2.0)
+    n = F.length("text")
+    turns = D.table(spark, sf_dir, "conversations").select(F.col("role").alias("model"), F.floor((n + 3) / 4).cast("long").alias("tokens_in"), F.floor(n / 10).cast("long").alias("tokens_out"))
+    return reports.usage(turns, 2.0, {"user": (3.0, 15.0), "assistant": (15.0, 75.0)})
 
 
 @query(sql(D.SIGNALS_SQL, WIDE_SQL, """SELECT sha256(concat_ws('|', app_id, 'us')) AS id, app_id, 'us' AS market, purchase AS economics,

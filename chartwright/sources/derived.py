@@ -30,28 +30,39 @@ def charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rev.withColumn("rank", F.row_number().over(Window.partitionBy("market", "store", "day").orderBy(F.desc("revenue"), "app_id")).cast("long"))
 
 
+def _stores(app, every: int):
+    """The stores an app is listed in: apple, and googleplay but for every n-th."""
+    return F.explode(F.when(app % every == 0, F.array(F.lit("apple"))).otherwise(F.array(F.lit("apple"), F.lit("googleplay")))).alias("store")
+
+
 def invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(app_id, publisher_id, release_day); every tenth release is unknown, every seventh publisher."""
+    """(app_id, store, publisher_id, release_day); every tenth release is unknown, every seventh publisher."""
     first = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey").agg(F.min("o_orderdate").cast("date").alias("first_day"))
     return (
         table(spark, sf_dir, "supplier")
         .join(first, F.col("s_suppkey") == F.col("l_suppkey"), "left")
         .select(
             F.col("s_suppkey").cast("long").alias("app_id"),
+            _stores(F.col("s_suppkey"), 9),
             F.when(F.col("s_suppkey") % 7 != 0, F.col("s_nationkey").cast("long")).alias("publisher_id"),
             F.when(F.col("s_suppkey") % 10 != 0, F.col("first_day")).alias("release_day"),
         )
     )
 
 
+#: Listing classes for the words of part types.
+CLASSES = {"ECONOMY": "Puzzle", "PROMO": "Idle", "SMALL": "Education", "MEDIUM": "Casino", "STANDARD": "Simulation", "LARGE": "Strategy"}
+
+
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(app_id, dna_class, has_subscription, description, lang)."""
+    """(app_id, store, dna_class, has_subscription, description, lang)."""
     kind = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    counts = kind.groupBy(F.col("l_suppkey").alias("app"), F.substring_index("p_type", " ", 1).alias("dna_class")).agg(F.count("*").alias("n"))
-    best = counts.withColumn("k", F.row_number().over(Window.partitionBy("app").orderBy(F.desc("n"), "dna_class"))).where("k = 1")
+    counts = kind.groupBy(F.col("l_suppkey").alias("app"), F.substring_index("p_type", " ", 1).alias("word")).agg(F.count("*").alias("n"))
+    best = counts.withColumn("k", F.row_number().over(Window.partitionBy("app").orderBy(F.desc("n"), "word"))).where("k = 1")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    named = F.try_element_at(F.create_map(*[F.lit(x) for p in CLASSES.items() for x in p]), F.col("word"))
     return best.join(docs, F.col("app") == F.col("doc_id"), "left").select(
-        F.col("app").cast("long").alias("app_id"), "dna_class", (F.col("app") % 3 == 0).alias("has_subscription"), F.col("text").alias("description"), "lang"
+        F.col("app").cast("long").alias("app_id"), _stores(F.col("app"), 8), named.alias("dna_class"), (F.col("app") % 3 == 0).alias("has_subscription"), F.col("text").alias("description"), "lang"
     )
 
 
@@ -79,13 +90,14 @@ CHARTS_SQL = """rev AS (
        JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
 charts AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY market, store, day ORDER BY revenue DESC, app_id) AS rank FROM rev)"""
 INVARIANTS_SQL = """inv AS (
-  SELECT CAST(s_suppkey AS BIGINT) AS app_id, CASE WHEN s_suppkey % 7 <> 0 THEN CAST(s_nationkey AS BIGINT) END AS publisher_id,
+  SELECT CAST(s_suppkey AS BIGINT) AS app_id, st.store, CASE WHEN s_suppkey % 7 <> 0 THEN CAST(s_nationkey AS BIGINT) END AS publisher_id,
          CASE WHEN s_suppkey % 10 <> 0 THEN d END AS release_day
-  FROM supplier LEFT JOIN (SELECT l_suppkey, CAST(MIN(o_orderdate) AS DATE) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) ON s_suppkey = l_suppkey)"""
-METADATA_SQL = """meta AS (
-  SELECT CAST(l_suppkey AS BIGINT) AS app_id, dna_class, l_suppkey % 3 = 0 AS has_subscription, text AS description, lang FROM (
-    SELECT l_suppkey, split_part(p_type, ' ', 1) AS dna_class, ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY COUNT(*) DESC, split_part(p_type, ' ', 1)) AS k
-    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) LEFT JOIN documents ON doc_id = l_suppkey WHERE k = 1)"""
+  FROM supplier LEFT JOIN (SELECT l_suppkey, CAST(MIN(o_orderdate) AS DATE) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) ON s_suppkey = l_suppkey
+  JOIN (VALUES ('apple'), ('googleplay')) st(store) ON st.store = 'apple' OR s_suppkey % 9 <> 0)"""
+METADATA_SQL = f"""meta AS (
+  SELECT CAST(l_suppkey AS BIGINT) AS app_id, st.store, CASE word {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CLASSES.items())} END AS dna_class, l_suppkey % 3 = 0 AS has_subscription, text AS description, lang FROM (
+    SELECT l_suppkey, split_part(p_type, ' ', 1) AS word, ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY COUNT(*) DESC, split_part(p_type, ' ', 1)) AS k
+    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) LEFT JOIN documents ON doc_id = l_suppkey JOIN (VALUES ('apple'), ('googleplay')) st(store) ON st.store = 'apple' OR l_suppkey % 8 <> 0 WHERE k = 1)"""
 REVIEWS_SQL = """reviews AS (
   SELECT CAST(user_id AS BIGINT) AS app_id, 1 + ((CAST(json_extract_string(props, '$.k') AS BIGINT) % 5) + 5) % 5 AS rating, ts
   FROM events WHERE event_type IN ('view', 'purchase'))"""

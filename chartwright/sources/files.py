@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chartwright.functions.exprs import epoch_ms
 
 CHART_COLUMNS = ("app_id", "market", "category", "captured_at", "rank")
-STORES = ("apple", "google", "googleplay")
+STORES = ("apple", "googleplay")
 METADATA = (
     "app_id string, market string, store string, device string, language string, t0 string, raw struct<metadata: struct<error: string, title: string, subtitle: string, description: string, "
     "short_description: string, long_description: string, icon: string, dna: struct<class_label: string, subclass_label: string>, categories: array<string>, "
@@ -20,12 +20,13 @@ METRICS = (
 )
 
 
-def read_chart_dump(spark: SparkSession, path: str, with_store: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_chart_dump(spark: SparkSession, path: str, with_store: bool = False, source: str = "dump") -> tuple[DataFrame, DataFrame]:
     """(valid rows, counts) of a tab-separated dump, .gz or plain, with the columns in any order.
 
     A missing column is an error. A row is invalid if a field is empty, the time can't be read, the rank isn't
-    a positive number or, with_store, the store isn't known. Blank lines are skipped. Valid rows that repeat a
-    key are kept here; append_if_absent() keeps the first.
+    a positive whole number or, with_store, the store isn't known. Blank lines are skipped. Every row gets the
+    `source` named here, whatever the dump says. Valid rows that repeat a key are kept here; append_if_absent()
+    keeps the first.
     """
     raw = spark.read.options(sep="\t", header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).csv(path)
     wanted = [*CHART_COLUMNS, *(["source", "store"] if with_store else [])]
@@ -33,14 +34,14 @@ def read_chart_dump(spark: SparkSession, path: str, with_store: bool = False) ->
         raise ValueError(f"columns missing: {', '.join(missing)}")
     raw = raw.select(*wanted)
     if not with_store:
-        raw = raw.withColumns({"source": F.lit("dump"), "store": F.lit("apple")})
+        raw = raw.withColumn("store", F.lit("apple"))
     typed = raw.withColumns({"ms": epoch_ms(F.col("captured_at")), "n": F.col("rank").try_cast("double")})
     filled = F.lit(True)
     for c in wanted:
         filled = filled & (F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) > 0)
-    ok = filled & F.col("ms").isNotNull() & F.coalesce(F.col("n") > 0, F.lit(False)) & (F.abs("n") < float("inf")) & F.col("store").isin(*STORES)
+    ok = filled & F.col("ms").isNotNull() & F.coalesce((F.col("n") > 0) & (F.col("n") == F.floor("n")), F.lit(False)) & (F.abs("n") < float("inf")) & F.col("store").isin(*STORES)
     marked = typed.withColumn("ok", F.coalesce(ok, F.lit(False)))
-    valid = marked.where("ok").select("app_id", "market", "category", F.col("ms").alias("captured_at"), F.col("n").cast("int").alias("rank"), "source", F.when(F.col("store") == "google", "googleplay").otherwise(F.col("store")).alias("store"))
+    valid = marked.where("ok").select("app_id", "market", "category", F.col("ms").alias("captured_at"), F.col("n").cast("int").alias("rank"), F.lit(source).alias("source"), "store")
     return valid, marked.agg(F.count("*").alias("rows_read"), F.count_if("ok").alias("rows_valid"), F.count_if(~F.col("ok")).alias("rows_invalid"))
 
 
@@ -95,8 +96,10 @@ def invariants_of(rows: DataFrame) -> DataFrame:
     )
 
 
-def latest_drop(landed: DataFrame, column: str = "drop_date") -> DataFrame:
-    """Rows of the greatest partition value only."""
+def latest_drop(landed: DataFrame, column: str = "drop_date", pinned: str | None = None) -> DataFrame:
+    """Rows of the pinned partition value, or of the greatest one only."""
+    if pinned is not None:
+        return landed.where(F.col(column) == pinned)
     newest = landed.agg(F.max(column).alias(column))
     return landed.join(F.broadcast(newest), column, "left_semi")
 
@@ -117,7 +120,8 @@ def page_apps(pages: DataFrame, html: str = "html") -> DataFrame:
 def page_app_record(pages: DataFrame, html: str = "html") -> DataFrame:
     """The page's first linked-data block of an app: name, rating, count, price; nulls without one."""
     blocks = F.transform(F.regexp_extract_all(html, F.lit(r'(?s)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1)), lambda b: F.try_parse_json(b))
-    app = F.filter(blocks, lambda v: F.try_variant_get(v, "$['@type']", "string") == "MobileApplication")
+    each = F.flatten(F.transform(blocks, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))))  # an object or a list of them
+    app = F.filter(each, lambda v: F.try_variant_get(v, "$['@type']", "string") == "MobileApplication")
     one = F.get(app, F.lit(0))
     return pages.withColumns({"name": F.try_variant_get(one, "$.name", "string"), "rating": F.try_variant_get(one, "$.aggregateRating.ratingValue", "double"), "rating_count": F.try_variant_get(one, "$.aggregateRating.reviewCount", "bigint"), "price": F.try_variant_get(one, "$.offers.price", "double")})
 
@@ -134,3 +138,49 @@ def normalized_reviews(raw: DataFrame) -> DataFrame:
     """(app_id, market, store, author, rating, text, posted_at) of landed rows whose `review` is JSON."""
     g = lambda *names: F.coalesce(*[F.get_json_object("review", f"$.{n}") for n in names])
     return raw.select("app_id", "market", "store", F.coalesce(g("userName", "author"), F.lit("anonymous")).alias("author"), F.coalesce(g("score", "rating").try_cast("double"), F.lit(0.0)).alias("rating"), F.coalesce(g("text", "title"), F.lit("")).alias("text"), g("date", "updated").alias("posted_at"))
+
+
+# Markets with a storefront page.
+STOREFRONTS = ("us", "id", "vn", "th", "my", "ph", "bd", "br", "es", "de", "fr", "jp")
+
+
+def landing_url(market):
+    """The storefront page of a market, null if it has none."""
+    return F.when(F.lower(market).isin(*STOREFRONTS), F.concat(F.lit("https://apps.apple.com/"), F.lower(market), F.lit("/charts")))
+
+
+CANDIDATE = "struct<app_id: string, store: string, title: string, score: double, dna_class: string, publisher_name: string, markets_active: array<string>, tenure_days_max: double, best_rank: bigint, has_subscription_iap: boolean, iap_count: bigint>"
+
+
+def read_shortlist(spark: SparkSession, path: str) -> DataFrame:
+    """Candidates of a shortlist's JSON document, as evaluate_shortlist() takes them.
+
+    The document is an array, or has one named shortlist or candidates. Anything else, or a candidate without its app,
+    store, markets, tenure or subscription flag, is an error.
+    """
+    text = spark.read.text(path, wholetext=True)
+    named = F.from_json("value", f"struct<shortlist: array<{CANDIDATE}>, candidates: array<{CANDIDATE}>>")
+    whole = F.when(F.trim("value").startswith("["), F.from_json("value", f"array<{CANDIDATE}>")).otherwise(F.coalesce(named["shortlist"], named["candidates"]))
+    found = text.select(whole.alias("c"))
+    if found.where("c is null").limit(1).count() or not found.limit(1).count():
+        raise ValueError("a shortlist is an array, or has one named shortlist or candidates")
+    rows = found.select(F.posexplode("c").alias("i", "c")).select("i", "c.*")
+    needed = ("app_id", "store", "markets_active", "tenure_days_max", "has_subscription_iap")
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in needed]))
+    for bad in rows.where(F.size(missing) > 0).orderBy("i").select("i", missing.alias("m")).limit(1).collect():
+        raise ValueError(f"candidate {bad['i']} lacks {', '.join(bad['m'])}")
+    return rows.select("app_id", "store", "title", "score", "dna_class", "publisher_name", F.col("markets_active").alias("markets"), F.col("tenure_days_max").cast("long").alias("tenure_max"), "best_rank", F.col("has_subscription_iap").alias("has_subscription"), "iap_count")
+
+
+def read_thresholds(spark: SparkSession, path: str):
+    """RiskThresholds of a JSON document with any of their fields; the others take their defaults, bad values are errors."""
+    import dataclasses
+    import json
+
+    from chartwright.operators.shortlist import RiskThresholds
+
+    given = json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).limit(1).collect()))  # a parameter file
+    known = {f.name for f in dataclasses.fields(RiskThresholds)}
+    if not isinstance(given, dict) or set(given) - known:
+        raise ValueError(f"thresholds are an object with {', '.join(sorted(known))}")
+    return RiskThresholds(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -18,12 +18,21 @@ def first_per_key(new: DataFrame, keys: list[str]) -> DataFrame:
     return new.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*(rest or keys)))).where("__k = 1").drop("__k")
 
 
-def append_if_absent(new: DataFrame, path: str, keys: list[str]) -> dict[str, int]:
-    """Append the rows whose key isn't there; -> rows read and written. A repeated run writes nothing."""
+def append_if_absent(new: DataFrame, path: str, keys: list[str], partition: str | None = None) -> dict[str, int]:
+    """Append the rows whose key isn't there; -> rows read and written. A repeated run writes nothing.
+
+    partition: one of the keys, by which the table is laid out; then only the partitions that `new` names are read.
+    """
     there, rows = _existing(new, path), first_per_key(new, keys)
-    before = there.count() if there is not None else 0
-    (rows if there is None else rows.join(there.select(*keys), keys, "left_anti").select(*new.columns)).write.mode("append").parquet(path)
-    return {"read": new.count(), "written": new.sparkSession.read.parquet(path).count() - before}
+    if there is not None and partition is not None:
+        there = there.where(F.col(partition).isin([r[0] for r in new.select(partition).distinct().collect()]))  # days of one batch
+    fresh = rows if there is None else rows.join(there.select(*keys), keys, "left_anti").select(*new.columns)
+    read, written = Observation(), Observation()
+    fresh = fresh.observe(written, F.count(F.lit(1)).alias("n"))
+    writer = fresh.write.mode("append")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    new.observe(read, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    return {"read": read.get["n"], "written": written.get["n"]}
 
 
 def replace_rows(new: DataFrame, path: str, to: str, keys: list[str]) -> DataFrame:
@@ -51,3 +60,13 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
 def report_text(rows: DataFrame, keys: list[str], order: list[str], line: str) -> DataFrame:
     """(*keys, text): a group's lines in order, joined by line breaks. Groups are reports, so small."""
     return rows.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, line))), lambda x: x[line]), "\n").alias("text"))
+
+
+def write_shortlist(csv: DataFrame, rows: DataFrame, funnel: DataFrame, config: dict, folder: str) -> None:
+    """A shortlist's folder: shortlist_csv, shortlist_json (a row a candidate), funnel_json and config_json. A shortlist is
+    short, so each is one file."""
+    write_csv(csv.coalesce(1), f"{folder}/shortlist_csv")
+    rows.coalesce(1).write.json(f"{folder}/shortlist_json")
+    funnel.coalesce(1).write.json(f"{folder}/funnel_json")
+    spark = csv.sparkSession
+    spark.createDataFrame([(k, str(v)) for k, v in config.items()], "name string, value string").coalesce(1).write.json(f"{folder}/config_json")

@@ -43,3 +43,22 @@ def pending_requests(requests: DataFrame, answered: DataFrame, cap: float, keys:
 
 def failed_slices(expected: DataFrame, landed: DataFrame, keys: list[str]) -> DataFrame:
     return expected.join(landed.select(*keys).distinct(), keys, "left_anti")
+
+
+def judging_requests(requests: DataFrame, answered: DataFrame, cap: float, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(answers known without a call, requests to make): a request without metadata scores 10 and costs nothing; of the
+    others those not answered yet, within the budget."""
+    known = requests.where("not has_metadata").select(*keys, F.lit(10.0).alias("score"), F.lit("no-metadata").alias("how"))
+    return known, pending_requests(requests.where("has_metadata"), answered, cap, keys)
+
+
+def land_answers(spark: SparkSession, landing: str, table: str, checkpoint: str, schema: str, keys: list[str], valid: str) -> StreamingQuery:
+    """Answer files as they land: rows that `valid` accepts are appended once for each key; restarted, it goes on."""
+    rows = spark.readStream.schema(schema).json(landing).where(valid)
+    return rows.writeStream.foreachBatch(lambda batch, _: append_if_absent(batch, table, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def replayed(requests: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
+    """Requests with the archived answer of the same key and request hash, null without one: no call is made."""
+    archived = answers.where("length(response) > 0").select(*keys, "request_hash", "response")
+    return requests.join(archived, [*keys, "request_hash"], "left")

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from chartwright.functions import exprs as X
 from chartwright.operators import backtest, factors, shortlist, signals
-from chartwright.plans import registry
-from chartwright.plans import reports as _reports  # noqa: F401  registers its queries
+from chartwright.plans import landed, registry, reports, scores  # noqa: F401  each registers its queries
 from chartwright.sources import files, sinks
 from chartwright.streaming import ingest
 
@@ -21,7 +20,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows_of(frame):
     frame = frame[sorted(frame.columns)]
-    cell = lambda v: None if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)) else str(v)[:10] if isinstance(v, (dt.date, pd.Timestamp)) else str(v) if isinstance(v, (str, bool)) else f"{float(v) + 0.0:.5f}"
+    cell = lambda v: None if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and math.isnan(v)) else str(v)[:10] if isinstance(v, (dt.date, pd.Timestamp)) else str(v) if isinstance(v, (str, bool)) else f"{float(v) + 0.0:.5f}"
     return sorted([tuple(map(cell, r)) for r in frame.itertuples(index=False, name=None)], key=str)
 
 

@@ -27,7 +27,7 @@ END = " "
 #: Distinct words kept before a task hands its partial counts on.
 PARTIAL = 400_000
 #: Bytes of text cut into words at a time; a longer text is cut alone.
-SLICE = 12 << 20
+SLICE = 4 << 20
 #: Training tokens of a shard, about; shards of a round at least; rounds of a pass and passes at most.
 SHARD_TOKENS, ROUND_SHARDS, MAX_ROUNDS, MAX_PASSES = 2_000_000, 6, 8, 8
 #: Tokens learnt from in all at least: small tables are walked several times.
@@ -313,7 +313,7 @@ def learn_model(texts: DataFrame, model: LogBilinear, tokens: int) -> LogBilinea
     return model
 
 
-def fit_and_score(docs: DataFrame, vocabulary: int = 8192, head: int = 250_000, size: int = 16, context: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fit_and_score(docs: DataFrame, vocabulary: int = 8192, head: int = 150_000, size: int = 16, context: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     base_score: log10 probability under smoothed unigram counts; score: under the log-bilinear model over the

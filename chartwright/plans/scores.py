@@ -127,12 +127,12 @@ def p12_opportunity_violations(spark, sf_dir):
     return K.opportunity_violations(rows).select("source_app_id", F.array_join("violations", "|").alias("violations"))
 
 
-@query(sql(*OPPORTUNITY_SQL, r"""SELECT source_app_id, CASE WHEN loc IS NULL AND vel IS NULL AND vul IS NULL AND economics IS NULL THEN '  (none computed)' ELSE concat_ws(chr(10), '  - locGap: ' || printf('%.1f', loc) || '/10', '  - velocity: ' || printf('%.1f', vel) || '/10',
-    '  - incumbent_vulnerability: ' || printf('%.1f', vul) || '/10', '  - cpi_ltv_proxy: ' || printf('%.1f', economics) || '/10') END AS signals,
+@query(sql(*OPPORTUNITY_SQL, r"""SELECT source_app_id, CASE WHEN loc IS NULL AND vel IS NULL AND vul IS NULL AND economics IS NULL THEN '  (none computed)' ELSE concat_ws(chr(10), '  - locGap: ' || printf('%.1f', floor(loc * 2) / 2) || '/10', '  - velocity: ' || printf('%.1f', floor(vel * 2) / 2) || '/10',
+    '  - incumbent_vulnerability: ' || printf('%.1f', floor(vul * 2) / 2) || '/10', '  - cpi_ltv_proxy: ' || printf('%.1f', floor(economics * 2) / 2) || '/10') END AS signals,
   CASE WHEN cpi_low IS NULL THEN '' ELSE 'CPI and LTV ' END || 'Capital to validate: $500.0' AS predicted, 'Step 1: build | Step 2: run | Kill criterion: roas_d14 below 0.5' AS plan FROM opp"""))
 def k10_briefs(spark, sf_dir):
-    rows = _opportunities(spark, sf_dir)
-    # prices as words, since engines print numbers differently
+    # signals in halves and prices as words, since engines print and round decimals differently
+    rows = _opportunities(spark, sf_dir).withColumns({n: F.floor(F.col(n) * 2) / 2 for n in opportunity.SIGNALS})
     predicted = reports.predicted_line(F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("budget"), F.lit(None).cast("int"))
     plan = reports.plan_line(F.array(F.lit("build"), F.lit("run")), F.lit("roas_d14"), F.lit("below"), F.lit(0.5))
     text = reports.briefs(rows.withColumns({
@@ -381,7 +381,7 @@ def s20_snapshots(spark, sf_dir):
     return K.snapshot_range(rows, "2024-01-05", "2024-01-20", "struct<rating: double>", "snapshot.rating <= 60").select("event_id", "snapshot_day", F.col("snapshot.rating").alias("rating"))
 
 
-@query("SELECT event_id, CAST(ts AS TIMESTAMP) + INTERVAL 1 DAY * (event_id % 10) > TIMESTAMP '2024-01-15' AS is_fresh, CAST(floor(epoch_ms(TIMESTAMP '2024-01-15') - epoch_ms(ts)) AS BIGINT) // 1000 AS age_s FROM events WHERE epoch_ms(ts) < epoch_ms(TIMESTAMP '2024-01-15')")
+@query("SELECT event_id, CAST(ts AS TIMESTAMP) + INTERVAL 1 DAY * (event_id % 10) > TIMESTAMP '2024-01-15' AS is_fresh, (epoch_ms(TIMESTAMP '2024-01-15') - epoch_us(ts) // 1000) // 1000 AS age_s FROM events WHERE ts < TIMESTAMP '2024-01-15'")
 def x22_fresh(spark, sf_dir):
     rows = D.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("created_at")).where(F.col("created_at") < F.lit("2024-01-15").cast("timestamp"))
     rows = rows.withColumn("expires_at", F.col("created_at") + F.make_dt_interval((F.col("event_id") % 10).cast("int")))

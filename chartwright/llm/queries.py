@@ -15,10 +15,14 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, distance, end) of every benchmark item in every document; null, empty, repeated and clashing
+    input as in contaminated_pairs()."""
     return decontaminate.contaminated_pairs(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document by the model of its labelled ones; null and empty texts get the intercepts' values,
+    repeated rows are scored each, empty documents give no rows, without toxic labels nothing is toxic."""
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score_severity(docs, toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
@@ -30,10 +34,13 @@ def packed_digest(docs: DataFrame) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents; cases as in packed_pieces()."""
     return packed_digest(read_table(spark, sf_dir, "documents"))
 
 
 def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of every document, read back from its record; cases as in write_records(). Empty
+    documents: no files, no rows."""
     docs = read_table(spark, sf_dir, "documents")
     _, manifest = records.write_records(docs, VOCABULARY)
     back = records.read_records(spark, manifest)
@@ -41,30 +48,37 @@ def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page and its length in code points; cases as in extract_main_text()."""
     pages = html.extract_main_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document; cases as in fit_and_score()."""
     return lm.fit_and_score(read_table(spark, sf_dir, "documents"))
 
 
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of every vector; cases as in vector_links()."""
     # the exact margin makes a row a guest nearly everywhere, so that few, large cells copy least
     return vectors.vector_links(read_table(spark, sf_dir, "embeddings"), cell_rows=8000, spread=None).withColumnRenamed("id", "vec_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every document; cases as in simhash_classes()."""
     classes = simhash.simhash_classes(read_table(spark, sf_dir, "documents"))
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length histogram with its suffix sums; null texts have one token, repeated rows count each, empty documents
+    give no rows."""
     lengths = tokens.encoded_lengths(read_table(spark, sf_dir, "documents"), VOCABULARY)
     return tokens.suffix_totals(tokens.length_histogram(lengths))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn documents; cases as in resample()."""
     return quality.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 

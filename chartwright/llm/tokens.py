@@ -125,7 +125,8 @@ def suffix_totals(histogram: DataFrame) -> DataFrame:
 def answer_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
     """(context_limit, n_docs, n_tokens, truncated_docs, truncated_tokens) for any context limits, from the histogram.
 
-    Limits that are no length of any document count too. Repeated limits are answered once.
+    Limits that are no length of any document count too. Repeated limits are answered once; an empty histogram
+    gives zeros, no limit no rows. Null lengths aren't in a histogram.
     """
     spark = histogram.sparkSession
     asked = sorted(set(limits))
@@ -152,6 +153,9 @@ def answer_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def quantile_lengths(totals: DataFrame, shares: list[float]) -> DataFrame:
-    """(share, length): the least length that at least `share` of all documents don't exceed."""
+    """(share, length): the least length that at least `share` of all documents don't exceed.
+
+    totals: suffix_totals(), a row for each distinct length, so ties are one row. Shares above 1 and empty totals give no rows.
+    """
     wanted = totals.sparkSession.createDataFrame([(float(s),) for s in shares], "share double")
     return totals.join(F.broadcast(wanted), F.col("quantile") >= F.col("share")).groupBy("share").agg(F.min("length").alias("length"))

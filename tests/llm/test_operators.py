@@ -58,6 +58,24 @@ def test_histogram_answers(spark, odd, whole):
     for r in tokens.answer_limits(hist, [1, 5, 10**6]).collect():
         assert r["truncated_tokens"] == sum(min(x, r["context_limit"]) for x in lengths)
     assert tokens.suffix_totals(hist.limit(0)).count() == 0
+    ordered = sorted(lengths)
+    for r in tokens.quantile_lengths(tokens.suffix_totals(hist), [0.1, 0.5, 1.0, 1.5]).collect():
+        assert r["share"] <= 1 and r["length"] == ordered[int(np.ceil(r["share"] * len(ordered))) - 1]
+
+
+def test_added_tokens_are_cut_out(spark):
+    t = Tokenizer.from_file(VOCABULARY)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "plain", "<|endoftext"]
+    ids, bounds = bpe.Encoder.open(VOCABULARY).encode_batch(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [t.encode(s, add_special_tokens=False).ids for s in texts]
+
+
+def test_empty_tables(spark):
+    docs, labels, bench = documents(spark), spark.read.parquet(f"{DATA}/labels.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
+    none = docs.limit(0)
+    assert decontaminate.contaminated_pairs(none, bench).count() == 0 == decontaminate.drop_contaminated(none, bench).count()
+    assert toxicity.score_severity(none, toxicity.fit_toxicity(none, labels)).count() == 0
+    assert queries.packed_digest(none).count() == 0
 
 
 @settings(max_examples=80, deadline=None)

@@ -31,6 +31,33 @@ def test_stages(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).select("doc_id").distinct().count() == docs.count()
 
 
+def test_whole_run(spark, tmp_path):
+    """run() is its stages one after another, and an empty documents table gives no rows."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    ids = {r["doc_id"] for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, DATA).collect(), docs.schema)
+    left = {r["doc_id"] for r in docs.collect()}
+    got = corpus_pipeline.run(spark, DATA).collect()
+    assert {r["doc_id"] for r in got} == left and 0 < len(left) < len(ids)
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/{t}.parquet").limit(0 if t == "documents" else 1000).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Null ids, null, empty and long texts, repeated rows and clashing columns go through every stage."""
+    good = next(r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) > 500").orderBy("doc_id").collect())
+    rows = [(None, None), (None, good), (1, ""), (2, "word " * 60_000), (3, good), (3, good), (-4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 1, 2) for i, t in rows], "doc_id long, text string, lang string, source string, k long, key long, label long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and out.count() <= len(rows), name
+        if name in ("toxicity", "decontamination"):
+            assert out.where("text is null or text = ''").count() == 3
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).where("start = 0").count() == len(rows)
+
+
 def test_registered():
     import __spark_entry__
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartwright.llm import decontaminate, html, lm, packing, quality, records, simhash, tokens, toxicity, vectors
+from chartwright.llm import conversations, decontaminate, html, lm, negatives, packing, quality, records, simhash, tokens, toxicity, vectors, warc
 from chartwright.llm.common import read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -82,6 +82,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The negatives of every anchor and positive; cases as in hard_negatives()."""
+    found = negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+    return found.drop("blocks_read", "blocks_skipped")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts and cheapest edits of every conversation after damage; cases as in damaged() and repair()."""
+    return conversations.repair(conversations.damaged(read_table(spark, sf_dir, "conversations")))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from files of 32 MB; cases as in write_archive()."""
+    _, manifest = warc.write_archive(read_table(spark, sf_dir, "pages"), file_bytes=32 << 20)
+    return warc.read_archive(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -93,5 +110,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_conversations": op12_conversations,
+    "op13_warc": op13_warc,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op11_hard_negatives": """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score FROM r a JOIN r ON a.vec_id % 50 = 0 AND len(a.v) = len(r.v)),
+  p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same AND id <> anchor_id QUALIFY ROW_NUMBER() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+  n AS (SELECT p.*, id AS negative_id, score AS negative_score, CAST(ROW_NUMBER() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+  SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
+    "op13_warc": """WITH p AS (SELECT page_id, COALESCE(html, '') AS html FROM pages),
+  w AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest, ROW_NUMBER() OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS nth, MIN(page_id) OVER (PARTITION BY html) AS first FROM p)
+  SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND nth > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND nth > 1 THEN first END AS refers_to FROM w""",
 }
-ORACLE_SQL: dict[str, str] = {}

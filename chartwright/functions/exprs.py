@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -86,10 +87,15 @@ def _once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def composed(text: Column) -> Column:
-    """Lower case, the letters of the stop words composed."""
+def composed(text: Column, words: dict[str, str] = fixed.STOP_WORDS) -> Column:
+    """Lower case, with the letters of the words composed where they stand as a base and combining marks, longest first.
+
+    For comparing words that is the whole canonical form: other letters are in none of them, in either form.
+    """
     low = F.lower(text)
-    return F.when(low.rlike(r"\p{M}"), reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), fixed.COMPOSED.items(), low)).otherwise(low)
+    letters = {unicodedata.normalize("NFD", c): c for c in "".join(words.values()) if unicodedata.normalize("NFD", c) != c}
+    pairs = sorted(letters.items(), key=lambda x: (-len(x[0]), x[0]))
+    return F.when(low.rlike(r"\p{M}"), reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), pairs, low)).otherwise(low)
 
 
 def detected_language(text: Column) -> Column:

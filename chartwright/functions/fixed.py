@@ -34,8 +34,6 @@ STOP_WORDS = {
     "pl": "i w z na do jest się od po dla to że są ale",
     "tr": "ve bir bu ile için siz sizin olan daha çok kadar",
 }
-# Letters of the stop words as a base and a combining mark, and composed.
-COMPOSED = {"e\u0301": "\u00e9", "e\u0300": "\u00e8", "u\u0308": "\u00fc", "c\u0327": "\u00e7", "a\u0328": "\u0105", "e\u0328": "\u0119", "z\u0307": "\u017c"}
 # What a description says of its paywall.
 SUBSCRIPTION = r"\b(subscription|subscribe|monthly|yearly|annual)\b|/(?:month|mo|year|yr)\b|per\s+(?:month|year)"
 TRIAL = r"\b(free trial|trial period|\d+[- ]day(?: free)? trial|try (it )?free)\b"
@@ -76,6 +74,9 @@ ECONOMICS_SEED = (
     ("ph", "health", 0.3, 0.8, 3.0, 7.0), ("ph", "productivity", 0.35, 0.95, 3.5, 8.0), ("ph", "finance", 0.5, 1.3, 5.0, 14.0), ("ph", "lifestyle", 0.22, 0.65, 2.2, 5.5), ("ph", "social", 0.3, 0.8, 1.1, 3.5),
     ("bd", "health", 0.18, 0.55, 2.0, 5.5), ("bd", "productivity", 0.22, 0.65, 2.5, 6.0), ("bd", "finance", 0.4, 1.1, 4.5, 13.0), ("bd", "lifestyle", 0.15, 0.5, 1.8, 4.5), ("bd", "social", 0.25, 0.7, 0.9, 3.0),
 )
+# How stored signals name the cell or the market that they are of, around {market} and {store}.
+CELL_TAG = ("pathc-v3-", "-", "-tg")
+MARKET_TAG = "v1.0.0-apptweak-"
 # What an opportunity may name.
 OPPORTUNITY_MARKETS = ("us", "jp", "kr", "de", "fr", "br", "es", "mx", "id", "vn", "th", "my", "ph", "bd")
 OPPORTUNITY_CATEGORIES = ("health", "productivity", "games", "lifestyle", "social", "utilities", "education", "finance", "shopping", "entertainment")

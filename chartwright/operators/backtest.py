@@ -62,6 +62,30 @@ def candidate_pool(charts: DataFrame, cohorts: DataFrame, mode: str, fresh_days:
     raise ValueError(mode)
 
 
+def cohort_grid(parts: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Each part's cells on each of its dates: the cells' columns and t0. Dates are given, so a cell's are one array."""
+    grids = [cells.select("*", F.explode(F.array(*[F.lit(d).cast("date") for d in dates])).alias("t0")) for cells, dates in parts]
+    out = grids[0]
+    for g in grids[1:]:
+        out = out.unionByName(g)
+    return out
+
+
+def cohort_sizes(charts: DataFrame, grid: DataFrame, days: int = 6) -> DataFrame:
+    """The grid's rows (market, store, t0, ...) with n, the apps charted in the days up to t0; 0 where there are none."""
+    key = ["market", "store", "t0"]
+    week = grid.select(*key).distinct().withColumn("day", F.explode(F.sequence(F.date_sub("t0", days), F.col("t0"))))
+    n = charts.select("market", "store", "day", "app_id").join(week, ["market", "store", "day"]).groupBy(*key).agg(F.count_distinct("app_id").alias("n"))
+    return grid.join(n, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def with_tiers(ranked: DataFrame, tiers: DataFrame, keys: list[str], horizon: int) -> DataFrame:
+    """Ranked apps with the tier of the same keys measured exactly `horizon` days after t0, null if there is none, and
+    is_winner. tiers (*keys, measured_at, tier): what was measured at another day is none."""
+    own = tiers.where(F.col("measured_at") == F.date_add("t0", horizon)).select(*keys, "tier")
+    return ranked.join(own, keys, "left").withColumn("is_winner", F.coalesce(F.col("tier") == "winner", F.lit(False)))
+
+
 def _around(rows: DataFrame, asked: DataFrame, before: int, after: int) -> DataFrame:
     """Rows of each asked (market, t0) from `before` days before t0 to `after` days after it: an equal join on the day."""
     days = asked.withColumn("day", F.explode(F.sequence(F.date_sub("t0", before), F.date_add("t0", after))))
@@ -128,16 +152,29 @@ def winner_scores(pairs: DataFrame, charts: DataFrame, signals: DataFrame, count
     return out.select("app_id", "t", score.alias("score")).withColumn("tier", F.when(F.col("score") >= 7, "winner").when(F.col("score") >= 5, "marginal").when(F.col("score").isNotNull(), "loser"))
 
 
+def _drawn(keys: list[str], seed: int):
+    """A number from the digest of seed, keys and app."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("app_id").cast("string"))), 1, 12), 16, 10).cast("double")
+
+
 def rankings(values: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:
     """(*keys, ranker, app_id, pos): each named value ranks the apps that have it; `random` ranks all by a digest of seed,
     keys and app."""
     w = Window.partitionBy(*keys, "ranker").orderBy(F.desc("value"), "app_id")
-    drawn_value = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("app_id").cast("string"))), 1, 12), 16, 10).cast("double")
-    drawn = values.select(*keys, "app_id").distinct().select(*keys, "app_id", F.lit("random").alias("ranker"), drawn_value.alias("value"))
+    drawn = values.select(*keys, "app_id").distinct().select(*keys, "app_id", F.lit("random").alias("ranker"), _drawn(keys, seed).alias("value"))
     named = values.select(*keys, "app_id", F.col("signal_name").alias("ranker"), F.col("value").cast("double").alias("value"))
     return named.where("value is not null and not isnan(value)").unionByName(drawn).withColumn("pos", F.row_number().over(w).cast("long")).drop("value")
 
 
+def rankings_wide(cells: DataFrame, keys: list[str], names: dict[str, object], seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, ranker, app_id, *carry, pos) as rankings(), of one row for each app of a cell: names are the rankers and their
+    values' columns. The cells are read once, and what they carry (a label) needs no join afterwards."""
+    each = F.array(*[F.struct(F.lit(n).alias("ranker"), v.cast("double").alias("value")) for n, v in names.items()], F.struct(F.lit("random").alias("ranker"), _drawn(keys, seed).alias("value")))
+    rows = cells.select(*keys, "app_id", *carry, F.inline(each)).where("value is not null and not isnan(value)")
+    w = Window.partitionBy(*keys, "ranker").orderBy(F.desc("value"), "app_id")
+    return rows.withColumn("pos", F.row_number().over(w).cast("long")).select(*keys, "ranker", "app_id", *carry, "pos")
+
+
 def select_signals(signals: DataFrame, names: dict[str, str], excluded: tuple[str, ...] = (), versions: dict[str, str] | None = None) -> DataFrame:
     """Signal rows by their public names, without the excluded ones, without nulls, each at its version where one is set."""
     public = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in names.items() for x in p]), F.col("signal_name")), F.lit(""))
@@ -170,5 +207,12 @@ def precision_at_k(ranked: DataFrame, winners: DataFrame, keys: list[str], ks: t
     )
 
 
+def carried_precision(ranked: DataFrame, label: str, keys: list[str], ks: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
+    """precision_at_k() of rankings that carry their label, 1 for winners: one aggregate in the ranking's own partitions."""
+    won = [F.round(F.sum(F.when(F.col("pos") <= k, F.coalesce(F.col(label), F.lit(0))).otherwise(0)) / k, 6) for k in ks]
+    out = ranked.groupBy(*keys, "ranker").agg(F.array(*[F.struct(F.lit(k).alias("k"), p.alias("precision")) for k, p in zip(ks, won, strict=True)]).alias("at"))
+    return out.select(*keys, "ranker", F.inline("at"))
+
+
 def lift(composite, baseline):
     return F.when(baseline > 0, composite / baseline).when(composite > 0, 999.0).otherwise(0.0)

@@ -5,53 +5,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FACTORS = ("f0", "f1", "f2", "f4", "f5", "f7", "f11", "f14")
-CELL = ["market", "store", "t0"]
-
+from chartwright.operators.windows import CELL, TRAILING, chart_ends, deviation, outcome, windowed
 
-def _serving(charts: DataFrame, t0s: DataFrame, days: int = 365) -> DataFrame:
-    """Each chart row with every t0 that lies at most `days` after it: an equal join on the months it can serve."""
-    dates = t0s.select("t0").distinct().withColumn("month", F.trunc("t0", "month"))
-    months = F.sequence(F.trunc("day", "month"), F.trunc(F.date_add("day", days), "month"), F.expr("interval 1 month"))
-    rows = charts.select("market", "store", "day", "app_id", "rank", F.explode(months).alias("month"))
-    return rows.join(dates, "month").where(F.col("day").between(F.date_sub("t0", days), F.col("t0"))).drop("month")
+FACTORS = ("f0", "f1", "f2", "f4", "f5", "f7", "f11", "f14")
 
 
-def _per_cell(charts: DataFrame, t0s: DataFrame, top_n: int) -> DataFrame:
-    """One row for each (t0, market, store, app) seen in the year before t0, of all charts."""
-    week, quarter = F.col("day") >= F.date_sub("t0", 6), F.col("day") >= F.date_sub("t0", 90)
-    sd, high = F.stddev_pop(F.when(quarter, F.col("rank"))), F.col("rank") <= top_n
-    return _serving(charts, t0s).groupBy("t0", "app_id", "market", "store").agg(
-        F.max_by(F.when(week, F.col("rank")), F.when(week, F.struct("day", -F.col("rank")))).alias("f0"),
-        F.countDistinct(F.when(high, F.col("day"))).alias("f1"),
-        F.when((F.count_if(quarter) >= 2) & (sd > 0), 1 / sd).alias("f2"),
-        F.min("rank").alias("best"),
-        F.max(F.when(week & high, 1).otherwise(0)).alias("high_week"),
-    )
+def _per_cell(charts: DataFrame, t0s: DataFrame, top_n: int, horizon: int | None = None) -> DataFrame:
+    """One row for each (t0, market, store, app) seen in the year before t0, of all charts; with a horizon also winner_exact
+    and winner_window at t0 + horizon, whether or not the charts go on until then."""
+    more = {} if horizon is None else outcome(horizon)
+    rows = windowed(charts, t0s, {**TRAILING, **more}, top_n).where("year.n > 0")
+    sd = deviation("quarter")
+    out = rows.select(
+        "t0", "app_id", "market", "store", F.col("week.last").alias("f0"), F.col("year.high").alias("f1"), F.when((F.col("quarter.n") >= 2) & (sd > 0), 1 / sd).alias("f2"),
+        F.col("year.best").alias("best"), F.when(F.col("week.high") > 0, 1).otherwise(0).alias("high_week"),
+        *([] if horizon is None else [F.when(F.col(f"{w}.high") > 0, 1).otherwise(0).alias(label) for w, label in (("exact", "winner_exact"), ("around", "winner_window"))]),
+    )
+    return out
 
 
-def cell_factors(charts: DataFrame, cohorts: DataFrame, top_n: int = 100) -> DataFrame:
-    """(market, store, t0, app_id, f0, f1, f2, f4) for apps charted in the week that ends at t0.
+def cell_factors(charts: DataFrame, cohorts: DataFrame, top_n: int = 100, horizon: int | None = None) -> DataFrame:
+    """(market, store, t0, app_id, f0, f1, f2, f4) for apps charted in the week that ends at t0; with a horizon also whether
+    they are within top_n at t0 + horizon and in the week that ends then (0 too where the chart has ended).
 
     f0 rank last seen in the week; f1 days within top_n in a year; f2 steadiness, 1 / population deviation of
     rank in 90 days; f4 current rank over best rank of the year.
     """
-    out = _per_cell(charts, cohorts, top_n).join(cohorts.select(*CELL).distinct(), CELL, "left_semi").where("f0 is not null")
-    return out.select(*CELL, "app_id", F.col("f0").cast("long"), F.col("f1").cast("long"), F.round("f2", 6).alias("f2"), F.round(F.col("f0") / F.col("best"), 6).alias("f4"))
+    out = _per_cell(charts, cohorts, top_n, horizon).join(cohorts.select(*CELL).distinct(), CELL, "left_semi").where("f0 is not null")
+    labels = [] if horizon is None else ["winner_exact", "winner_window"]
+    return out.select(*CELL, "app_id", F.col("f0").cast("long"), F.col("f1").cast("long"), F.round("f2", 6).alias("f2"), F.round(F.col("f0") / F.col("best"), 6).alias("f4"), *labels)
 
 
-def factor_table(charts: DataFrame, invariants: DataFrame, cohorts: DataFrame, top_n: int = 100) -> DataFrame:
+def cohort_labels(charts: DataFrame, cohorts: DataFrame, horizon: int = 90, top_n: int = 100) -> DataFrame:
+    """(app_id, market, store, t0, winner_exact, winner_window) of every app charted in the week that ends at t0: whether it
+    is within top_n at t0 + horizon, and in the week that ends then. Charts that end before then give no rows."""
+    rows = windowed(charts, cohorts, {"week": TRAILING["week"], **outcome(horizon)}, top_n).where("week.n > 0")
+    rows = rows.join(cohorts.select(*CELL).distinct(), CELL, "left_semi")
+    rows = rows.join(chart_ends(charts), ["market", "store"]).where(F.col("last_day") >= F.date_add("t0", horizon))
+    won = lambda w: F.when(F.col(f"{w}.high") > 0, 1).otherwise(0)
+    return rows.select("app_id", "market", "store", "t0", won("exact").alias("winner_exact"), won("around").alias("winner_window"))
+
+
+def factor_table(charts: DataFrame, invariants: DataFrame, cohorts: DataFrame, top_n: int = 100, horizon: int | None = None) -> DataFrame:
     """All eight factors, one row for each cell of the cohorts and app charted there in the week that ends at t0.
 
     f0, f1, f2, f4 as in cell_factors(). f5: charts (market, store) within top_n that week. f7: mean tenure (days within
     top_n in a year, over markets) of the publisher's other apps in the same store, null if it has none. f11: age in
     days, 365 at most. f14: whether the app is within top_n in the other store that week, null if that store has no
-    such row then. The charts are read and grouped once; all else are windows over their cells.
+    such row then. The charts are read and grouped once; all else are windows over their cells. With a horizon also
+    winner_exact and winner_window as in cohort_labels(), null where the chart ends before.
     """
     w_app = Window.partitionBy("t0", "app_id")
     w_market, w_store = Window.partitionBy("t0", "app_id", "market"), Window.partitionBy("t0", "app_id", "store")
     other = lambda w: F.when(F.col("store") == "apple", F.max(F.when(F.col("store") != "apple", F.col("high_week"))).over(w)).otherwise(F.max(F.when(F.col("store") == "apple", F.col("high_week"))).over(w))
-    rows = _per_cell(charts, cohorts, top_n).withColumns({
+    rows = _per_cell(charts, cohorts, top_n, horizon).withColumns({
         "f5": F.sum("high_week").over(w_app),
         "both": F.coalesce(other(w_market), F.lit(0)),
         "tenure": F.sum("f1").over(w_store),
@@ -66,11 +73,15 @@ def factor_table(charts: DataFrame, invariants: DataFrame, cohorts: DataFrame, t
     f7 = (F.col("s") - F.col("tenure")) / F.nullif(F.col("k") - 1, F.lit(0))
     any_other = other(Window.partitionBy("t0", "market"))
     days = F.datediff("t0", "release_day")
+    labels = []
+    if horizon is not None:
+        rows = rows.join(chart_ends(charts), ["market", "store"])
+        labels = [F.when(F.col("last_day") >= F.date_add("t0", horizon), F.col(c)).alias(c) for c in ("winner_exact", "winner_window")]
     rows = rows.withColumn("any", F.coalesce(any_other, F.lit(0))).join(cohorts.select(*CELL).distinct(), CELL, "left_semi").where("f0 is not null")
     return rows.select(
         *CELL, "app_id", F.col("f0").cast("long"), F.col("f1").cast("long"), F.round("f2", 6).alias("f2"), F.round(F.col("f0") / F.col("best"), 6).alias("f4"),
         F.nullif(F.col("f5"), F.lit(0)).cast("long").alias("f5"), F.round(F.when(mine & F.col("publisher_id").isNotNull(), f7), 6).alias("f7"),
-        F.when(days >= 0, F.least(F.lit(365), days)).cast("long").alias("f11"), F.when(F.col("any") == 1, F.col("both")).cast("long").alias("f14"),
+        F.when(days >= 0, F.least(F.lit(365), days)).cast("long").alias("f11"), F.when(F.col("any") == 1, F.col("both")).cast("long").alias("f14"), *labels,
     )
 
 
@@ -96,31 +107,87 @@ def standardized(long: DataFrame, keys: list[str], low: float = 0.01, high: floa
     return cut.select(*long.columns, z.alias("z"))
 
 
-def residualized(wide: DataFrame, keys: list[str], order: tuple[str, ...] = FACTORS) -> DataFrame:
-    """Each factor's part that the factors before it don't explain, by least squares within each cell.
+def standardized_wide(wide: DataFrame, keys: list[str], names: tuple[str, ...] = FACTORS, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """(*keys, app_id, *names as doubles, z_<name> of each): the scores of standardized(), of all factors with one shuffle
+    and one sort, by cell."""
+    w, rows = Window.partitionBy(*keys), wide.select(*keys, "app_id", *[F.col(n).cast("double").alias(n) for n in names])
+    rows = rows.select("*", *[F.percentile(n, F.array(F.lit(low), F.lit(high))).over(w).alias(f"q_{n}") for n in names])
+    rows = rows.select(*keys, "app_id", *names, *[F.when(F.col(n).isNotNull(), F.least(F.greatest(n, F.col(f"q_{n}")[0]), F.col(f"q_{n}")[1])).alias(f"v_{n}") for n in names])
+    facts = [f(f"v_{n}").over(w).alias(f"{k}_{n}") for n in names for k, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_samp))]
+    rows = rows.select("*", *facts)
+    z = lambda n: F.when(F.col(f"n_{n}") < 2, F.col(f"v_{n}")).when(F.coalesce(f"s_{n}", F.lit(0.0)) < 1e-12, 0.0).otherwise((F.col(f"v_{n}") - F.col(f"m_{n}")) / F.col(f"s_{n}"))
+    return rows.select(*keys, "app_id", *names, *[z(n).alias(f"z_{n}") for n in names])
 
-    The first stays. Only earlier factors that are there on all of the factor's rows are used; with fewer than
-    three rows or none such the value stays; null stays null. A cell is one chart's apps, so a group is small.
+
+def _let(value, body):
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _coefficients(grams, k: int):
+    """For each of k columns the weights of (1, column 1, ..., column k) that give its residual.
+
+    grams[i] is null or (n, have, gram): rows where column i is there, how many of them have each column, and sums of
+    products of (1, columns) over those rows, row by row. Regressors of column i are the constant and the residuals of
+    earlier columns that all of those rows have; they are made orthogonal one by one in the inner product of the sums,
+    twice over, and what is left of one is dropped below 1e-11 of its column's own sum of squares.
     """
-    import pandas as pd
+    units, size = F.sequence(F.lit(0), F.lit(k)), k + 1
+    unit = lambda at: F.transform(units, lambda j: F.when(j == at, 1.0).otherwise(0.0))
+
+    def times(g, v):
+        return F.transform(units, lambda a: _dot(F.slice(g, a * size + 1, F.lit(size)), v))
+
+    def reduced(v, basis):
+        step = lambda x, e: _let(_dot(x, e["g"]) / e["n"], lambda c: F.zip_with(x, e["w"], lambda p, q: p - c * q))
+        return F.aggregate(F.concat(basis, basis), v, step)
+
+    none = F.array().cast("array<struct<w:array<double>,g:array<double>,n:double>>")
+
+    def residual(done, i):
+        g = F.element_at(grams, i + 1)
+        before = F.when(i > 0, F.sequence(F.lit(0), i - 1)).otherwise(F.array().cast("array<int>"))
+        prior = F.filter(before, lambda p: F.get(g["have"], p) == g["n"])
+        regressors = F.concat(F.array(F.struct(unit(0).alias("v"), F.lit(0).alias("at"))), F.transform(prior, lambda p: F.struct(F.get(done, p).alias("v"), (p + 1).alias("at"))))
+
+        def added(basis, r):
+            def kept(w):
+                return _let(times(g["gram"], w), lambda gw: _let(_dot(w, gw), lambda n: F.when(n > 1e-11 * F.get(g["gram"], r["at"] * (size + 1)), F.concat(basis, F.array(F.struct(w.alias("w"), gw.alias("g"), n.alias("n"))))).otherwise(basis)))
+
+            return _let(reduced(r["v"], basis), kept)
 
-    schema = wide.select(*keys, "app_id", *[F.col(n).cast("double").alias(n) for n in order]).schema
+        fitted = reduced(unit(i + 1), F.aggregate(regressors, none, added))
+        return F.when(g.isNull() | (g["n"] < 3) | (F.size(prior) == 0), unit(i + 1)).otherwise(fitted)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+    return F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.array().cast("array<array<double>>"), lambda done, i: F.concat(done, F.array(residual(done, i))))
 
-        frame = frame.astype(dict.fromkeys(order, float))
-        out = frame.copy()
-        for i, name in enumerate(order):
-            rows = frame[name].notna().to_numpy()
-            prior = [p for p in order[:i] if out.loc[rows, p].notna().all()]
-            if i and rows.sum() >= 3 and prior:
-                x = np.column_stack([np.ones(rows.sum()), *[out.loc[rows, p].to_numpy(float) for p in prior]])
-                y = frame.loc[rows, name].to_numpy(float)
-                out.loc[rows, name] = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
-        return out
 
-    return wide.select(*schema.names).groupBy(*keys).applyInPandas(run, schema)
+def residualized(wide: DataFrame, keys: list[str], order: tuple[str, ...] = FACTORS) -> DataFrame:
+    """Each factor's part that the factors before it don't explain, by least squares within each cell.
+
+    The first stays. Only earlier factors that are there on all of the factor's rows are used; with fewer than
+    three rows or none such the value stays; null stays null. A cell's rows are only summed: one table of sums of
+    products for each factor, from which all its weights follow; they are joined back by cell. Exactly collinear factors
+    leave 0. Values should be of order one, as z-scores are.
+    """
+    k = len(order)
+    rows = wide.select(*keys, "app_id", *[F.col(n).cast("double").alias(n) for n in order])
+    x = [F.lit(1.0), *[F.coalesce(F.col(n), F.lit(0.0)) for n in order]]
+    each = rows.select(*keys, F.posexplode(F.array(*[F.col(n) for n in order])).alias("i", "own"), F.array(*x).alias("x"), F.array(*[F.col(n).isNotNull() for n in order]).alias("there")).where("own is not null")
+    pairs = [(a, b) for a in range(k + 1) for b in range(a, k + 1)]
+    sums = each.groupBy(*keys, "i").agg(F.count("*").alias("n"), F.array(*[F.count_if(F.col("there")[j]) for j in range(k)]).alias("have"), *[F.sum(F.col("x")[a] * F.col("x")[b]).alias(f"s{a}_{b}") for a, b in pairs])
+    gram = F.array(*[F.col(f"s{min(a, b)}_{max(a, b)}") for a in range(k + 1) for b in range(k + 1)])
+    by_cell = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("n", "have", gram.alias("gram"))))).alias("grams"))
+    grams = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.try_element_at(F.col("grams"), i))
+    weights = by_cell.select(*keys, grams.alias("grams")).select(*keys, _coefficients(F.col("grams"), k).alias("weights"))
+    fits = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys]
+    joined = rows.alias("l").join(weights.alias("r"), fits, "left").select("l.*", "r.weights")
+    left = lambda i: F.when(F.col(order[i]).isNotNull(), sum((F.col("weights")[i][j] * x[j] for j in range(1, k + 1)), F.col("weights")[i][0]))
+    return joined.select(*keys, "app_id", *[left(i).alias(order[i]) for i in range(k)])
 
 
 def directions(long: DataFrame, label: str, least: int = 30) -> DataFrame:
@@ -142,14 +209,14 @@ def cluster_bootstrap(lifts: DataFrame, reps: int = 200, seed: int = 42) -> Data
     """(signal_name, n, median, low, high, p): medians of resampled cohort lifts; under three cohorts nulls.
 
     lifts (signal_name, cohort, lift). Draw d of repetition r takes the cohort at a multiplicative hash of (r, d, seed),
-    in integers that any engine computes alike.
+    in integers that any engine computes alike. A factor's lifts, one for each cohort, lie in one array; each repetition
+    draws from it in place, so nothing is joined.
     """
-    w = Window.partitionBy("signal_name")
-    indexed = lifts.withColumns({"i": F.row_number().over(w.orderBy("cohort")) - 1, "n": F.count("*").over(w)})
-    draws = indexed.select("signal_name", "n", F.col("i").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    mixed = (F.col("rep").cast("long") * 1000003 + F.col("d").cast("long") * 7919 + seed * 104729) * 2654435761 % 4294967296
-    draws = draws.withColumn("i", (F.floor(mixed / 256) % F.col("n")).cast("int"))
-    medians = draws.join(indexed.select("signal_name", "i", "lift"), ["signal_name", "i"]).groupBy("signal_name", "rep").agg(F.median("lift").alias("m"))
+    values = lifts.groupBy("signal_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("cohort", "lift"))), lambda x: x["lift"]).alias("lifts")).withColumn("n", F.size("lifts"))
+    mixed = lambda d: (F.col("rep").cast("long") * 1000003 + d.cast("long") * 7919 + seed * 104729) * 2654435761 % 4294967296
+    drawn = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda d: F.get(F.col("lifts"), (F.floor(mixed(d) / 256) % F.col("n")).cast("int")))
+    draws = values.where("n > 0").select("signal_name", "n", "lifts", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select("signal_name", "n", "rep", F.sort_array(drawn).alias("x"))
+    medians = draws.select("signal_name", "rep", ((F.get("x", F.floor((F.col("n") - 1) / 2).cast("int")) + F.get("x", F.floor(F.col("n") / 2).cast("int"))) / 2).alias("m"))
     boot = medians.groupBy("signal_name").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg(F.when(F.col("m") <= 0, 1.0).otherwise(0.0)).alias("below"), F.avg(F.when(F.col("m") >= 0, 1.0).otherwise(0.0)).alias("above"))
     real = lifts.groupBy("signal_name").agg(F.count("*").alias("n"), F.median("lift").alias("median"))
     enough = F.col("n") >= 3
@@ -187,41 +254,87 @@ def study_verdict(alive: DataFrame, composite_lift: float | None, least_composit
     return "K2" if composite_lift is not None and composite_lift >= least_composite else "K3"
 
 
-def forward_chaining(rows: DataFrame, features: list[str], label: str, least_train: int = 30, least_test: int = 10, c: float = 1.0) -> DataFrame:
+def forward_chaining(rows: DataFrame, features: list[str], label: str, least_train: int = 30, least_test: int = 10, c: float = 1.0, rounds: int = 60) -> DataFrame:
     """(t0, n_train, n_test, prec_composite, prec_f0, lift) of each date after the first: a logistic model of all earlier
     dates ranks that date's apps, and its top tenth is held against that of f0.
 
     rows (market, store, t0, app_id, *features, label). Missing values take the training median; markets and stores are
     indicators, the first left out; the penalty is 1 / (2 c) of the squared weights, the constant's included. Dates with
-    too few rows or one class are left out. Dates are a few dozen, one fit each; write `rows` out before, they are read
-    several times.
+    too few rows, one class or a feature without any training value are left out.
+
+    All dates are fitted at once: a round of Newton's method is one aggregate by date, of the gradient, the products and
+    the loss at the present weights. A row counts for every later date. Dates are a few dozen, so what reaches the driver
+    are small sums; a step that raises the loss is halved. Write `rows` out before, they are read once a round.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    import numpy as np
 
-    rows = rows.where(F.col(label).isNotNull())
-    dates = [r["t0"] for r in rows.select("t0").distinct().orderBy("t0").collect()]
+    rows = rows.where(F.col(label).isNotNull()).withColumn("y", F.col(label).cast("double"))
+    spark = rows.sparkSession
     extra = [(k, v) for k in ("market", "store") for v in sorted(r[0] for r in rows.select(k).distinct().collect())[1:]]
-    folds = []
-    for t0 in dates[1:]:
-        train, test = rows.where(F.col("t0") < F.lit(t0)), rows.where(F.col("t0") == F.lit(t0))
-        known = train.agg(F.count("*").alias("n"), F.min(label).alias("low"), F.max(label).alias("high"), *[F.median(f).alias(f) for f in features]).first()
-        n_test = test.count()
-        if known["n"] < least_train or n_test < least_test or known["low"] == known["high"]:
-            continue
-        filled = [F.coalesce(F.col(f).cast("double"), F.lit(known[f] if known[f] is not None else 0.0)) for f in features]
-        vector = array_to_vector(F.array(F.lit(1.0), *filled, *[(F.col(k) == v).cast("double") for k, v in extra])).alias("x")
-        fit = LogisticRegression(featuresCol="x", labelCol="y", fitIntercept=False, standardization=False, regParam=1 / (c * known["n"]), maxIter=200, tol=1e-9)
-        model = fit.fit(train.select(vector, F.col(label).cast("double").alias("y")))
-        scored = model.transform(test.select("market", "store", "app_id", F.col(label).cast("double").alias("y"), "f0", vector)).withColumn("p", vector_to_array("probability")[1])
-        w = Window.partitionBy("market", "store")
-        placed = scored.withColumns({"n": F.count("*").over(w), "by_p": F.row_number().over(w.orderBy(F.desc("p"), "app_id")), "by_f0": F.row_number().over(w.orderBy("f0", "app_id"))}).where(F.col("n") >= least_test)
-        cut = F.greatest(F.lit(1), F.ceil(0.1 * F.col("n")))
-        each = placed.groupBy("market", "store").agg(F.avg(F.when(F.col("by_p") <= cut, F.col("y"))).alias("p"), F.avg(F.when(F.col("by_f0") <= cut, F.col("y"))).alias("f"))
-        got = each.agg(F.avg("p").alias("p"), F.avg("f").alias("f")).first()
-        if got["p"] is not None:
-            folds.append((t0, known["n"], n_test, got["p"], got["f"], got["p"] - got["f"]))
-    return rows.sparkSession.createDataFrame(folds, "t0 date, n_train long, n_test long, prec_composite double, prec_f0 double, lift double")
+    at = {r["t0"]: r["n"] for r in rows.groupBy("t0").agg(F.count("*").alias("n")).collect()}
+    dates, schema = sorted(at), "t0 date, n_train long, n_test long, prec_composite double, prec_f0 double, lift double"
+    later = spark.createDataFrame([(d, fold) for d in dates for fold in dates if fold > d], "t0 date, fold date")
+    known = rows.join(F.broadcast(later), "t0").groupBy("fold").agg(F.count("*").alias("n"), F.min("y").alias("low"), F.max("y").alias("high"), *[F.median(F.col(f).cast("double")).alias(f) for f in features]).collect()
+    known = {r["fold"]: r for r in known if r["n"] >= least_train and at[r["fold"]] >= least_test and r["low"] != r["high"] and all(r[f] is not None for f in features)}
+    if not known:
+        return spark.createDataFrame([], schema)
+    d = 1 + len(features) + len(extra)
+
+    def design(weights: dict, dates_of) -> DataFrame:
+        """Rows with each date that they serve, its weights and their features, filled with its medians."""
+        table = spark.createDataFrame([(t0, fold, [float(known[fold][f]) for f in features], [float(x) for x in weights[fold]]) for t0, fold in dates_of], "t0 date, fold date, fill array<double>, w array<double>")
+        filled = [F.coalesce(F.col(f).cast("double"), F.col("fill")[i]) for i, f in enumerate(features)]
+        x = F.array(F.lit(1.0), *filled, *[(F.col(k) == v).cast("double") for k, v in extra])
+        return rows.join(F.broadcast(table), "t0").select("fold", "market", "store", "app_id", "f0", "y", x.alias("x"), "w").withColumn("margin", _dot(F.col("x"), F.col("w")))
+
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    weights = {fold: np.zeros(d) for fold in known}
+    before, loss_before, open_ = dict(weights), dict.fromkeys(known, float("inf")), set(known)
+    for _ in range(rounds):
+        if not open_:
+            break
+        train = design(weights, [(t0, fold) for fold in sorted(open_) for t0 in dates if t0 < fold])
+        mu = 1 / (1 + F.exp(-F.col("margin")))
+        train = train.withColumn("mu", mu).withColumn("v", F.col("mu") * (1 - F.col("mu")))
+        loss = F.greatest("margin", F.lit(0.0)) - F.col("y") * F.col("margin") + F.log1p(F.exp(-F.abs("margin")))
+        sums = train.groupBy("fold").agg(
+            F.sum(loss).alias("loss"), F.array(*[F.sum((F.col("mu") - F.col("y")) * F.col("x")[i]) for i in range(d)]).alias("g"),
+            F.array(*[F.sum(F.col("v") * F.col("x")[i] * F.col("x")[j]) for i, j in pairs]).alias("h"),
+        )
+        for r in sums.collect():
+            fold, w = r["fold"], weights[r["fold"]]
+            total = c * r["loss"] + 0.5 * float(w @ w)
+            if total > loss_before[fold] + 1e-12 * abs(total):
+                weights[fold] = (before[fold] + w) / 2
+                continue
+            h = np.zeros((d, d))
+            for (i, j), v in zip(pairs, r["h"], strict=True):
+                h[i, j] = h[j, i] = v
+            step = np.linalg.solve(c * h + np.eye(d), c * np.array(r["g"]) + w)
+            before[fold], loss_before[fold], weights[fold] = w, total, w - step
+            if np.abs(step).max() < 1e-9:
+                open_.discard(fold)
+    scored = design(weights, [(fold, fold) for fold in sorted(known)])
+    w = Window.partitionBy("fold", "market", "store")
+    placed = scored.withColumns({"n": F.count("*").over(w), "by_p": F.row_number().over(w.orderBy(F.desc("margin"), "app_id")), "by_f0": F.row_number().over(w.orderBy("f0", "app_id"))}).where(F.col("n") >= least_test)
+    cut = F.greatest(F.lit(1), F.ceil(0.1 * F.col("n")))
+    each = placed.groupBy("fold", "market", "store").agg(F.avg(F.when(F.col("by_p") <= cut, F.col("y"))).alias("p"), F.avg(F.when(F.col("by_f0") <= cut, F.col("y"))).alias("f"))
+    sizes = spark.createDataFrame([(fold, known[fold]["n"], at[fold]) for fold in sorted(known)], "fold date, n_train long, n_test long")
+    folds = each.groupBy("fold").agg(F.avg("p").alias("prec_composite"), F.avg("f").alias("prec_f0")).join(F.broadcast(sizes), "fold")
+    return folds.select(F.col("fold").alias("t0"), "n_train", "n_test", "prec_composite", "prec_f0", (F.col("prec_composite") - F.col("prec_f0")).alias("lift"))
+
+
+def composite_verdict(rows: DataFrame, folds: DataFrame, least_rows: int = 100, least_dates: int = 3, least_lift: float = 0.05) -> DataFrame:
+    """One row (status, n_rows, n_dates, n_folds, median_lift, alive) of forward_chaining() folds and the rows they come from.
+
+    status: too few rows, too few dates, no fold or ok; only ok has a median lift over the folds and can be alive.
+    """
+    size = rows.agg(F.count("*").alias("n_rows"), F.count_distinct("t0").alias("n_dates"))
+    found = folds.agg(F.count("*").alias("n_folds"), F.median("lift").alias("lift"))
+    status = F.when(F.col("n_rows") < least_rows, "too few rows").when(F.col("n_dates") < least_dates, "too few dates").when(F.col("n_folds") == 0, "no fold").otherwise("ok")
+    out = size.crossJoin(F.broadcast(found)).withColumn("status", status)  # one row each
+    ok = F.col("status") == "ok"
+    return out.select("status", "n_rows", "n_dates", F.when(ok, F.col("n_folds")).otherwise(0).alias("n_folds"), F.when(ok, F.col("lift")).alias("median_lift"), (ok & (F.col("lift") >= least_lift)).alias("alive"))
 
 
 def verdicts(boot: DataFrame, least_lift: float = 0.03, level: float = 0.05 / 8) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,17 +139,25 @@ def fresh(entries: DataFrame, now: str, stale: bool = False) -> DataFrame:
     return out if stale else out.where("is_fresh")
 
 
-def version_tag(market: Column, store: Column | None = None) -> Column:
-    """v1.0.0-charts-{market}, or cell-v3-{market}-{store}-tg of a cell."""
-    return F.concat(F.lit("v1.0.0-charts-"), market) if store is None else F.concat(F.lit("cell-v3-"), market, F.lit("-"), store, F.lit("-tg"))
+def version_tag(market: Column, store: Column | None = None, of_market: str = fixed.MARKET_TAG, of_cell: tuple[str, str, str] = fixed.CELL_TAG) -> Column:
+    """The tag of a market, or of a cell, market and store: what stored signals carry as their version."""
+    return F.concat(F.lit(of_market), market) if store is None else F.concat(F.lit(of_cell[0]), market, F.lit(of_cell[1]), store, F.lit(of_cell[2]))
 
 
-def parsed_tag(tag: Column) -> Column:
-    """(market, store) of a cell's tag; null if it is none."""
-    pattern = r"^cell-v3-(.+)-(apple|googleplay)-tg$"
+def parsed_tag(tag: Column, of_cell: tuple[str, str, str] = fixed.CELL_TAG, stores: tuple[str, ...] = ("apple", "googleplay")) -> Column:
+    """(market, store) of a cell's tag; null if it is none. The store is what stands last, so a market may hold the separator."""
+    start, between, end = (re.escape(x) for x in of_cell)
+    pattern = f"^{start}(.+){between}({'|'.join(re.escape(s) for s in stores)}){end}$"
     return F.when(tag.rlike(pattern), F.struct(F.regexp_extract(tag, pattern, 1).alias("market"), F.regexp_extract(tag, pattern, 2).alias("store")))
 
 
+def parsed_rows(rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with market and store of their tag, counts of rows read, parsed and dropped)."""
+    marked = rows.withColumn("__tag", parsed_tag(F.col(column)))
+    counts = marked.agg(F.count("*").alias("n_rows"), F.count("__tag").alias("n_parsed"), F.count_if(F.col("__tag").isNull()).alias("n_dropped"))
+    return marked.where("__tag is not null").withColumns({"market": F.col("__tag.market"), "store": F.col("__tag.store")}).drop("__tag"), counts
+
+
 def signals_on_charts(signals: DataFrame, charts: DataFrame, name: str) -> DataFrame:
     """(app_id, market, store, day, value): one row for each chart row of a signal's app and day whose market the signal's
     version names."""
@@ -167,3 +178,29 @@ def extracted(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Da
     ranks = ok.where("endpoint = 'ranks'").select("app_id", "market", F.explode(F.from_json("body", "array<struct<category: string, day: date, rank: int>>")).alias("r"))
     errors = responses.where("error is not null").groupBy("endpoint").agg(F.count("*").alias("n_errors"))
     return metadata, reviews, ranks.select("app_id", "market", "r.category", "r.day", "r.rank").where("rank > 0"), errors
+
+
+def sampled_dates(first: str, last: str) -> list[str]:
+    """The first day, the one in the middle and the last one, each once."""
+    a, b = dt.date.fromisoformat(first), dt.date.fromisoformat(last)
+    if b < a:
+        raise ValueError(f"{last} lies before {first}")
+    return [d.isoformat() for d in sorted({a, a + (b - a) // 2, b})]
+
+
+def request_grid(apps: DataFrame, markets: list[str], first: str, last: str, endpoints: tuple[str, ...] = ("metadata", "reviews", "ranks")) -> DataFrame:
+    """(endpoint, app_id, market, t): each app asked in each market on the sampled dates, at each endpoint."""
+    each = lambda values, kind: F.explode(F.array(*[F.lit(v).cast(kind) for v in values]))
+    rows = apps.select("app_id").distinct().select("app_id", each(markets, "string").alias("market"))
+    rows = rows.select("*", each(sampled_dates(first, last), "date").alias("t"))
+    return rows.select(each(endpoints, "string").alias("endpoint"), "app_id", "market", "t")
+
+
+def reconciled(grid: DataFrame, responses: DataFrame) -> DataFrame:
+    """(endpoint, app_id, market, t, n, n_errors, status) of every call asked for or landed: ok, error if all its responses
+    are errors, missing without any, unexpected if it wasn't asked for."""
+    key = ["endpoint", "app_id", "market", "t"]
+    landed = responses.groupBy(*key).agg(F.count("*").alias("n"), F.count("error").alias("n_errors"))
+    both = grid.select(*key, F.lit(True).alias("asked")).join(landed, key, "full_outer")
+    status = F.when(F.col("asked").isNull(), "unexpected").when(F.col("n").isNull(), "missing").when(F.col("n_errors") == F.col("n"), "error").otherwise("ok")
+    return both.select(*key, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_errors", F.lit(0)).alias("n_errors"), status.alias("status"))

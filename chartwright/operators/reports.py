@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartwright.operators.backtest import lift
+
 from chartwright.functions.exprs import fill_template, finite
 
 # Bands of cited estimates and their scores; dollars of a million tokens in and out of a model with no price.
@@ -170,9 +172,10 @@ def compare_judges(results: DataFrame, keys: list[str], order: list[str]) -> tup
     return pairs, counts
 
 
-def divergence_lines(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(position, line): a table row for each pair, the furthest apart first, ties by key."""
+def divergence_lines(pairs: DataFrame, keys: list[str], n: int = 1000) -> DataFrame:
+    """(position, line): a table row for each of the n pairs that are furthest apart, ties by key."""
     order = [F.desc("divergence"), *keys]
+    pairs = pairs.orderBy(*order).limit(n)
     cells = [F.col(k).cast("string") for k in keys] + [F.format_string("%.1f", c) for c in ("text_score", "vision_score", "divergence")]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     return pairs.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"), line.alias("line"))
@@ -186,7 +189,7 @@ def baseline_lines(stats: DataFrame, keys: list[str], tier: Column) -> DataFrame
 
 def predicted_line(cpi_low: Column, cpi_high: Column, ltv_low: Column, ltv_high: Column, budget: Column, months: Column) -> Column:
     """What an opportunity is predicted to cost and bring, what is missing left out."""
-    money = lambda c: F.format_string("$%s", c.cast("string"))
+    money = lambda c: F.concat(F.lit("$"), F.regexp_replace(c.cast("string"), r"\.0$", ""))
     span = lambda name, low, high: F.when(low.isNotNull() & high.isNotNull(), F.concat(F.lit(f"{name}: "), money(low), F.lit("-"), money(high))).when(low.isNotNull(), F.concat(F.lit(f"{name}: "), money(low), F.lit("+")))
     parts = (
         span("CPI", cpi_low, cpi_high),
@@ -200,7 +203,7 @@ def predicted_line(cpi_low: Column, cpi_high: Column, ltv_low: Column, ltv_high:
 
 def plan_line(steps: Column, metric: Column, direction: Column, threshold: Column) -> Column:
     numbered = F.transform(steps, lambda s, i: F.concat(F.lit("Step "), (i + 1).cast("string"), F.lit(": "), s))
-    return F.concat_ws(" | ", F.array_join(numbered, " | "), F.concat_ws(" ", F.lit("Kill criterion:"), metric, direction, threshold.cast("string")))
+    return F.concat_ws(" | ", F.array_join(numbered, " | "), F.concat_ws(" ", F.lit("Kill criterion:"), metric, direction, F.regexp_replace(threshold.cast("string"), r"\.0$", "")))
 
 
 def briefs(opportunities: DataFrame, signals: list[str]) -> DataFrame:
@@ -222,6 +225,20 @@ def briefs(opportunities: DataFrame, signals: list[str]) -> DataFrame:
     return opportunities.withColumn("brief", F.concat_ws("\n", *parts))
 
 
+def first_ranked(candidates: DataFrame, order: list, n: int) -> DataFrame:
+    """The first n candidates in order, with their position."""
+    return candidates.orderBy(*order).limit(n).withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def demo_highlights(digest: DataFrame, n: int = 3) -> DataFrame:
+    """(kind, position, line) of a digest's rows: the n greatest revenues, gaps and paywall scores, each as a line."""
+    kinds = (("revenue", "estimated_revenue", F.format_string("%s (%s): $%d a month", "name", "market", "estimated_revenue")), ("gap", "gap", F.format_string("%s (%s): localization gap %.1f", "name", "market", "gap")), ("paywall", "paywall", F.format_string("%s (%s): paywall %.1f", "name", "market", "paywall")))
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("double").alias("value"), line.alias("line")) for k, c, line in kinds])
+    rows = digest.select(F.col("position").alias("at"), F.inline(each)).where("value is not null")
+    ranked = rows.withColumn("position", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("value"), "at")).cast("long"))  # a digest has n rows
+    return ranked.where(F.col("position") <= n).select("kind", "position", "line")
+
+
 def demo_digest(candidates: DataFrame, n: int, revenue_per_rating: float = 50.0) -> DataFrame:
     """The first n ranked candidates as shown to a reader: revenue from ratings, rounded scores, the judge's reasoning or
     a sentence from the scores. Columns: position, name, store, market, category, ratings_count, gap, paywall, revenue,
@@ -231,3 +248,24 @@ def demo_digest(candidates: DataFrame, n: int, revenue_per_rating: float = 50.0)
         "position", "name", "store", F.upper("market").alias("market"), "category", F.round(F.coalesce("ratings_count", F.lit(0)) * revenue_per_rating).cast("long").alias("estimated_revenue"),
         F.round("gap", 1).alias("gap"), F.round("paywall", 1).alias("paywall"), F.round("composite", 2).alias("composite"), F.coalesce("reasoning", said).alias("reasoning"),
     )
+
+
+def backtest_documents(precision: DataFrame, picks: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, json, text) of each cohort: its precision rows (ranker, k, precision) and picks (ranker, pos, app_id) as one JSON
+    document and as two tables. A cohort has a few rankers and the first picks of each."""
+    rows = precision.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ranker", "k", "precision"))).alias("precision"))
+    firsts = picks.groupBy(*keys, "ranker").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "app_id"))), lambda x: x["app_id"]).alias("app_ids"))
+    firsts = firsts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ranker", "app_ids"))).alias("picks"))
+    both = rows.join(firsts, keys, "left").withColumn("picks", F.coalesce("picks", F.array().cast(firsts.schema["picks"].dataType)))
+    lines = F.transform("precision", lambda x: F.concat(F.lit("| "), x["ranker"], F.lit(" | "), x["k"].cast("string"), F.lit(" | "), F.format_string("%.2f", x["precision"].cast("double")), F.lit(" |")))
+    chosen = F.transform("picks", lambda x: F.concat(F.lit("| "), x["ranker"], F.lit(" | "), F.array_join(x["app_ids"].cast("array<string>"), ", "), F.lit(" |")))
+    text = F.array_join(F.concat(F.array(F.lit("| ranker | k | precision |"), F.lit("|-|-|-|")), lines, F.array(F.lit(""), F.lit("| ranker | picks |"), F.lit("|-|-|")), chosen), "\n")
+    return both.select(*keys, F.to_json(F.struct(*keys, "precision", "picks")).alias("json"), text.alias("text"))
+
+
+def aggregate_precision(precision: DataFrame, base: str) -> DataFrame:
+    """(ranker, k, n_cohorts, mean, lift): mean precision over all cohorts, and over that of the ranker `base` (999 where base
+    has none and the ranker some, 0 where neither has)."""
+    means = precision.groupBy("ranker", "k").agg(F.count("*").alias("n_cohorts"), F.avg("precision").alias("mean"))
+    other = means.where(F.col("ranker") == base).select("k", F.col("mean").alias("base"))
+    return means.join(other, "k", "left").select("ranker", "k", "n_cohorts", F.round("mean", 6).alias("mean"), F.round(lift(F.col("mean"), F.coalesce("base", F.lit(0.0))), 6).alias("lift"))

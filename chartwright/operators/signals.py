@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,15 +98,46 @@ def unit_economics(requests: DataFrame, seed: DataFrame | None = None, family: D
     )
 
 
-def signal_grid(charts: DataFrame, pool: DataFrame, t0s: list[str], days: int = 30, deepest: int = 200, least: int = 7, threshold: int = 80) -> DataFrame:
-    """(app_id, t0, signal_name, value) of every candidate of the pool (market, t0, app_id): velocity and the chart-only
-    vulnerability at t0; a value that can't be computed is a row with null."""
+def signal_grid(charts: DataFrame, pool: DataFrame, scores: DataFrame | None = None, days: int = 30, weak_days: int = 90, deepest: int = 200, least: int = 7, threshold: int = 80) -> DataFrame:
+    """(app_id, t0, signal_name, value) of every candidate of the pool (market, t0, app_id), asked once for each date:
+    velocity as velocity_v1() has it at t0, the chart-only vulnerability, and winner_score from scores (app_id, score) where
+    given. A value that can't be computed is a row with null.
+
+    One pass for any number of dates: an app's days, each with its best rank and its sums over all charts, lie in one array
+    in order (a calendar's length at most), and each date reads its windows from it.
+    """
+    if threshold <= 0:
+        raise ValueError("threshold must be positive")
     asked = pool.select("app_id", "t0").distinct()
-    parts = []
-    for t0 in t0s:  # decision dates: a few dozen
-        here = asked.where(F.col("t0") == F.lit(t0).cast("date"))
-        speed = velocity_v1(charts, t0, days, deepest, least, threshold).select("app_id", F.lit("velocity").alias("signal_name"), F.col("velocity").alias("value"))
-        weak = chart_vulnerability(charts, t0).select("app_id", F.lit("incumbent_vulnerability").alias("signal_name"), F.col("vulnerability").alias("value"))
-        names = here.select("app_id", "t0", F.explode(F.array(F.lit("velocity"), F.lit("incumbent_vulnerability"))).alias("signal_name"))
-        parts.append(names.join(speed.unionByName(weak), ["app_id", "signal_name"], "left").select("app_id", "t0", "signal_name", "value"))
-    return reduce(DataFrame.unionByName, parts)
+    span = asked.agg(F.date_sub(F.min("t0"), max(days, weak_days)).alias("low"), F.max("t0").alias("high")).first()
+    rows = charts.select("app_id", "day", F.col("rank").cast("long").alias("rank")).where(F.col("day").between(F.lit(span["low"]), F.lit(span["high"])))
+    daily = rows.groupBy("app_id", "day").agg(F.min(F.when(F.col("rank") <= deepest, F.col("rank"))).alias("best"), F.count("rank").alias("n"), F.sum("rank").alias("total"), F.sum(F.col("rank") * F.col("rank")).alias("squares"))
+    series = daily.groupBy("app_id").agg(F.array_sort(F.collect_list(F.struct("day", "best", "n", "total", "squares"))).alias("series"))
+    dates = asked.groupBy("app_id").agg(F.collect_set("t0").alias("t0s"))
+    days_ = F.coalesce("series", F.array().cast(series.schema["series"].dataType))
+
+    def velocity(t0):
+        near = F.filter(days_, lambda x: x["day"].between(F.date_sub(t0, days), t0) & x["best"].isNotNull())
+
+        def spike(all_, x, i):
+            before, after = x["best"] - F.get(all_, i - 1)["best"], F.get(all_, i + 1)["best"] - x["best"]
+            return F.coalesce((F.abs(before) > threshold) & (F.abs(after) > threshold) & (F.signum(before) != F.signum(after)), F.lit(False))
+
+        def of(all_):
+            kept = F.filter(all_, lambda x, i: ~spike(all_, x, i))
+            return F.transform(F.array(kept), lambda k: F.when((F.size(all_) >= least) & (F.size(k) >= least), F.round(improvement_score(F.get(k, F.lit(0))["best"] - F.get(k, F.size(k) - 1)["best"]), 6)))[0]
+
+        return F.transform(F.array(near), of)[0]
+
+    def weakness(t0):
+        near = F.filter(days_, lambda x: x["day"].between(F.date_sub(t0, weak_days), t0))
+        zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("n", "total", "squares")])
+        sums = F.aggregate(near, zero, lambda s, x: F.struct(*[(s[c] + x[c]).alias(c) for c in ("n", "total", "squares")]))
+        sd = lambda s: F.sqrt((s["n"] * s["squares"] - s["total"] * s["total"]).cast("double")) / s["n"]
+        return F.transform(F.array(sums), lambda s: F.when(s["n"] >= 3, F.round(clamp(sd(s) / 50 * 10, 0, 10), 6)))[0]
+
+    found = dates.join(series, "app_id", "left").select("app_id", F.inline(F.transform("t0s", lambda t: F.struct(t.alias("t0"), velocity(t).alias("velocity"), weakness(t).alias("weakness")))))
+    named = [("velocity", "velocity"), ("incumbent_vulnerability", "weakness")]
+    if scores is not None:
+        found, named = found.join(scores.select("app_id", F.col("score").cast("double").alias("score")), "app_id", "left"), [*named, ("winner_score", "score")]
+    return found.select("app_id", "t0", F.inline(F.array(*[F.struct(F.lit(n).alias("signal_name"), F.col(c).cast("double").alias("value")) for n, c in named])))

@@ -14,10 +14,10 @@ from chartwright.sources import files, scratch, sinks
 from chartwright.streaming import ingest
 
 
-def _text_file(lines, name: str) -> str:
-    """Lines (k, line) in order of k in one file: for what the order of lines decides."""
+def _text_files(lines, name: str) -> str:
+    """Lines (k, line) in order of k over the files of a folder, in the order of their names: for what line order decides."""
     path = scratch.new_folder(lines.sparkSession, name)
-    lines.orderBy("k").coalesce(1).select("line").write.text(path)
+    lines.repartitionByRange("k").sortWithinPartitions("k").select("line").write.text(path)
     return path
 
 
@@ -38,7 +38,7 @@ def _lines(spark, sf_dir):
     raw = F.when(F.col("n") == 0, '{"error":"422"}').otherwise(F.concat(F.expr("left(x, length(x) - 1)"), developer, F.lit("}")))
     rows = rows.withColumn("x", json).withColumn("raw", raw)
     line = F.concat(F.lit('{"app_id":"'), app.cast("string"), F.lit('","market":"us","store":"'), F.col("store"), F.lit('","device":"d","t0":"2024-01-01","raw":{"metadata":'), F.col("raw"), F.lit("}}"))
-    return files.read_metadata_lines(spark, _text_file(rows.select(F.struct("app_id", "store", "n").alias("k"), line.alias("line")), "metadata"))
+    return files.read_metadata_lines(spark, _text_files(rows.select(F.struct("app_id", "store", "n").alias("k"), line.alias("line")), "metadata"))
 
 
 LINES_SQL = """ml AS (SELECT meta.*, n, inv.publisher_id, inv.release_day, 'App ' || meta.app_id || ' line ' || n AS title FROM meta LEFT JOIN inv ON inv.app_id = meta.app_id AND inv.store = meta.store
@@ -199,9 +199,9 @@ def p12_app_violations(spark, sf_dir):
 
 
 @query(sql(*R.SHORT, """SELECT CAST(app_id AS VARCHAR) AS app_id, store, CASE WHEN len(markets) < 2 OR tenure_max < 12 OR dna_class NOT IN ('Puzzle', 'Casino') THEN 'FAIL' WHEN len(list_filter(markets, lambda m: m NOT IN ('ASIA', 'EUROPE'))) = len(markets) THEN 'FAIL'
-  WHEN len(list_filter(markets, lambda m: m NOT IN ('ASIA', 'EUROPE'))) > 0 THEN 'WARN' ELSE 'PASS' END AS overall FROM scored"""))
+  WHEN len(list_filter(markets, lambda m: m NOT IN ('ASIA', 'EUROPE'))) > 0 THEN 'WARN' ELSE 'PASS' END AS overall FROM (SELECT * FROM scored ORDER BY score DESC, app_id, store LIMIT 200)"""))
 def s18_shortlist_json(spark, sf_dir):
-    rows = shortlist.scored(R._staged(spark, sf_dir), 5)
+    rows = shortlist.top(shortlist.scored(R._staged(spark, sf_dir), 5), 200)
     one = F.struct(F.col("app_id").cast("string").alias("app_id"), "store", F.col("score").cast("double").alias("score"), "dna_class", F.col("markets").alias("markets_active"), F.col("tenure_max").cast("double").alias("tenure_days_max"), F.col("has_subscription").alias("has_subscription_iap"))
     document = rows.agg(F.to_json(F.struct(F.collect_list(one).alias("shortlist"))).alias("value"))  # a shortlist is one document
     path, limits = scratch.new_folder(spark, "shortlist"), scratch.new_folder(spark, "thresholds")
@@ -229,9 +229,9 @@ def k2_replace(spark, sf_dir):
 
 
 @query(sql(*R.SHORT, """SELECT CAST(ROW_NUMBER() OVER (ORDER BY score DESC, app_id, store) AS VARCHAR) AS rank, printf('%.4f', CAST(score AS DOUBLE)) AS score, CAST(app_id AS VARCHAR) AS app_id, store, dna_class, tier AS clonability_tier,
-  array_to_string(markets, '|') AS markets_active, CASE WHEN has_subscription THEN '1' ELSE '0' END AS has_subscription_iap, printf('%.3f', LEAST(1.0, tenure_max / 365.0)::DOUBLE) AS score_tenure FROM scored"""))
+  array_to_string(markets, '|') AS markets_active, CASE WHEN has_subscription THEN '1' ELSE '0' END AS has_subscription_iap, printf('%.3f', LEAST(1.0, tenure_max / 365.0)::DOUBLE) AS score_tenure FROM scored ORDER BY score DESC, app_id, store LIMIT 200"""))
 def k4_shortlist_csv(spark, sf_dir):
-    rows = shortlist.scored(R._staged(spark, sf_dir), 5)
+    rows = shortlist.top(shortlist.scored(R._staged(spark, sf_dir), 5), 200)
     folder = scratch.new_folder(spark, "artifact")
     sinks.write_shortlist(shortlist.csv_rows(rows), rows.select("app_id", "store", "score"), shortlist.funnel(R._staged(spark, sf_dir)), {"markets": 5}, folder)
     back = spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(f"{folder}/shortlist_csv")
@@ -239,10 +239,10 @@ def k4_shortlist_csv(spark, sf_dir):
 
 
 @query(sql(*R.SHORT, R.CHECKED_SQL, """ SELECT CAST(ROW_NUMBER() OVER (ORDER BY score DESC, app_id, store) AS VARCHAR) AS rank, CAST(app_id AS VARCHAR) AS app_id, store, printf('%.4f', CAST(score AS DOUBLE)) AS score, dna_class, array_to_string(markets, '|') AS markets_active,
-  overall AS risk_overall, s1 AS risk_markets_spread, s2 AS risk_tenure, s3 AS risk_subscription_iap, s4 AS risk_supported_markets, s5 AS risk_clonable_dna FROM risk"""))
+  overall AS risk_overall, s1 AS risk_markets_spread, s2 AS risk_tenure, s3 AS risk_subscription_iap, s4 AS risk_supported_markets, s5 AS risk_clonable_dna FROM risk ORDER BY risk.score DESC, risk.app_id, risk.store LIMIT 200"""))
 def k5_risk_csv(spark, sf_dir):
     path = scratch.new_folder(spark, "risk")
-    sinks.write_csv(shortlist.risk_csv_rows(R.checked_shortlist(spark, sf_dir)), path)
+    sinks.write_csv(shortlist.risk_csv_rows(shortlist.top(R.checked_shortlist(spark, sf_dir), 200)), path)
     back = spark.read.options(header=True, quote='"', escape='"').csv(path)
     return back.select("rank", "app_id", "store", "score", "dna_class", "markets_active", "risk_overall", *[f"risk_{n}" for n in shortlist.RISK_CHECKS])
 
@@ -261,17 +261,51 @@ def st1_ingest(spark, sf_dir):
     rows.write.options(sep="\t", header=True).csv(land)
     for _ in range(2):  # started again, it finds nothing new
         ingest.ingest_charts(spark, land, table, at).awaitTermination()
-    return spark.read.parquet(table).select("app_id", "market", "store", "captured_at", "rank")
+    return ingest.charts_table(spark, table).select("app_id", "market", "store", "captured_at", "rank")
 
 
-@query("SELECT DISTINCT CASE WHEN event_id % 2 = 0 THEN 'apple' ELSE 'googleplay' END AS store, user_id AS app_id, event_type AS market, CAST(ts AS DATE) AS day FROM events")
+SNAPSHOT_SQL = """s AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'apple' ELSE 'googleplay' END AS store, user_id AS app_id, event_type AS market, CAST(ts AS DATE) AS day, value, ts, event_id, event_id % 3 > 0 AS late, CASE WHEN event_id % 8 = 5 THEN 'error ' || event_id % 2 END AS error FROM events)"""
+
+
+def _snapshots(spark, sf_dir):
+    """Both tables after two runs of the same stream: every third event lands first, the others later."""
+    k = F.col("event_id")
+    rows = D.table(spark, sf_dir, "events").select(
+        F.when(k % 2 == 0, "apple").otherwise("googleplay").alias("store"), F.col("user_id").alias("app_id"), F.col("event_type").alias("market"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value",
+        F.when(k % 8 == 5, F.concat(F.lit("error "), (k % 2).cast("string"))).alias("error"),
+    )
+    land, table, failures, at = (scratch.new_folder(spark, n) for n in ("landing", "snapshots", "failures", "checkpoint"))
+    for part in (rows.where("event_id % 3 = 0"), rows.where("event_id % 3 > 0")):
+        part.write.mode("append").parquet(land)
+        stream = spark.readStream.schema(rows.schema).parquet(land)
+        ingest.land_snapshots(stream, table, failures, at, ["ts", "event_id"]).awaitTermination()
+    schema = rows.drop("ts", "event_id", "error").withColumn("day", F.lit(None).cast("date")).schema
+    return ingest.snapshot_tables(spark, table, failures, schema)
+
+
+@query(sql(SNAPSHOT_SQL, "SELECT store, app_id, market, day, arg_min(value, (late, ts, event_id)) AS value FROM s WHERE error IS NULL GROUP BY 1, 2, 3, 4"))
 def st2_daily_snapshots(spark, sf_dir):
-    read = spark.readStream.schema(D.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    rows = read.select(F.when(F.col("event_id") % 2 == 0, "apple").otherwise("googleplay").alias("store"), F.col("user_id").alias("app_id"), F.col("event_type").alias("market"), F.col("ts").cast("timestamp").alias("ts"))
-    out, at = scratch.new_folder(spark, "snapshots"), scratch.new_folder(spark, "checkpoint")
-    # one batch, so nothing is late
-    ingest.daily_snapshots(rows, "3650 days").select("store", "app_id", "market", "day").writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    return _snapshots(spark, sf_dir)[0].select("store", "app_id", "market", "day", "value")
+
+
+@query(sql(SNAPSHOT_SQL, "SELECT DISTINCT store, market, day, error FROM s WHERE error IS NOT NULL"))
+def st2_failures(spark, sf_dir):
+    return _snapshots(spark, sf_dir)[1]
+
+
+@query("""WITH a AS (SELECT c_custkey AS app_id, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS batch, c_custkey % 12 AS score FROM customer WHERE c_custkey % 4 > 0 UNION ALL SELECT c_custkey, 2, 7 FROM customer WHERE c_custkey % 6 = 1)
+  SELECT app_id, arg_min(CAST(score AS DOUBLE), (batch, score)) AS score FROM a WHERE score <= 10 GROUP BY 1""")
+def st3_answers(spark, sf_dir):
+    """Answers that land in two runs: out of bounds ones are refused, and of repeated ones the first to land stays."""
+    k = F.col("c_custkey")
+    rows = D.table(spark, sf_dir, "customer").select(k.alias("app_id"), (k % 12).cast("double").alias("score"), F.when(k % 3 == 0, 2).otherwise(1).alias("batch"))
+    again = rows.where("app_id % 6 = 1").select("app_id", F.lit(7.0).alias("score"), F.lit(2).alias("batch"))
+    rows = rows.where("app_id % 4 > 0").unionByName(again)
+    land, table, at = (scratch.new_folder(spark, n) for n in ("landing", "answers", "checkpoint"))
+    for batch in (1, 2):
+        rows.where(F.col("batch") == batch).select("app_id", "score").write.mode("append").json(land)
+        ingest.land_answers(spark, land, table, at, "app_id long, score double", ["app_id"], "app_id is not null and score between 0 and 10").awaitTermination()
+    return spark.read.parquet(table).select("app_id", "score")
 
 
 @query("""WITH o AS (SELECT c_custkey, c_custkey % 7 + 1 AS cost FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 3 <> 0), s AS (SELECT *, SUM(cost) OVER (ORDER BY c_custkey) - cost AS before FROM o)

@@ -229,10 +229,7 @@ labels AS (SELECT p.app_id, p.market, p.store, p.t0, CAST(COALESCE(MAX(CASE WHEN
 
 @query(sql(D.CHARTS_SQL, COHORTS_SQL, LABELS_SQL, "SELECT * FROM labels"))
 def a31_labels(spark, sf_dir):
-    c = D.charts(spark, sf_dir)
-    week = cohorts(spark, sf_dir).withColumn("day", F.explode(F.sequence(F.date_sub("t0", 6), F.col("t0"))))
-    pairs = c.select("market", "store", "day", "app_id").join(week, ["market", "store", "day"]).select("app_id", "market", "store", "t0").distinct()
-    return backtest.winner_labels(pairs, c, 90, TOP)
+    return factors.cohort_labels(D.charts(spark, sf_dir), cohorts(spark, sf_dir), 90, TOP)
 
 
 @query(sql(D.CHARTS_SQL, COHORTS_SQL, """m AS (SELECT DISTINCT market, t0 FROM cohorts),
@@ -302,8 +299,9 @@ def m0_wide(spark, sf_dir):
   z AS (SELECT *, COUNT(v) OVER w AS n, AVG(v) OVER w AS mean, stddev_samp(v) OVER w AS sd FROM s WINDOW w AS (PARTITION BY market, store, t0, signal_name))
   SELECT market, store, t0, app_id, signal_name, value, ROUND(CASE WHEN n < 2 THEN v WHEN COALESCE(sd, 0) < 1e-12 THEN 0.0 ELSE (v - mean) / sd END, 5) AS z FROM z"""))
 def m2_standardized(spark, sf_dir):
-    out = factors.standardized(_long(spark, sf_dir), factors.CELL)
-    return out.withColumn("z", F.round("z", 5))
+    out = factors.standardized_wide(m11_factors(spark, sf_dir), factors.CELL)
+    each = F.array(*[F.struct(F.lit(f).alias("signal_name"), F.col(f).alias("value"), F.round(f"z_{f}", 5).alias("z")) for f in factors.FACTORS])
+    return out.select(*factors.CELL, "app_id", F.inline(each))
 
 
 RANKED_SQL = """vals AS (SELECT market, store, t0, app_id, unnest(['f0', 'f1', 'random']) AS ranker, unnest([-CAST(f0 AS DOUBLE), CAST(f1 AS DOUBLE),
@@ -311,24 +309,20 @@ RANKED_SQL = """vals AS (SELECT market, store, t0, app_id, unnest(['f0', 'f1', '
 ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY market, store, t0, ranker ORDER BY value DESC, app_id) AS pos FROM vals)"""
 
 
-def _ranked(spark, sf_dir):
-    c = D.charts(spark, sf_dir)
-    cells = factors.cell_factors(c, cohorts(spark, sf_dir), TOP)
-    values = cells.select(*factors.CELL, "app_id", (-F.col("f0")).cast("double").alias("f0"), F.col("f1").cast("double").alias("f1")).unpivot([*factors.CELL, "app_id"], ["f0", "f1"], "signal_name", "value")
-    return c, cells, backtest.rankings(values, factors.CELL)
+def _ranked(spark, sf_dir, *carry):
+    cells = factors.cell_factors(D.charts(spark, sf_dir), cohorts(spark, sf_dir), TOP, 90 if carry else None)
+    return backtest.rankings_wide(cells, factors.CELL, {"f0": -F.col("f0"), "f1": F.col("f1")}, carry=carry)
 
 
 @query(sql(D.CHARTS_SQL, COHORTS_SQL, D.INVARIANTS_SQL, CELLS_SQL, RANKED_SQL, "SELECT market, store, t0, ranker, app_id, pos FROM ranked WHERE pos <= 5"))
 def t3_top_k(spark, sf_dir):
-    return backtest.top_k(_ranked(spark, sf_dir)[2], 5)
+    return backtest.top_k(_ranked(spark, sf_dir), 5)
 
 
 @query(sql(D.CHARTS_SQL, COHORTS_SQL, D.INVARIANTS_SQL, CELLS_SQL, RANKED_SQL, """w AS (SELECT ranked.*, EXISTS (SELECT 1 FROM charts h WHERE h.market = ranked.market AND h.store = ranked.store AND h.app_id = ranked.app_id AND h.rank <= 3 AND h.day BETWEEN ranked.t0 + 84 AND ranked.t0 + 90) AS won FROM ranked)
   SELECT market, store, t0, ranker, k, ROUND(COUNT(*) FILTER (pos <= k AND won) / k, 6) AS precision FROM w, (VALUES (5), (10)) ks(k) GROUP BY 1, 2, 3, 4, 5"""))
 def a17_precision(spark, sf_dir):
-    c, cells, ranked = _ranked(spark, sf_dir)
-    winners = backtest.winner_labels(cells.select(*factors.CELL, "app_id"), c, 90, TOP).withColumnRenamed("winner_window", "is_winner")
-    return backtest.precision_at_k(ranked, winners, factors.CELL, (5, 10))
+    return backtest.carried_precision(_ranked(spark, sf_dir, "winner_window"), "winner_window", factors.CELL, (5, 10))
 
 
 @query(f"""WITH p AS ({ORACLE_SQL['a17_precision']}), w AS (SELECT market, store, t0, k, MAX(CASE WHEN ranker = 'f1' THEN precision END) AS a, MAX(CASE WHEN ranker = 'f0' THEN precision END) AS b FROM p GROUP BY 1, 2, 3, 4)
@@ -346,11 +340,9 @@ def m3_two_factors(spark, sf_dir):
 
 
 def _study(spark, sf_dir):
-    """Factors of all cells with both labels, written out: several jobs read them."""
-    c = D.charts(spark, sf_dir)
-    wide = m11_factors(spark, sf_dir)
-    labels = backtest.winner_labels(wide.select(*factors.CELL, "app_id"), c, 90, TOP)
-    return scratch.stored(wide.join(labels, [*factors.CELL, "app_id"]), "study")
+    """Factors of all cells with both labels, of charts that go on until then, written out: several jobs read them."""
+    rows = factors.factor_table(D.charts(spark, sf_dir), D.invariants(spark, sf_dir), cohorts(spark, sf_dir), TOP, 90)
+    return scratch.stored(rows.where("winner_exact is not null"), "study")
 
 
 KEYS = [*factors.CELL, "app_id"]
@@ -360,7 +352,7 @@ ll AS (SELECT l.*, label, CASE label WHEN 'winner_exact' THEN winner_exact ELSE
 dir AS (SELECT signal_name, label, COALESCE(COUNT(*) >= 30 AND ROUND(covar_pop(value, is_winner), 9) < 0, false) AS up FROM ll GROUP BY 1, 2),
 pl AS (SELECT ll.*, COUNT(*) OVER (PARTITION BY market, store, t0, label, signal_name) AS n, ROW_NUMBER() OVER (PARTITION BY market, store, t0, label, signal_name ORDER BY CASE WHEN up OR signal_name = 'f0' THEN value ELSE -value END, app_id) AS pos
   FROM ll JOIN dir USING (signal_name, label)),
-pr AS (SELECT market, store, t0, label, signal_name, MAX(n) AS n, ROUND(AVG(is_winner), 6) AS precision FROM pl WHERE n >= 3 AND pos <= GREATEST(1, ceil(0.1 * n)) GROUP BY 1, 2, 3, 4, 5),
+pr AS (SELECT market, store, t0, label, signal_name, MAX(n) AS n, ROUND(AVG(is_winner), 6) AS precision FROM pl WHERE n >= 10 AND pos <= GREATEST(1, ceil(0.1 * n)) GROUP BY 1, 2, 3, 4, 5),
 lifts AS (SELECT a.market, a.store, a.t0, a.label, a.signal_name, a.n, a.precision, b.precision AS base, ROUND(a.precision - b.precision, 6) AS lift FROM pr a JOIN pr b ON a.market = b.market AND a.store = b.store AND a.t0 = b.t0 AND a.label = b.label AND b.signal_name = 'f0' WHERE a.signal_name <> 'f0')"""
 
 
@@ -376,12 +368,12 @@ def lifts_of(long, labels, least=10):
 @query(sql(*FACTOR_SQL, LONG_SQL, LABELLED_SQL, " SELECT * FROM lifts"))
 def m5_lifts(spark, sf_dir):
     rows = _study(spark, sf_dir)
-    return lifts_of(factors.to_long(rows), rows.select(*KEYS, "winner_exact", "winner_window"), least=3).drop("cohort").withColumn("lift", F.round("lift", 6))
+    return lifts_of(factors.to_long(rows), rows.select(*KEYS, "winner_exact", "winner_window"), least=10).drop("cohort").withColumn("lift", F.round("lift", 6))
 
 
 @query(sql(*FACTOR_SQL, LONG_SQL, LABELLED_SQL, f"""i AS (SELECT label || ':' || signal_name AS signal_name, lift, ROW_NUMBER() OVER w - 1 AS i, COUNT(*) OVER (PARTITION BY label, signal_name) AS n FROM lifts WHERE market IN {SEA_REGIONS}
     WINDOW w AS (PARTITION BY label, signal_name ORDER BY concat_ws('/', market, store, CAST(t0 AS VARCHAR), label))),
-  d AS (SELECT signal_name, n, rep, (((CAST(rep AS BIGINT) * 1000003 + i * 7919 + 42 * 104729) * 2654435761 % 4294967296) // 256) % n AS i FROM i, range(0, 100) r(rep)),
+  d AS (SELECT signal_name, n, rep, (((CAST(rep AS BIGINT) * 1000003 + i * 7919 + 42 * 104729) * 2654435761 % 4294967296) // 256) % n AS i FROM i, range(0, 200) r(rep)),
   m AS (SELECT d.signal_name, rep, median(i.lift) AS m FROM d JOIN i ON i.signal_name = d.signal_name AND i.i = d.i GROUP BY 1, 2),
   q AS (SELECT signal_name, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, AVG(CASE WHEN m <= 0 THEN 1.0 ELSE 0.0 END) AS below, AVG(CASE WHEN m >= 0 THEN 1.0 ELSE 0.0 END) AS above FROM m GROUP BY 1),
   s AS (SELECT signal_name, COUNT(*) AS n, median(lift) AS med FROM i GROUP BY 1),
@@ -390,38 +382,51 @@ def m5_lifts(spark, sf_dir):
   SELECT signal_name, n, CAST(median AS DOUBLE) AS median, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, CAST(p AS DOUBLE) AS p, COALESCE(median >= 0.03 AND p < 0.05 / 8, false) AS alive FROM o"""))
 def m6_bootstrap(spark, sf_dir):
     rows = _study(spark, sf_dir)
-    lifts = lifts_of(factors.to_long(rows), rows.select(*KEYS, "winner_exact", "winner_window"), least=3).where(F.col("market").isin(*SEA_REGIONS))
-    boot = factors.cluster_bootstrap(lifts.select(F.concat_ws(":", "label", "signal_name").alias("signal_name"), "cohort", F.round("lift", 6).alias("lift")), reps=100)
+    lifts = lifts_of(factors.to_long(rows), rows.select(*KEYS, "winner_exact", "winner_window"), least=10).where(F.col("market").isin(*SEA_REGIONS))
+    boot = factors.cluster_bootstrap(lifts.select(F.concat_ws(":", "label", "signal_name").alias("signal_name"), "cohort", F.round("lift", 6).alias("lift")), reps=200)
     return factors.verdicts(boot.select("signal_name", "n", *[F.round(c, 6).alias(c) for c in ("median", "low", "high", "p")]))
 
 
 def processed(rows):
-    """Standardized and residualized factors of _study() rows, by cell, long."""
-    z = factors.standardized(factors.to_long(rows), factors.CELL).drop("value").withColumnRenamed("z", "value")
-    return factors.to_long(factors.residualized(factors.to_wide(z), factors.CELL))
+    """Standardized and residualized factors of _study() rows, by cell."""
+    z = factors.standardized_wide(rows, factors.CELL).select(*KEYS, *[F.col(f"z_{f}").alias(f) for f in factors.FACTORS])
+    return factors.residualized(z, factors.CELL)
+
+
+def _composite(rows, chain, label="winner_exact"):
+    """(rows, folds) of the composite over the first tier, without the factors that too few rows have."""
+    left_out = factors.low_coverage(factors.coverage(factors.to_long(rows)))
+    wide = chain.join(rows.select(*KEYS, label), KEYS)
+    wide = scratch.stored(wide.where(F.col("market").isin(*SEA_REGIONS)), "composite")
+    return wide, factors.forward_chaining(wide, [f for f in factors.FACTORS if f == "f0" or f not in left_out], label)
 
 
 @query()
 def m9_study(spark, sf_dir):
-    """The whole univariate study: each factor's lift over f0 after standardizing and residualizing, for both labels over the
-    first tier's cohorts, with the code of the verdict on the exact label. No SQL: a test holds it against plain numpy."""
+    """The whole study: each factor's lift over f0 after standardizing and residualizing, for both labels over the first
+    tier's cohorts, the composite's median lift over its folds, and the code of the verdict on the exact label. No SQL: tests
+    hold chain, lifts, bootstrap and folds against plain numpy."""
     rows = _study(spark, sf_dir)
-    lifts = scratch.stored(lifts_of(processed(rows), rows.select(*KEYS, "winner_exact", "winner_window"), least=3), "lifts")
+    chain = scratch.stored(processed(rows), "chain")
+    lifts = scratch.stored(lifts_of(factors.to_long(chain), rows.select(*KEYS, "winner_exact", "winner_window")), "lifts")
     boot = factors.cluster_bootstrap(lifts.where(F.col("market").isin(*SEA_REGIONS)).select(F.concat_ws(":", "label", "signal_name").alias("signal_name"), "cohort", "lift"))
     out = scratch.stored(factors.verdicts(boot), "verdicts")
-    code = factors.study_verdict(out.where("signal_name like 'winner_exact:%'"), None)
-    return out.withColumn("verdict", F.lit(code))
+    said = factors.composite_verdict(*_composite(rows, chain)).first()
+    code = factors.study_verdict(out.where("signal_name like 'winner_exact:%'"), said["median_lift"])
+    whole = spark.createDataFrame([("winner_exact:composite", said["n_folds"], said["median_lift"], said["alive"])], "signal_name string, n long, median double, alive boolean")
+    return out.unionByName(whole, allowMissingColumns=True).withColumn("verdict", F.lit(code))
 
 
 @query()
 def m7_composite(spark, sf_dir):
-    """Forward-chaining folds of the composite over the first tier, without the factors that too few rows have. No SQL: a
-    test holds the folds against a plain logistic fit."""
+    """Forward-chaining folds of the composite and a last row with their median lift and what came of it. No SQL: a test
+    holds the folds against a plain logistic fit."""
     rows = _study(spark, sf_dir)
-    left_out = factors.low_coverage(factors.coverage(factors.to_long(rows)))
-    wide = factors.to_wide(processed(rows)).join(rows.select(*KEYS, "winner_window"), KEYS)
-    wide = scratch.stored(wide.where(F.col("market").isin(*SEA_REGIONS)), "composite")
-    return factors.forward_chaining(wide, [f for f in factors.FACTORS if f == "f0" or f not in left_out], "winner_window")
+    wide, folds = _composite(rows, processed(rows))
+    folds = scratch.stored(folds, "folds")
+    said = factors.composite_verdict(wide, folds)
+    last = said.select(F.lit("composite").alias("kind"), "status", "n_folds", F.col("median_lift").alias("lift"), "alive")
+    return folds.withColumn("kind", F.lit("fold")).unionByName(last, allowMissingColumns=True)
 
 
 def _language_sql() -> str:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chartwright.functions import exprs as X
-from chartwright.functions import fixed
+from chartwright.functions import fixed, prompts
 from chartwright.operators import audit, backtest, opportunity, reports, shortlist, signals
 from chartwright.operators import records as K
 from chartwright.plans import registry as R
+from chartwright.plans import reports as P  # noqa: F401  its SQL is part of some queries here
 from chartwright.plans.registry import ORACLE_SQL, query, sql
 from chartwright.sources import derived as D
+from chartwright.sources import scratch
 
 CODES = "lower(substr(n_name, 1, 2))"
 DAY = "2000-06-01"
@@ -59,14 +61,14 @@ def x8_x11_times(spark, sf_dir):
 
 
 @query("""SELECT doc_id, sha256(concat_ws('|', 'm', substr(text, 1, 1500), source, 'dev', lang, 'us')) AS text_digest, 'judge:' || substr(sha256(concat_ws('|', 'v1', 'text', 'm', CAST(doc_id AS VARCHAR), 'us', sha256(concat_ws('|', 'm', substr(text, 1, 1500), source, 'dev', lang, 'us')))), 1, 32) AS judge_key,
-  sha256('m|' || source || chr(10) || lang || chr(10)) AS image_digest, 'app:' || source || ':a%20b%3Ac:' || doc_id AS cache_key, trim(regexp_replace(substr(text, 1, 200), '\\s+', ' ', 'g')) AS squeezed FROM documents""")
+  sha256('m|' || source || chr(10) || lang || chr(10)) AS image_digest, 'app:' || source || ':a%20b%3Ac:' || doc_id AS cache_key, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS squeezed FROM documents""")
 def x13_digests(spark, sf_dir):
     m = F.lit("m")
     text = X.judge_text_digest(m, F.col("text"), F.col("source"), F.lit("dev"), F.col("lang"), F.lit("us"))
     docs = D.table(spark, sf_dir, "documents").withColumn("text_digest", text)
     return docs.select(
         "doc_id", "text_digest", X.judge_key(F.lit("v1"), F.lit("text"), m, F.col("doc_id").cast("string"), F.lit("us"), F.col("text_digest")).alias("judge_key"), X.judge_image_digest(m, F.array("source", "lang")).alias("image_digest"),
-        X.composite_key("app", F.col("source"), F.lit("a b:c"), F.col("doc_id")).alias("cache_key"), X.squeeze(F.substring("text", 1, 200)).alias("squeezed"),
+        X.composite_key("app", F.col("source"), F.lit("a b:c"), F.col("doc_id")).alias("cache_key"), X.squeeze(F.col("text")).alias("squeezed"),
     )
 
 
@@ -127,17 +129,20 @@ def p12_opportunity_violations(spark, sf_dir):
     return K.opportunity_violations(rows).select("source_app_id", F.array_join("violations", "|").alias("violations"))
 
 
-@query(sql(*OPPORTUNITY_SQL, r"""SELECT source_app_id, CASE WHEN loc IS NULL AND vel IS NULL AND vul IS NULL AND economics IS NULL THEN '  (none computed)' ELSE concat_ws(chr(10), '  - locGap: ' || printf('%.1f', floor(loc * 2) / 2) || '/10', '  - velocity: ' || printf('%.1f', floor(vel * 2) / 2) || '/10',
-    '  - incumbent_vulnerability: ' || printf('%.1f', floor(vul * 2) / 2) || '/10', '  - cpi_ltv_proxy: ' || printf('%.1f', floor(economics * 2) / 2) || '/10') END AS signals,
-  CASE WHEN cpi_low IS NULL THEN '' ELSE 'CPI and LTV ' END || 'Capital to validate: $500.0' AS predicted, 'Step 1: build | Step 2: run | Kill criterion: roas_d14 below 0.5' AS plan FROM opp"""))
+PLACE = lambda c: f"CAST(ROUND(CAST({c} AS DECIMAL(18, 9)), 1) AS DECIMAL(18, 1))"  # noqa: E731  halves up, as written documents have them
+PRICE = lambda c: f"'$' || regexp_replace(CAST({c} AS VARCHAR), '\\.0$', '')"
+
+
+@query(sql(*OPPORTUNITY_SQL, f"""SELECT source_app_id, CASE WHEN loc IS NULL AND vel IS NULL AND vul IS NULL AND economics IS NULL THEN '  (none computed)' ELSE concat_ws(chr(10), '  - locGap: ' || {PLACE('loc')} || '/10', '  - velocity: ' || {PLACE('vel')} || '/10',
+    '  - incumbent_vulnerability: ' || {PLACE('vul')} || '/10', '  - cpi_ltv_proxy: ' || {PLACE('economics')} || '/10') END AS signals,
+  concat_ws(' | ', CASE WHEN source_app_id % 5 = 0 THEN 'CPI: ' || {PRICE('cpi_low')} || '+' ELSE 'CPI: ' || {PRICE('cpi_low')} || '-' || {PRICE('cpi_high')} END, 'LTV: ' || {PRICE('ltv_low')} || '-' || {PRICE('ltv_high')}, 'Capital to validate: $500',
+    CASE WHEN source_app_id % 3 = 0 THEN 'Horizon: ' || source_app_id % 12 || ' months' END) AS predicted, 'Step 1: build | Step 2: run | Kill criterion: roas_d14 below 0.5' AS plan FROM opp"""))
 def k10_briefs(spark, sf_dir):
-    # signals in halves and prices as words, since engines print and round decimals differently
-    rows = _opportunities(spark, sf_dir).withColumns({n: F.floor(F.col(n) * 2) / 2 for n in opportunity.SIGNALS})
-    predicted = reports.predicted_line(F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("budget"), F.lit(None).cast("int"))
+    k = F.col("source_app_id")
+    rows = _opportunities(spark, sf_dir).withColumns({"cpi_high": F.when(k % 5 != 0, F.col("cpi_high")), "months": F.when(k % 3 == 0, k % 12)})
+    predicted = reports.predicted_line(F.col("cpi_low"), F.col("cpi_high"), F.col("ltv_low"), F.col("ltv_high"), F.col("budget"), F.col("months"))
     plan = reports.plan_line(F.array(F.lit("build"), F.lit("run")), F.lit("roas_d14"), F.lit("below"), F.lit(0.5))
-    text = reports.briefs(rows.withColumns({
-        "source_market": F.lit("us"), "predicted": F.concat(F.when(F.col("cpi_low").isNull(), "").otherwise("CPI and LTV "), predicted), "tags": F.array().cast("array<string>"), "plan": plan, "url": F.lit("https://a.b"), "claim": F.lit("c"),
-    }), list(opportunity.SIGNALS))
+    text = reports.briefs(rows.withColumns({"source_market": F.lit("us"), "predicted": predicted, "tags": F.array().cast("array<string>"), "plan": plan, "url": F.lit("https://a.b"), "claim": F.lit("c")}), list(opportunity.SIGNALS))
     under = lambda name: X.between_headings(F.col("brief"), name)
     return text.select("source_app_id", F.concat(F.lit("  "), F.ltrim(under("Signals"))).alias("signals"), under("Predicted economics").alias("predicted"), under("Validation plan").alias("plan"))
 
@@ -177,12 +182,20 @@ def a27_composite(spark, sf_dir):
 @query(f"""WITH {DESCRIBED_SQL}, {APPS_SQL}, r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY revenue DESC, p_partkey) AS position FROM comp)
   SELECT position, p_partkey, upper(market) AS market, CAST(ROUND(COALESCE(ratings_count, 0) * 50.0) AS BIGINT) AS estimated_revenue, ROUND(paywall, 1) AS paywall, CASE WHEN p_partkey % 2 = 0 THEN 'judged' ELSE 'Composite' END AS reasoning FROM r WHERE position <= 20""")
 def k12_digest(spark, sf_dir):
-    from pyspark.sql import Window
+    return _digest(spark, sf_dir).select("position", F.col("name").cast("long").alias("p_partkey"), "market", "estimated_revenue", "paywall", F.regexp_extract("reasoning", r"^(\w+)", 1).alias("reasoning"))
 
-    rows = _composites(spark, sf_dir).withColumn("position", F.row_number().over(Window.orderBy(F.desc("revenue"), "p_partkey")).cast("long"))
+
+def _digest(spark, sf_dir):
+    rows = reports.first_ranked(_composites(spark, sf_dir), [F.desc("revenue"), "p_partkey"], 20)
     rows = rows.withColumns({"name": F.col("p_partkey").cast("string"), "store": F.lit("apple"), "category": F.lit("c"), "reasoning": F.when(F.col("p_partkey") % 2 == 0, "judged"), "paywall": F.col("paywall").cast("double")})
-    out = reports.demo_digest(rows, 20)
-    return out.select("position", F.col("name").cast("long").alias("p_partkey"), "market", "estimated_revenue", "paywall", F.regexp_extract("reasoning", r"^(\w+)", 1).alias("reasoning"))
+    return reports.demo_digest(rows, 20)
+
+
+@query(f"""WITH {DESCRIBED_SQL}, {APPS_SQL}, r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY revenue DESC, p_partkey) AS nth FROM comp), t AS (SELECT *, CAST(ROUND(COALESCE(ratings_count, 0) * 50.0) AS BIGINT) AS money FROM r WHERE nth <= 20),
+  h AS (SELECT 'revenue' AS kind, money AS v, nth, p_partkey || ' (' || upper(market) || '): $' || money || ' a month' AS line FROM t UNION ALL SELECT 'paywall', ROUND(paywall, 1), nth, p_partkey || ' (' || upper(market) || '): paywall ' || printf('%.1f', ROUND(paywall, 1)) FROM t)
+  SELECT kind, position, line FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY kind ORDER BY v DESC, nth) AS position FROM h) WHERE position <= 3""")
+def k12_highlights(spark, sf_dir):
+    return reports.demo_highlights(_digest(spark, sf_dir)).where("kind <> 'gap'")
 
 
 # Daily series of each app: a day stands for a month of its revenue.
@@ -204,10 +217,10 @@ def a8_point_in_time(spark, sf_dir):
     return audit.metadata_point_in_time(rows, ["l_suppkey", "l_returnflag"], "released")
 
 
-@query(sql(D.INVARIANTS_SQL, D.REVIEWS_SQL, R.TREND_SQL, """st AS (SELECT app_id, DATE '2002-01-01' - release_day AS d FROM inv WHERE store = 'apple'), t AS (SELECT app_id, CASE WHEN sl IS NOT NULL THEN ROUND(LEAST(10.0, GREATEST(0.0, -sl) * 10), 4) END AS trend FROM trend)
+@query(sql(D.INVARIANTS_SQL, D.REVIEWS_SQL, R.TREND_SQL, """st AS (SELECT app_id, DATE '2002-01-01' - MAX(release_day) AS d FROM inv GROUP BY 1), t AS (SELECT app_id, CASE WHEN sl IS NOT NULL THEN ROUND(LEAST(10.0, GREATEST(0.0, -sl) * 10), 4) END AS trend FROM trend)
   SELECT COALESCE(st.app_id, t.app_id) AS app_id, CASE WHEN d IS NOT NULL THEN ROUND(0.6 * LEAST(10.0, GREATEST(0.0, d / 365.0 * 10)) + 0.4 * trend, 4) END AS vulnerability FROM st FULL JOIN t ON st.app_id = t.app_id"""))
 def a15_vulnerability(spark, sf_dir):
-    stale = D.invariants(spark, sf_dir).where("store = 'apple'").select("app_id", F.datediff(F.lit("2002-01-01").cast("date"), "release_day").alias("stale_days"))
+    stale = D.invariants(spark, sf_dir).groupBy("app_id").agg(F.datediff(F.lit("2002-01-01").cast("date"), F.max("release_day")).alias("stale_days"))
     return signals.vulnerability(stale, R.QUERIES["a14_rating_trend"](spark, sf_dir))
 
 
@@ -252,17 +265,18 @@ def k10_divergence(spark, sf_dir):
     return reports.divergence_lines(reports.compare_judges(_judged(spark, sf_dir), ["conv_id"], ["turn"])[0], ["conv_id"])
 
 
-TAGGED_SQL = "tg AS (SELECT app_id, day, 'v1.0.0-charts-' || market AS version, CASE WHEN rank % 4 > 0 THEN CAST(rank AS DOUBLE) END AS value FROM charts WHERE store = 'apple' AND app_id % 3 = 0)"
+TAGGED_SQL = f"tg AS (SELECT app_id, day, '{fixed.MARKET_TAG}' || market AS version, CASE WHEN rank % 4 > 0 THEN CAST(rank AS DOUBLE) END AS value FROM charts WHERE store = 'apple')"
 
 
-@query(sql(D.CHARTS_SQL, TAGGED_SQL, "SELECT c.app_id, c.market, c.store, c.day, value FROM tg JOIN charts c ON c.app_id = tg.app_id AND c.day = tg.day AND version = 'v1.0.0-charts-' || c.market WHERE value IS NOT NULL"))
+@query(sql(D.CHARTS_SQL, TAGGED_SQL, f"SELECT c.app_id, c.market, c.store, c.day, value FROM tg JOIN charts c ON c.app_id = tg.app_id AND c.day = tg.day AND version = '{fixed.MARKET_TAG}' || c.market WHERE value IS NOT NULL"))
 def j2_signals_on_charts(spark, sf_dir):
     c = D.charts(spark, sf_dir)
-    rows = c.where("store = 'apple' and app_id % 3 = 0").select("app_id", "day", K.version_tag(F.col("market")).alias("version"), F.lit("locGap").alias("signal_name"), F.when(F.col("rank") % 4 > 0, F.col("rank").cast("double")).alias("value"))
+    # signals are stored once for a market, taken from its apple chart; they meet the chart rows of both stores
+    rows = c.where("store = 'apple'").select("app_id", "day", K.version_tag(F.col("market")).alias("version"), F.lit("locGap").alias("signal_name"), F.when(F.col("rank") % 4 > 0, F.col("rank").cast("double")).alias("value"))
     return K.signals_on_charts(rows, c, "locGap")
 
 
-@query(sql(D.CHARTS_SQL, TAGGED_SQL, """b AS (SELECT c.market, COUNT(*) AS n, ROUND(AVG(value), 6) AS mean, ROUND(AVG(CASE WHEN value < 2 THEN 1.0 ELSE 0.0 END), 6) AS below FROM tg JOIN charts c ON c.app_id = tg.app_id AND c.day = tg.day AND version = 'v1.0.0-charts-' || c.market WHERE value IS NOT NULL GROUP BY 1)
+@query(sql(D.CHARTS_SQL, TAGGED_SQL, """b AS (SELECT c.market, COUNT(*) AS n, ROUND(AVG(value), 6) AS mean, ROUND(AVG(CASE WHEN value < 2 THEN 1.0 ELSE 0.0 END), 6) AS below FROM tg JOIN charts c ON c.app_id = tg.app_id AND c.day = tg.day AND version = '""" + fixed.MARKET_TAG + """' || c.market WHERE value IS NOT NULL GROUP BY 1)
   SELECT concat_ws(chr(9), r_name, COALESCE(n, 0), COALESCE(printf('%.3f', mean), ''), COALESCE(printf('%.3f', below), ''), CASE WHEN r_name IN ('AFRICA', 'ASIA') THEN 'sea' ELSE 'tier1' END) AS line FROM region LEFT JOIN b ON market = r_name"""))
 def k6_baseline_tsv(spark, sf_dir):
     grid = D.table(spark, sf_dir, "region").select(F.col("r_name").alias("market"))
@@ -270,11 +284,18 @@ def k6_baseline_tsv(spark, sf_dir):
     return reports.baseline_lines(stats, ["market"], F.when(F.col("market").isin(*R.SEA_REGIONS), "sea").otherwise("tier1"))
 
 
-@query(sql(D.CHARTS_SQL, "SELECT DISTINCT 'cell-v3-' || market || '-' || store || '-tg' AS tag, CASE WHEN app_id % 2 = 0 THEN market END AS market, CASE WHEN app_id % 2 = 0 THEN store END AS store FROM charts WHERE app_id < 3"))
+@query(sql(D.CHARTS_SQL, "SELECT DISTINCT '{}' || market || '{}' || store || '{}' AS tag, market, store, app_id FROM charts WHERE app_id % 2 = 0".format(*fixed.CELL_TAG)))
 def p7_tags(spark, sf_dir):
-    rows = D.charts(spark, sf_dir).where("app_id < 3").select(K.version_tag(F.col("market"), F.col("store")).alias("tag"), (F.col("app_id") % 2 == 0).alias("even")).distinct()
-    parsed = K.parsed_tag(F.when(F.col("even"), F.col("tag")).otherwise(F.concat(F.lit("x"), F.col("tag"))))
-    return rows.select("tag", parsed["market"].alias("market"), parsed["store"].alias("store"))
+    """Tags of every charted app's cells; those of odd apps are of another form, so they are dropped."""
+    rows = D.charts(spark, sf_dir).select("app_id", K.version_tag(F.col("market"), F.col("store")).alias("tag")).distinct()
+    rows = rows.withColumn("tag", F.when(F.col("app_id") % 2 == 0, F.col("tag")).otherwise(F.concat(F.col("tag"), F.lit("-old"))))
+    return K.parsed_rows(rows, "tag")[0].select("tag", "market", "store", "app_id")
+
+
+@query(sql(D.CHARTS_SQL, "SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (app_id % 2 = 0) AS n_parsed, COUNT(*) FILTER (app_id % 2 <> 0) AS n_dropped FROM charts"))
+def p7_dropped(spark, sf_dir):
+    rows = D.charts(spark, sf_dir).select(F.when(F.col("app_id") % 2 == 0, K.version_tag(F.col("market"), F.col("store"))).otherwise(K.version_tag(F.col("market"))).alias("tag"))
+    return K.parsed_rows(rows, "tag")[1]
 
 
 @query("""WITH e AS (SELECT c_nationkey AS market, arg_max('rich ' || c_custkey, (c_acctbal, c_custkey)) AS app FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey % 3 > 0 GROUP BY 1)
@@ -413,12 +434,137 @@ def s12_extracted(spark, sf_dir):
     return count(metadata, "metadata", one).unionByName(count(reviews, "reviews", one)).unionByName(count(ranks, "ranks", one)).unionByName(count(errors, "errors", F.sum("n_errors")))
 
 
-@query(sql(D.CHARTS_SQL, """pool AS (SELECT DISTINCT app_id, t0 FROM charts, (VALUES (DATE '1999-06-01'), (DATE '2000-06-01')) d(t0) WHERE market = 'ASIA' AND day <= t0 AND rank <= 200),
-  v AS (SELECT p.app_id, p.t0, CASE WHEN COUNT(*) FILTER (c.day IS NOT NULL) >= 3 THEN stddev_pop(c.rank) END AS sd FROM pool p LEFT JOIN charts c ON c.app_id = p.app_id AND c.day BETWEEN p.t0 - 90 AND p.t0 GROUP BY 1, 2)
-  SELECT app_id, t0, CASE WHEN sd IS NOT NULL THEN ROUND(LEAST(GREATEST(sd / 50 * 10, 0), 10), 6) END AS value FROM v"""))
+GRID_SQL = """grid AS (SELECT r_name AS market, CAST(t0 AS DATE) AS t0 FROM region, (SELECT t0 FROM generate_series(DATE '2000-01-01', DATE '2000-12-01', INTERVAL 1 MONTH) g(t0) UNION ALL SELECT t0 FROM (VALUES (DATE '2001-02-01'), (DATE '2001-05-01')) v(t0)))"""
+
+
+def _grid(spark, sf_dir):
+    """70 cohorts: each region on the first of each month of 2000 and on two dates of 2001."""
+    months = [f"2000-{m:02d}-01" for m in range(1, 13)]
+    regions = D.table(spark, sf_dir, "region").select(F.col("r_name").alias("market"))
+    return backtest.cohort_grid([(regions, months), (regions, ["2001-02-01", "2001-05-01"])])
+
+
+@query(sql(D.CHARTS_SQL, GRID_SQL, f"""pool AS (SELECT DISTINCT app_id, t0 FROM grid JOIN charts USING (market) WHERE day <= t0 AND rank <= 200),
+  v AS (SELECT p.app_id, p.t0, CASE WHEN COUNT(*) FILTER (c.day IS NOT NULL) >= 3 THEN stddev_pop(c.rank) END AS sd FROM pool p LEFT JOIN charts c ON c.app_id = p.app_id AND c.day BETWEEN p.t0 - 90 AND p.t0 GROUP BY 1, 2),
+  best AS (SELECT p.app_id, p.t0, c.day, MIN(c.rank) AS rank FROM pool p JOIN charts c ON c.app_id = p.app_id AND c.day BETWEEN p.t0 - 30 AND p.t0 AND c.rank <= 200 GROUP BY 1, 2, 3),
+  n AS (SELECT *, COUNT(*) OVER (PARTITION BY app_id, t0) AS n, rank - LAG(rank) OVER w AS b, LEAD(rank) OVER w - rank AS a FROM best WINDOW w AS (PARTITION BY app_id, t0 ORDER BY day)),
+  s AS (SELECT * FROM n WHERE n >= 5 AND NOT COALESCE(abs(b) > 2 AND abs(a) > 2 AND sign(b) <> sign(a), false)),
+  g AS (SELECT app_id, t0, arg_min(rank, day) - arg_max(rank, day) AS d FROM s GROUP BY 1, 2 HAVING COUNT(*) >= 5),
+  w AS (SELECT app_id, score FROM ({ORACLE_SQL['a16_winner_scores']}) WHERE t = DATE '2000-06-01'),
+  wide AS (SELECT p.app_id, p.t0, CASE WHEN d IS NOT NULL THEN ROUND(CAST({R.IMPROVE} AS DOUBLE), 6) END AS velocity, CASE WHEN sd IS NOT NULL THEN ROUND(LEAST(GREATEST(sd / 50 * 10, 0), 10), 6) END AS weak, score FROM pool p LEFT JOIN g USING (app_id, t0) LEFT JOIN v USING (app_id, t0) LEFT JOIN w USING (app_id))
+  SELECT app_id, t0, unnest(['velocity', 'incumbent_vulnerability', 'winner_score']) AS signal_name, unnest([velocity, CAST(weak AS DOUBLE), score]) AS value FROM wide"""))
 def m12_signal_grid(spark, sf_dir):
-    c = D.charts(spark, sf_dir)
-    t0s = ["1999-06-01", "2000-06-01"]
-    cohorts = spark.createDataFrame([("ASIA", t) for t in t0s], "market string, t string").select("market", F.col("t").cast("date").alias("t0"))
-    grid = signals.signal_grid(c, backtest.candidate_pool(c, cohorts, "survival"), t0s, least=5, threshold=2)
-    return grid.where("signal_name = 'incumbent_vulnerability'").select("app_id", "t0", "value")
+    c, s = D.charts(spark, sf_dir), D.signals(spark, sf_dir)
+    pool = backtest.candidate_pool(c, _grid(spark, sf_dir), "survival")
+    scores = backtest.winner_scores(pool.select("app_id", F.lit("2000-06-01").cast("date").alias("t")).distinct(), c, s, "view", "purchase")
+    return signals.signal_grid(c, pool, scores, least=5, threshold=2)
+
+
+@query(sql(D.CHARTS_SQL, """cells AS (SELECT r_name AS market, store, CASE WHEN r_name = 'MIDDLE EAST' AND store = 'googleplay' THEN 0 ELSE 1 END AS many FROM region, (VALUES ('apple'), ('googleplay')) s(store)),
+  g AS (SELECT market, store, CAST(t0 AS DATE) AS t0, 'sea' AS tier FROM cells, generate_series(DATE '1998-05-04', DATE '1999-01-04', INTERVAL 1 MONTH) d(t0) WHERE many = 1 UNION ALL SELECT market, store, DATE '1990-08-04', 'tier1' FROM cells)
+  SELECT g.market, g.store, g.t0, tier, COUNT(DISTINCT app_id) AS n FROM g LEFT JOIN charts c ON c.market = g.market AND c.store = g.store AND c.day BETWEEN g.t0 - 6 AND g.t0 GROUP BY 1, 2, 3, 4"""))
+def j13_grid(spark, sf_dir):
+    """91 cohorts, nine cells on nine dates and ten on one date before all charts, with the apps of each: 0 where none."""
+    cells = D.table(spark, sf_dir, "region").select(F.col("r_name").alias("market"), F.explode(F.array(F.lit("apple"), F.lit("googleplay"))).alias("store"))
+    months = [f"1998-{m:02d}-04" for m in range(5, 13)] + ["1999-01-04"]
+    grid = backtest.cohort_grid([(cells.where("not (market = 'MIDDLE EAST' and store = 'googleplay')").withColumn("tier", F.lit("sea")), months), (cells.withColumn("tier", F.lit("tier1")), ["1990-08-04"])])
+    return backtest.cohort_sizes(D.charts(spark, sf_dir), grid)
+
+
+@query(sql(D.CHARTS_SQL, R.COHORTS_SQL, D.INVARIANTS_SQL, R.CELLS_SQL, R.RANKED_SQL, R.LABELS_SQL, """tiers AS (SELECT app_id, market, store, t0, CASE WHEN winner_exact = 1 THEN 'winner' ELSE 'loser' END AS tier FROM labels WHERE app_id % 4 <> 0)
+  SELECT r.market, r.store, r.t0, ranker, r.app_id, pos, tier, COALESCE(tier = 'winner', false) AS is_winner FROM ranked r LEFT JOIN tiers t ON t.market = r.market AND t.store = r.store AND t.t0 = r.t0 AND t.app_id = r.app_id WHERE pos <= 5"""))
+def j6_tiers(spark, sf_dir):
+    """Ranked apps with their tier at t0 + 90: every fourth app is unlabelled, and tiers measured at other days don't count."""
+    found = R.a31_labels(spark, sf_dir).where("app_id % 4 <> 0")
+    tier = lambda won: F.when(won, "winner").otherwise("loser").alias("tier")
+    own = found.select("app_id", "market", "store", "t0", F.date_add("t0", 90).alias("measured_at"), tier(F.col("winner_exact") == 1))
+    others = own.select("app_id", "market", "store", "t0", F.date_add("measured_at", -30).alias("measured_at"), F.lit("winner").alias("tier"))
+    ranked = backtest.top_k(R._ranked(spark, sf_dir), 5)
+    return backtest.with_tiers(ranked, own.unionByName(others), ["market", "store", "t0", "app_id"], 90)
+
+
+@query("""WITH g AS (SELECT e AS endpoint, c_custkey AS app_id, m AS market, t FROM customer, (VALUES ('metadata'), ('reviews'), ('ranks')) v(e), (VALUES ('id'), ('vn')) w(m), (VALUES (DATE '2024-01-01'), (DATE '2024-01-16'), (DATE '2024-01-31')) d(t)),
+  asked AS (SELECT *, app_id % 7 + CASE market WHEN 'id' THEN 0 ELSE 1 END AS h FROM g), other AS (SELECT 'ranks' AS endpoint, c_custkey AS app_id, 'xx' AS market, DATE '2024-01-01' AS t FROM customer WHERE c_custkey % 11 = 0)
+  SELECT endpoint, app_id, market, t, CASE WHEN h = 3 THEN 0 WHEN h = 4 THEN 2 ELSE 1 END AS n, CASE WHEN h = 5 THEN 1 WHEN h = 4 THEN 1 ELSE 0 END AS n_errors, CASE WHEN h = 3 THEN 'missing' WHEN h = 5 THEN 'error' ELSE 'ok' END AS status FROM asked
+  UNION ALL SELECT endpoint, app_id, market, t, 1, 0, 'unexpected' FROM other""")
+def s12_grid(spark, sf_dir):
+    """Every call of the grid against landed responses: some are missing, some failed, some were tried twice, some weren't asked for."""
+    apps = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("app_id"))
+    grid = K.request_grid(apps, ["id", "vn"], "2024-01-01", "2024-01-31")
+    h = F.col("app_id") % 7 + F.when(F.col("market") == "id", 0).otherwise(1)
+    times = F.when(h == 3, F.array().cast("array<string>")).when(h == 5, F.array(F.lit("500"))).when(h == 4, F.array(F.lit("429"), F.lit(None).cast("string"))).otherwise(F.array(F.lit(None).cast("string")))
+    landed = grid.select("*", F.explode(times).alias("error"))
+    other = apps.where("app_id % 11 = 0").select(F.lit("ranks").alias("endpoint"), "app_id", F.lit("xx").alias("market"), F.lit("2024-01-01").cast("date").alias("t"), F.lit(None).cast("string").alias("error"))
+    return K.reconciled(grid, landed.unionByName(other)).withColumns({"n": F.col("n").cast("int"), "n_errors": F.col("n_errors").cast("int")})
+
+
+_YES = "CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE 'no' END"
+PROMPT_SQL = {
+    "localization": f"""'Audit how well a mobile app is localized.' || chr(10) || 'Store: apple, market: ' || lang || chr(10) || 'Name: App ' || doc_id || chr(10) || 'Developer: ' || source || chr(10) || 'Category: c' || chr(10) || 'Rating: ' || CASE WHEN doc_id % 3 > 0 THEN CAST(doc_id % 5 AS VARCHAR) ELSE 'n/a' END
+      || ' of ' || CASE WHEN doc_id % 3 > 0 THEN CAST(n_chars AS VARCHAR) ELSE 'n/a' END || ' ratings, rank ' || doc_id % 100 || ', purchases: ' || {_YES} || chr(10) || 'Description, cut:' || chr(10) || substr(text, 1, 1500) || chr(10) || chr(10)
+      || '0 is fully localized, 10 is not localized at all. Where the market speaks English the gap is low by nature.'""",
+    "mechanic": """'Describe the core loop of the app "App ' || doc_id || '" from ' || doc_id % 6 || ' screenshots.' || chr(10) || 'Description, cut:' || chr(10) || substr(text, 1, 800) || chr(10) || chr(10)
+      || CASE WHEN doc_id % 4 > 0 THEN 'said ' || doc_id || ', fine' ELSE '(no reviews)' END || chr(10) || chr(10) || 'Two or three sentences, only what the material shows.'""",
+    "citation": """'Estimate revenue of an app with a source.' || chr(10) || 'App: App ' || doc_id || chr(10) || 'App id: ' || doc_id || chr(10) || 'Market: ' || lang || chr(10) || chr(10)
+      || 'Give low, mid or high, one address that backs it and a quote of at least 20 characters from there. Without a source, decline.'""",
+}
+
+
+@query(" UNION ALL ".join(f"""SELECT doc_id, '{k}' AS kind, sha256(concat_ws(chr(10), '{k}', 'm', p)) AS request_hash, CAST(ceil(length(p) / 4.0) AS DOUBLE) AS cost FROM (SELECT doc_id, {p} AS p FROM documents)""" for k, p in PROMPT_SQL.items()))
+def x15_prompts(spark, sf_dir):
+    k = F.col("doc_id")
+    rows = D.table(spark, sf_dir, "documents").select(
+        "doc_id", F.lit("apple").alias("store"), F.col("lang").alias("market"), F.concat(F.lit("App "), k.cast("string")).alias("name"), F.col("source").alias("developer"), F.lit("c").alias("category"),
+        F.when(k % 3 > 0, (k % 5).cast("double")).alias("rating"), F.when(k % 3 > 0, F.col("n_chars")).alias("ratings_count"), (k % 100).alias("rank"), (k % 2 == 0).alias("iap_present"), F.col("text").alias("description"),
+        (k % 6).alias("n_screenshots"), F.when(k % 4 > 0, F.array(F.concat(F.lit("said "), k.cast("string")), F.lit("fine"))).otherwise(F.array().cast("array<string>")).alias("reviews"), F.lit("revenue").alias("claim"), k.alias("app_id"),
+    )
+    out = [prompts.prompt_requests(rows, ["doc_id"], kind, "m").drop("prompt") for kind in PROMPT_SQL]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(sql(*R.SHORT, """p AS (SELECT app_id, store, 'Can one developer on a small budget build an app like this in four weeks?' || chr(10) || 'Title: (unknown)' || chr(10) || 'Subtitle: (none)' || chr(10) || 'Class: ' || COALESCE(dna_class, '?') || ' / ?' || chr(10) || 'Publisher: P' || publisher_id || chr(10)
+    || 'Description, cut: ' || COALESCE(substr(description, 1, 350), '(no description)') || chr(10) || 'Markets: ' || array_to_string(markets, ', ') || chr(10) || 'Best tenure: ' || tenure_max || ' days, best rank ' || best_rank || chr(10)
+    || 'Subscription: ' || CASE WHEN has_subscription THEN 'yes' ELSE 'no' END || ', purchases listed: 1' || chr(10) || chr(10) || 'Answer in one line, either "CLONE: idea" or "SKIP: reason".' AS prompt FROM scored)
+  SELECT app_id, store, 'clonability' AS kind, sha256(concat_ws(chr(10), 'clonability', 'm', prompt)) AS request_hash, CAST(ceil(length(prompt) / 4.0) AS DOUBLE) AS cost FROM p"""))
+def x15_clonability(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    rows = shortlist.scored(R._staged(spark, sf_dir), 5).join(D.metadata(spark, sf_dir).select("app_id", "store", "description"), ["app_id", "store"], "left").withColumns({"title": none, "subtitle": none, "dna_subclass": none, "publisher_name": F.concat(F.lit("P"), F.col("publisher_id").cast("string")), "iap_count": F.lit(1)})
+    rows = rows.select("app_id", "store", "title", "subtitle", "dna_class", "dna_subclass", "publisher_name", "description", "markets", "tenure_max", "best_rank", "has_subscription", "iap_count")
+    return prompts.prompt_requests(rows, ["app_id", "store"], "clonability", "m").drop("prompt")
+
+
+@query(sql(*OPPORTUNITY_SQL, f"""p AS (SELECT source_app_id, 'Explain this opportunity in one paragraph of at most 120 words, from the data alone.' || chr(10) || 'Source app: ' || source_app_id || ' from us' || chr(10) || 'Target market: ' || COALESCE(target_market, '') || chr(10) || 'Category: ' || COALESCE(category, '') || chr(10) || 'Signals:' || chr(10)
+    || CASE WHEN loc IS NULL AND vel IS NULL THEN '  (none computed)' ELSE concat_ws(', ', 'locGap ' || {PLACE('loc')}, 'velocity ' || {PLACE('vel')}) END || chr(10) || 'Mechanic: (not available)' || chr(10) || 'Predicted economics: '
+    || CASE WHEN cpi_low IS NULL THEN '(no predictions)' ELSE 'CPI: ' || {PRICE('cpi_low')} || '-' || {PRICE('cpi_high')} END || chr(10) || 'Kill metric: roas_d14 below 0.5' AS prompt FROM opp)
+  SELECT source_app_id, 'thesis' AS kind, sha256(concat_ws(chr(10), 'thesis', 'm', prompt)) AS request_hash, CAST(ceil(length(prompt) / 4.0) AS DOUBLE) AS cost FROM p"""))
+def x15_thesis(spark, sf_dir):
+    rows = _opportunities(spark, sf_dir)
+    said = lambda name: F.when(F.col(name).isNotNull(), F.concat(F.lit(f"{name} "), F.format_string("%.1f", name)))
+    none = F.lit(None).cast("double")
+    rows = rows.select(
+        "source_app_id", F.lit("us").alias("source_market"), "target_market", "category", F.array_compact(F.array(said("locGap"), said("velocity"))).alias("signals"), F.lit(None).cast("string").alias("mechanic"),
+        reports.predicted_line(F.col("cpi_low"), F.col("cpi_high"), none, none, none, none).alias("predicted"), F.lit("roas_d14 below 0.5").alias("kill"),
+    )
+    return prompts.prompt_requests(rows, ["source_app_id"], "thesis", "m").drop("prompt")
+
+
+@query(f"""WITH p AS ({ORACLE_SQL['a17_precision']}), m AS (SELECT ranker, k, COUNT(*) AS n_cohorts, AVG(precision) AS mean FROM p GROUP BY 1, 2)
+  SELECT m.ranker, m.k, m.n_cohorts, ROUND(m.mean, 6) AS mean, ROUND(CASE WHEN b.mean > 0 THEN m.mean / b.mean WHEN m.mean > 0 THEN 999.0 ELSE 0.0 END, 6) AS lift FROM m LEFT JOIN m b ON b.k = m.k AND b.ranker = 'f0'""")
+def k7_aggregate(spark, sf_dir):
+    return reports.aggregate_precision(R.a17_precision(spark, sf_dir), "f0")
+
+
+@query(f"""WITH p AS ({ORACLE_SQL['a17_precision']}), r AS ({ORACLE_SQL['t3_top_k']}),
+  c AS (SELECT market, store, t0, ranker, array_to_string(list(app_id ORDER BY pos), ', ') AS picks FROM r GROUP BY 1, 2, 3, 4), l AS (SELECT market, store, t0, string_agg('| ' || ranker || ' | ' || picks || ' |', chr(10) ORDER BY ranker) AS t FROM c GROUP BY 1, 2, 3)
+  SELECT market, store, t0, ranker, k, precision, picks, t FROM p JOIN c USING (market, store, t0, ranker) JOIN l USING (market, store, t0)""")
+def k7_sidecar(spark, sf_dir):
+    """The JSON of each cohort, written, read again and flattened, and the table of its picks."""
+    keys = ["market", "store", "t0"]
+    documents = reports.backtest_documents(R.a17_precision(spark, sf_dir), R.t3_top_k(spark, sf_dir), keys)
+    path = scratch.new_folder(spark, "backtest")
+    documents.select("json", "text").write.json(path)
+    schema = "market string, store string, t0 date, precision array<struct<ranker string, k int, precision double>>, picks array<struct<ranker string, app_ids array<bigint>>>"
+    back = spark.read.schema("json string, text string").json(path).select(F.from_json("json", schema).alias("d"), "text")
+    rows = back.select("d.*", F.substring_index("text", "|-|-|\n", -1).alias("t")).select(*keys, "picks", "t", F.inline("precision"))
+    own = F.filter("picks", lambda x: x["ranker"] == F.col("ranker"))[0]["app_ids"]
+    return rows.select(*keys, "ranker", "k", "precision", F.array_join(own.cast("array<string>"), ", ").alias("picks"), "t")

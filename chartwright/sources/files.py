@@ -46,9 +46,14 @@ def read_chart_dump(spark: SparkSession, path: str, with_store: bool = False, so
 
 
 def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with a line number that orders each file's lines; malformed ones left out."""
+    """JSON lines with a line_no that orders each file's lines, however many tasks read it; malformed ones left out.
+
+    line_no is where the split that holds the line starts in its file, then the line's place among those that its task
+    has read: one task reads a split from its start to its end, whatever other splits it reads.
+    """
     read = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
-    rows = read.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"))
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth"))
+    rows = read.select("*", F.col("_metadata.file_path").alias("file"), place.alias("line_no"))
     return rows.where("_corrupt_record is null").drop("_corrupt_record")
 
 

@@ -12,10 +12,84 @@ def _existing(new: DataFrame, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
 
 
-def first_per_key(new: DataFrame, keys: list[str]) -> DataFrame:
-    """One row of each key: the least in the order of all other columns, so the choice doesn't depend on the run."""
+def first_per_key(new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row of each key: the first by `order` (a line number), which isn't kept; without one the least in the order of
+    all other columns, so the choice doesn't depend on the run."""
     rest = [c for c in new.columns if c not in keys]
-    return new.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*(rest or keys)))).where("__k = 1").drop("__k")
+    return new.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or rest or keys)))).where("__k = 1").drop("__k", *(order or []))
+
+
+class KeyedTable:
+    """A table whose rows have distinct keys, written in batches that either are there or aren't.
+
+    A batch lies in a folder of its own, batch=<id>. It counts once its line of the manifest is there, which is written
+    last, under another name first; what a failed batch has left is deleted when it is written again, and a batch that
+    has its line is not written twice. The line keeps the least and greatest `range_key` of its rows, so that a new
+    batch is held only against earlier ones whose range meets its own, and a reader skips the others too.
+    """
+
+    def __init__(self, spark, path: str, keys: list[str], range_key: str):
+        if range_key not in keys:
+            raise ValueError("the range key is one of the keys")
+        self.spark, self.path, self.keys, self.range_key = spark, path.rstrip("/"), keys, range_key
+        self.path_of = spark._jvm.org.apache.hadoop.fs.Path
+        self.store = self.path_of(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def manifest(self) -> list[dict]:
+        """One entry for each batch that counts: id, rows, low, high (as JSON values)."""
+        folder = self.path_of(f"{self.path}/_manifest")
+        if not self.store.exists(folder):
+            return []
+        lines = self.spark.read.schema("id string, rows long, low string, high string").json(f"{self.path}/_manifest/*.json")
+        return [r.asDict() for r in lines.orderBy("id").collect()]
+
+    def _folders(self, low=None, high=None, kind: str = "string") -> list[str]:
+        """Folders of the batches whose ranges meet [low, high], all by default."""
+        found = self.manifest()
+        if low is not None and found:
+            rows = self.spark.createDataFrame([(e["id"], e["low"], e["high"]) for e in found], "id string, low string, high string")
+            meets = (F.col("low").cast(kind) <= F.lit(high).cast(kind)) & (F.col("high").cast(kind) >= F.lit(low).cast(kind))
+            keep = {r["id"] for r in rows.where(F.coalesce(meets, F.lit(True))).collect()}
+            found = [e for e in found if e["id"] in keep]
+        return [f"{self.path}/batch={e['id']}" for e in found if e["rows"]]
+
+    def read(self, schema, low=None, high=None) -> DataFrame:
+        """Rows of all batches that count, or of those whose ranges meet [low, high]."""
+        kind = schema[self.range_key].dataType.simpleString()
+        folders = self._folders(low, high, kind)
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def append(self, new: DataFrame, batch_id, order: list[str] | None = None) -> dict[str, int]:
+        """Write the rows whose key isn't there; -> rows read, written and batches looked at. Of rows with one key the first by
+        `order` counts. A batch that is there already is left as it is."""
+        id_ = f"{int(batch_id):012d}" if str(batch_id).isdigit() else str(batch_id)
+        if any(e["id"] == id_ for e in self.manifest()):
+            return {"read": 0, "written": 0, "batches": 0}
+        folder = f"{self.path}/batch={id_}"
+        self.store.delete(self.path_of(folder), True)
+        said = new.agg(F.count("*").alias("n"), F.min(self.range_key).cast("string").alias("low"), F.max(self.range_key).cast("string").alias("high")).first()
+        rows, looked = first_per_key(new, self.keys, order), []
+        if said["low"] is not None:
+            kind = new.schema[self.range_key].dataType.simpleString()
+            looked = self._folders(said["low"], said["high"], kind)
+            if looked:
+                there = self.spark.read.schema(rows.schema).parquet(*looked).where(F.col(self.range_key).between(F.lit(said["low"]).cast(kind), F.lit(said["high"]).cast(kind)))
+                rows = rows.join(there.select(*self.keys), self.keys, "left_anti").select(*rows.columns)
+        written = Observation()
+        rows.observe(written, F.count(F.lit(1)).alias("n"), F.min(self.range_key).cast("string").alias("low"), F.max(self.range_key).cast("string").alias("high")).write.parquet(folder)
+        self._commit(id_, written.get)
+        return {"read": said["n"], "written": written.get["n"], "batches": len(looked)}
+
+    def _commit(self, id_: str, facts: dict) -> None:
+        import json
+
+        line = json.dumps({"id": id_, "rows": facts["n"], "low": facts["low"], "high": facts["high"]})
+        own, name = self.path_of(f"{self.path}/_manifest/.{id_}.tmp"), self.path_of(f"{self.path}/_manifest/{id_}.json")
+        out = self.store.create(own, True)
+        out.write(bytearray(line.encode()))
+        out.close()
+        if not self.store.rename(own, name):
+            raise OSError(f"batch {id_} can't be committed")
 
 
 def append_if_absent(new: DataFrame, path: str, keys: list[str], partition: str | None = None) -> dict[str, int]:

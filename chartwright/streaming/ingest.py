@@ -7,18 +7,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chartwright.functions.exprs import epoch_ms
-from chartwright.sources.sinks import append_if_absent
+from chartwright.sources.sinks import KeyedTable, append_if_absent
 
 CHART_KEY = ["market", "category", "captured_at", "rank", "store"]
 
 
+CHART_ROWS = "app_id string, market string, category string, captured_at long, rank int, source string, store string"
+
+
 def ingest_charts(spark: SparkSession, landing: str, table: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
-    """Append every landed tab-separated file once; restarted, it goes on where it stopped, and repeats are no-ops."""
+    """Append every landed tab-separated file once; restarted, it goes on where it stopped, and repeats are no-ops.
+
+    The table is a KeyedTable by time: a batch is held against the batches that cover its days, counts as a whole or not at
+    all, and of lines with one key the first of the first file stays. Read it with charts_table().
+    """
     schema = "app_id string, market string, category string, captured_at string, rank string, source string, store string"
     read = spark.readStream.schema(schema).options(sep="\t", header=True, maxFilesPerTrigger=files_per_batch).csv(landing)
-    rows = read.select("app_id", "market", "category", epoch_ms(F.col("captured_at")).alias("captured_at"), F.col("rank").try_cast("int").alias("rank"), "source", "store")
+    rows = read.select("app_id", "market", "category", epoch_ms(F.col("captured_at")).alias("captured_at"), F.col("rank").try_cast("int").alias("rank"), "source", "store", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
     rows = rows.where("app_id is not null and market is not null and category is not null and captured_at is not null and rank > 0 and store is not null")
-    return rows.writeStream.foreachBatch(lambda batch, _: append_if_absent(batch, table, CHART_KEY)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    keyed = KeyedTable(spark, table, CHART_KEY, "captured_at")
+
+    def write(batch: DataFrame, id_: int) -> None:
+        line = F.struct("file", "split", F.monotonically_increasing_id().alias("nth"))  # a task reads a split in order
+        keyed.append(batch.withColumn("line", line).drop("file", "split"), id_, ["line"])
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def charts_table(spark: SparkSession, table: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """The ingested chart rows, or the batches that can hold rows of a span of time in milliseconds, cut to that span."""
+    from pyspark.sql.types import StructType
+
+    keyed, schema = KeyedTable(spark, table, CHART_KEY, "captured_at"), StructType.fromDDL(CHART_ROWS)
+    if first is None or last is None:
+        return keyed.read(schema)
+    return keyed.read(schema, str(first), str(last)).where(F.col("captured_at").between(first, last))
 
 
 def daily_snapshots(stream: DataFrame, late: str = "2 days") -> DataFrame:
@@ -26,6 +49,37 @@ def daily_snapshots(stream: DataFrame, late: str = "2 days") -> DataFrame:
     return stream.withColumn("day", F.to_date("ts")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["store", "app_id", "market", "day"])
 
 
+def land_snapshots(stream: DataFrame, table: str, failures: str, checkpoint: str, order: list[str]) -> StreamingQuery:
+    """Append the first snapshot of each (store, app_id, market, day) of a stream with event time ts, and the charts that failed.
+
+    The first write of a day wins: what an earlier batch has written stays, within a batch the first by `order`. A row with
+    an error is a chart that couldn't be read; each (store, market, day, error) is kept once, in `failures`. Late rows are
+    snapshots of their own day like any other. Both tables are KeyedTables by day: a batch is held against the days it
+    brings, and one that is repeated changes nothing. Read them with snapshot_tables().
+    """
+    spark = stream.sparkSession
+    good, bad = _snapshot_tables(spark, table, failures)
+    rows = stream.withColumn("day", F.to_date("ts"))
+
+    def write(batch: DataFrame, id_: int) -> None:
+        good.append(batch.where("error is null").drop("error"), id_, order)
+        bad.append(batch.where("error is not null").select("store", "market", "day", "error"), id_)
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _snapshot_tables(spark: SparkSession, table: str, failures: str) -> tuple[KeyedTable, KeyedTable]:
+    return KeyedTable(spark, table, ["store", "app_id", "market", "day"], "day"), KeyedTable(spark, failures, ["store", "market", "day", "error"], "day")
+
+
+def snapshot_tables(spark: SparkSession, table: str, failures: str, schema) -> tuple[DataFrame, DataFrame]:
+    """(snapshots of the schema given, failed charts) as landed so far."""
+    from pyspark.sql.types import StructType
+
+    good, bad = _snapshot_tables(spark, table, failures)
+    return good.read(schema), bad.read(StructType.fromDDL("store string, market string, day date, error string"))
+
+
 def pending_requests(requests: DataFrame, answered: DataFrame, cap: float, keys: list[str]) -> DataFrame:
     """Requests without an answer while what came before them costs less than `cap`, in order of request_no.
 

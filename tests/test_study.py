@@ -39,7 +39,7 @@ def plain_chain(cell):
 def test_chain_of_the_study_is_that_of_numpy(spark):
     rows = registry._study(spark, DATA)
     plain = rows.toPandas().sort_values([*factors.CELL, "app_id"]).reset_index(drop=True)
-    got = factors.to_wide(registry.processed(rows)).toPandas().sort_values([*factors.CELL, "app_id"]).reset_index(drop=True)
+    got = registry.processed(rows).toPandas().sort_values([*factors.CELL, "app_id"]).reset_index(drop=True)
     want = pd.concat([plain_chain(cell) for _, cell in plain.groupby(factors.CELL)]).sort_index()
     assert len(got) == len(want)
     for f in factors.FACTORS:

@@ -26,6 +26,8 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Len
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the format
 #: Files of one archive at most: their first keys are sent to all tasks, some 60 bytes each.
 MOST_FILES = 1 << 20
+#: Tasks that write at most; more files are dealt among them in turn.
+MOST_WRITERS = 20_000
 STEP = 10_000
 
 
@@ -169,7 +171,8 @@ def write_archive(pages: DataFrame, folder: str | None = None, file_bytes: int =
                 yield _batch(pa, out, types, ["file", "nul", "page_id", "ident", "occ", "member"])
 
     whole = placed.select("file", *ORDER, "member").unionByName(rows.mapInArrow(payloads, "file long, nul int, page_id long, ident binary, occ long, member binary"))
-    whole = whole.repartition(n, "file").sortWithinPartitions("file", *sort)
+    # files are dealt one by one: as many tasks as there are files, if tasks there be so many
+    whole = whole.repartitionById(max(1, min(len(starts), MOST_WRITERS)), (F.col("file") % MOST_WRITERS).cast("int")).sortWithinPartitions("file", *sort)
 
     def write(batches):
         """A file's records in order; a payload comes right before the record that it belongs to, if any takes it."""

@@ -46,7 +46,8 @@ def count_features(text: str | None) -> Counter:
 
 
 def labelled_words(docs: DataFrame, labels: DataFrame, label_col: str, bound: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(label, words, counts), words being features, of at most `bound` labelled rows that have a document; null labels left out."""
+    """(label, words, counts), words being features, of at most `bound` labelled ids that have a document, a row each:
+    of a repeated id the least text with its least label. Null labels and ids are left out."""
     sample = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("label"))
     sample = sample_by_hash(sample, "k", bound)
 
@@ -61,7 +62,8 @@ def labelled_words(docs: DataFrame, labels: DataFrame, label_col: str, bound: in
                 names=["label", "words", "counts"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "k").select("label", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "k")
+    rows = rows.groupBy("k").agg(F.min(F.struct("text", "label")).alias("x")).select("x.label", "x.text")
     return rows.mapInArrow(run, "label int, words array<string>, counts array<long>")
 
 

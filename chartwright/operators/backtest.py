@@ -8,17 +8,34 @@ from pyspark.sql import functions as F
 from chartwright.functions.exprs import clamp
 
 
+#: Distinct dates of a cohort up to which its signals are cut into spans between them.
+MOST_DATES = 1000
+
+
 def as_of(cohort: DataFrame, signals: DataFrame, null_policy: str = "skip", order: tuple[str, ...] = ("day", "event_id")) -> DataFrame:
     """(app_id, t0, signal_name, value, seen_day): the latest row at or before t0 of each app and signal.
 
     null_policy: 'skip' passes over null values before picking; 'keep' picks the latest row even if null;
-    'missing' picks the latest row and drops it if null.
+    'missing' picks the latest row and drops it if null. Up to MOST_DATES distinct dates, a row is read once however many
+    dates there are.
     """
     if null_policy not in ("skip", "keep", "missing"):
         raise ValueError(null_policy)
     rows = signals.where("value is not null") if null_policy == "skip" else signals
-    joined = cohort.select("app_id", "t0").distinct().join(rows, "app_id").where(F.col("day") <= F.col("t0"))
-    latest = joined.groupBy("app_id", "t0", "signal_name").agg(F.max_by(F.struct("value", "day"), F.struct(*order)).alias("x"))
+    asked = cohort.select("app_id", "t0").distinct()
+    dates = sorted(r["t0"] for r in asked.select("t0").distinct().where("t0 is not null").limit(MOST_DATES + 1).collect())
+    if len(dates) > MOST_DATES:  # dates of their own for many apps: each app's rows meet its dates
+        joined = asked.join(rows, "app_id").where(F.col("day") <= F.col("t0"))
+        latest = joined.groupBy("app_id", "t0", "signal_name").agg(F.max_by(F.struct("value", "day"), F.struct(*order)).alias("x"))
+    else:
+        # a row counts from the first date at or after its day on; what a span between two dates leaves is one row
+        marks = F.array(*[F.lit(d) for d in dates]).cast("array<date>")
+        span = F.size(F.filter(marks, lambda d: d < F.col("day")))
+        spans = rows.withColumn("span", span).where(F.col("span") < len(dates)).join(asked.select("app_id").distinct(), "app_id", "left_semi")
+        spans = spans.groupBy("app_id", "signal_name", "span").agg(F.max(F.struct(F.struct(*order).alias("o"), F.struct("value", "day").alias("x"))).alias("last"))
+        spans = spans.groupBy("app_id", "signal_name").agg(F.array_sort(F.collect_list(F.struct("span", "last"))).alias("spans"))  # one at most for each date
+        own = F.filter("spans", lambda s: s["span"] <= F.array_position(marks, F.col("t0")) - 1)
+        latest = asked.join(spans, "app_id").select("app_id", "t0", "signal_name", F.element_at(F.when(F.size(own) > 0, own), -1)["last"]["x"].alias("x")).where("x is not null")
     out = latest.select("app_id", "t0", "signal_name", F.col("x.value").alias("value"), F.col("x.day").alias("seen_day"))
     return out.where("value is not null") if null_policy == "missing" else out
 

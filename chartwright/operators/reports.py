@@ -79,6 +79,12 @@ def usage(calls: DataFrame, cap: float, prices: dict[str, tuple[float, float]],
     return out.withColumn("cost", F.round(cost, 6)).withColumn("share", F.round(F.col("cost") / cap, 6))
 
 
+def usage_total(by_model: DataFrame, cap: float) -> DataFrame:
+    """One row (models, calls, cost, cap, left, over) of usage() rows: what is left of the cap, and whether it's exceeded."""
+    out = by_model.agg(F.count("*").alias("models"), F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 6).alias("cost"))
+    return out.select("*", F.lit(float(cap)).alias("cap"), F.round(F.greatest(F.lit(0.0), cap - F.col("cost")), 6).alias("left"), (F.col("cost") > cap).alias("over"))
+
+
 def baseline_stats(values: DataFrame, grid: DataFrame, keys: list[str], value: str = "value", below: float = 5.0) -> DataFrame:
     """(*keys, n, mean, share_below) for every cell of the grid; a cell without values has n 0 and nulls."""
     v = F.col(value)

@@ -11,7 +11,7 @@ from chartwright.plans import registry as R
 from chartwright.plans.registry import query, sql
 from chartwright.sources import derived as D
 from chartwright.sources import files, scratch, sinks
-from chartwright.streaming import ingest
+from chartwright.streaming import ingest, judging
 
 
 def _text_files(lines, name: str) -> str:
@@ -317,6 +317,26 @@ def st3_judging(spark, sf_dir):
     return asked.select("app_id", F.lit("request").alias("how"), F.lit(None).cast("double").alias("score")).unionByName(known.select("app_id", "how", "score"))
 
 
+@query("""WITH r AS (SELECT c_custkey AS k, CAST(c_nationkey AS VARCHAR) AS run_id, c_custkey % 2 AS batch, c_custkey % 7 + 1 AS cost, c_custkey % 5 <> 0 AS has FROM customer),
+  s AS (SELECT *, COALESCE(SUM(CASE WHEN has THEN cost END) OVER (PARTITION BY run_id ORDER BY batch, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r),
+  o AS (SELECT *, CASE WHEN NOT has THEN 'known' WHEN before < 60 THEN 'ask' ELSE 'over' END AS outcome FROM s)
+  SELECT run_id, CAST(k AS VARCHAR) AS key, outcome, CASE WHEN outcome = 'known' THEN 10.0::DOUBLE END AS score FROM o
+  UNION ALL SELECT run_id, CAST(k AS VARCHAR), CASE WHEN outcome = 'ask' AND k % 12 <= 10 THEN 'answer' ELSE 'refused' END, CASE WHEN outcome = 'ask' AND k % 12 <= 10 THEN CAST(k % 12 AS DOUBLE) END FROM o WHERE batch = 0 AND outcome <> 'known' AND k % 3 > 0""")
+def st3_stream(spark, sf_dir):
+    """Requests land in two runs, with answers to the first ones in the second: the budget of each run goes on."""
+    k = F.col("c_custkey")
+    rows = D.table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").cast("string").alias("run_id"), F.lit("request").alias("kind"), k.cast("string").alias("key"), k.alias("request_no"), (k % 7 + 1).cast("double").alias("cost"), (k % 5 != 0).alias("has_metadata"),
+        F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("reasoning"), F.lit(None).cast("double").alias("confidence"), k.alias("k"),
+    )
+    said = rows.where("k % 2 = 0 and k % 3 > 0 and has_metadata").withColumns({"kind": F.lit("answer"), "score": (F.col("k") % 12).cast("double"), "reasoning": F.lit("said"), "confidence": F.lit(0.5)})
+    land, out, at = (scratch.new_folder(spark, n) for n in ("landing", "judged", "checkpoint"))
+    for part in (rows.where("k % 2 = 0"), rows.where("k % 2 = 1").unionByName(said).unionByName(said)):  # answers come twice
+        part.drop("k").write.mode("append").parquet(land)
+        judging.run_judging(spark.readStream.schema(judging.EVENT).parquet(land), 60.0, out, at)
+    return spark.read.parquet(out)
+
+
 @query("SELECT c_custkey AS app_id, CASE WHEN c_custkey % 4 = 0 AND c_custkey % 3 > 0 THEN 'said ' || c_custkey END AS response FROM customer")
 def st4_replay(spark, sf_dir):
     k = F.col("c_custkey")

@@ -204,6 +204,24 @@ def j7_as_of_keep(spark, sf_dir):
     return backtest.as_of(s.select("app_id", F.lit("2024-01-20").cast("date").alias("t0")), s, "keep")
 
 
+@query(sql(D.SIGNALS_SQL, """g AS (SELECT DISTINCT app_id, CAST(t0 AS DATE) AS t0 FROM signals, generate_series(DATE '2023-12-30', DATE '2024-02-03', INTERVAL 7 DAY) d(t0) WHERE app_id % 10 <> 0),
+  r AS (SELECT g.t0, s.*, ROW_NUMBER() OVER (PARTITION BY s.app_id, g.t0, signal_name ORDER BY day DESC, event_id DESC) AS k FROM g JOIN signals s ON s.app_id = g.app_id AND day <= g.t0)
+  SELECT app_id, t0, signal_name, value, day AS seen_day FROM r WHERE k = 1 AND value IS NOT NULL"""))
+def j7_as_of_grid(spark, sf_dir):
+    """Policy `missing` on six dates at once."""
+    s = D.signals(spark, sf_dir)
+    dates = F.explode(F.sequence(F.lit("2023-12-30").cast("date"), F.lit("2024-02-03").cast("date"), F.expr("interval 7 day"))).alias("t0")
+    return backtest.as_of(s.where("app_id % 10 <> 0").select("app_id").distinct().select("app_id", dates), s, "missing")
+
+
+@query(sql(D.CHARTS_SQL, f"""inside AS (SELECT *, CASE WHEN app_id % 2 = 0 THEN 'games' ELSE 'tools' END AS category FROM charts WHERE day BETWEEN DATE '{START}' AND DATE '{END}' AND rank <= 3 AND market IN ('ASIA', 'EUROPE'))
+  SELECT app_id, store, market, COUNT(DISTINCT day) AS tenure_days, MIN(rank) AS best_rank, CAST(COUNT(*) FILTER (day >= DATE '{END}' - 30) AS BIGINT) AS recent_rows FROM inside WHERE category = 'games' GROUP BY 1, 2, 3 HAVING COUNT(DISTINCT day) >= 3"""))
+def p1_window(spark, sf_dir):
+    """Durable apps of one category in two of the markets."""
+    rows = D.charts(spark, sf_dir).withColumn("category", F.when(F.col("app_id") % 2 == 0, "games").otherwise("tools"))
+    return shortlist.durability(rows, START, END, 30, 3, 3, "games", ["ASIA", "EUROPE"])
+
+
 @query(sql(D.SIGNALS_SQL, "SELECT app_id, DATE '2024-01-20' AS t0, COUNT(*) AS n_after FROM signals WHERE day > DATE '2024-01-20' GROUP BY 1"))
 def j10_leaks(spark, sf_dir):
     s = D.signals(spark, sf_dir)

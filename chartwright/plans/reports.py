@@ -145,6 +145,11 @@ def a32_usage(spark, sf_dir):
     return reports.usage(turns, 2.0, {"user": (3.0, 15.0), "assistant": (15.0, 75.0)})
 
 
+@query(f"""WITH u AS ({ORACLE_SQL['a32_usage']}) SELECT COUNT(*) AS models, CAST(SUM(calls) AS BIGINT) AS calls, ROUND(SUM(cost), 6) AS cost, 2.0::DOUBLE AS cap, ROUND(GREATEST(0.0, 2.0 - ROUND(SUM(cost), 6)), 6) AS left, ROUND(SUM(cost), 6) > 2.0 AS over FROM u""".replace(" AS left", ' AS "left"').replace(" AS over", ' AS "over"'))
+def a32_total(spark, sf_dir):
+    return reports.usage_total(a32_usage(spark, sf_dir), 2.0)
+
+
 @query(sql(D.SIGNALS_SQL, WIDE_SQL, """SELECT sha256(concat_ws('|', app_id, 'us')) AS id, app_id, 'us' AS market, purchase AS economics,
   '{"seen":' || app_id || ',"store":"' || CASE WHEN app_id % 2 = 0 THEN 'apple' ELSE 'googleplay' END || '"}' AS evidence_json FROM wide"""))
 def k11_opportunities(spark, sf_dir):

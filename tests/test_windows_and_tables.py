@@ -315,3 +315,47 @@ def test_documents_of_a_backtest(spark):
     assert "| f1 | 5 | 0.40 |" in r["c"]["text"] and r["c"]["text"].endswith("| f0 | 9, 8 |") and json.loads(r["d"]["json"])["picks"] == []
     got = {x["ranker"]: (x["n_cohorts"], x["mean"], x["lift"]) for x in reports.aggregate_precision(p, "f0").collect()}
     assert got == {"f0": (2, 0.1, 1.0), "f1": (1, 0.4, 4.0)}
+
+
+def test_judging_goes_on_after_a_restart(spark, tmp_path):
+    """Budget and standing outlive the query; an answer lands once, an invalid one or one nobody asked for is refused."""
+    from chartwright.streaming import judging
+
+    ask = lambda run, n, cost=1.0, meta=True: (run, "request", f"k{n}", n, cost, meta, None, None, None)
+    say = lambda run, n, score, why="because": (run, "answer", f"k{n}", None, None, None, score, why, 0.5)
+    land, out, cp = (str(tmp_path / n) for n in ("land", "out", "cp"))
+    runs = [
+        [ask("a", 2), ask("a", 1), ask("a", 3, meta=False), ask("b", 1, 5.0), ask("b", 2)],
+        [ask("a", 1), ask("a", 4), ask("a", 5), say("a", 1, 7.0), say("a", 1, 7.0), say("a", 2, 11.0), say("a", 9, 1.0), say("b", 1, 3.0, ""), say("a", 3, 2.0)],
+        [say("a", 1, 1.0), say("a", 2, 6.0), ask("b", 3)],
+    ]
+    for rows in runs:
+        spark.createDataFrame(rows, judging.EVENT).write.mode("append").parquet(land)
+        judging.run_judging(spark.readStream.schema(judging.EVENT).parquet(land), 3.0, out, cp)
+    got = sorted(((r["run_id"], r["key"], r["outcome"], r["score"]) for r in spark.read.parquet(out).collect()), key=str)
+    assert len(got) == 13 and sorted(g[:2] for g in got if g[2] == "refused") == [("a", "k2"), ("a", "k9"), ("b", "k1")] and [g for g in got if g[2] == "answer"] == [("a", "k1", "answer", 7.0), ("a", "k2", "answer", 6.0)]
+    assert [g[1] for g in got if g[:3:2] == ("a", "ask")] == ["k1", "k2", "k4"] and [g[:2] for g in got if g[2] == "over"] == [("a", "k5"), ("b", "k2"), ("b", "k3")]
+
+
+def test_latest_values_on_many_dates(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(4)), str(rng.choice(["x", "y"])), DAY + dt.timedelta(int(rng.integers(60))), i, None if rng.random() < 0.3 else float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "app_id long, signal_name string, day date, event_id long, value double")
+    asked = [(a, DAY + dt.timedelta(d)) for a in (0, 1, 9) for d in (-1, 0, 17, 59, 400)]
+    cohort = spark.createDataFrame(asked, "app_id long, t0 date")
+    for policy in ("skip", "keep", "missing"):
+        want = set()
+        for a, t0 in asked:
+            for name in ("x", "y"):
+                mine = [r for r in rows if r[0] == a and r[1] == name and r[2] <= t0 and (policy != "skip" or r[4] is not None)]
+                if mine:
+                    last = max(mine, key=lambda r: (r[2], r[3]))
+                    if policy != "missing" or last[4] is not None:
+                        want.add((a, t0, name, last[4], last[2]))
+        assert {tuple(r) for r in backtest.as_of(cohort, df, policy).collect()} == want, policy
+        limit, backtest.MOST_DATES = backtest.MOST_DATES, 2
+        try:
+            assert {tuple(r) for r in backtest.as_of(cohort, df, policy).collect()} == want, policy
+        finally:
+            backtest.MOST_DATES = limit
+    assert backtest.as_of(cohort.limit(0), df).count() == 0

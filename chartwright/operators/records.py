@@ -119,10 +119,12 @@ def latest_run(results: DataFrame, run: str, order: list[str]) -> DataFrame:
     return results.agg(F.max_by(run, F.struct(*order)).alias(run))
 
 
-def run_results(results: DataFrame, run_id, schema: str, order: list[str]) -> DataFrame:
-    """Rows of one run with `result`, their payload as a struct, and their place; payloads that can't be read are left out."""
+def run_results(results: DataFrame, run_id, schema: str, order: list[str], valid: str | Column | None = None) -> DataFrame:
+    """Rows of one run with `result`, their payload as a struct, and their place; payloads that can't be read are left out, and
+    those for which `valid`, a condition on result, isn't true."""
     rows = results.where(F.col("run_id") == run_id).withColumn("result", F.from_json("payload", schema, {"mode": "PERMISSIVE"}))
     read = rows.where(F.try_parse_json("payload").isNotNull() & F.col("result").isNotNull())
+    read = read if valid is None else read.where(valid)
     return read.withColumn("position", F.row_number().over(Window.partitionBy("run_id").orderBy(*order)).cast("long"))
 
 

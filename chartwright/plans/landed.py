@@ -228,23 +228,31 @@ def k2_replace(spark, sf_dir):
     return sinks.replace_rows(rows.where("app_id % 2 = 0").withColumn("publisher_id", F.lit(-1).cast("long")), path, path + "-new", ["app_id", "store"])
 
 
-@query(sql(*R.SHORT, """SELECT CAST(ROW_NUMBER() OVER (ORDER BY score DESC, app_id, store) AS VARCHAR) AS rank, printf('%.4f', CAST(score AS DOUBLE)) AS score, CAST(app_id AS VARCHAR) AS app_id, store, dna_class, tier AS clonability_tier,
-  array_to_string(markets, '|') AS markets_active, CASE WHEN has_subscription THEN '1' ELSE '0' END AS has_subscription_iap, printf('%.3f', LEAST(1.0, tenure_max / 365.0)::DOUBLE) AS score_tenure FROM scored ORDER BY score DESC, app_id, store LIMIT 200"""))
+def _third(x: str) -> str:
+    return f"CAST(CAST(ROUND(CAST({x} AS DECIMAL(18, 9)), 3) AS DECIMAL(18, 3)) AS VARCHAR)"
+
+
+@query(sql(*R.SHORT, f"""SELECT CAST(ROW_NUMBER() OVER (ORDER BY score DESC, app_id, store) AS VARCHAR) AS rank, printf('%.4f', CAST(score AS DOUBLE)) AS score, {_third('LEAST(1.0, tenure_max / 365.0)')} AS score_tenure, {_third('LEAST(1.0, len(markets) / 5.0)')} AS score_spread,
+  {_third('LEAST(1.0, recent_rows / 30.0)')} AS score_recency, {_third('GREATEST(0.0, 1 - best_rank / 100.0)')} AS score_rank, {_third('GREATEST(0.0, 1 - GREATEST(0, publisher_apps - 1) / 5.0)')} AS score_indie, CAST(app_id AS VARCHAR) AS app_id, store, dna_class, tier AS clonability_tier,
+  CAST(publisher_apps AS VARCHAR) AS publisher_app_count, array_to_string(markets, '|') AS markets_active, CAST(tenure_max AS VARCHAR) AS tenure_days_max, CAST(best_rank AS VARCHAR) AS best_rank, CAST(recent_rows AS VARCHAR) AS recent_30d_days, CASE WHEN has_subscription THEN '1' ELSE '0' END AS has_subscription_iap,
+  'A "' || app_id || '", of ' || store AS title, substr(replace(description, chr(13), ''), 1, 200) AS description_short, 'CLONE: a' || chr(10) || 'b' AS clonability_hypothesis FROM scored ORDER BY scored.score DESC, scored.app_id, scored.store LIMIT 200"""))
 def k4_shortlist_csv(spark, sf_dir):
-    rows = shortlist.top(shortlist.scored(R._staged(spark, sf_dir), 5), 200)
+    rows = shortlist.scored(R._staged(spark, sf_dir), 5).join(D.metadata(spark, sf_dir).select("app_id", "store", F.replace("description", F.lit("\r"), F.lit("")).alias("description")), ["app_id", "store"], "left")
+    rows = shortlist.top(rows, 200).withColumns({"title": F.concat(F.lit('A "'), F.col("app_id").cast("string"), F.lit('", of '), "store"), "hypothesis": F.lit("CLONE: a\nb")})
     folder = scratch.new_folder(spark, "artifact")
     sinks.write_shortlist(shortlist.csv_rows(rows), rows.select("app_id", "store", "score"), shortlist.funnel(R._staged(spark, sf_dir)), {"markets": 5}, folder)
-    back = spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(f"{folder}/shortlist_csv")
-    return back.select("rank", "score", "app_id", "store", "dna_class", "clonability_tier", "markets_active", "has_subscription_iap", "score_tenure")
+    back = spark.read.options(header=True, quote='"', escape='"', multiLine=True, lineSep="\n").csv(f"{folder}/shortlist_csv")
+    return back.drop("dna_subclass", "publisher_name", "iap_count", "icon_url", "subtitle")
 
 
 @query(sql(*R.SHORT, R.CHECKED_SQL, """ SELECT CAST(ROW_NUMBER() OVER (ORDER BY score DESC, app_id, store) AS VARCHAR) AS rank, CAST(app_id AS VARCHAR) AS app_id, store, printf('%.4f', CAST(score AS DOUBLE)) AS score, dna_class, array_to_string(markets, '|') AS markets_active,
+  CAST(tenure_max AS VARCHAR) AS tenure_days_max, CAST(best_rank AS VARCHAR) AS best_rank, CASE WHEN has_subscription THEN '1' ELSE '0' END AS has_subscription_iap, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS publisher_name, CAST(NULL AS VARCHAR) AS iap_count,
   overall AS risk_overall, s1 AS risk_markets_spread, s2 AS risk_tenure, s3 AS risk_subscription_iap, s4 AS risk_supported_markets, s5 AS risk_clonable_dna FROM risk ORDER BY risk.score DESC, risk.app_id, risk.store LIMIT 200"""))
 def k5_risk_csv(spark, sf_dir):
     path = scratch.new_folder(spark, "risk")
     sinks.write_csv(shortlist.risk_csv_rows(shortlist.top(R.checked_shortlist(spark, sf_dir), 200)), path)
     back = spark.read.options(header=True, quote='"', escape='"').csv(path)
-    return back.select("rank", "app_id", "store", "score", "dna_class", "markets_active", "risk_overall", *[f"risk_{n}" for n in shortlist.RISK_CHECKS])
+    return back
 
 
 @query(f"""SELECT ranker, string_agg(market || ' ' || store || ' ' || CAST(t0 AS VARCHAR) || ' @' || k || ' ' || printf('%.2f', precision), chr(10) ORDER BY market, store, t0, k) AS text FROM ({R.ORACLE_SQL['a17_precision']}) GROUP BY 1""")
@@ -345,7 +353,34 @@ def st4_replay(spark, sf_dir):
     return ingest.replayed(requests, answers, ["app_id"]).select("app_id", "response")
 
 
-@query(sql(D.CHARTS_SQL, "SELECT DISTINCT market, store, date_trunc('month', day)::DATE AS month FROM charts EXCEPT SELECT DISTINCT market, store, date_trunc('month', day)::DATE FROM charts WHERE app_id % 3 = 0"))
+@query(sql(D.CHARTS_SQL, "SELECT DISTINCT market, store, day FROM charts EXCEPT SELECT DISTINCT market, store, day FROM charts WHERE app_id % 3 = 0"))
 def st5_failed_slices(spark, sf_dir):
-    rows = D.charts(spark, sf_dir).select("market", "store", F.trunc("day", "month").alias("month"), "app_id")
-    return ingest.failed_slices(rows.select("market", "store", "month").distinct(), rows.where("app_id % 3 = 0"), ["market", "store", "month"])
+    """Chart days none of whose rows for every third app have landed."""
+    rows = D.charts(spark, sf_dir).select("market", "store", "day", "app_id")
+    return ingest.failed_slices(rows.select("market", "store", "day").distinct(), rows.where("app_id % 3 = 0"), ["market", "store", "day"])
+
+
+@query(sql(D.INVARIANTS_SQL, "SELECT app_id, store, publisher_id FROM inv"))
+def k3_reject(spark, sf_dir):
+    """Rows land in two parts; a part that brings a key again, or the same key twice, is refused as a whole."""
+    rows = scratch.stored(D.invariants(spark, sf_dir).select("app_id", "store", "publisher_id"), "invariants")
+    path, keys = scratch.new_folder(spark, "strict"), ["app_id", "store"]
+    sinks.append_or_reject(rows.where("app_id % 2 = 0"), path, keys)
+    odd = rows.where("app_id % 2 = 1")
+    for part in (rows, odd.unionByName(odd)):
+        try:
+            sinks.append_or_reject(part, path, keys)
+            raise AssertionError("a repeated key was taken")
+        except ValueError:
+            pass
+    sinks.append_or_reject(odd, path, keys)
+    return spark.read.parquet(path)
+
+
+@query(sql(*R.SHORT, R.CHECKED_SQL, """ SELECT app_id, store, overall, s1 AS markets_spread FROM risk WHERE (app_id, store) IN (SELECT (app_id, store) FROM scored ORDER BY app_id, store LIMIT 1)"""))
+def f4_candidate(spark, sf_dir):
+    """The risk of one candidate by its reference, here that of the first one."""
+    rows = scratch.stored(shortlist.scored(R._staged(spark, sf_dir), 5), "candidates")
+    first = rows.orderBy("app_id", "store").select(F.concat_ws(":", F.col("app_id").cast("string"), "store").alias("ref")).first()
+    app_id, store = shortlist.parse_candidate_ref(first["ref"])
+    return shortlist.evaluate_candidate(rows, int(app_id), store, R.RISK).select("app_id", "store", "overall", shortlist.check_status("markets_spread").alias("markets_spread"))

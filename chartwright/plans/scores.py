@@ -389,9 +389,10 @@ def t6_latest_run(spark, sf_dir):
     return K.latest_run(_stored_results(spark, sf_dir), "run_id", ["turn", "conv_id"])
 
 
-@query("SELECT conv_id, turn, CAST(length(text) % 11 AS DOUBLE) AS score, role AS kind, ROW_NUMBER() OVER (ORDER BY turn, conv_id) AS position FROM conversations WHERE conv_id % 5 = 2 AND turn % 4 <> 3")
+@query("SELECT conv_id, turn, CAST(length(text) % 11 AS DOUBLE) AS score, role AS kind, ROW_NUMBER() OVER (ORDER BY turn, conv_id) AS position FROM conversations WHERE conv_id % 5 = 2 AND turn % 4 <> 3 AND length(text) % 11 <= 8 AND role IN ('user', 'assistant')")
 def s19_results(spark, sf_dir):
-    rows = K.run_results(_stored_results(spark, sf_dir), 2, "struct<score: double, kind: string>", ["turn", "conv_id"])
+    """Stored results that can be read and keep the rules: a score of at most 8 by one of two kinds of judges."""
+    rows = K.run_results(_stored_results(spark, sf_dir), 2, "struct<score: double, kind: string>", ["turn", "conv_id"], "result.score between 0 and 8 and result.kind in ('user', 'assistant')")
     return rows.select("conv_id", "turn", "result.score", "result.kind", "position")
 
 

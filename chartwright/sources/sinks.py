@@ -128,7 +128,7 @@ def append_or_reject(new: DataFrame, path: str, keys: list[str]) -> None:
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    df.write.options(header=True, quote='"', escape='"', sep=sep, nullValue="", emptyValue="").csv(path)
+    df.write.options(header=True, quote='"', escape='"', sep=sep, nullValue="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def report_text(rows: DataFrame, keys: list[str], order: list[str], line: str) -> DataFrame:

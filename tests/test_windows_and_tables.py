@@ -359,3 +359,8 @@ def test_latest_values_on_many_dates(spark):
         finally:
             backtest.MOST_DATES = limit
     assert backtest.as_of(cohort.limit(0), df).count() == 0
+
+
+def test_csv_keeps_blanks_at_the_ends(spark, tmp_path):
+    sinks.write_csv(spark.createDataFrame([(" a, b ", "x")], "p string, q string").coalesce(1), str(tmp_path / "c"))
+    assert spark.read.options(header=True, quote='"', escape='"').csv(str(tmp_path / "c")).first()["p"] == " a, b "

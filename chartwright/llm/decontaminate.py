@@ -9,11 +9,17 @@ fewer, one has at most its own number of pieces less one, so a chance hit fails
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartwright.llm.common import materialize
+
 #: Characters of benchmark text searched for in one pass over the documents; more text takes more passes.
 BLOCK_CHARS = 4_000_000
+#: Copies of an item listed at a time.
+STEP = 10_000
 
 
 def normal(text: str | None) -> str:
@@ -80,7 +86,7 @@ def widening_spans(cuts: list[int]) -> list[list[tuple[int, int, int]]]:
 class Matcher:
     """Finds the items in normalised documents; made in each task from a broadcast block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[object, str]], rate: float):
         import ahocorasick
 
         self.items, where = [], {}
@@ -99,7 +105,7 @@ class Matcher:
         if where:
             self.automaton.make_automaton()
 
-    def find(self, raw: str | None) -> list[tuple[int, int, int]]:
+    def find(self, raw: str | None) -> list[tuple[object, int, int]]:
         """[(item_id, least distance, where in the normalised document that passage ends)]."""
         text = normal(raw)
         if not text or not self.items:
@@ -136,10 +142,36 @@ class Matcher:
         return got
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, int]:
+def _items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
+    """(item_id, text, copies) of each item that can match, written out; (key, text, block) of each of their texts; blocks.
+
+    Repeated items are counted, not repeated, and null, empty and blank ones are gone before anything is collected. Texts
+    are dealt by the running sum of their lengths in the order of their keys, so a block holds BLOCK_CHARS characters
+    and one text at most.
+    """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    chars = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    return items, max(1, -(-chars // BLOCK_CHARS))
+    items = items.where(F.col("text").rlike(r"\S")).withColumn("key", F.sha2("text", 256)).groupBy("item_id", "key", "text").agg(F.count("*").alias("copies"))
+    items = materialize(items, "items")
+    texts = items.select("key", F.col("text")).groupBy("key").agg(F.min("text").alias("text")).withColumn("group", F.substring("key", 1, 2))
+    sizes = texts.select("key", "group", F.length("text").cast("long").alias("size"))
+    # 256 groups by the first digits of the keys: sums of groups, then within each
+    groups = sizes.groupBy("group").agg(F.sum("size").alias("n")).select("group", (F.sum("n").over(Window.orderBy("group")) - F.col("n")).alias("base"))
+    before = F.sum("size").over(Window.partitionBy("group").orderBy("key")) - F.col("size")
+    placed = sizes.withColumn("before", before).join(F.broadcast(groups), "group").select("key", F.floor((F.col("base") + F.col("before")) / BLOCK_CHARS).alias("block"))
+    dealt = materialize(texts.select("key", "text").join(placed, "key"), "texts")
+    return items, dealt, int(dealt.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0]) + 1
+
+
+def _matcher(shared, rate: float) -> Matcher:
+    """The automaton of a broadcast block of texts, made once in a worker while it works on that block."""
+    key = shared.value[0], rate
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Matcher(shared.value[1], rate)
+    return _BUILT[key]
+
+
+_BUILT: dict = {}
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,28 +179,36 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1,
 
     distance is the least over the text, `end` the first place in the normalised text where it is reached.
     Case and amounts of white space don't count. Null and empty texts match nothing, nor do empty items;
-    repeated rows and repeated items are reported each. The benchmark is read in blocks of about BLOCK_CHARS
-    characters, one broadcast and one pass over the documents each, so what is sent is bounded.
+    repeated rows and repeated items are reported each. The benchmark's distinct texts are read in blocks of about
+    BLOCK_CHARS characters, one broadcast and one pass over the documents each, so what is sent is bounded.
     """
-    items, blocks = _blocks(benchmark, "item_id", "text")
+    spark = docs.sparkSession
+    items, texts, blocks = _items(benchmark)
     out = None
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        matcher = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.collect()])
+        held = texts.where(F.col("block") == k).select("key", "text").orderBy("key").collect()
+        matcher = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r["key"], r["text"]) for r in held]))
 
         def run(batches, matcher=matcher):
             import pyarrow as pa
 
-            found = Matcher(matcher.value, rate)
+            found = _matcher(matcher, rate)
             for batch in batches:
                 rows = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in found.find(t.as_py())]
                 cols = zip(*rows, strict=True) if rows else [[]] * 4
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "distance", "end"])
+                types = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "key", "distance", "end"])
 
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        pairs = rows.mapInArrow(run, "doc_id long, item_id long, distance long, end long")
+        pairs = rows.mapInArrow(run, "doc_id long, key string, distance long, end long")
         out = pairs if out is None else out.unionByName(pairs)
-    return out
+    schema = "doc_id long, item_id long, distance long, end long"
+    if out is None:
+        return spark.createDataFrame([], schema)
+    each = out.join(items.select("key", "item_id", "copies"), "key")
+    each = each.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / STEP))).alias("part"))
+    each = each.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(STEP).cast("long"), F.col("copies") - F.col("part") * STEP))))
+    return each.select("doc_id", "item_id", "distance", "end")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, text_col: str = "text") -> DataFrame:
@@ -178,13 +218,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1,
     """
     import pandas as pd
 
-    items, blocks = _blocks(benchmark, "item_id", "text")
+    _, dealt, blocks = _items(benchmark)
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        matcher = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.collect()])
+        held = dealt.where(F.col("block") == k).select("text").orderBy("key").collect()
+        matcher = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(i, r["text"]) for i, r in enumerate(held)]))
 
         def clean(batches, matcher=matcher):
-            found = Matcher(matcher.value, rate)
+            found = _matcher(matcher, rate)
             for texts in batches:
                 yield pd.Series([not found.find(t) for t in texts], dtype=bool)
 

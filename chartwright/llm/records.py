@@ -58,14 +58,15 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str | None = None, e
     """Encode every text of (doc_id, text) and write its ids, files in ascending doc_id order. -> (folder, manifest).
 
     manifest: (shard, path, n_records, n_tokens). Null texts count as empty; null ids come first; rows that
-    repeat an id lie together, ordered by their text's hash, so that one id may fill several files. A task writes under a name of its own attempt and renames at
+    repeat an id lie together, ordered by their text's hash and their place in the input, so that one id, and even one
+    row however often it is there, may fill several files. A task writes under a name of its own attempt and renames at
     the end, so that a repeated or speculative attempt leaves the same file. Range partitions hold ids of
     one range each, and texts are encoded after the shuffle, once.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "records")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
-    rows = rows.repartitionByRange(files or partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("n"))
+    rows = rows.repartitionByRange(files or partitions(spark), "doc_id", "h", "n").sortWithinPartitions("doc_id", "h", "n")
 
     def run(batches):
         import pyarrow as pa

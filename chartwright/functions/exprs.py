@@ -112,8 +112,9 @@ def detected_language(text: Column) -> Column:
         return lambda w: w.isin(*words)
 
     by_words = winner(_once(hits, lambda h: F.array(*[F.struct(F.size(F.filter(h, one_of(v))).alias("n"), F.lit(k).alias("lang")) for k, v in listed.items()])))
-    by_script = reduce(lambda acc, s: F.when(text.rlike(s[1]), s[0]).otherwise(acc), reversed(fixed.SCRIPTS), by_words)
-    return F.when(F.length(F.trim(text)) > 0, by_script)
+    any_script = "[" + "".join(pattern[1:-1] for _, pattern in fixed.SCRIPTS) + "]"  # one look at a text that has none of them
+    by_script = reduce(lambda acc, s: F.when(text.rlike(s[1]), s[0]).otherwise(acc), reversed(fixed.SCRIPTS), F.lit(None).cast("string"))
+    return F.when(F.length(F.trim(text)) > 0, F.when(text.rlike(any_script), by_script).otherwise(by_words))
 
 
 def expected_language(market: Column) -> Column:

@@ -4,10 +4,15 @@ A document's fingerprint is the bitwise majority of the XXH64 values of its word
 cut into three segments of 22, 21 and 21 bits. Four differing bits or fewer put at most one into one of the
 first two segments or none into the third, so it's enough to look up, segment by segment, the keys within
 distance one, one and zero. Of two keys one bit apart, the one with the lower bit value asks for the other.
+
+A key that very many fingerprints share is looked up further by the other bits, cut into five parts, one of
+which two linked fingerprints share; what still meets in great number is compared as pairs of blocks.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,18 +25,27 @@ SEGMENTS = ((42, 22, 1), (21, 21, 1), (0, 21, 0))
 THRESHOLD = 4
 #: Up to this many rows of a key are compared by shifting the whole batch; larger ones are walked.
 SMALL = 12
+#: Rows of a key compared in one piece, about; more are looked up by parts of the other bits, then as pairs of blocks.
+MOST = 1 << 15
+#: Bytes of a text cut into words at a time.
+SLICE = 1 << 22
+BLANK = re.compile(rb"[\t-\r ]")
 
 
-def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
-    """The 64-bit SimHash of a UTF-8 text: A-Z lower-cased, words between ASCII white space, shingles of `width`.
+def _slices(text: bytes):
+    """A text in slices of about SLICE bytes, cut at white space."""
+    at = 0
+    while at < len(text):
+        blank = BLANK.search(text, at + SLICE) if at + SLICE < len(text) else None
+        to = blank.start() if blank else len(text)
+        yield text[at:to]
+        at = to
 
-    Fewer words than `width` make one shingle; no word gives zero. Repeated shingles count each time.
-    """
+
+def _ones(words: list[bytes], width: int, seed: int) -> np.ndarray:
+    """How many shingles of `width` words (all words, if fewer) have each bit set."""
     from xxhash import xxh64_digest
 
-    words = text.lower().split()
-    if not words:
-        return 0
     joined, n = b" ".join(words), max(1, len(words) - width + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     begins = (ends[:n] - [len(w) + 1 for w in words[:n]]).tolist()
@@ -40,6 +54,24 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     for at in range(0, n, 1 << 15):
         digests = b"".join([xxh64_digest(joined[a:b], seed) for a, b in zip(begins[at : at + (1 << 15)], stops[at : at + (1 << 15)], strict=True)])
         ones += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
+    """The 64-bit SimHash of a UTF-8 text: A-Z lower-cased, words between ASCII white space, shingles of `width`.
+
+    Fewer words than `width` make one shingle; no word gives zero. Repeated shingles count each time. A long
+    text is taken slice by slice, with the last words of one before those of the next.
+    """
+    ones, n, words = np.zeros(64, np.int64), 0, []
+    for part in _slices(text):
+        words += part.lower().split()
+        if len(words) >= width:
+            ones += _ones(words, width, seed)
+            n += len(words) - width + 1
+            words = words[len(words) - width + 1 :]
+    if not n and words:
+        ones, n = _ones(words, width, seed), 1
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
@@ -88,24 +120,65 @@ def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def near_links(distinct: DataFrame) -> DataFrame:
+def _group(tag: int, own):
+    """The number of a segment's key, below 2 ** 24; of arrays too."""
+    return own | tag << 22
+
+
+def _crowded(distinct: DataFrame, most: int) -> np.ndarray:
+    """A bit for each group of _group(), packed: whether more than `most` rows may ask for it.
+
+    A group of a ball of k keys holds more only where one of its keys has more than most / k rows. Keys have 22
+    bits at most, so both what is collected and the result, 2 MB, are bounded whatever the table's size.
+    """
+    owns = [F.shiftrightunsigned("fp", low).bitwiseAND((1 << width) - 1).bitwiseOR(tag << 22) for tag, (low, width, _) in enumerate(SEGMENTS)]
+    bound = F.element_at(F.array(*[F.lit(most // (1 + radius * width)) for _, width, radius in SEGMENTS]), (F.shiftright("own", 22) + 1).cast("int"))
+    found = distinct.select(F.explode(F.array(*owns)).alias("own")).groupBy("own").count().where(F.col("count") > bound)
+    own = found.select("own").toArrow().column(0).to_numpy()
+    marks = np.zeros(len(SEGMENTS) << 22, bool)
+    marks[own] = True
+    for tag, (_, width, radius) in enumerate(SEGMENTS):
+        for bit in range(width * radius):
+            marks[own[own >> 22 == tag] | 1 << bit] = True
+    return np.packbits(marks)
+
+
+def near_links(distinct: DataFrame, most: int = MOST) -> DataFrame:
     """(fp, rep) with distinct fps -> (a, b) pairs of reps that connect all fingerprints within THRESHOLD bits.
 
-    Not all pairs of a dense group are returned, only links that connect it.
+    Not all pairs of a dense group are returned, only links that connect it. No group of more than about `most`
+    rows is compared in one task, whatever the bits that fingerprints share.
     """
+    spark = distinct.sparkSession
+    crowded = _crowded(distinct, most)
+    shared, any_crowded = spark.sparkContext.broadcast(crowded), bool(crowded.any())
 
     def probe(batches):
         import pyarrow as pa
 
+        def table(*columns):
+            return pa.record_batch([pa.array(x) for x in columns], names=["key", "fp", "rep"])
+
+        full = np.unpackbits(shared.value).view(bool) if any_crowded else None
         for batch in batches:
             fp, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             bits = fp.view(np.uint64)
             for tag, (low, width, radius) in enumerate(SEGMENTS):
-                own = (bits >> np.uint64(low)) & np.uint64((1 << width) - 1)
+                own = ((bits >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)
+                others = (bits >> np.uint64((low + width) % 64)) | (bits << np.uint64((64 - low - width) % 64))  # turned to the low end
                 for bit in [None, *range(width)][: 1 + radius * width]:
-                    ask = np.ones(len(own), bool) if bit is None else (own >> np.uint64(bit)) & np.uint64(1) == 0
-                    key = (own[ask] | np.uint64(0 if bit is None else 1 << bit)).astype(np.int64) + (tag << 32)
-                    yield pa.record_batch([pa.array(key), pa.array(fp[ask]), pa.array(rep[ask])], names=["key", "fp", "rep"])
+                    ask = np.arange(len(own)) if bit is None else np.flatnonzero((own >> bit) & 1 == 0)
+                    key = _group(tag, own[ask] | (0 if bit is None else 1 << bit))
+                    over = full[key] if any_crowded else None
+                    if not any_crowded or not over.any():
+                        yield table(key, fp[ask], rep[ask])
+                        continue
+                    yield table(key[~over], fp[ask[~over]], rep[ask[~over]])
+                    key, ask = key[over], ask[over]
+                    for part in range(THRESHOLD + 1):
+                        at, to = ((64 - width) * x // (THRESHOLD + 1) for x in (part, part + 1))
+                        value = ((others[ask] >> np.uint64(at)) & np.uint64((1 << (to - at)) - 1)).astype(np.int64)
+                        yield table(key | (part + 1) << 24 | value << 27, fp[ask], rep[ask])
 
     def compare(batches):
         import pyarrow as pa
@@ -125,9 +198,28 @@ def near_links(distinct: DataFrame) -> DataFrame:
         if len(kept[0]):
             yield links(kept)
 
-    n = partitions(distinct.sparkSession)
+    def met(keyed):
+        return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
+
+    n = partitions(spark)
     keyed = distinct.select("fp", "rep").repartition(n).mapInArrow(probe, "key long, fp long, rep long")
-    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
+    if not any_crowded:
+        return met(keyed)
+    finer = materialize(keyed.where(F.col("key") >= 1 << 24), "finer")
+    links = materialize(met(keyed.where(F.col("key") < 1 << 24).union(_in_blocks(finer, most))), "links")
+    discard(finer)
+    return links
+
+
+def _in_blocks(keyed: DataFrame, most: int) -> DataFrame:
+    """(key, fp, rep) with the rows of a key that more than `most` have dealt into blocks, and a key for each two
+    blocks, so that any two rows still meet. Two keys that get one number only share a comparison."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.ceil(2 * F.count("*") / most).cast("int").alias("blocks")).where(F.col("n") > most)
+    rows = join_by_size(keyed, sizes, "key", "n", keyed.count())
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    dealt = rows.where("blocks is not null").select("key", "fp", "rep", block.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    pairs = dealt.where("i <> j").select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).bitwiseOR(-(1 << 63)).alias("key"), "fp", "rep")
+    return rows.where("blocks is null").select("key", "fp", "rep").union(pairs)
 
 
 def _classes(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:

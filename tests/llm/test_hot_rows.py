@@ -2,10 +2,11 @@
 
 import itertools
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from chartwright.llm import decontaminate, records
+from chartwright.llm import decontaminate, graph, records, simhash
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -45,3 +46,45 @@ def test_one_row_however_often_fills_several_files(spark):
     back = records.read_records(spark, manifest).select("doc_id", "start", F.expr("length(ids) / 4").cast("long").alias("n")).orderBy("start").collect()
     assert [r["start"] for r in back] == [0, *[sum_ for sum_ in itertools.accumulate(r["n"] for r in back)][:-1]]
     assert [r["doc_id"] for r in back[-3:]] == [0, 1, 1]
+
+
+def test_crowded_simhash_keys_lose_no_link(spark):
+    rng = np.random.default_rng(11)
+    fps = [int(x) for x in rng.integers(0, 1 << 64, 700, dtype=np.uint64)]
+    fps += [(0x2ABCD << 42) | int(x) for x in rng.integers(0, 1 << 42, 700, dtype=np.uint64)]  # a third share a segment
+    fps += [(0x155555 << 21) | (int(h) << 42) | int(x) for h, x in zip(rng.integers(0, 4, 500), rng.integers(0, 1 << 12, 500), strict=True)]  # parts too
+    for base in fps[::7]:
+        fps.append(base ^ sum(1 << int(b) for b in rng.choice(64, 4, replace=False)))  # at the limit
+        fps.append(base ^ sum(1 << int(b) for b in rng.choice(64, 5, replace=False)))  # beyond it
+    bits = np.array(sorted(set(fps)), np.uint64)
+    near = np.bitwise_count(bits[:, None] ^ bits[None]) <= 4
+    want = np.arange(len(bits))
+    while True:
+        low = np.where(near, want[None], len(bits)).min(axis=1)
+        if (low == want).all():
+            break
+        want = low
+    rows = spark.createDataFrame([(int(x), i) for i, x in enumerate(bits.view(np.int64))], "fp long, rep long")
+    for most in (40, 1 << 15):
+        assert simhash._crowded(rows, most).any() == (most == 40)
+        links = simhash.near_links(rows, most).collect()
+        assert all(near[r["a"], r["b"]] for r in links)
+        pairs = np.array([(r["a"], r["b"]) for r in links])
+        root = graph.union_roots(np.arange(len(bits)), pairs[:, 0], pairs[:, 1])
+        assert (root == want).all()
+    finer = spark.range(1000).select(F.lit(1 << 24).alias("key"), F.col("id").alias("fp"), F.col("id").alias("rep"))
+    dealt = simhash._in_blocks(finer, 40).groupBy("key").agg(F.count("*").alias("n"), F.collect_set("fp").alias("fps")).collect()
+    assert len(dealt) > 100 and max(r["n"] for r in dealt) < 100
+    assert len({(a, b) for r in dealt for a in r["fps"] for b in r["fps"]}) == 1_000_000
+
+
+def test_long_texts_keep_their_fingerprint(monkeypatch):
+    rng = np.random.default_rng(5)
+    for width in (1, 4, 5):
+        for n in (0, 1, 3, 4, 50, 400):
+            text = b"".join(bytes(rng.choice(list(b"aBc"), rng.integers(1, 9)).tolist()) + bytes(rng.choice(list(b" \t\n\x0b"), rng.integers(1, 3)).tolist()) for _ in range(n))
+            monkeypatch.setattr(simhash, "SLICE", 1 << 22)
+            whole = simhash.fingerprint(text, width)
+            for size in (1, 7, 30):
+                monkeypatch.setattr(simhash, "SLICE", size)
+                assert simhash.fingerprint(text, width) == whole

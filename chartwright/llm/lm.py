@@ -13,6 +13,7 @@ by how often they met it. Shards and rounds depend on the data alone, not on how
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +25,10 @@ from chartwright.llm.common import materialize, partitions
 
 #: The end of a text; no word has a blank.
 END = " "
+#: A longer word, in bytes, goes by a blank and its SHA-256, so that what is counted and broadcast is bounded in bytes.
+LONGEST = 256
+#: Units scored in one piece, about; a longer text goes on from its last units.
+PIECE = 250_000
 #: Distinct words kept before a task hands its partial counts on.
 PARTIAL = 400_000
 #: Bytes of text cut into words at a time; a longer text is cut alone.
@@ -38,10 +43,15 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
+def long_word(word: bytes) -> bytes:
+    """What a word of more than LONGEST bytes is counted as; no other word starts with a blank."""
+    return b" " + hashlib.sha256(word).hexdigest().encode()
+
+
 def text_words(texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, object]]:
     """(first text, number of texts, each word's text, each word's place in names, names) of slices of an Arrow array.
 
-    Words lie between ASCII white space, A-Z lower-cased; null texts have none.
+    Words lie between ASCII white space, A-Z lower-cased, long ones as long_word(); null texts have none.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -57,7 +67,10 @@ def text_words(texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, object
         some = pc.greater(pc.binary_length(flat), 0)
         coded = flat.filter(some).dictionary_encode()
         text = np.repeat(np.arange(to - at), sizes)[some.to_numpy(zero_copy_only=False)]
-        yield at, to - at, text, coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        words = coded.dictionary
+        if (pc.max(pc.binary_length(words)).as_py() or 0) > LONGEST:
+            words = pa.array([w if len(w) <= LONGEST else long_word(w) for w in words.cast(pa.large_binary()).to_pylist()], pa.large_binary()).cast(pa.large_string())
+        yield at, to - at, text, coded.indices.to_numpy().astype(np.int64), words
         at = to
 
 
@@ -146,6 +159,23 @@ class LogBilinear:
         padded = np.concatenate((np.ones(self.context, np.int64), units))
         return np.stack([padded[self.context - 1 - i : len(padded) - 1 - i] for i in range(self.context)])
 
+    def pieces(self, texts: list[np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(contexts, units, text of each unit) of whole texts, `most` units at a time and a text's more; a text of
+        more than `most` is cut, and its pieces know the units before them."""
+        held: list[tuple] = []
+        size = 0
+        for i, text in enumerate(texts):
+            for at in range(0, len(text), most):
+                before = min(at, self.context)
+                units = text[at - before : at + most].astype(np.int64)
+                held.append((self.contexts(units)[:, before:], units[before:], np.full(len(units) - before, i)))
+                size += len(units) - before
+                if size >= most:
+                    yield tuple(np.concatenate(x, axis=-1) for x in zip(*held, strict=True))
+                    held, size = [], 0
+        if held:
+            yield tuple(np.concatenate(x, axis=-1) for x in zip(*held, strict=True))
+
     def predict(self, contexts: np.ndarray) -> np.ndarray:
         """Predicted vectors, with a last column of ones for the bias."""
         word, mix = self.params["word"], self.params["mix"]
@@ -264,8 +294,8 @@ def _learning_round(texts: DataFrame, model: LogBilinear, shards: int, seed: int
         own, now, held, size = None, None, [], 0
 
         def learn():
-            units = [np.frombuffer(x, "<u2").astype(np.int64) for x in held]
-            own.learn(np.concatenate([own.contexts(u) for u in units], axis=1), np.concatenate(units), seed=hash((seed, now)) % (1 << 32))
+            for contexts, units, _ in own.pieces([np.frombuffer(x, "<u2") for x in held], 1 << 19):
+                own.learn(contexts, units, seed=hash((seed, now)) % (1 << 32))
 
         def done():
             if held:
@@ -386,15 +416,9 @@ def fit_and_score(docs: DataFrame, vocabulary: int = 8192, head: int = 150_000,
 
         model, natural = fitted.value, np.log(10)
         for batch in batches:
-            n = batch.num_rows
-            tokens = np.cumsum(batch.column(3).to_numpy())
-            out, at = np.zeros(n), 0
-            while at < n:
-                to = max(at + 1, int(np.searchsorted(tokens, (tokens[at - 1] if at else 0) + 250_000, side="right")))
-                units = [np.frombuffer(x.as_buffer(), "<u2").astype(np.int64) for x in batch.column(7).slice(at, to - at)]
-                log10 = model.log_probs(np.concatenate([model.contexts(u) for u in units], axis=1), np.concatenate(units)) / natural
-                out[at:to] = np.add.reduceat(log10, np.cumsum([0, *map(len, units)])[:-1])
-                at = to
+            out = np.zeros(batch.num_rows)
+            for contexts, units, text in model.pieces([np.frombuffer(x.as_buffer(), "<u2") for x in batch.column(7)], PIECE):
+                out += np.bincount(text, weights=model.log_probs(contexts, units) / natural, minlength=len(out))
             yield pa.record_batch([*(batch.column(i) for i in range(6)), pa.array(out + batch.column(6).to_numpy())], names=[*names[:6], "score"])
 
     scored = parts.where("word is null").select(*names[:8]).mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")

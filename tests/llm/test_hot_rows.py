@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from chartwright.llm import decontaminate, graph, records, simhash
+from chartwright.llm import decontaminate, graph, lm, records, simhash
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -88,3 +88,32 @@ def test_long_texts_keep_their_fingerprint(monkeypatch):
             for size in (1, 7, 30):
                 monkeypatch.setattr(simhash, "SLICE", size)
                 assert simhash.fingerprint(text, width) == whole
+
+
+def test_pieces_of_long_texts_know_what_is_before_them():
+    rng = np.random.default_rng(2)
+    model = lm.LogBilinear(3.0, 2.0, np.arange(60, 0, -1.0), size=8, alone=8)
+    texts = [rng.integers(0, 62, n).astype("<u2") for n in (1, 90, 3, 1, 41, 7)]
+    want = np.concatenate([model.contexts(t.astype(np.int64)) for t in texts], axis=1)
+    for most in (1, 3, 10, 1000):
+        got = list(model.pieces(texts, most))
+        assert np.array_equal(np.concatenate([c for c, _, _ in got], axis=1), want)
+        assert np.array_equal(np.concatenate([u for _, u, _ in got]), np.concatenate(texts))
+        assert np.array_equal(np.concatenate([i for _, _, i in got]), np.repeat(np.arange(6), [len(t) for t in texts]))
+        assert max(len(u) for _, u, _ in got) < most + 90
+    assert list(model.pieces([], 5)) == []
+
+
+def test_long_words_are_counted_by_their_digest(spark):
+    word = "Ab" * 200_000
+    texts = [f"x {word}", f"{word} y {word}", word.lower(), f"{word}c", None, "x y"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = {r["word"]: (r["c"], r["seen"]) for r in lm.word_counts(docs).collect()}
+    assert max(len(w) for w in counts) <= lm.LONGEST and len(counts) == 5
+    assert counts[lm.long_word(word.lower().encode()).decode()] == (4 - sum((1, 2, 1)[i] for i in range(3) if lm.is_held_out(i)), 4)
+    train = [w for i, t in enumerate(texts) if not lm.is_held_out(i) for w in [*(t or "").lower().split(), " "]]
+    norm = np.log10(len(train) + 0.5 * (len(set(train)) + 1))
+    for r in lm.fit_and_score(docs, vocabulary=2, head=2).collect():
+        words = [*(texts[r["doc_id"]] or "").lower().split(), " "]
+        assert abs(r["base_score"] - sum(np.log10(train.count(w) + 0.5) - norm for w in words)) < 1e-9
+        assert r["n_tokens"] == len(words) and r["n_known"] == sum(w in train for w in words)

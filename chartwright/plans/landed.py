@@ -382,5 +382,7 @@ def f4_candidate(spark, sf_dir):
     """The risk of one candidate by its reference, here that of the first one."""
     rows = scratch.stored(shortlist.scored(R._staged(spark, sf_dir), 5), "candidates")
     first = rows.orderBy("app_id", "store").select(F.concat_ws(":", F.col("app_id").cast("string"), "store").alias("ref")).first()
+    if first is None:  # a shortlist without candidates
+        return shortlist.evaluate_shortlist(rows, R.RISK).select("app_id", "store", "overall", shortlist.check_status("markets_spread").alias("markets_spread"))
     app_id, store = shortlist.parse_candidate_ref(first["ref"])
     return shortlist.evaluate_candidate(rows, int(app_id), store, R.RISK).select("app_id", "store", "overall", shortlist.check_status("markets_spread").alias("markets_spread"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chartwright.operators.backtest import lift
 
 from chartwright.functions.exprs import fill_template, finite
+from chartwright.sources import scratch
 
 # Bands of cited estimates and their scores; dollars of a million tokens in and out of a model with no price.
 BANDS = {"low": 2.0, "mid": 5.0, "high": 8.0}
@@ -178,13 +179,20 @@ def compare_judges(results: DataFrame, keys: list[str], order: list[str]) -> tup
     return pairs, counts
 
 
-def divergence_lines(pairs: DataFrame, keys: list[str], n: int = 1000) -> DataFrame:
-    """(position, line): a table row for each of the n pairs that are furthest apart, ties by key."""
+def divergence_lines(pairs: DataFrame, keys: list[str], n: int | None = 1000) -> DataFrame:
+    """(position, line): a table row for each of the n pairs that are furthest apart, ties by key; n None: of all pairs.
+
+    All pairs are sorted over the tasks and written out, and each task's rows are counted on from those of the tasks before.
+    """
     order = [F.desc("divergence"), *keys]
-    pairs = pairs.orderBy(*order).limit(n)
     cells = [F.col(k).cast("string") for k in keys] + [F.format_string("%.1f", c) for c in ("text_score", "vision_score", "divergence")]
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
-    return pairs.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"), line.alias("line"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")
+    if n is not None:
+        return pairs.orderBy(*order).limit(n).select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"), line)
+    sorted_ = scratch.stored(pairs.orderBy(*order).select(F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("nth"), line), "divergence")
+    first = sorted_.groupBy("task").agg(F.min("nth").alias("first"), F.count("*").alias("rows"))
+    first = first.select("task", (F.sum("rows").over(Window.orderBy("task")) - F.col("rows") - F.col("first")).alias("before"))  # a row for each task
+    return sorted_.join(F.broadcast(first), "task").select((F.col("nth") + F.col("before") + 1).alias("position"), "line")
 
 
 def baseline_lines(stats: DataFrame, keys: list[str], tier: Column) -> DataFrame:

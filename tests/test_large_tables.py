@@ -27,3 +27,15 @@ def test_a_shortlist_without_candidates_has_none_to_evaluate(spark, tmp_path):
     folder = _tables(spark, tmp_path, {"lineitem": lambda t: t.where("l_orderkey < 0")})
     out = entry.queries()["f4_candidate"](spark, folder)
     assert out.columns == ["app_id", "store", "overall", "markets_spread"] and out.collect() == []
+
+
+def test_every_diverging_pair_has_its_line(spark, tmp_path):
+    """1,500 pairs with many ties, against the query's SQL."""
+    k = F.col("conv_id")
+    turns = spark.range(1500).select(F.col("id").alias("conv_id"), F.explode(F.expr("array(struct('user' as role, 0 as turn), struct('assistant' as role, 1 as turn))")).alias("t"))
+    rows = turns.select("conv_id", "t.turn", "t.role", F.repeat(F.lit("x"), (k * F.when(F.col("t.turn") == 0, 7).otherwise(13) % 50).cast("int")).alias("text"))
+    folder = _tables(spark, tmp_path, {"conversations": lambda _: rows})
+    got = sorted(tuple(r) for r in entry.queries()["k10_divergence"](spark, folder).select("position", "line").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet/*.parquet'")
+    assert len(got) == 1500 and got == sorted(con.execute(entry.oracle_sql()["k10_divergence"]).fetchall())

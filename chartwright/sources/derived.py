@@ -21,12 +21,15 @@ def charts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     )
-    rev = rows.groupBy(
+    cells = rows.select(
         F.col("r_name").alias("market"),
         F.when(F.col("o_custkey") % 2 == 0, "apple").otherwise("googleplay").alias("store"),
         F.col("l_shipdate").cast("date").alias("day"),
         F.col("l_suppkey").cast("long").alias("app_id"),
-    ).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"))
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("amount"),
+    )
+    # dealt once by chart and day, which both the sums and the ranks are within
+    rev = cells.repartition("market", "store", "day").groupBy("market", "store", "day", "app_id").agg(F.round(F.sum("amount"), 4).alias("revenue"))
     return rev.withColumn("rank", F.row_number().over(Window.partitionBy("market", "store", "day").orderBy(F.desc("revenue"), "app_id")).cast("long"))
 
 

@@ -46,3 +46,10 @@ def test_lifts_take_cohorts_of_three_rows(spark):
     rows = entry.queries()["m5_lifts"](spark, "/root/testdata/sf0.01")
     assert "n >= 3 AND" in entry.oracle_sql()["m5_lifts"] and "n >= 10 AND" in entry.oracle_sql()["m6_bootstrap"]
     assert 3 <= rows.agg(F.min("n")).first()[0] < 10
+
+
+def test_charts_are_made_once(spark):
+    """What reads the charts several times reads them as written out, not their join over again: customers lead to them only."""
+    for name in ("a16_simple_winner", "m12_signal_grid", "m11_factors"):
+        plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().toString()
+        assert "c_custkey" not in plan, name

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartwright.operators.windows import CELL, TRAILING, chart_ends, deviation, outcome, windowed
+from chartwright.sources import scratch
 
 FACTORS = ("f0", "f1", "f2", "f4", "f5", "f7", "f11", "f14")
 
@@ -52,9 +53,13 @@ def factor_table(charts: DataFrame, invariants: DataFrame, cohorts: DataFrame, t
     f0, f1, f2, f4 as in cell_factors(). f5: charts (market, store) within top_n that week. f7: mean tenure (days within
     top_n in a year, over markets) of the publisher's other apps in the same store, null if it has none. f11: age in
     days, 365 at most. f14: whether the app is within top_n in the other store that week, null if that store has no
-    such row then. The charts are read and grouped once; all else are windows over their cells. With a horizon also
-    winner_exact and winner_window as in cohort_labels(), null where the chart ends before.
+    such row then. With a horizon also winner_exact and winner_window as in cohort_labels(), null where the chart ends before.
+
+    The charts are made once and written out, since the cells, the charts' last days and their weeks with a row within
+    top_n are read from them. Those weeks, a row for each chart and date, are joined by broadcast; all else are windows over
+    the cells of an app or a publisher, so no task gathers those of a whole market.
     """
+    charts = scratch.stored(charts.select("market", "store", "day", "app_id", "rank"), "charts")
     w_app = Window.partitionBy("t0", "app_id")
     w_market, w_store = Window.partitionBy("t0", "app_id", "market"), Window.partitionBy("t0", "app_id", "store")
     other = lambda w: F.when(F.col("store") == "apple", F.max(F.when(F.col("store") != "apple", F.col("high_week"))).over(w)).otherwise(F.max(F.when(F.col("store") == "apple", F.col("high_week"))).over(w))
@@ -71,13 +76,17 @@ def factor_table(charts: DataFrame, invariants: DataFrame, cohorts: DataFrame, t
     rows = rows.join(inv, ["app_id", "store"], "left").withColumn("pub", pub).withColumns({"s": F.sum(F.when(counted, F.col("tenure"))).over(w_pub), "k": F.count_if(counted).over(w_pub)})
     mine = F.col("tenure") > 0
     f7 = (F.col("s") - F.col("tenure")) / F.nullif(F.col("k") - 1, F.lit(0))
-    any_other = other(Window.partitionBy("t0", "market"))
+    week = cohorts.select("t0").distinct().select("t0", F.explode(F.sequence(F.date_sub("t0", 6), F.col("t0"))).alias("day"))
+    high = charts.where(F.col("rank") <= top_n).select("market", "store", "day").distinct().join(F.broadcast(week), "day").select("t0", "market", F.col("store").alias("in_store")).distinct()
+    apple = F.col("in_store") == "apple"
+    high = high.groupBy("t0", "market").agg(F.max(F.when(apple, 1)).alias("any_apple"), F.max(F.when(~apple, 1)).alias("any_rest"))
+    any_other = F.when(F.col("store") == "apple", F.col("any_rest")).otherwise(F.col("any_apple"))
     days = F.datediff("t0", "release_day")
     labels = []
     if horizon is not None:
-        rows = rows.join(chart_ends(charts), ["market", "store"])
+        rows = rows.join(F.broadcast(chart_ends(charts)), ["market", "store"])
         labels = [F.when(F.col("last_day") >= F.date_add("t0", horizon), F.col(c)).alias(c) for c in ("winner_exact", "winner_window")]
-    rows = rows.withColumn("any", F.coalesce(any_other, F.lit(0))).join(cohorts.select(*CELL).distinct(), CELL, "left_semi").where("f0 is not null")
+    rows = rows.join(F.broadcast(high), ["t0", "market"], "left").withColumn("any", F.coalesce(any_other, F.lit(0))).join(cohorts.select(*CELL).distinct(), CELL, "left_semi").where("f0 is not null")
     return rows.select(
         *CELL, "app_id", F.col("f0").cast("long"), F.col("f1").cast("long"), F.round("f2", 6).alias("f2"), F.round(F.col("f0") / F.col("best"), 6).alias("f4"),
         F.nullif(F.col("f5"), F.lit(0)).cast("long").alias("f5"), F.round(F.when(mine & F.col("publisher_id").isNotNull(), f7), 6).alias("f7"),
@@ -185,7 +194,7 @@ def residualized(wide: DataFrame, keys: list[str], order: tuple[str, ...] = FACT
     grams = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.try_element_at(F.col("grams"), i))
     weights = by_cell.select(*keys, grams.alias("grams")).select(*keys, _coefficients(F.col("grams"), k).alias("weights"))
     fits = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys]
-    joined = rows.alias("l").join(weights.alias("r"), fits, "left").select("l.*", "r.weights")
+    joined = rows.alias("l").join(F.broadcast(weights).alias("r"), fits, "left").select("l.*", "r.weights")  # a row for each cell
     left = lambda i: F.when(F.col(order[i]).isNotNull(), sum((F.col("weights")[i][j] * x[j] for j in range(1, k + 1)), F.col("weights")[i][0]))
     return joined.select(*keys, "app_id", *[left(i).alias(order[i]) for i in range(k)])
 
@@ -205,6 +214,27 @@ def top_decile(long: DataFrame, keys: list[str], label: str, ascending: DataFram
     return rows.where(F.col("pos") <= F.greatest(F.lit(1), F.ceil(0.1 * F.col("n")))).groupBy(*keys, "signal_name").agg(F.max("n").alias("n"), F.round(F.avg(F.col(label).cast("double")), 6).alias("precision"))
 
 
+def directions_wide(rows: DataFrame, labels: tuple[str, ...], names: tuple[str, ...] = FACTORS, least: int = 30) -> DataFrame:
+    """(signal_name, up_<label> of each): directions() of all factors and labels, in one pass over rows with both as columns."""
+    facts = [F.struct(F.lit(f).alias("signal_name"), *[F.coalesce((F.count(f) >= least) & (F.round(F.covar_pop(F.col(f).cast("double"), F.col(v).cast("double")), 9) < 0), F.lit(False)).alias(f"up_{v}") for v in labels]) for f in names]
+    return rows.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
+
+
+def top_deciles(rows: DataFrame, labels: tuple[str, ...], base: str = "f0", least: int = 10, names: tuple[str, ...] = FACTORS) -> DataFrame:
+    """(*CELL, label, signal_name, n, precision): top_decile() of all factors and labels of rows (*CELL, app_id, *names, *labels).
+
+    Each factor's values are dealt and placed once for all labels, from both ends; `base` ranks its low values first."""
+    up = directions_wide(rows, labels, names)
+    each = F.array(*[F.struct(F.lit(f).alias("signal_name"), F.col(f).cast("double").alias("value")) for f in names])
+    long = rows.select(*CELL, "app_id", *labels, F.inline(each)).where("value is not null").join(F.broadcast(up), "signal_name")
+    w = Window.partitionBy(*CELL, "signal_name")
+    placed = long.withColumns({"low": F.row_number().over(w.orderBy("value", "app_id")), "high": F.row_number().over(w.orderBy(-F.col("value"), "app_id")), "n": F.count("*").over(w)}).where(F.col("n") >= least)
+    cut = F.greatest(F.lit(1), F.ceil(0.1 * F.col("n")))
+    at = lambda v: F.when(F.col(f"up_{v}") | (F.col("signal_name") == base), F.col("low")).otherwise(F.col("high"))
+    best = placed.groupBy(*CELL, "signal_name").agg(F.max("n").alias("n"), *[F.round(F.avg(F.when(at(v) <= cut, F.col(v).cast("double"))), 6).alias(v) for v in labels])
+    return best.unpivot([*CELL, "signal_name", "n"], list(labels), "label", "precision")
+
+
 def cluster_bootstrap(lifts: DataFrame, reps: int = 200, seed: int = 42) -> DataFrame:
     """(signal_name, n, median, low, high, p): medians of resampled cohort lifts; under three cohorts nulls.
 
@@ -262,8 +292,8 @@ def forward_chaining(rows: DataFrame, features: list[str], label: str, least_tra
     indicators, the first left out; the penalty is 1 / (2 c) of the squared weights, the constant's included. Dates with
     too few rows, one class or a feature without any training value are left out.
 
-    All dates are fitted at once: a round of Newton's method is one aggregate by date, of the gradient, the products and
-    the loss at the present weights. A row counts for every later date. Dates are a few dozen, so what reaches the driver
+    All dates are fitted at once: a round of Newton's method is one read of the rows, from which each task adds up, for every
+    date, the gradient, the products and the loss at the present weights. A row counts for every later date. Dates are a few dozen, so what reaches the driver
     are small sums; a step that raises the loss is halved. Write `rows` out before, they are read once a round.
     """
     import numpy as np
@@ -287,30 +317,50 @@ def forward_chaining(rows: DataFrame, features: list[str], label: str, least_tra
         x = F.array(F.lit(1.0), *filled, *[(F.col(k) == v).cast("double") for k, v in extra])
         return rows.join(F.broadcast(table), "t0").select("fold", "market", "store", "app_id", "f0", "y", x.alias("x"), "w").withColumn("margin", _dot(F.col("x"), F.col("w")))
 
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    columns = ["t0", "y", *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)], *[F.coalesce((F.col(k) == v).cast("double"), F.lit(0.0)).alias(f"e{i}") for i, (k, v) in enumerate(extra)]]
+    table, fills = rows.select(*columns), {fold: np.array([float(r[f]) for f in features]) for fold, r in known.items()}
+
+    def sums_at(weights: dict) -> dict:
+        """For each open date (loss, gradient, products) of its rows at the weights: a task adds up its batches, Spark the tasks."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            total = {fold: np.zeros(1 + d + d * d) for fold in weights}
+            for batch in batches:
+                t0 = batch.column(0).to_numpy(zero_copy_only=False).astype("datetime64[D]")
+                y, *raw = (c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:])
+                raw, ones = np.column_stack(raw), np.ones((batch.num_rows, 1))
+                for fold, w in weights.items():
+                    mine = t0 < np.datetime64(fold)
+                    if not mine.any():
+                        continue
+                    own = raw[mine][:, : len(features)]
+                    x = np.hstack((ones[mine], np.where(np.isnan(own), fills[fold], own), raw[mine][:, len(features) :]))
+                    margin, at_y = x @ w, y[mine]
+                    mu = 0.5 * (1 + np.tanh(0.5 * margin))
+                    loss = np.maximum(margin, 0.0) - at_y * margin + np.log1p(np.exp(-np.abs(margin)))
+                    total[fold] += np.concatenate(([loss.sum()], (mu - at_y) @ x, ((x * (mu * (1 - mu))[:, None]).T @ x).ravel()))
+            for fold, v in total.items():
+                yield pa.record_batch([pa.array([fold] * len(v), pa.date32()), pa.array(range(len(v)), pa.int32()), pa.array(v)], names=["fold", "k", "v"])
+
+        out = {fold: np.zeros(1 + d + d * d) for fold in weights}
+        for r in table.mapInArrow(run, "fold date, k int, v double").groupBy("fold", "k").agg(F.sum("v").alias("v")).collect():
+            out[r["fold"]][r["k"]] = r["v"]
+        return {fold: (v[0], v[1 : d + 1], v[d + 1 :].reshape(d, d)) for fold, v in out.items()}
+
     weights = {fold: np.zeros(d) for fold in known}
     before, loss_before, open_ = dict(weights), dict.fromkeys(known, float("inf")), set(known)
     for _ in range(rounds):
         if not open_:
             break
-        train = design(weights, [(t0, fold) for fold in sorted(open_) for t0 in dates if t0 < fold])
-        mu = 1 / (1 + F.exp(-F.col("margin")))
-        train = train.withColumn("mu", mu).withColumn("v", F.col("mu") * (1 - F.col("mu")))
-        loss = F.greatest("margin", F.lit(0.0)) - F.col("y") * F.col("margin") + F.log1p(F.exp(-F.abs("margin")))
-        sums = train.groupBy("fold").agg(
-            F.sum(loss).alias("loss"), F.array(*[F.sum((F.col("mu") - F.col("y")) * F.col("x")[i]) for i in range(d)]).alias("g"),
-            F.array(*[F.sum(F.col("v") * F.col("x")[i] * F.col("x")[j]) for i, j in pairs]).alias("h"),
-        )
-        for r in sums.collect():
-            fold, w = r["fold"], weights[r["fold"]]
-            total = c * r["loss"] + 0.5 * float(w @ w)
+        for fold, (loss, g, h) in sums_at({fold: weights[fold] for fold in sorted(open_)}).items():
+            w = weights[fold]
+            total = c * loss + 0.5 * float(w @ w)
             if total > loss_before[fold] + 1e-12 * abs(total):
                 weights[fold] = (before[fold] + w) / 2
                 continue
-            h = np.zeros((d, d))
-            for (i, j), v in zip(pairs, r["h"], strict=True):
-                h[i, j] = h[j, i] = v
-            step = np.linalg.solve(c * h + np.eye(d), c * np.array(r["g"]) + w)
+            step = np.linalg.solve(c * h + np.eye(d), c * g + w)
             before[fold], loss_before[fold], weights[fold] = w, total, w - step
             if np.abs(step).max() < 1e-9:
                 open_.discard(fold)

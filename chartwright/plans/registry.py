@@ -375,19 +375,23 @@ lifts AS (SELECT a.market, a.store, a.t0, a.label, a.signal_name, a.n, a.precisi
 LABELLED_SQL, RAW_LIFTS_SQL = (_LABELLED_SQL.replace("{least}", str(n)) for n in (10, 3))
 
 
+LABELS = ("winner_exact", "winner_window")
+
+
 def lifts_of(long, labels, least=10):
+    """lifts_wide() of factors (*KEYS, signal_name, value) and labels in tables of their own."""
+    return lifts_wide(factors.to_wide(long).join(labels, KEYS), least)
+
+
+def lifts_wide(rows, least=10):
     """Lifts over f0 for each cohort, factor and kind of label; f0 always ranks its low values first."""
-    rows = long.join(factors.label_long(labels, KEYS), KEYS).withColumn("signal_name", F.concat_ws(":", "label", "signal_name"))
-    up = factors.directions(rows, "is_winner").withColumn("ascending", F.col("ascending") | F.col("signal_name").endswith(":f0"))
-    best = factors.top_decile(rows, factors.CELL, "is_winner", up, least)
-    best = best.select(*factors.CELL, F.substring_index("signal_name", ":", 1).alias("label"), F.substring_index("signal_name", ":", -1).alias("signal_name"), "n", "precision")
-    return factors.cohort_lifts(best, [*factors.CELL, "label"])
+    return factors.cohort_lifts(factors.top_deciles(rows, LABELS, least=least), [*factors.CELL, "label"])
 
 
 @query(sql(*FACTOR_SQL, LONG_SQL, RAW_LIFTS_SQL, " SELECT * FROM lifts"))
 def m5_lifts(spark, sf_dir):
     rows = _study(spark, sf_dir)
-    return lifts_of(factors.to_long(rows), rows.select(*KEYS, "winner_exact", "winner_window"), least=3).drop("cohort").withColumn("lift", F.round("lift", 6))
+    return lifts_wide(rows, least=3).drop("cohort").withColumn("lift", F.round("lift", 6))
 
 
 @query(sql(*FACTOR_SQL, LONG_SQL, LABELLED_SQL, f"""i AS (SELECT label || ':' || signal_name AS signal_name, lift, ROW_NUMBER() OVER w - 1 AS i, COUNT(*) OVER (PARTITION BY label, signal_name) AS n FROM lifts WHERE market IN {SEA_REGIONS}
@@ -401,7 +405,7 @@ def m5_lifts(spark, sf_dir):
   SELECT signal_name, n, CAST(median AS DOUBLE) AS median, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, CAST(p AS DOUBLE) AS p, COALESCE(median >= 0.03 AND p < 0.05 / 8, false) AS alive FROM o"""))
 def m6_bootstrap(spark, sf_dir):
     rows = _study(spark, sf_dir)
-    lifts = lifts_of(factors.to_long(rows), rows.select(*KEYS, "winner_exact", "winner_window"), least=10).where(F.col("market").isin(*SEA_REGIONS))
+    lifts = lifts_wide(rows, least=10).where(F.col("market").isin(*SEA_REGIONS))
     boot = factors.cluster_bootstrap(lifts.select(F.concat_ws(":", "label", "signal_name").alias("signal_name"), "cohort", F.round("lift", 6).alias("lift")), reps=200)
     return factors.verdicts(boot.select("signal_name", "n", *[F.round(c, 6).alias(c) for c in ("median", "low", "high", "p")]))
 
@@ -409,7 +413,7 @@ def m6_bootstrap(spark, sf_dir):
 def processed(rows):
     """Standardized and residualized factors of _study() rows, by cell."""
     z = factors.standardized_wide(rows, factors.CELL).select(*KEYS, *[F.col(f"z_{f}").alias(f) for f in factors.FACTORS])
-    return factors.residualized(z, factors.CELL)
+    return factors.residualized(scratch.stored(z, "standardized"), factors.CELL)
 
 
 def _composite(rows, chain, label="winner_exact"):
@@ -427,7 +431,7 @@ def m9_study(spark, sf_dir):
     hold chain, lifts, bootstrap and folds against plain numpy."""
     rows = _study(spark, sf_dir)
     chain = scratch.stored(processed(rows), "chain")
-    lifts = scratch.stored(lifts_of(factors.to_long(chain), rows.select(*KEYS, "winner_exact", "winner_window")), "lifts")
+    lifts = scratch.stored(lifts_wide(chain.join(rows.select(*KEYS, *LABELS), KEYS)), "lifts")
     boot = factors.cluster_bootstrap(lifts.where(F.col("market").isin(*SEA_REGIONS)).select(F.concat_ws(":", "label", "signal_name").alias("signal_name"), "cohort", "lift"))
     out = scratch.stored(factors.verdicts(boot), "verdicts")
     said = factors.composite_verdict(*_composite(rows, chain)).first()

@@ -10,6 +10,7 @@ from chartwright.functions.exprs import epoch_ms
 from chartwright.sources.sinks import KeyedTable, append_if_absent
 
 CHART_KEY = ["market", "category", "captured_at", "rank", "store"]
+CHART = ["captured_at", "market", "category", "store"]
 
 
 CHART_ROWS = "app_id string, market string, category string, captured_at long, rank int, source string, store string"
@@ -18,18 +19,19 @@ CHART_ROWS = "app_id string, market string, category string, captured_at long, r
 def ingest_charts(spark: SparkSession, landing: str, table: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
     """Append every landed tab-separated file once; restarted, it goes on where it stopped, and repeats are no-ops.
 
-    The table is a KeyedTable by time: a batch is held against the batches that cover its days, counts as a whole or not at
-    all, and of lines with one key the first of the first file stays. Read it with charts_table().
+    The table is a KeyedTable by time and chart: a batch is held against the charts that it shares with earlier ones, counts
+    as a whole or not at all, and of lines with one key the first of the first file stays. Read it with charts_table().
     """
     schema = "app_id string, market string, category string, captured_at string, rank string, source string, store string"
     read = spark.readStream.schema(schema).options(sep="\t", header=True, maxFilesPerTrigger=files_per_batch).csv(landing)
-    rows = read.select("app_id", "market", "category", epoch_ms(F.col("captured_at")).alias("captured_at"), F.col("rank").try_cast("int").alias("rank"), "source", "store", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
-    rows = rows.where("app_id is not null and market is not null and category is not null and captured_at is not null and rank > 0 and store is not null")
-    keyed = KeyedTable(spark, table, CHART_KEY, "captured_at")
+    rank = F.when(F.col("rank").rlike("[0-9]"), F.col("rank").try_cast("int"))  # a failed cast is dear, and without a digit it fails
+    rows = read.select("app_id", "market", "category", epoch_ms(F.col("captured_at")).alias("captured_at"), rank.alias("rank"), "source", "store", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    good = "app_id is not null and market is not null and category is not null and captured_at is not null and rank > 0 and store is not null"
+    keyed = KeyedTable(spark, table, CHART_KEY, "captured_at", CHART)
 
     def write(batch: DataFrame, id_: int) -> None:
         line = F.struct("file", "split", F.monotonically_increasing_id().alias("nth"))  # a task reads a split in order
-        keyed.append(batch.withColumn("line", line).drop("file", "split"), id_, ["line"])
+        keyed.append(batch.where(good).withColumn("line", line).drop("file", "split"), id_, ["line"])  # a time is read once, then asked for
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -38,7 +40,7 @@ def charts_table(spark: SparkSession, table: str, first: int | None = None, last
     """The ingested chart rows, or the batches that can hold rows of a span of time in milliseconds, cut to that span."""
     from pyspark.sql.types import StructType
 
-    keyed, schema = KeyedTable(spark, table, CHART_KEY, "captured_at"), StructType.fromDDL(CHART_ROWS)
+    keyed, schema = KeyedTable(spark, table, CHART_KEY, "captured_at", CHART), StructType.fromDDL(CHART_ROWS)
     if first is None or last is None:
         return keyed.read(schema)
     return keyed.read(schema, str(first), str(last)).where(F.col("captured_at").between(first, last))

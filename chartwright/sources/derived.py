@@ -19,7 +19,7 @@ def charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = (
         line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations: dealt by them, all rows would go to 25 tasks
     )
     cells = rows.select(
         F.col("r_name").alias("market"),

@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from chartwright.sources import sinks
+from chartwright.sources import derived, sinks
 from chartwright.streaming import ingest
 
 SMALL = "/root/testdata/sf0.001"
@@ -101,3 +101,14 @@ def test_batches_written_without_their_groups_are_held_against(spark, tmp_path):
     table = sinks.KeyedTable(spark, str(tmp_path / "t"), ["day", "app_id"], "day", ["day"])
     assert table.append(rows(2, 5), 1) == {"read": 2, "written": 1, "batches": 1}
     assert sorted(r["day"] for r in table.read(rows(1).schema).collect()) == [1, 2, 5]
+
+
+def test_chart_rows_are_not_dealt_by_nation(spark):
+    """Whatever the number of partitions and the broadcast threshold: with many partitions a table of 25 keys isn't broadcast by itself."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = derived.charts(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(o_custkey" in plan and "hashpartitioning(c_nationkey" not in plan
